@@ -185,3 +185,256 @@ def q_train_vocab_summary(spark, sf):
         F.count(F.lit(1)).alias("vocab_size"),
         F.sum("token_count").alias("vocab_tokens"),
         r6(F.min("idf")).alias("min_idf"), r6(F.max("idf")).alias("max_idf"))
+
+
+# ---- V11/V12, E1-E9 -------------------------------------------------------------------
+
+UCFG = QCFG.replace(use_orthogonal_init=False)
+EMB = with_(O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG), O.projection_cte(QCFG),
+            O.embed_ctes(QCFG))
+
+
+@register("projection_gaussian", MODEL + f"SELECT idx, dim, round(pval, {DIGITS}) AS value FROM proj")
+def q_projection_gaussian(spark, sf):
+    return long_vectors(model(spark, sf).projection, "idx", "vec")
+
+
+@register("projection_uniform", with_(O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(UCFG),
+                                      O.projection_cte(UCFG)) +
+          f"SELECT idx, dim, round(pval, {DIGITS}) AS value FROM proj")
+def q_projection_uniform(spark, sf):
+    from bowline.operators.train import projection_rows
+    m = model(spark, sf)
+    return long_vectors(projection_rows(m.vocabulary.select("idx"), m.vocab_size, UCFG),
+                        "idx", "vec")
+
+
+@register("term_frequency", with_(O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG),
+                                  O.weights_ctes(QCFG)) +
+          "SELECT doc_id, idx, tf, n_terms FROM tfv")
+def q_term_frequency(spark, sf):
+    from bowline.operators.embed import term_frequency
+    return term_frequency(docs(spark, sf), model(spark, sf)).select(
+        "doc_id", "idx", F.col("tf").cast("long").alias("tf"),
+        F.col("n_terms").cast("int").alias("n_terms"))
+
+
+@register("bm25_weights", with_(O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG),
+                                O.weights_ctes(QCFG)) +
+          f"SELECT doc_id, idx, round(weight, {DIGITS}) AS weight FROM w")
+def q_bm25_weights(spark, sf):
+    from bowline.operators.embed import bm25_weights
+    return bm25_weights(docs(spark, sf), model(spark, sf)).select(
+        "doc_id", "idx", r6(F.col("weight")).alias("weight"))
+
+
+@register("project_dense", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM dense")
+def q_project_dense(spark, sf):
+    from bowline.operators.embed import bm25_weights, project_join
+    m = model(spark, sf)
+    return project_join(bm25_weights(docs(spark, sf), m), m).select(
+        "doc_id", F.col("dim").cast("int").alias("dim"), r6(F.col("value")).alias("value"))
+
+
+@register("project_dropout", with_(O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG),
+                                   O.projection_cte(QCFG), O.embed_ctes(QCFG, dropout=0.1)) +
+          f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM emb")
+def q_project_dropout(spark, sf):
+    from bowline.operators.embed import embed
+    e = embed(docs(spark, sf), model(spark, sf), dropout_rate=0.1)
+    return long_vectors(e, "doc_id", "embedding")
+
+
+@register("embed_documents", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM emb")
+def q_embed_documents(spark, sf):
+    from bowline.operators.embed import embed
+    return long_vectors(embed(docs(spark, sf), model(spark, sf)), "doc_id", "embedding")
+
+
+@register("embedding_dim_check", EMB +
+          "SELECT doc_id, CAST(count(*) AS INTEGER) AS dimension FROM emb GROUP BY doc_id")
+def q_embedding_dim_check(spark, sf):
+    from bowline.operators.embed import embed
+    return embed(docs(spark, sf), model(spark, sf)).select(
+        "doc_id", F.size("embedding").alias("dimension"))
+
+
+# ---- X1-X7 on the embeddings table ----------------------------------------------------
+
+def vectors(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings").select(
+        "vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
+
+
+def _next_pairs(spark, sf) -> DataFrame:
+    v = vectors(spark, sf)
+    a = v.select(F.col("vec_id").alias("a_id"), F.col("v").alias("va"))
+    b = v.select(F.col("vec_id").alias("b_id"), F.col("v").alias("vb"))
+    return a.join(b, F.col("b_id") == F.col("a_id") + 1)
+
+
+VPAIRS = """vp AS (
+  SELECT a.vec_id AS a_id, b.vec_id AS b_id, CAST(a.embedding AS DOUBLE[]) AS va,
+         CAST(b.embedding AS DOUBLE[]) AS vb
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+
+
+@register("pair_cosine", with_(VPAIRS) +
+          f"SELECT a_id, b_id, round({O.cos_sql('va', 'vb')}, {DIGITS}) AS similarity FROM vp")
+def q_pair_cosine(spark, sf):
+    from bowline.functions.vectors import cosine
+    return _next_pairs(spark, sf).select("a_id", "b_id", r6(cosine(F.col("va"), F.col("vb"))).alias("similarity"))
+
+
+@register("pair_distance", with_(VPAIRS) +
+          f"SELECT a_id, b_id, round({O.dist_sql('va', 'vb')}, {DIGITS}) AS distance FROM vp")
+def q_pair_distance(spark, sf):
+    from bowline.functions.vectors import distance
+    return _next_pairs(spark, sf).select("a_id", "b_id", r6(distance(F.col("va"), F.col("vb"))).alias("distance"))
+
+
+def _pair_long_sql(expr: str) -> str:
+    return with_(VPAIRS) + f"""SELECT a_id, CAST(generate_subscripts(r, 1) - 1 AS INTEGER) AS dim,
+       round(unnest(r), {DIGITS}) AS value
+FROM (SELECT a_id, list_transform(list_zip(va, vb), lambda z: {expr}) AS r FROM vp)"""
+
+
+@register("vector_subtract", _pair_long_sql("z[2] - z[1]"))
+def q_vector_subtract(spark, sf):
+    from bowline.functions.vectors import subtract
+    return long_vectors(_next_pairs(spark, sf).select("a_id", subtract(F.col("vb"), F.col("va")).alias("r")), "a_id", "r")
+
+
+@register("vector_add", _pair_long_sql("z[1] + z[2]"))
+def q_vector_add(spark, sf):
+    from bowline.functions.vectors import add
+    return long_vectors(_next_pairs(spark, sf).select("a_id", add(F.col("va"), F.col("vb")).alias("r")), "a_id", "r")
+
+
+VLONG = """vl AS (
+  SELECT vec_id, CAST(generate_subscripts(embedding, 1) - 1 AS INTEGER) AS dim,
+         CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings)"""
+
+
+@register("vector_scale", with_(VLONG) + f"SELECT vec_id, dim, round(x * 0.5, {DIGITS}) AS value FROM vl")
+def q_vector_scale(spark, sf):
+    from bowline.functions.vectors import scale
+    return long_vectors(vectors(spark, sf).select("vec_id", scale(F.col("v"), 0.5).alias("r")), "vec_id", "r")
+
+
+@register("unit_normalize", with_(VLONG) + f"""SELECT vec_id, dim,
+       round(CASE WHEN nrm > 1e-10 THEN x / nrm ELSE x END, {DIGITS}) AS value
+FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY vec_id)) AS nrm FROM vl)""")
+def q_unit_normalize(spark, sf):
+    from bowline.functions.vectors import unit_normalize
+    return long_vectors(vectors(spark, sf).select("vec_id", unit_normalize(F.col("v")).alias("r")), "vec_id", "r")
+
+
+def _rank_sql(src: str, k: int) -> str:
+    return f"""SELECT query_id, rank, cand_id, round(sim, {DIGITS}) AS similarity FROM (
+  SELECT query_id, cand_id, sim, CAST(row_number() OVER (
+           PARTITION BY query_id ORDER BY round(sim, 9) DESC, cand_id) AS INTEGER) AS rank
+  FROM {src}) WHERE rank <= {k}"""
+
+
+def _ranked(df: DataFrame) -> DataFrame:
+    return df.select(F.col("query_id").cast("long").alias("query_id"), "rank",
+                     F.col("cand_id").cast("long").alias("cand_id"),
+                     r6(F.col("similarity")).alias("similarity"))
+
+
+@register("topk_cosine", with_(
+    """ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)""",
+    f"""sims AS (SELECT q.vec_id AS query_id, c.vec_id AS cand_id, {O.cos_sql('q.v', 'c.v')} AS sim
+             FROM ev q, ev c)""") + _rank_sql("sims", 5))
+def q_topk_cosine(spark, sf):
+    from bowline.operators.search import top_k_cosine
+    v = vectors(spark, sf)
+    return _ranked(top_k_cosine(v, v, 5, "vec_id", "v", "vec_id", "v"))
+
+
+# ---- K2-K6 on texts ----------------------------------------------------------------------
+
+def bench_items(spark, sf) -> DataFrame:
+    return table(spark, sf, "benchmark").select("item_id", "text")
+
+
+QTEXT = [O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG), O.projection_cte(QCFG),
+         O.embed_ctes(QCFG), "qsrc AS (SELECT item_id AS doc_id, text FROM benchmark)",
+         O.terms_ctes("qsrc", prefix="q_"),
+         O.embed_ctes(QCFG, ids="qsrc", prefix="q_", src_terms="q_terms", src_rows="q_term_rows"),
+         O.embvec_cte("emb", "dv"), O.embvec_cte("q_emb", "qv")]
+
+
+@register("nearest_neighbors", with_(*QTEXT, f"""sims AS (
+  SELECT q.doc_id AS query_id, d.doc_id AS cand_id, {O.cos_sql('q.v', 'd.v')} AS sim
+  FROM qv q, dv d)""") + _rank_sql("sims", 5))
+def q_nearest_neighbors(spark, sf):
+    from bowline.operators.search import nearest_neighbors
+    return _ranked(nearest_neighbors(bench_items(spark, sf), docs(spark, sf), model(spark, sf), 5,
+                                     q_id="item_id"))
+
+
+def flagship(spark, sf):
+    return q_nearest_neighbors(spark, sf)
+
+
+@register("text_pair_similarity", with_(*QTEXT) + f"""SELECT a.doc_id AS a_id, b.doc_id AS b_id,
+       round({O.cos_sql('a.v', 'b.v')}, {DIGITS}) AS similarity
+FROM qv a JOIN qv b ON b.doc_id = a.doc_id + 1""")
+def q_text_pair_similarity(spark, sf):
+    from bowline.functions.vectors import cosine
+    from bowline.operators.embed import embed
+    e = embed(bench_items(spark, sf), model(spark, sf), "item_id")
+    a = e.select(F.col("item_id").alias("a_id"), F.col("embedding").alias("ea"))
+    b = e.select(F.col("item_id").alias("b_id"), F.col("embedding").alias("eb"))
+    return a.join(b, F.col("b_id") == F.col("a_id") + 1).select(
+        "a_id", "b_id", r6(cosine(F.col("ea"), F.col("eb"))).alias("similarity"))
+
+
+def _triples(spark, sf) -> DataFrame:
+    b = bench_items(spark, sf)
+    x = b.select(F.col("item_id").alias("analogy_id"), F.col("text").alias("a"))
+    y = b.select(F.col("item_id").alias("iy"), F.col("text").alias("b"))
+    z = b.select(F.col("item_id").alias("iz"), F.col("text").alias("c"))
+    return (x.join(y, F.col("iy") == F.col("analogy_id") + 1)
+            .join(z, F.col("iz") == F.col("analogy_id") + 2)
+            .select("analogy_id", "a", "b", "c"))
+
+
+@register("analogy", with_(*QTEXT, """tri AS (
+  SELECT a.doc_id AS analogy_id, a.doc_id AS ia, b.doc_id AS ib, c.doc_id AS ic
+  FROM qsrc a JOIN qsrc b ON b.doc_id = a.doc_id + 1 JOIN qsrc c ON c.doc_id = a.doc_id + 2)""",
+    """tl AS (
+  SELECT t.analogy_id, ea.dim, eb.value - ea.value + ec.value AS x
+  FROM tri t JOIN q_emb ea ON ea.doc_id = t.ia JOIN q_emb eb ON eb.doc_id = t.ib AND eb.dim = ea.dim
+  JOIN q_emb ec ON ec.doc_id = t.ic AND ec.dim = ea.dim)""",
+    """tv AS (
+  SELECT analogy_id, list(CASE WHEN nrm > 1e-10 THEN x / nrm ELSE x END ORDER BY dim) AS v
+  FROM (SELECT *, sqrt(sum(x * x) OVER (PARTITION BY analogy_id)) AS nrm FROM tl)
+  GROUP BY analogy_id)""",
+    f"""sims AS (
+  SELECT t.analogy_id AS query_id, d.doc_id AS cand_id, {O.cos_sql('t.v', 'd.v')} AS sim
+  FROM tv t, dv d)""") + _rank_sql("sims", 3))
+def q_analogy(spark, sf):
+    from bowline.operators.search import analogy
+    return _ranked(analogy(_triples(spark, sf), docs(spark, sf), model(spark, sf), 3))
+
+
+@register("banded_pairs", with_(*QTEXT[:5], "dv AS (SELECT doc_id, list(value ORDER BY dim) AS v FROM emb GROUP BY doc_id)",
+                                "pd AS (SELECT doc_id, CAST(row_number() OVER (ORDER BY doc_id) - 1 AS BIGINT) AS pos, v FROM dv)") +
+          f"""SELECT a.pos AS a_pos, b.pos AS b_pos, round({O.cos_sql('a.v', 'b.v')}, {DIGITS}) AS similarity
+FROM pd a JOIN pd b ON b.pos > a.pos AND b.pos <= a.pos + 4""")
+def q_banded_pairs(spark, sf):
+    from bowline.operators.positions import dense_positions
+    from bowline.operators.search import banded_pairs
+    items = dense_positions(docs(spark, sf), ["doc_id"])
+    out = banded_pairs(items, model(spark, sf), 4)
+    return out.select("a_pos", "b_pos", r6(F.col("similarity")).alias("similarity"))
+
+
+@register("sample_texts", with_(O.corpus_cte()) + f"""SELECT doc_id, text FROM corpus
+ORDER BY {O.draws.uniform_sql(O.draws.key_sql(42, 'sample', 'doc_id'))}, doc_id LIMIT 100""")
+def q_sample_texts(spark, sf):
+    from bowline.sources.corpus import sample
+    return sample(docs(spark, sf), 100, 42).select("doc_id", "text")

@@ -103,13 +103,13 @@ def embed_ctes(cfg: ModelConfig, ids: str = "corpus", prefix: str = "", dropout:
 {p}dense AS (
   SELECT w.doc_id, pr.dim, sum(w.weight * pr.pval) AS value
   FROM {p}w w JOIN proj pr ON pr.idx = w.idx GROUP BY w.doc_id, pr.dim),
-{p}full AS (
+{p}filled AS (
   SELECT c.doc_id, CAST(r.j AS INTEGER) AS dim, coalesce(d.value, 0.0) AS value
   FROM {ids} c CROSS JOIN range(0, {cfg.embedding_dim}) r(j)
   LEFT JOIN {p}dense d ON d.doc_id = c.doc_id AND d.dim = r.j),
 {p}emb AS (
   SELECT doc_id, dim, CASE WHEN nrm > 1e-10 THEN value / nrm ELSE value END AS value
-  FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS nrm FROM {p}full))"""
+  FROM (SELECT *, sqrt(sum(value * value) OVER (PARTITION BY doc_id)) AS nrm FROM {p}filled))"""
 
 
 def embvec_cte(src: str, name: str, id_name: str = "doc_id") -> str:

@@ -32,7 +32,13 @@ def write_model(spark: SparkSession, vocab: DataFrame, config: ModelConfig,
     vocab.write.mode("overwrite").parquet(f"{path}/vocabulary")
     vocab_back = spark.read.parquet(f"{path}/vocabulary")
     vocab_size = vocab_back.count()
-    projection_rows(vocab_back.select("idx"), vocab_size, config) \
+    # the vocabulary is one partition after its global index; spread the
+    # (at most max_vocabulary_size) index rows so matrix rows draw in parallel
+    idx_rows = vocab_back.select("idx")
+    want = spark.sparkContext.defaultParallelism
+    if idx_rows.rdd.getNumPartitions() < want:
+        idx_rows = idx_rows.repartition(want, "idx")
+    projection_rows(idx_rows, vocab_size, config) \
         .write.mode("overwrite").parquet(f"{path}/projection")
     meta = dict(config.to_dict(), n_docs=n_docs, vocab_size=vocab_size)
     spark.createDataFrame([(json.dumps(meta),)], "meta string") \
