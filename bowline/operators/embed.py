@@ -41,8 +41,9 @@ def weight(tf, n_terms, idf):
 
 
 def bags_for(docs: DataFrame, model: Model, id_col: str = "doc_id",
-             text_col: str = "text") -> DataFrame:
-    corpus = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+             text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    corpus = docs.select(F.col(id_col).alias("doc_id"), *(carry or []),
+                         F.col(text_col).alias("text"))
     return term_bags(corpus, model.config.use_ngrams)
 
 
@@ -87,20 +88,23 @@ def model_bytes(model: Model) -> int:
 
 def embed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
           dropout_rate: float = 0.0, dropout_seed: int | None = None,
-          strategy: str = "auto", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+          strategy: str = "auto", limits: Limits = DEFAULT_LIMITS,
+          carry: list[str] | None = None) -> DataFrame:
     """(doc_id, embedding ARRAY<DOUBLE>) for every input row.
 
     Texts without tokens or with only unknown tokens embed to the zero
     vector. ``dropout_rate`` > 0 drops each (document, term) with a seeded
-    hash draw and rescales the kept ones by 1 / (1 - p) (E4).
+    hash draw and rescales the kept ones by 1 / (1 - p) (E4). ``carry``
+    columns are passed through next to the id.
     """
     if strategy == "auto":
         strategy = "broadcast" if model_bytes(model) <= limits.broadcast_bytes else "join"
     if strategy == "broadcast":
         return _embed_broadcast(docs, model, id_col, text_col, dropout_rate,
-                                dropout_seed, limits)
+                                dropout_seed, limits, carry or [])
     if strategy == "join":
-        return _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed)
+        return _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed,
+                           carry or [])
     raise ValueError(f"unknown strategy {strategy!r}")
 
 
@@ -186,9 +190,10 @@ def _make_projector(bc, dim: int, p: float, chunk: int, k1: float, eps: float):
     return project
 
 
-def _embed_broadcast(docs, model, id_col, text_col, dropout_rate, dropout_seed, limits):
+def _embed_broadcast(docs, model, id_col, text_col, dropout_rate, dropout_seed, limits,
+                     carry):
     p = clamp_dropout(dropout_rate)
-    bags = bags_for(docs, model, id_col, text_col)
+    bags = bags_for(docs, model, id_col, text_col, carry)
     if p > 0.0:
         seed = model.config.random_seed if dropout_seed is None else dropout_seed
         bags = bags.withColumn("bag", F.transform("bag", lambda e: F.struct(
@@ -198,10 +203,10 @@ def _embed_broadcast(docs, model, id_col, text_col, dropout_rate, dropout_seed,
     bc = broadcast_model(model, limits)
     fn = _make_projector(bc, model.embedding_dim, p, limits.projection_chunk,
                          BM25_K1, NORMALIZE_EPS)
-    schema = Ty.StructType([
-        Ty.StructField("doc_id", docs.schema[id_col].dataType),
-        Ty.StructField(EMBEDDING, Ty.ArrayType(Ty.DoubleType(), False)),
-    ])
+    schema = Ty.StructType(
+        [Ty.StructField("doc_id", docs.schema[id_col].dataType)]
+        + [docs.schema[c] for c in carry]
+        + [Ty.StructField(EMBEDDING, Ty.ArrayType(Ty.DoubleType(), False))])
     out = bags.mapInArrow(fn, schema)
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
 
@@ -219,15 +224,15 @@ def project_join(weights: DataFrame, model: Model) -> DataFrame:
             .agg(F.sum(F.col("weight") * F.col("pval")).alias("value")))
 
 
-def _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed):
+def _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed, carry):
     dim = model.embedding_dim
     w = bm25_weights(docs, model, id_col, text_col, dropout_rate, dropout_seed)
     dense = (project_join(w, model)
              .groupBy("doc_id")
              .agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("cells")))
     dense = dense.select("doc_id", F.transform("cells", lambda c: c["value"]).alias("v"))
-    ids = docs.select(F.col(id_col).alias("doc_id"))
+    ids = docs.select(F.col(id_col).alias("doc_id"), *carry)
     zeros = F.array_repeat(F.lit(0.0), dim)
     out = (ids.join(dense, "doc_id", "left")
-           .select("doc_id", unit_normalize(F.coalesce("v", zeros)).alias(EMBEDDING)))
+           .select("doc_id", *carry, unit_normalize(F.coalesce("v", zeros)).alias(EMBEDDING)))
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out

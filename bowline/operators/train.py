@@ -32,7 +32,8 @@ def document_terms(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
 def term_bags(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
     """(doc_id, bag ARRAY<STRUCT<token, tf>>, n_terms) — built inside each row."""
     bag = T.term_bag(T.process_text(F.col("text"), use_ngrams))
-    return (corpus.select("doc_id", bag.alias("bag"))
+    keep = [c for c in corpus.columns if c != "text"]
+    return (corpus.select(*keep, bag.alias("bag"))
             .withColumn("n_terms", F.aggregate("bag", F.lit(0), lambda acc, e: acc + e["tf"])))
 
 

@@ -438,3 +438,242 @@ ORDER BY {O.draws.uniform_sql(O.draws.key_sql(42, 'sample', 'doc_id'))}, doc_id
 def q_sample_texts(spark, sf):
     from bowline.sources.corpus import sample
     return sample(docs(spark, sf), 100, 42).select("doc_id", "text")
+
+
+# ---- D1-D9 retrieval ---------------------------------------------------------------------
+
+RET_K = 10
+QRELS_SQL = """qrels AS (
+  SELECT DISTINCT b.item_id AS query_id, c.doc_id FROM benchmark b JOIN corpus c
+  ON strpos(c.text, b.text) > 0)"""
+RANKED_SQL = f"""sims AS (
+  SELECT q.doc_id AS query_id, d.doc_id AS cand_id, {O.cos_sql('q.v', 'd.v')} AS sim
+  FROM qv q, dv d)""", f"""rk AS (
+  SELECT query_id, cand_id, sim, CAST(row_number() OVER (
+           PARTITION BY query_id ORDER BY round(sim, 9) DESC, cand_id) AS INTEGER) AS rank
+  FROM sims QUALIFY rank <= {RET_K})""", QRELS_SQL, """ranking AS (
+  SELECT r.query_id, r.rank, r.cand_id AS doc_id, r.sim,
+         CASE WHEN q.doc_id IS NULL THEN 0 ELSE 1 END AS is_rel
+  FROM rk r LEFT JOIN qrels q ON q.query_id = r.query_id AND q.doc_id = r.cand_id)""", f"""perq AS (
+  SELECT b.item_id AS query_id, CAST(coalesce(x.found, 0) AS BIGINT) AS found,
+         coalesce(x.found, 0) / {float(RET_K)} AS precision,
+         CASE WHEN coalesce(n.n_rel, 0) > 0 THEN coalesce(x.found, 0) / n.n_rel ELSE 0.0 END AS recall,
+         CASE WHEN coalesce(x.found, 0) > 0 THEN x.ap_sum / x.found ELSE 0.0 END AS ap,
+         coalesce(1.0 / x.first_hit, 0.0) AS rr
+  FROM benchmark b
+  LEFT JOIN (SELECT query_id, sum(is_rel) AS found,
+                    sum(CASE WHEN is_rel = 1 THEN cum / rank END) AS ap_sum,
+                    min(CASE WHEN is_rel = 1 THEN rank END) AS first_hit
+             FROM (SELECT *, sum(is_rel) OVER (PARTITION BY query_id ORDER BY rank
+                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cum
+                   FROM ranking) GROUP BY query_id) x ON x.query_id = b.item_id
+  LEFT JOIN (SELECT query_id, count(*) AS n_rel FROM qrels GROUP BY query_id) n
+    ON n.query_id = b.item_id)"""
+
+
+def _retrieval(spark, sf):
+    from bowline.operators.retrieval import passage_qrels, retrieval_ranking
+    d = docs(spark, sf)
+    qrels = passage_qrels(bench_items(spark, sf), d)
+    ranking = retrieval_ranking(bench_items(spark, sf), qrels, d, model(spark, sf), RET_K,
+                                q_id="item_id")
+    return qrels, ranking
+
+
+@register("passage_qrels", with_(O.corpus_cte(), QRELS_SQL) + "SELECT query_id, doc_id FROM qrels")
+def q_passage_qrels(spark, sf):
+    from bowline.operators.retrieval import passage_qrels
+    return passage_qrels(bench_items(spark, sf), docs(spark, sf))
+
+
+@register("retrieval_ranking", with_(*QTEXT, *RANKED_SQL[:4]) +
+          f"SELECT query_id, rank, doc_id, round(sim, {DIGITS}) AS similarity, is_rel FROM ranking")
+def q_retrieval_ranking(spark, sf):
+    _, ranking = _retrieval(spark, sf)
+    return ranking.select(F.col("query_id").cast("long").alias("query_id"), "rank",
+                          F.col("doc_id").cast("long").alias("doc_id"),
+                          r6(F.col("similarity")).alias("similarity"), "is_rel")
+
+
+@register("retrieval_per_query", with_(*QTEXT, *RANKED_SQL) + f"""SELECT query_id, found,
+       round(precision, {DIGITS}) AS precision, round(recall, {DIGITS}) AS recall,
+       round(ap, {DIGITS}) AS ap, round(rr, {DIGITS}) AS rr FROM perq""")
+def q_retrieval_per_query(spark, sf):
+    from bowline.operators.retrieval import retrieval_per_query
+    qrels, ranking = _retrieval(spark, sf)
+    pq = retrieval_per_query(ranking, bench_items(spark, sf), qrels, RET_K, q_id="item_id")
+    return pq.select("query_id", "found", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "ap", "rr")])
+
+
+@register("retrieval_metrics", with_(*QTEXT, *RANKED_SQL) + f"""SELECT
+  round(avg(precision), {DIGITS}) AS precision_at_k, round(avg(recall), {DIGITS}) AS recall_at_k,
+  round(CASE WHEN avg(precision) + avg(recall) > 0
+        THEN 2 * avg(precision) * avg(recall) / (avg(precision) + avg(recall)) ELSE 0.0 END, {DIGITS}) AS f1_score,
+  round(avg(ap), {DIGITS}) AS mean_average_precision, round(avg(rr), {DIGITS}) AS mean_reciprocal_rank
+FROM perq""")
+def q_retrieval_metrics(spark, sf):
+    from bowline.operators.retrieval import retrieval_metrics, retrieval_per_query
+    qrels, ranking = _retrieval(spark, sf)
+    m = retrieval_metrics(retrieval_per_query(ranking, bench_items(spark, sf), qrels, RET_K,
+                                              q_id="item_id"))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+# ---- H1-H5 coherence on the embeddings table ---------------------------------------------
+
+CPAIRS = """cp AS (
+  SELECT a.vec_id AS a_id, b.vec_id AS b_id, (a.label = b.label) AS related,
+         CAST(a.embedding AS DOUBLE[]) AS va, CAST(b.embedding AS DOUBLE[]) AS vb
+  FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"""
+CSIMS = f"cs AS (SELECT a_id, b_id, related, {O.cos_sql('va', 'vb')} AS similarity FROM cp)"
+
+
+def _coherence_pairs(spark, sf):
+    from bowline.functions.vectors import cosine
+    v = vectors(spark, sf)
+    a = v.select(F.col("vec_id").alias("a_id"), F.col("v").alias("va"), F.col("label").alias("la"))
+    b = v.select(F.col("vec_id").alias("b_id"), F.col("v").alias("vb"), F.col("label").alias("lb"))
+    return a.join(b, F.col("b_id") == F.col("a_id") + 1).select(
+        "a_id", "b_id", (F.col("la") == F.col("lb")).alias("related"),
+        cosine(F.col("va"), F.col("vb")).alias("similarity"))
+
+
+@register("coherence_pairs", with_(CPAIRS, CSIMS) +
+          f"SELECT a_id, b_id, related, round(similarity, {DIGITS}) AS similarity FROM cs")
+def q_coherence_pairs(spark, sf):
+    p = _coherence_pairs(spark, sf)
+    return p.select("a_id", "b_id", "related", r6(F.col("similarity")).alias("similarity"))
+
+
+@register("coherence_metrics", with_(CPAIRS, CSIMS) + f"""SELECT
+  round(coalesce(avg(CASE WHEN (similarity > 0.5) = related THEN 1.0 ELSE 0.0 END), 0.0), {DIGITS}) AS accuracy,
+  round(coalesce(avg(CASE WHEN related THEN similarity END), 0.0), {DIGITS}) AS average_related_similarity,
+  round(coalesce(avg(CASE WHEN NOT related THEN similarity END), 0.0), {DIGITS}) AS average_unrelated_similarity,
+  round(coalesce(avg(CASE WHEN related THEN similarity END), 0.0)
+        - coalesce(avg(CASE WHEN NOT related THEN similarity END), 0.0), {DIGITS}) AS contrast_score
+FROM cs""")
+def q_coherence_metrics(spark, sf):
+    from bowline.operators.coherence import coherence_metrics
+    m = coherence_metrics(_coherence_pairs(spark, sf))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+# ---- O1-O6 temporal ordering and K5-K6 recall on conversations -------------------------
+
+CONV = [O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG), O.projection_cte(QCFG),
+        "csrc AS (SELECT conv_id * 100000 + turn AS doc_id, conv_id, turn, text FROM conversations)",
+        O.terms_ctes("csrc", prefix="c_"),
+        O.embed_ctes(QCFG, ids="csrc", prefix="c_", src_terms="c_terms", src_rows="c_term_rows"),
+        """cvec AS (SELECT s.conv_id AS seq_id, s.turn AS pos, s.text, list(e.value ORDER BY e.dim) AS v
+  FROM c_emb e JOIN csrc s ON s.doc_id = e.doc_id GROUP BY s.conv_id, s.turn, s.text)"""]
+LEN_COS = ("(CASE WHEN sqrt(list_sum(list_transform(a.v, lambda x: x * x))) > 0 "
+           "AND sqrt(list_sum(list_transform(b.v, lambda x: x * x))) > 0 THEN "
+           "list_sum(list_transform(list_zip(a.v, b.v), lambda z: z[1] * z[2])) / "
+           "(sqrt(list_sum(list_transform(a.v, lambda x: x * x))) * "
+           "sqrt(list_sum(list_transform(b.v, lambda x: x * x)))) ELSE 0.0 END)")
+SEQ_SQL = CONV + [f"""cons AS (
+  SELECT a.seq_id, a.pos, {LEN_COS} AS similarity, {O.dist_sql('a.v', 'b.v')} AS distance
+  FROM cvec a JOIN cvec b ON b.seq_id = a.seq_id AND b.pos = a.pos + 1)""", f"""nonc AS (
+  SELECT a.seq_id, {LEN_COS} AS similarity
+  FROM cvec a JOIN cvec b ON b.seq_id = a.seq_id AND b.pos >= a.pos + 2)""", """tau AS (
+  SELECT c.seq_id,
+         coalesce((sum(CASE WHEN round(c.similarity, 9) > round(m.similarity, 9) THEN 1 ELSE 0 END)
+                 - sum(CASE WHEN round(c.similarity, 9) < round(m.similarity, 9) THEN 1 ELSE 0 END))
+                 / nullif(sum(CASE WHEN round(c.similarity, 9) <> round(m.similarity, 9) THEN 1 ELSE 0 END), 0), 0.0)
+           AS kendall_tau
+  FROM cons c LEFT JOIN nonc m ON m.seq_id = c.seq_id GROUP BY c.seq_id)""", """perseq AS (
+  SELECT c.seq_id, CAST(c.n AS BIGINT) AS n, t.kendall_tau,
+         c.cmean - coalesce(m.mmean, 0.0) AS correlation, c.dmean AS average_distance
+  FROM (SELECT seq_id, count(*) + 1 AS n, avg(similarity) AS cmean, avg(distance) AS dmean
+        FROM cons GROUP BY seq_id) c
+  LEFT JOIN (SELECT seq_id, avg(similarity) AS mmean FROM nonc GROUP BY seq_id) m ON m.seq_id = c.seq_id
+  JOIN tau t ON t.seq_id = c.seq_id)"""]
+
+
+def conv_seqs(spark, sf) -> DataFrame:
+    return table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("seq_id"), F.col("turn").alias("pos"), "text")
+
+
+def _seq_emb(spark, sf):
+    from bowline.operators.temporal import sequence_embeddings
+    return sequence_embeddings(conv_seqs(spark, sf), model(spark, sf))
+
+
+@register("sequence_consecutive", with_(*SEQ_SQL) + f"""SELECT seq_id, CAST(pos AS BIGINT) AS pos,
+       round(similarity, {DIGITS}) AS similarity, round(distance, {DIGITS}) AS distance FROM cons""")
+def q_sequence_consecutive(spark, sf):
+    from bowline.operators.temporal import consecutive
+    c = consecutive(_seq_emb(spark, sf))
+    return c.select(F.col("seq_id").cast("long").alias("seq_id"), F.col("pos").cast("long").alias("pos"),
+                    r6(F.col("similarity")).alias("similarity"), r6(F.col("distance")).alias("distance"))
+
+
+@register("sequence_tau", with_(*SEQ_SQL) + f"SELECT seq_id, round(kendall_tau, {DIGITS}) AS kendall_tau FROM tau")
+def q_sequence_tau(spark, sf):
+    from bowline.operators.temporal import sequence_tau
+    t = sequence_tau(_seq_emb(spark, sf))
+    return t.select("seq_id", r6(F.col("kendall_tau")).alias("kendall_tau"))
+
+
+@register("sequence_metrics", with_(*SEQ_SQL) + f"""SELECT seq_id, n, round(kendall_tau, {DIGITS}) AS kendall_tau,
+       round(correlation, {DIGITS}) AS correlation, round(average_distance, {DIGITS}) AS average_distance
+FROM perseq""")
+def q_sequence_metrics(spark, sf):
+    from bowline.operators.temporal import sequence_metrics
+    m = sequence_metrics(_seq_emb(spark, sf))
+    return m.select("seq_id", "n", *[r6(F.col(c)).alias(c) for c in ("kendall_tau", "correlation", "average_distance")])
+
+
+@register("temporal_metrics", with_(*SEQ_SQL) + f"""SELECT
+  round(coalesce(sum(p.kendall_tau), 0.0) / count(*), {DIGITS}) AS kendall_tau,
+  round(coalesce(sum(p.correlation), 0.0) / count(*), {DIGITS}) AS correlation_coefficient,
+  round(coalesce(sum(p.average_distance), 0.0) / count(*), {DIGITS}) AS average_distance
+FROM (SELECT DISTINCT conv_id AS seq_id FROM conversations) s LEFT JOIN perseq p ON p.seq_id = s.seq_id""")
+def q_temporal_metrics(spark, sf):
+    from bowline.operators.temporal import sequence_metrics, temporal_metrics
+    m = temporal_metrics(sequence_metrics(_seq_emb(spark, sf)), conv_seqs(spark, sf))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+RECALL_K = 5
+RECALL_SQL = CONV + ["""items AS (
+  SELECT CAST(row_number() OVER (ORDER BY seq_id, pos) - 1 AS BIGINT) AS pos, text, v FROM cvec)""",
+                     "nitems AS (SELECT count(*) AS n FROM items)", f"""cands AS (
+  SELECT pos AS query_pos, pos + 1 AS cand_pos, true AS is_positive
+  FROM items WHERE pos % 10 = 0 AND pos < (SELECT n FROM nitems) - 5
+  UNION ALL
+  SELECT DISTINCT query_pos, cand_pos, false FROM (
+    SELECT i.pos AS query_pos,
+           CAST(floor({O.draws.uniform_sql(O.draws.key_sql(42, 'neg', 'i.pos', 'r.r'))} * (SELECT n FROM nitems)) AS BIGINT) AS cand_pos
+    FROM items i, range(0, 19) r(r)
+    WHERE i.pos % 10 = 0 AND i.pos < (SELECT n FROM nitems) - 5)
+  WHERE cand_pos <> query_pos AND cand_pos <> query_pos + 1)"""]
+
+
+def _recall_items(spark, sf):
+    from bowline.operators.positions import dense_positions
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "text")
+    return dense_positions(c, ["conv_id", "turn"]).select("pos", "text")
+
+
+@register("recall_candidates", with_(*RECALL_SQL) + "SELECT query_pos, cand_pos, is_positive FROM cands")
+def q_recall_candidates(spark, sf):
+    from bowline.operators.search import recall_candidates
+    items = _recall_items(spark, sf)
+    return recall_candidates(items.count(), items.select("pos"))
+
+
+@register("recall_at_k", with_(*RECALL_SQL, f"""scored AS (
+  SELECT c.query_pos, c.cand_pos, ci.text AS ctext, {O.cos_sql('qi.v', 'ci.v')} AS sim
+  FROM cands c JOIN items qi ON qi.pos = c.query_pos JOIN items ci ON ci.pos = c.cand_pos)""",
+    f"""top AS (SELECT * FROM scored QUALIFY row_number() OVER (
+  PARTITION BY query_pos ORDER BY round(sim, 9) DESC, cand_pos) <= {RECALL_K})""",
+    """perq AS (SELECT t.query_pos, max(CASE WHEN t.ctext = p.text THEN 1 ELSE 0 END) AS hit
+  FROM top t JOIN items p ON p.pos = t.query_pos + 1 GROUP BY t.query_pos)""") + f"""SELECT
+  count(*) AS n_queries, CAST(coalesce(sum(hit), 0) AS BIGINT) AS hits,
+  round(coalesce(avg(hit), 0.0), {DIGITS}) AS recall FROM perq""")
+def q_recall_at_k(spark, sf):
+    from bowline.operators.search import recall_at_k
+    _, summary = recall_at_k(_recall_items(spark, sf), model(spark, sf), RECALL_K)
+    return summary.select("n_queries", "hits", r6(F.col("recall")).alias("recall"))
