@@ -236,3 +236,33 @@ def _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed, carry
     out = (ids.join(dense, "doc_id", "left")
            .select("doc_id", *carry, unit_normalize(F.coalesce("v", zeros)).alias(EMBEDDING)))
     return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+
+
+# ---- E8: embedding store -------------------------------------------------------
+
+def embed_with_store(docs: DataFrame, store: DataFrame, model: Model, id_col: str = "doc_id",
+                     text_col: str = "text", capacity: int = 10000,
+                     limits: Limits = DEFAULT_LIMITS) -> tuple[DataFrame, DataFrame]:
+    """Reuse stored vectors of identical texts, embed only unseen texts.
+
+    ``store`` is (text, embedding). Returns (id, embedding) for every input
+    row and the grown store: unseen texts are added, smallest id first, until
+    the store holds ``capacity`` entries. Hits and misses are an equi-join and
+    an anti-join on the text, so nothing is collected.
+    """
+    d = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
+    st = store.select(F.col("text").alias("_t"), F.col(EMBEDDING))
+    hits = d.join(st, "_t").select(id_col, EMBEDDING)
+    misses = d.join(st.select("_t"), "_t", "left_anti")
+    fresh = embed(misses, model, id_col, "_t", limits=limits, carry=["_t"])
+    out = hits.unionByName(fresh.select(id_col, EMBEDDING))
+    room = capacity - store.count()
+    if room > 0:
+        firsts = fresh.groupBy("_t").agg(F.min(F.struct(id_col, EMBEDDING)).alias("f"))
+        added = (firsts.select(F.col("_t").alias("text"), F.col(f"f.{id_col}").alias("_first"),
+                               F.col(f"f.{EMBEDDING}").alias(EMBEDDING))
+                 .orderBy("_first").limit(room).drop("_first"))
+        new_store = store.select("text", EMBEDDING).unionByName(added)
+    else:
+        new_store = store.select("text", EMBEDDING)
+    return out, new_store

@@ -677,3 +677,189 @@ def q_recall_at_k(spark, sf):
     from bowline.operators.search import recall_at_k
     _, summary = recall_at_k(_recall_items(spark, sf), model(spark, sf), RECALL_K)
     return summary.select("n_queries", "hits", r6(F.col("recall")).alias("recall"))
+
+
+# ---- C1-C11 clustering on the embeddings table ---------------------------------------
+
+def _n_labels(spark, sf) -> int:
+    return table(spark, sf, "embeddings").select("label").distinct().count()
+
+
+def _kmeans_step(spark, sf):
+    from bowline.operators.clustering import assign, initial_centroids
+    v = vectors(spark, sf)
+    cen = initial_centroids(v, _n_labels(spark, sf), 42)
+    return v, cen, assign(v, cen)
+
+
+CLU = ["ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)",
+       f"""cen AS (SELECT CAST(rn - 1 AS INTEGER) AS cluster, v FROM (
+  SELECT vec_id, v, row_number() OVER (ORDER BY u, vec_id) AS rn FROM (
+    SELECT vec_id, v, {O.draws.uniform_sql(O.draws.key_sql(42, 'init', 'vec_id'))} AS u FROM ev))
+  WHERE rn <= (SELECT count(DISTINCT label) FROM ev))""",
+       """asg AS (SELECT vec_id, cluster FROM (
+  SELECT e.vec_id, c.cluster, row_number() OVER (PARTITION BY e.vec_id ORDER BY
+    list_sum(list_transform(list_zip(e.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cluster) AS rn
+  FROM ev e, cen c) WHERE rn = 1)""",
+       """li AS (SELECT label, CAST(dense_rank() OVER (ORDER BY first) - 1 AS INTEGER) AS label_idx
+  FROM (SELECT label, min(vec_id) AS first FROM ev GROUP BY label))""",
+       """cont AS (SELECT a.cluster, l.label_idx, count(*) AS n FROM asg a JOIN ev e ON e.vec_id = a.vec_id
+  JOIN li l ON l.label = e.label GROUP BY a.cluster, l.label_idx)""",
+       """crow AS (SELECT cluster, sum(n) AS a, max(n) AS mx FROM cont GROUP BY cluster)""",
+       """ccol AS (SELECT label_idx, sum(n) AS b FROM cont GROUP BY label_idx)""",
+       """cs AS (SELECT t.n, t.sc, t.snl, r.correct, r.sa, r.sal, c.sb, c.sbl FROM
+  (SELECT CAST(sum(n) AS DOUBLE) AS n, sum(n * (n - 1) / 2.0) AS sc, sum(n * ln(n)) AS snl FROM cont) t,
+  (SELECT sum(mx) AS correct, sum(a * (a - 1) / 2.0) AS sa, sum(a * ln(a)) AS sal FROM crow) r,
+  (SELECT sum(b * (b - 1) / 2.0) AS sb, sum(b * ln(b)) AS sbl FROM ccol) c)""",
+       """scores AS (SELECT correct / n AS purity,
+  (n * (n - 1) / 2.0 + 2 * sc - sa - sb) / (n * (n - 1) / 2.0) AS rand_index,
+  CASE WHEN (ln(n) - sal / n) + (ln(n) - sbl / n) > 0
+       THEN 2 * ((snl + n * ln(n) - sal - sbl) / n) / ((ln(n) - sal / n) + (ln(n) - sbl / n)) ELSE 0.0 END AS nmi_true
+  FROM cs)"""]
+
+
+@register("kmeans_assign", with_(*CLU[:3]) + "SELECT vec_id, cluster FROM asg")
+def q_kmeans_assign(spark, sf):
+    return _kmeans_step(spark, sf)[2]
+
+
+@register("kmeans_update", with_(*CLU[:3], """upd AS (
+  SELECT a.cluster, CAST(generate_subscripts(e.v, 1) - 1 AS INTEGER) AS dim, unnest(e.v) AS x
+  FROM asg a JOIN ev e ON e.vec_id = a.vec_id)""",
+    "means AS (SELECT cluster, dim, avg(x) AS x FROM upd GROUP BY cluster, dim)",
+    """cenl AS (SELECT cluster, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, unnest(v) AS x FROM cen)""") +
+    f"""SELECT c.cluster, c.dim, round(coalesce(m.x, c.x), {DIGITS}) AS value
+FROM cenl c LEFT JOIN means m ON m.cluster = c.cluster AND m.dim = c.dim""")
+def q_kmeans_update(spark, sf):
+    from bowline.operators.clustering import update
+    v, cen, a = _kmeans_step(spark, sf)
+    return long_vectors(update(v, a, cen), "cluster", "v")
+
+
+@register("contingency", with_(*CLU[:5]) + "SELECT cluster, label_idx, n FROM cont")
+def q_contingency(spark, sf):
+    from bowline.operators.clustering import contingency
+    v, _, a = _kmeans_step(spark, sf)
+    return contingency(a, v)
+
+
+def _scores(spark, sf):
+    from bowline.operators.clustering import cluster_scores, contingency
+    v, _, a = _kmeans_step(spark, sf)
+    return cluster_scores(contingency(a, v))
+
+
+@register("cluster_purity", with_(*CLU) + f"SELECT round(purity, {DIGITS}) AS purity FROM scores")
+def q_cluster_purity(spark, sf):
+    return _scores(spark, sf).select(r6(F.col("purity")).alias("purity"))
+
+
+@register("cluster_rand_index", with_(*CLU) + f"SELECT round(rand_index, {DIGITS}) AS rand_index FROM scores")
+def q_cluster_rand_index(spark, sf):
+    return _scores(spark, sf).select(r6(F.col("rand_index")).alias("rand_index"))
+
+
+@register("cluster_metrics", with_(*CLU) + f"""SELECT round(purity, {DIGITS}) AS purity,
+  round((purity + rand_index) / 2, {DIGITS}) AS normalized_mutual_information,
+  round(rand_index, {DIGITS}) AS rand_index FROM scores""")
+def q_cluster_metrics(spark, sf):
+    s = _scores(spark, sf)
+    return s.select(*[r6(F.col(c)).alias(c) for c in ("purity", "normalized_mutual_information", "rand_index")])
+
+
+@register("cluster_nmi_true", with_(*CLU) + f"SELECT round(nmi_true, {DIGITS}) AS nmi_true FROM scores")
+def q_cluster_nmi_true(spark, sf):
+    return _scores(spark, sf).select(r6(F.col("nmi_true")).alias("nmi_true"))
+
+
+@register("kmeans_fit")  # iterative: rows-only check
+def q_kmeans_fit(spark, sf):
+    from bowline.operators.clustering import kmeans_fit
+    return kmeans_fit(vectors(spark, sf), _n_labels(spark, sf), 100, 42)
+
+
+# ---- G1-G5 stability on the documents table ---------------------------------------------
+
+N_VARIANTS, MUTATION_RATE = 3, 0.3
+_u = O.draws.uniform_sql
+_k = O.draws.key_sql
+VARIANTS = [O.corpus_cte(), f"""vbase AS (
+  SELECT doc_id, text, CASE WHEN tt = '' THEN [] ELSE regexp_split_to_array(tt, '{O.WS}+') END AS words
+  FROM (SELECT doc_id, text, regexp_replace(text, '^{O.WS}+|{O.WS}+$', '', 'g') AS tt FROM corpus))""",
+            f"vfan AS (SELECT doc_id, text, words, r.variant FROM vbase, range(1, {N_VARIANTS + 1}) r(variant))",
+            """vw AS (SELECT doc_id, variant, CAST(generate_subscripts(words, 1) - 1 AS BIGINT) AS pos,
+  unnest(words) AS word FROM vfan)""", f"""vd AS (
+  SELECT doc_id, variant, pos, word,
+         CASE WHEN {_u(_k(42, 'mut', 'doc_id', 'variant', 'pos'))} < {MUTATION_RATE}
+              THEN CAST(floor({_u(_k(42, 'kind', 'doc_id', 'variant', 'pos'))} * 4) AS INTEGER) ELSE -1 END AS k,
+         CAST(floor({_u(_k(42, 'char', 'doc_id', 'variant', 'pos'))} * length(word)) AS INTEGER) AS ci
+  FROM vw)""", """vk AS (SELECT *, (k <> 2 OR row_number() OVER (PARTITION BY doc_id, variant ORDER BY pos) = 1) AS anchor
+  FROM vd WHERE k <> 0)""", """vg AS (SELECT *, sum(CASE WHEN anchor THEN 1 ELSE 0 END) OVER (
+  PARTITION BY doc_id, variant ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM vk)""",
+            """ve AS (
+  SELECT doc_id, variant, grp AS g, 1 AS s, pos, word AS w FROM vg WHERE NOT anchor
+  UNION ALL SELECT doc_id, variant, grp, 0, pos, word FROM vg WHERE anchor AND k = 1
+  UNION ALL SELECT doc_id, variant, grp, 2, pos,
+    CASE WHEN k = 3 AND length(word) >= 3 THEN substring(word, 1, ci) || substring(word, ci + 2, length(word))
+         ELSE word END FROM vg WHERE anchor)""",
+            "vj AS (SELECT doc_id, variant, string_agg(w, ' ' ORDER BY g, s, pos) AS vt FROM ve GROUP BY doc_id, variant)",
+            """variants AS (SELECT f.doc_id, f.variant,
+  CASE WHEN len(f.words) = 0 THEN f.text ELSE coalesce(j.vt, '') END AS variant_text
+  FROM vfan f LEFT JOIN vj j ON j.doc_id = f.doc_id AND j.variant = f.variant)"""]
+VSIM = VARIANTS + [O.terms_ctes(), O.vocab_ctes(QCFG), O.projection_cte(QCFG), O.embed_ctes(QCFG),
+                   O.embvec_cte("emb", "dv"),
+                   f"vsrc AS (SELECT doc_id * {N_VARIANTS} + variant - 1 AS doc_id, variant_text AS text FROM variants)",
+                   O.terms_ctes("vsrc", prefix="v_"),
+                   O.embed_ctes(QCFG, ids="vsrc", prefix="v_", src_terms="v_terms", src_rows="v_term_rows"),
+                   O.embvec_cte("v_emb", "vv"), f"""vs AS (
+  SELECT d.doc_id, CAST(v.doc_id % {N_VARIANTS} + 1 AS INTEGER) AS variant, {O.cos_sql('v.v', 'd.v')} AS similarity
+  FROM vv v JOIN dv d ON d.doc_id = v.doc_id // {N_VARIANTS})"""]
+
+
+@register("text_variants", with_(*VARIANTS) + "SELECT doc_id, CAST(variant AS INTEGER) AS variant, variant_text FROM variants")
+def q_text_variants(spark, sf):
+    from bowline.operators.stability import text_variants
+    return text_variants(docs(spark, sf), N_VARIANTS, MUTATION_RATE, 42)
+
+
+@register("variant_similarity", with_(*VSIM) +
+          f"SELECT doc_id, variant, round(similarity, {DIGITS}) AS similarity FROM vs")
+def q_variant_similarity(spark, sf):
+    from bowline.operators.stability import variant_similarity
+    s = variant_similarity(docs(spark, sf), model(spark, sf), N_VARIANTS, MUTATION_RATE, 42)
+    return s.select("doc_id", "variant", r6(F.col("similarity")).alias("similarity"))
+
+
+@register("stability_metrics", with_(*VSIM) + f"""SELECT
+  round(coalesce(avg(similarity), 0.0), {DIGITS}) AS average_similarity,
+  round(CASE WHEN count(*) > 0 THEN least(1.0, min(similarity)) ELSE 0.0 END, {DIGITS}) AS min_similarity,
+  round(CASE WHEN count(*) > 0 THEN greatest(0.0, max(similarity)) ELSE 0.0 END, {DIGITS}) AS max_similarity,
+  round(coalesce(stddev_pop(similarity), 0.0), {DIGITS}) AS standard_deviation FROM vs""")
+def q_stability_metrics(spark, sf):
+    from bowline.operators.stability import stability_metrics, variant_similarity
+    m = stability_metrics(variant_similarity(docs(spark, sf), model(spark, sf), N_VARIANTS, MUTATION_RATE, 42))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
+# ---- E8 store, S2/S3 round trip ----------------------------------------------------------
+
+@register("embed_incremental", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM emb")
+def q_embed_incremental(spark, sf):
+    from bowline.operators.embed import embed, embed_with_store
+    m = model(spark, sf)
+    b = bench_items(spark, sf)
+    store = embed(b, m, "item_id").join(b, "item_id").select("text", "embedding")
+    out, _ = embed_with_store(docs(spark, sf), store, m)
+    return long_vectors(out, "doc_id", "embedding")
+
+
+@register("model_roundtrip", VOCAB + f"""SELECT idx, token, token_count, doc_freq,
+       round(idf, {DIGITS}) AS idf FROM vocab""")
+def q_model_roundtrip(spark, sf):
+    from bowline.session import work_path
+    from bowline.sources import model_io
+    m = model(spark, sf)
+    path = work_path(spark, "model-copy")
+    model_io.save(m, path)
+    back = model_io.load(spark, path)
+    return back.vocabulary.select("idx", "token", "token_count", "doc_freq", r6(F.col("idf")).alias("idf"))
