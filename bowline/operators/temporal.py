@@ -113,6 +113,22 @@ def sequence_tau(emb: DataFrame) -> DataFrame:
             .groupBy("seq_id").applyInPandas(_tau_group, TAU_SCHEMA))
 
 
+def nonconsecutive(emb: DataFrame) -> DataFrame:
+    """O2 as an aggregate: (seq_id, n_pairs, mean_similarity) over pairs j >= i + 2.
+
+    Computed from the vector sum identity, so no pair rows exist; 0.0 when a
+    sequence has no such pair.
+    """
+    cons = consecutive(emb).groupBy("seq_id").agg(
+        F.count(F.lit(1)).alias("n_cons"), F.sum("similarity").alias("cons_sum"))
+    n = F.col("n_cons") + 1
+    n_non = ((n - 1) * (n - 2) / 2).cast("long")
+    return cons.join(_pair_sums(emb), "seq_id").select(
+        F.col("seq_id").cast("long").alias("seq_id"), n_non.alias("n_pairs"),
+        F.when(n_non > 0, (F.col("all_pairs_sum") - F.col("cons_sum")) / n_non)
+        .otherwise(0.0).alias("mean_similarity"))
+
+
 def sequence_metrics(emb: DataFrame) -> DataFrame:
     """O3-O5 per sequence with 2+ items: (seq_id, n, kendall_tau, correlation, average_distance)."""
     cons = consecutive(emb).groupBy("seq_id").agg(

@@ -863,3 +863,14 @@ def q_model_roundtrip(spark, sf):
     model_io.save(m, path)
     back = model_io.load(spark, path)
     return back.vocabulary.select("idx", "token", "token_count", "doc_freq", r6(F.col("idf")).alias("idf"))
+
+
+@register("sequence_nonconsecutive", with_(*SEQ_SQL) + f"""SELECT c.seq_id,
+       CAST(coalesce(m.n_pairs, 0) AS BIGINT) AS n_pairs, round(coalesce(m.mmean, 0.0), {DIGITS}) AS mean_similarity
+FROM (SELECT DISTINCT seq_id FROM cons) c
+LEFT JOIN (SELECT seq_id, count(*) AS n_pairs, avg(similarity) AS mmean FROM nonc GROUP BY seq_id) m
+  ON m.seq_id = c.seq_id""")
+def q_sequence_nonconsecutive(spark, sf):
+    from bowline.operators.temporal import nonconsecutive
+    m = nonconsecutive(_seq_emb(spark, sf))
+    return m.select("seq_id", "n_pairs", r6(F.col("mean_similarity")).alias("mean_similarity"))
