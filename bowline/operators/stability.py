@@ -51,15 +51,19 @@ def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, see
                       F.explode(F.sequence(F.lit(1), F.lit(num_variants))).alias("variant"))
     words = fan.select("doc_id", "variant", F.posexplode("words").alias("pos", "word"))
 
-    def draw(purpose):
-        return draws.uniform(draws.key(seed, purpose, F.col("doc_id"), F.col("variant"), F.col("pos")))
+    # one MD5 per word; its first three 32-bit words are the three draws
+    k = draws.key(seed, "variant", F.col("doc_id"), F.col("variant"), F.col("pos"))
+    words = words.select("doc_id", "variant", "pos", "word", F.md5(k).alias("h"))
+
+    def draw(j):
+        return F.conv(F.substring("h", 1 + 8 * j, 8), 16, 10).cast("bigint") / F.lit(draws.TWO_32)
 
     nchar = F.length("word")
     words = words.select(
         "doc_id", "variant", "pos", "word",
-        (draw("mut") < mutation_rate).alias("mutated"),
-        F.floor(draw("kind") * N_KINDS).cast("int").alias("kind"),
-        F.floor(draw("char") * nchar).cast("int").alias("ci"))
+        (draw(0) < mutation_rate).alias("mutated"),
+        F.floor(draw(1) * N_KINDS).cast("int").alias("kind"),
+        F.floor(draw(2) * nchar).cast("int").alias("ci"))
     kind = F.when(F.col("mutated"), F.col("kind")).otherwise(F.lit(-1))
     kept = words.withColumn("k", kind).filter(F.col("k") != KIND_DELETE)
     w_order = Window.partitionBy("doc_id", "variant").orderBy("pos")

@@ -788,12 +788,14 @@ VARIANTS = [O.corpus_cte(), f"""vbase AS (
   FROM (SELECT doc_id, text, regexp_replace(text, '^{O.WS}+|{O.WS}+$', '', 'g') AS tt FROM corpus))""",
             f"vfan AS (SELECT doc_id, text, words, r.variant FROM vbase, range(1, {N_VARIANTS + 1}) r(variant))",
             """vw AS (SELECT doc_id, variant, CAST(generate_subscripts(words, 1) - 1 AS BIGINT) AS pos,
-  unnest(words) AS word FROM vfan)""", f"""vd AS (
+  unnest(words) AS word FROM vfan)""", f"""vh AS (
+  SELECT *, md5({_k(42, 'variant', 'doc_id', 'variant', 'pos')}) AS h FROM vw)""", f"""vd AS (
   SELECT doc_id, variant, pos, word,
-         CASE WHEN {_u(_k(42, 'mut', 'doc_id', 'variant', 'pos'))} < {MUTATION_RATE}
-              THEN CAST(floor({_u(_k(42, 'kind', 'doc_id', 'variant', 'pos'))} * 4) AS INTEGER) ELSE -1 END AS k,
-         CAST(floor({_u(_k(42, 'char', 'doc_id', 'variant', 'pos'))} * length(word)) AS INTEGER) AS ci
-  FROM vw)""", """vk AS (SELECT *, (k <> 2 OR row_number() OVER (PARTITION BY doc_id, variant ORDER BY pos) = 1) AS anchor
+         CASE WHEN CAST('0x' || substr(h, 1, 8) AS BIGINT) / {O.draws.TWO_32!r} < {MUTATION_RATE}
+              THEN CAST(floor(CAST('0x' || substr(h, 9, 8) AS BIGINT) / {O.draws.TWO_32!r} * 4) AS INTEGER)
+              ELSE -1 END AS k,
+         CAST(floor(CAST('0x' || substr(h, 17, 8) AS BIGINT) / {O.draws.TWO_32!r} * length(word)) AS INTEGER) AS ci
+  FROM vh)""", """vk AS (SELECT *, (k <> 2 OR row_number() OVER (PARTITION BY doc_id, variant ORDER BY pos) = 1) AS anchor
   FROM vd WHERE k <> 0)""", """vg AS (SELECT *, sum(CASE WHEN anchor THEN 1 ELSE 0 END) OVER (
   PARTITION BY doc_id, variant ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS grp FROM vk)""",
             """ve AS (
