@@ -23,7 +23,7 @@ from pyspark.sql import types as Ty
 
 from bowline.config import DEFAULT_LIMITS, Limits, clamp_dropout
 from bowline.functions import draws
-from bowline.functions.text import BM25_K1
+from bowline.functions.text import BM25_K1, process_text
 from bowline.functions.vectors import NORMALIZE_EPS, unit_normalize
 from bowline.operators.train import Model, term_bags
 
@@ -156,22 +156,37 @@ def _make_projector(bc, dim: int, p: float, chunk: int, k1: float, eps: float):
         for batch in batches:
             n = batch.num_rows
             out = np.zeros((n, dim), dtype=np.float64)
-            bag = batch.column("bag")
-            flat = bag.flatten()
-            if len(flat) and len(vocab):
+            names = batch.schema.names
+            if "terms" in names:
+                # raw term arrays: count (row, index) pairs with one sort per batch
+                terms = batch.column("terms")
+                lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                n_terms = lengths.astype(np.float64)
+                flat_tokens = terms.flatten()
+                keep = None
+            else:
+                bag = batch.column("bag")
                 lengths = bag.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+                n_terms = batch.column("n_terms").to_numpy(zero_copy_only=False).astype(np.float64)
+                flat = bag.flatten()
+                flat_tokens = flat.field("token") if len(flat) else pa.array([], pa.string())
+                keep = flat.field("keep").to_numpy(zero_copy_only=False) if p > 0.0 and len(flat) else None
+            if len(flat_tokens) and len(vocab):
                 row = np.repeat(np.arange(n), lengths)
-                idx = pc.index_in(flat.field("token"), value_set=vocab)
+                idx = pc.index_in(flat_tokens, value_set=vocab)
                 sel = idx.is_valid().to_numpy(zero_copy_only=False)
                 r = row[sel]
                 ix = idx.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                tf = flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64)
-                n_terms = batch.column("n_terms").to_numpy(zero_copy_only=False).astype(np.float64)
+                if "terms" in names:
+                    uk, tf = np.unique(r * len(vocab) + ix, return_counts=True)
+                    r, ix = uk // len(vocab), uk % len(vocab)
+                    tf = tf.astype(np.float64)
+                else:
+                    tf = flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64)
                 nf = tf / n_terms[r]
                 w = (k1 + 1.0) * nf / (k1 + nf) * idf[ix]
-                if p > 0.0:
-                    keep = flat.field("keep").to_numpy(zero_copy_only=False)[sel]
-                    w = np.where(keep, w / (1.0 - p), 0.0)
+                if keep is not None:
+                    w = np.where(keep[sel], w / (1.0 - p), 0.0)
                 for a in range(0, len(r), chunk):
                     rr = r[a:a + chunk]
                     contrib = matrix[ix[a:a + chunk]] * w[a:a + chunk, None]
@@ -182,10 +197,10 @@ def _make_projector(bc, dim: int, p: float, chunk: int, k1: float, eps: float):
             out[big] /= norms[big, None]
             offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
             emb = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-            cols = [batch.column(i) for i, f in enumerate(batch.schema.names)
-                    if f not in ("bag", "n_terms")]
-            names = [f for f in batch.schema.names if f not in ("bag", "n_terms")]
-            yield pa.RecordBatch.from_arrays(cols + [emb], names=names + ["embedding"])
+            drop = ("bag", "n_terms", "terms")
+            cols = [batch.column(i) for i, f in enumerate(names) if f not in drop]
+            yield pa.RecordBatch.from_arrays(
+                cols + [emb], names=[f for f in names if f not in drop] + ["embedding"])
 
     return project
 
@@ -193,7 +208,12 @@ def _make_projector(bc, dim: int, p: float, chunk: int, k1: float, eps: float):
 def _embed_broadcast(docs, model, id_col, text_col, dropout_rate, dropout_seed, limits,
                      carry):
     p = clamp_dropout(dropout_rate)
-    bags = bags_for(docs, model, id_col, text_col, carry)
+    if p == 0.0:
+        # no dropout: the Arrow step counts term frequencies itself
+        bags = docs.select(F.col(id_col).alias("doc_id"), *carry,
+                           process_text(F.col(text_col), model.config.use_ngrams).alias("terms"))
+    else:
+        bags = bags_for(docs, model, id_col, text_col, carry)
     if p > 0.0:
         seed = model.config.random_seed if dropout_seed is None else dropout_seed
         bags = bags.withColumn("bag", F.transform("bag", lambda e: F.struct(

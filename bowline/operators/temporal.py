@@ -28,7 +28,8 @@ from bowline.operators.train import Model
 TIE_DIGITS = 9
 
 
-def renumber(seqs: DataFrame, seq_col: str = "seq_id", pos_col: str = "pos") -> DataFrame:
+def renumber(seqs: DataFrame, seq_col: str = "seq_id", pos_col: str = "pos",
+             global_col: str | None = None) -> DataFrame:
     """Dense 0-based positions per sequence, keeping the given order.
 
     Global dense positions (range-partitioned) minus each sequence's first
@@ -36,17 +37,16 @@ def renumber(seqs: DataFrame, seq_col: str = "seq_id", pos_col: str = "pos") ->
     """
     g = dense_positions(seqs, [seq_col, pos_col], "_g")
     first = g.groupBy(seq_col).agg(F.min("_g").alias("_g0"))
-    return (g.join(first, seq_col)
-            .withColumn(pos_col, (F.col("_g") - F.col("_g0")).cast("long"))
-            .drop("_g", "_g0"))
+    out = (g.join(first, seq_col)
+           .withColumn(pos_col, (F.col("_g") - F.col("_g0")).cast("long")).drop("_g0"))
+    return out.withColumnRenamed("_g", global_col) if global_col else out.drop("_g")
 
 
 def sequence_embeddings(seqs: DataFrame, model: Model, seq_col: str = "seq_id",
                         pos_col: str = "pos", text_col: str = "text") -> DataFrame:
     """(seq_id, pos, embedding) with dense positions."""
     s = renumber(seqs.select(F.col(seq_col).alias("seq_id"), F.col(pos_col).alias("pos"),
-                             F.col(text_col).alias("text")))
-    s = dense_positions(s, ["seq_id", "pos"], "row_id")
+                             F.col(text_col).alias("text")), global_col="row_id")
     e = embed(s, model, "row_id", "text", carry=["seq_id", "pos"])
     return e.select("seq_id", "pos", "embedding")
 
