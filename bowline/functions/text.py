@@ -1,20 +1,14 @@
 """Text column functions: normalize, tokenize, n-grams, term bags.
 
-Everything except NFC runs as built-in JVM expressions. NFC has no Spark
-built-in; it is a vectorized pandas UDF that only sees the rare rows that can
-change under NFC (a character at or above U+0300); all other rows reach it
-as NULL and keep their text.
+Everything runs as built-in JVM expressions. NFC has no Spark SQL function;
+it calls ICU4J's composer (a Spark dependency) through ``reflect``, and only
+for the rows that can change under NFC (a character at or above U+0300).
 """
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from bowline.functions.common import let
 
@@ -44,14 +38,14 @@ SPLIT_PATTERN = r"[^\p{IsAlphabetic}\p{N}]+"
 _MAY_CHANGE_UNDER_NFC = r"[^\x{0000}-\x{02FF}]"
 
 
-@pandas_udf(StringType())
-def _nfc(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
-
-
 def nfc(text: Column) -> Column:
-    """Unicode NFC; the UDF sees NULL for rows that NFC cannot change."""
-    return F.coalesce(_nfc(F.when(text.rlike(_MAY_CHANGE_UNDER_NFC), text)), text)
+    """Unicode NFC, in the JVM: ICU4J (shipped with Spark) through ``reflect``.
+
+    Rows whose characters are all below U+0300 are returned as they are
+    without the call.
+    """
+    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
+    return F.when(text.rlike(_MAY_CHANGE_UNDER_NFC), composed).otherwise(text)
 
 
 def normalize(text: Column) -> Column:

@@ -8,8 +8,8 @@
   the non-consecutive sum. The vector sum is a partial-aggregated group-by.
 * Kendall's tau compares every consecutive similarity with every
   non-consecutive one, so it needs all pair similarities; they are computed
-  in a grouped task per sequence by matrix products over row chunks and
-  counted against the sorted consecutive similarities, never emitted as rows.
+  by matrix products in (position block x position block) tasks and counted
+  against the sorted consecutive similarities, never emitted as rows.
   Similarities equal to 9 digits count as ties.
 """
 
@@ -74,43 +74,91 @@ def _pair_sums(emb: DataFrame) -> DataFrame:
 
 TAU_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
                             Ty.StructField("kendall_tau", Ty.DoubleType())])
-
-
-def _tau_group(pdf):
+_COUNT_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
+                               Ty.StructField("conc", Ty.LongType()),
+                               Ty.StructField("disc", Ty.LongType())])
+# A sequence is cut into at most TAU_MAX_BLOCKS position blocks of at least
+# TAU_MIN_BLOCK items; every (block i <= block j) pair is its own task.
+TAU_MIN_BLOCK = 4096
+TAU_MAX_BLOCKS = 64
+
+
+def _tau_block_pair(pdf):
+    """Count concordant / discordant (consecutive, non-consecutive) pairs for
+    the non-consecutive pairs (i in block bi, j in block bj, j >= i + 2)."""
     import numpy as np
     import pandas as pd
 
-    pdf = pdf.sort_values("pos")
     seq = int(pdf["seq_id"].iloc[0])
-    n = len(pdf)
-    if n < 3:
-        return pd.DataFrame({"seq_id": [seq], "kendall_tau": [0.0]})
-    e = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-    nr = np.sqrt(np.einsum("ij,ij->i", e, e))
-    u = np.zeros_like(e)
-    u[nr > 0] = e[nr > 0] / nr[nr > 0, None]
-    cons = np.round(np.einsum("ij,ij->i", u[:-1], u[1:]), TIE_DIGITS)
-    cons_sorted = np.sort(cons)
+    same = int(pdf["bi"].iloc[0]) == int(pdf["bj"].iloc[0])
+    cons = np.sort(pdf.loc[pdf["kind"] == 2, "c"].to_numpy(np.float64))
+
+    def unit_rows(part):
+        part = part.sort_values("pos")
+        if len(part) == 0:
+            return np.zeros(0, np.int64), np.zeros((0, 0))
+        e = np.stack(part["embedding"].to_numpy()).astype(np.float64)
+        nr = np.sqrt(np.einsum("ij,ij->i", e, e))
+        u = np.zeros_like(e)
+        u[nr > 0] = e[nr > 0] / nr[nr > 0, None]
+        return part["pos"].to_numpy(np.int64), u
+
+    pr, ur = unit_rows(pdf[pdf["kind"] == 0])
+    pc, uc = (pr, ur) if same else unit_rows(pdf[pdf["kind"] == 1])
     conc = disc = 0
-    chunk = max(1, 2_000_000 // n)
-    for a in range(0, n - 2, chunk):
-        rows = np.arange(a, min(a + chunk, n - 2))
-        g = np.round(u[rows] @ u.T, TIE_DIGITS)
-        cols = np.arange(n)
-        mask = cols[None, :] >= rows[:, None] + 2
-        m = g[mask]
-        below = np.searchsorted(cons_sorted, m, side="left")   # consecutive < m
-        upto = np.searchsorted(cons_sorted, m, side="right")   # consecutive <= m
-        conc += int((len(cons_sorted) - upto).sum())
-        disc += int(below.sum())
-    tau = (conc - disc) / (conc + disc) if conc + disc > 0 else 0.0
-    return pd.DataFrame({"seq_id": [seq], "kendall_tau": [float(tau)]})
+    if len(cons) and len(pr) and len(pc):
+        chunk = max(1, 2_000_000 // len(pc))
+        for a in range(0, len(pr), chunk):
+            g = np.round(ur[a:a + chunk] @ uc.T, TIE_DIGITS)
+            m = g[pc[None, :] >= pr[a:a + chunk, None] + 2]
+            upto = np.searchsorted(cons, m, side="right")   # consecutive <= m
+            below = np.searchsorted(cons, m, side="left")   # consecutive < m
+            conc += int((len(cons) - upto).sum())
+            disc += int(below.sum())
+    return pd.DataFrame({"seq_id": [seq], "conc": [conc], "disc": [disc]})
 
 
 def sequence_tau(emb: DataFrame) -> DataFrame:
-    """O3: (seq_id, kendall_tau) for sequences of 2+ items (0.0 below 3)."""
-    return (emb.select(F.col("seq_id").cast("long").alias("seq_id"), "pos", "embedding")
-            .groupBy("seq_id").applyInPandas(_tau_group, TAU_SCHEMA))
+    """O3: (seq_id, kendall_tau) for sequences of 2+ items (0.0 below 3).
+
+    Positions are cut into blocks; each vector goes to the block pairs it
+    belongs to and each consecutive similarity (rounded to 9 digits) to every
+    block pair of its sequence. A task therefore holds two blocks of vectors
+    plus the sequence's consecutive similarities (one float per item), and a
+    long sequence spreads over up to TAU_MAX_BLOCKS * (TAU_MAX_BLOCKS + 1) / 2
+    tasks instead of one.
+    """
+    e = emb.select(F.col("seq_id").cast("long").alias("seq_id"),
+                   F.col("pos").cast("long").alias("pos"), "embedding")
+    sizes = e.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
+    bsize = F.greatest(F.lit(TAU_MIN_BLOCK), F.ceil(F.col("n") / TAU_MAX_BLOCKS))
+    sizes = sizes.select("seq_id", bsize.alias("bsize"),
+                         F.ceil(F.col("n") / bsize).cast("long").alias("nb"))
+    eb = e.join(sizes, "seq_id").withColumn("b", F.floor(F.col("pos") / F.col("bsize")))
+    null_c = F.lit(None).cast("double").alias("c")
+    rows = eb.select("seq_id", F.col("b").alias("bi"),
+                     F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("bj"),
+                     F.lit(0).alias("kind"), "pos", "embedding", null_c)
+    cols = eb.filter(F.col("b") > 0).select(
+        "seq_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("bi"),
+        F.col("b").alias("bj"), F.lit(1).alias("kind"), "pos", "embedding", null_c)
+    block_pairs = F.flatten(F.transform(
+        F.sequence(F.lit(0).cast("long"), F.col("nb") - 1),
+        lambda i: F.transform(F.sequence(i, F.col("nb") - 1),
+                              lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
+    cs = (consecutive(e).join(sizes, "seq_id")
+          .select("seq_id", F.explode(block_pairs).alias("bp"),
+                  F.round("similarity", TIE_DIGITS).alias("c"))
+          .select("seq_id", F.col("bp.bi").alias("bi"), F.col("bp.bj").alias("bj"),
+                  F.lit(2).alias("kind"), F.lit(None).cast("long").alias("pos"),
+                  F.lit(None).cast("array<double>").alias("embedding"), "c"))
+    counts = (rows.unionByName(cols).unionByName(cs)
+              .groupBy("seq_id", "bi", "bj").applyInPandas(_tau_block_pair, _COUNT_SCHEMA)
+              .groupBy("seq_id").agg(F.sum("conc").alias("conc"), F.sum("disc").alias("disc")))
+    return counts.select("seq_id", F.when(F.col("conc") + F.col("disc") > 0,
+                                          (F.col("conc") - F.col("disc"))
+                                          / (F.col("conc") + F.col("disc"))).otherwise(0.0)
+                         .alias("kendall_tau"))
 
 
 def nonconsecutive(emb: DataFrame) -> DataFrame:

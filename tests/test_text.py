@@ -57,3 +57,18 @@ def test_nfc_guard_covers_all_changes_below_u0300():
             parts = [int(x, 16) for x in d.split()]
             if len(parts) == 2:
                 assert parts[1] >= 0x300
+
+
+def test_nfc_matches_unicodedata(spark):
+    import random
+    import unicodedata
+    rnd = random.Random(2)
+    pool = [c for c in range(0x20, 0x3400) if unicodedata.category(chr(c)) not in ("Cn", "Cs", "Co")]
+    marks = [c for c in pool if unicodedata.combining(chr(c))]
+    texts = []
+    for i in range(3000):
+        s = "".join(chr(rnd.choice(marks if rnd.random() < 0.4 else pool)) for _ in range(rnd.randint(1, 10)))
+        texts.append((i, unicodedata.normalize("NFD", s) if i % 2 else s))
+    df = spark.createDataFrame(texts, "id long, text string")
+    got = {r["id"]: r["n"] for r in df.select("id", T.nfc(F.col("text")).alias("n")).collect()}
+    assert all(got[i] == unicodedata.normalize("NFC", t) for i, t in texts)
