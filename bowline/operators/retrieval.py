@@ -1,10 +1,11 @@
 """Retrieval evaluation (D1-D9) and passage relevance judgements.
 
 ``passage_qrels`` finds the documents that contain a passage without a
-cross join: interior word 4-grams of each passage are looked up in the
-documents' word 4-grams, each passage is anchored on its rarest 4-gram, and
-only the documents holding that anchor are verified with an exact substring
-test. Every step is an equi-join or a partial-aggregated group-by.
+cross join: hashed interior word n-grams of each passage are looked up in the
+documents' n-grams (a semi-join, so only n-grams that occur in some passage
+are kept), each passage is anchored on its rarest n-gram, and only the
+documents holding that anchor are verified with an exact substring test.
+Every step is an equi-join or a partial-aggregated group-by.
 """
 
 from __future__ import annotations
@@ -15,44 +16,54 @@ from pyspark.sql import functions as F
 from bowline.config import DEFAULT_LIMITS, Limits
 from bowline.operators.search import nearest_neighbors
 from bowline.operators.train import Model
+from bowline.sources.corpus import trim_unicode
 
 _WS = r"\p{IsWhite_Space}+"
 SHINGLE = 4
 
 
-def _shingles(words, n: int):
+def _shingle_hashes(words, n: int):
+    """64-bit hashes of the word n-grams of an array (empty when too short)."""
     size = F.size(words)
     return F.when(size >= n, F.transform(
         F.sequence(F.lit(1), size - n + 1),
-        lambda i: F.array_join(F.slice(words, i, n), " "))).otherwise(F.array())
+        lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, n), " ")))).otherwise(
+        F.array().cast("array<bigint>"))
 
 
 def passage_qrels(passages: DataFrame, documents: DataFrame,
                   p_id: str = "item_id", d_id: str = "doc_id") -> DataFrame:
-    """(query_id, doc_id) for every document whose text contains the passage."""
+    """(query_id, doc_id) for every document whose text contains the passage.
+
+    Passages of 3+ words are matched exactly. Join keys are 64-bit hashes of
+    word n-grams (n = 4, or the passage's interior length when shorter); a
+    hash collision only adds a candidate, and every candidate is verified
+    with a substring test.
+    """
     p = passages.select(F.col(p_id).alias("query_id"), F.col("text").alias("ptext"))
     # interior words only: the first and last word of a passage may be cut
-    pw = p.select("query_id", "ptext",
-                  F.split(F.regexp_replace("ptext", r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", ""),
-                          _WS).alias("w"))
-    pw = pw.select("query_id", "ptext", F.slice("w", 2, F.size("w") - 2).alias("inner"))
-    n = F.least(F.lit(SHINGLE), F.size("inner"))
-    psh = (pw.filter(F.size("inner") >= 1)
-           .select("query_id", F.explode(F.when(F.size("inner") >= SHINGLE, _shingles(F.col("inner"), SHINGLE))
-                                         .otherwise(F.array(F.array_join("inner", " ")))).alias("sh"),
-                   n.alias("n"))
-           .distinct())
+    words = F.split(trim_unicode(F.col("ptext")), _WS)
+    inner = F.when(F.size(words) >= 3, F.slice(words, 2, F.size(words) - 2)) \
+        .otherwise(F.array().cast("array<string>"))
+    pw = p.select("query_id", inner.alias("inner")) \
+        .filter(F.size("inner") >= 1) \
+        .withColumn("n", F.least(F.lit(SHINGLE), F.size("inner")))
+    sizes = sorted(r[0] for r in pw.select("n").distinct().collect())  # at most SHINGLE values
+    psh = pw.select("query_id", F.explode(F.coalesce(*[
+        F.when(F.col("n") == k, _shingle_hashes(F.col("inner"), k)) for k in sizes] or [F.array()]))
+        .alias("h")).distinct()
     d = documents.select(F.col(d_id).alias("doc_id"), F.col("text").alias("dtext"))
-    dw = d.select("doc_id", F.split("dtext", _WS).alias("w"))
-    dsh = dw.select("doc_id", F.explode(_shingles(F.col("w"), SHINGLE)).alias("sh")).distinct()
-    wanted = psh.select("sh").distinct()
-    hits = dsh.join(wanted, "sh", "left_semi")
-    df = hits.groupBy("sh").agg(F.count(F.lit(1)).alias("df"))
-    anchor = (psh.join(df, "sh")
-              .groupBy("query_id").agg(F.min(F.struct("df", "sh")).alias("a"))
-              .select("query_id", F.col("a.sh").alias("sh")))
-    cands = anchor.join(hits, "sh").select("query_id", "doc_id")
-    return (cands.join(p.select("query_id", "ptext"), "query_id")
+    dw = F.split("dtext", _WS)
+    dsh = d.select("doc_id", F.explode(F.flatten(F.array(*[_shingle_hashes(dw, k) for k in sizes])))
+                   .alias("h")) if sizes else d.select("doc_id", F.lit(None).cast("bigint").alias("h"))
+    # keep only document n-grams that occur in some passage, then deduplicate
+    hits = dsh.join(psh.select("h").distinct(), "h", "left_semi").distinct()
+    df = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    anchor = (psh.join(df, "h")
+              .groupBy("query_id").agg(F.min(F.struct("df", "h")).alias("a"))
+              .select("query_id", F.col("a.h").alias("h")))
+    cands = anchor.join(hits, "h").select("query_id", "doc_id")
+    return (cands.join(p, "query_id")
             .join(d, "doc_id")
             .filter(F.instr(F.col("dtext"), F.col("ptext")) > 0)
             .select("query_id", "doc_id").distinct())
