@@ -43,7 +43,11 @@ def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, see
     A text without words is returned unchanged; a variant whose words were
     all deleted is the empty string.
     """
-    base = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    # Hash-partition the texts once by id: the window and the group-by below
+    # are keyed by (doc_id, variant), which this partitioning already
+    # satisfies, so the exploded word rows are never shuffled.
+    base = (texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+            .repartition("doc_id"))
     trimmed = trim_unicode(F.col("text"))
     base = base.select("doc_id", "text", F.when(trimmed == "", F.array().cast("array<string>"))
                        .otherwise(F.split(trimmed, _WS)).alias("words"))
