@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bowline.config import DEFAULT_LIMITS, Limits
+from bowline.functions.common import let
 from bowline.operators.search import nearest_neighbors
 from bowline.operators.train import Model
 from bowline.sources.corpus import trim_unicode
@@ -42,9 +43,8 @@ def passage_qrels(passages: DataFrame, documents: DataFrame,
     """
     p = passages.select(F.col(p_id).alias("query_id"), F.col("text").alias("ptext"))
     # interior words only: the first and last word of a passage may be cut
-    words = F.split(trim_unicode(F.col("ptext")), _WS)
-    inner = F.when(F.size(words) >= 3, F.slice(words, 2, F.size(words) - 2)) \
-        .otherwise(F.array().cast("array<string>"))
+    inner = let(F.split(trim_unicode(F.col("ptext")), _WS), lambda w: F.when(
+        F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2)).otherwise(F.array().cast("array<string>")))
     pw = p.select("query_id", inner.alias("inner")) \
         .filter(F.size("inner") >= 1) \
         .withColumn("n", F.least(F.lit(SHINGLE), F.size("inner")))
@@ -53,9 +53,10 @@ def passage_qrels(passages: DataFrame, documents: DataFrame,
         F.when(F.col("n") == k, _shingle_hashes(F.col("inner"), k)) for k in sizes] or [F.array()]))
         .alias("h")).distinct()
     d = documents.select(F.col(d_id).alias("doc_id"), F.col("text").alias("dtext"))
-    dw = F.split("dtext", _WS)
-    dsh = d.select("doc_id", F.explode(F.flatten(F.array(*[_shingle_hashes(dw, k) for k in sizes])))
-                   .alias("h")) if sizes else d.select("doc_id", F.lit(None).cast("bigint").alias("h"))
+    # the word array is bound once per document (not re-split per n-gram)
+    dsh = d.select("doc_id", F.explode(let(F.split("dtext", _WS), lambda w: F.flatten(
+        F.array(*[_shingle_hashes(w, k) for k in sizes])))).alias("h")) if sizes \
+        else d.select("doc_id", F.lit(None).cast("bigint").alias("h"))
     # keep only document n-grams that occur in some passage, then deduplicate
     hits = dsh.join(psh.select("h").distinct(), "h", "left_semi").distinct()
     df = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
