@@ -32,11 +32,34 @@ def register(key: str, sql: str | None = None):
     def deco(fn):
         QUERIES[key] = fn
         if sql is not None:
-            SQL[key] = sql
+            SQL[key] = positive_zero(sql)
         return fn
     return deco
 
 
+def positive_zero(sql: str) -> str:
+    """Add 0.0 to every ``round(..., DIGITS)`` of an oracle query.
+
+    DuckDB rounds tiny negatives to -0.0 while Spark's round gives 0.0;
+    -0.0 + 0.0 is +0.0, so both engines print the same value.
+    """
+    out, i, tail = [], 0, f", {DIGITS})"
+    while True:
+        j = sql.find("round(", i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        k, depth = j + len("round("), 1
+        while depth:
+            depth += {"(": 1, ")": -1}.get(sql[k], 0)
+            k += 1
+        inner = positive_zero(sql[j + len("round("):k - 1]) + ")"
+        call = "round(" + inner
+        out.append(sql[i:j])
+        out.append(f"({call} + 0.0)" if call.endswith(tail) else call)
+        i = k
+
+
 def r6(c):
     return F.round(c, DIGITS)
 
@@ -175,7 +198,7 @@ def q_vocab_lookup(spark, sf):
 
 
 @register("train_vocab_summary", VOCAB + f"""SELECT (SELECT n FROM n_docs) AS n_docs,
-       count(*) AS vocab_size, sum(token_count) AS vocab_tokens,
+       count(*) AS vocab_size, CAST(sum(token_count) AS BIGINT) AS vocab_tokens,
        round(min(idf), {DIGITS}) AS min_idf, round(max(idf), {DIGITS}) AS max_idf
 FROM vocab""")
 def q_train_vocab_summary(spark, sf):
@@ -216,7 +239,7 @@ def q_term_frequency(spark, sf):
     from bowline.operators.embed import term_frequency
     return term_frequency(docs(spark, sf), model(spark, sf)).select(
         "doc_id", "idx", F.col("tf").cast("long").alias("tf"),
-        F.col("n_terms").cast("int").alias("n_terms"))
+        F.col("n_terms").cast("long").alias("n_terms"))
 
 
 @register("bm25_weights", with_(O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG),
