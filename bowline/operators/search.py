@@ -103,16 +103,17 @@ def top_k_cosine(queries: DataFrame, candidates: DataFrame, k: int,
                        F.col(q_vec).cast("array<double>").alias("v"))
     c = candidates.select(F.col(c_id).cast("long").alias("cand_id"),
                           F.col(c_vec).cast("array<double>").alias("v"))
-    n_q = q.count()
-    dim_row = q.select(F.size("v").alias("d")).first()
-    dim = int(dim_row["d"]) if dim_row else 0
-    if n_q * max(dim, 1) * 8 <= limits.broadcast_bytes:
+    # one small job sizes the query side before anything is collected
+    size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells"),
+                 F.max(F.size("v")).alias("dim")).first()
+    n_q, dim = int(size["n"]), int(size["dim"] or 0)
+    if (size["cells"] + n_q) * 8 <= limits.broadcast_bytes:
         pdf = q.toPandas()
         ids = pdf["query_id"].to_numpy(np.int64)
+        if len(pdf) and int(pdf["v"].map(len).min()) != dim:
+            raise ValueError("cosine: different dimensions")
         mat = (np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf)
                else np.zeros((0, dim)))
-        if mat.shape[1] != dim:
-            raise ValueError("cosine: different dimensions")
         bc = q.sparkSession.sparkContext.broadcast((ids, _unit_rows(mat)))
         hits = c.mapInArrow(_make_batch_scorer(bc, k, dim), HIT_SCHEMA)
     else:
