@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
+from bowline.config import DEFAULT_LIMITS, Limits
 from bowline.functions import draws
 
 
@@ -30,14 +31,24 @@ def initial_centroids(points: DataFrame, k: int, seed: int = 42, id_col: str = "
 
 
 def assign(points: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
-           vec_col: str = "v") -> DataFrame:
-    """Nearest centroid by squared distance; ties go to the lowest index."""
-    cen = centroids.orderBy("cluster").toPandas()  # k rows
+           vec_col: str = "v", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """Nearest centroid by squared distance; ties go to the lowest index.
+
+    Centroids are broadcast when k x dim fits the limit; otherwise points
+    and centroids are hashed into blocks, each (point block, centroid block)
+    group keeps its nearest centroid per point, and a min per point finishes.
+    """
+    size = centroids.agg(F.count(F.lit(1)).alias("k"),
+                         F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
+    id_type = points.schema[id_col].dataType
+    schema = Ty.StructType([Ty.StructField(id_col, id_type), Ty.StructField("cluster", Ty.IntegerType())])
+    pts = points.select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
+    if (size["cells"] + size["k"]) * 8 > limits.broadcast_bytes:
+        return _assign_blocked(pts, centroids, id_col, size["k"], limits)
+    cen = centroids.orderBy("cluster").toPandas()  # k rows, size checked above
     mat = np.stack(cen["v"].to_numpy()).astype(np.float64) if len(cen) else np.zeros((0, 0))
     labels = cen["cluster"].to_numpy(np.int32)
     bc = points.sparkSession.sparkContext.broadcast((labels, mat))
-    id_type = points.schema[id_col].dataType
-    schema = Ty.StructType([Ty.StructField(id_col, id_type), Ty.StructField("cluster", Ty.IntegerType())])
 
     def nearest(batches):
         import numpy as np
@@ -56,7 +67,42 @@ def assign(points: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
                 [b.column(0), pa.array(labs[np.argmin(d, axis=1)], type=pa.int32())],
                 names=[id_col, "cluster"])
 
-    return points.select(id_col, F.col(vec_col).cast("array<double>")).mapInArrow(nearest, schema)
+    return pts.mapInArrow(nearest, schema)
+
+
+def _assign_blocked(pts: DataFrame, centroids: DataFrame, id_col: str, k: int,
+                    limits: Limits) -> DataFrame:
+    n_p = pts.count()
+    cb = max(1, -(-k // limits.query_block_rows))
+    pb = max(1, -(-n_p // (limits.query_block_rows * 4)))
+    px = (pts.withColumn("pb", F.pmod(F.xxhash64(id_col), F.lit(pb)))
+          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
+    cx = (centroids.select("cluster", F.col("v").cast("array<double>").alias("v"))
+          .withColumn("cb", F.pmod(F.col("cluster"), F.lit(cb)))
+          .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))))
+    part = Ty.StructType([Ty.StructField(id_col, pts.schema[id_col].dataType),
+                          Ty.StructField("cluster", Ty.IntegerType()),
+                          Ty.StructField("d", Ty.DoubleType())])
+
+    def nearest_in_block(pp, cp):
+        import numpy as np
+        import pandas as pd
+        if len(pp) == 0 or len(cp) == 0:
+            return pd.DataFrame({id_col: [], "cluster": [], "d": []})
+        cp = cp.sort_values("cluster")
+        x = np.stack(pp["v"].to_numpy()).astype(np.float64)
+        c = np.stack(cp["v"].to_numpy()).astype(np.float64)
+        if x.shape[1] != c.shape[1]:
+            raise ValueError("k-means: different dimensions")
+        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
+        best = np.argmin(d, axis=1)
+        return pd.DataFrame({id_col: pp[id_col].to_numpy(), "cluster": cp["cluster"].to_numpy()[best],
+                             "d": d[np.arange(len(x)), best]})
+
+    best = (px.groupBy("pb", "cb").cogroup(cx.groupBy("pb", "cb"))
+            .applyInPandas(nearest_in_block, part))
+    return (best.groupBy(id_col).agg(F.min(F.struct("d", "cluster")).alias("b"))
+            .select(id_col, F.col("b.cluster").alias("cluster")))
 
 
 def update(points: DataFrame, assignment: DataFrame, centroids: DataFrame,
@@ -96,7 +142,7 @@ def contingency(assignment: DataFrame, labels: DataFrame, id_col: str = "vec_id"
     """(cluster, label_idx, n)."""
     li = label_index(labels, id_col, label_col)
     return (assignment.join(labels.select(id_col, label_col), id_col)
-            .join(F.broadcast(li), label_col)
+            .join(li, label_col)
             .groupBy("cluster", "label_idx").agg(F.count(F.lit(1)).alias("n")))
 
 

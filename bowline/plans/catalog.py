@@ -192,7 +192,8 @@ def q_vocab_lookup(spark, sf):
     m = model(spark, sf)
     toks = docs(spark, sf).select(
         "doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token"))
-    vocab = F.broadcast(m.vocabulary.select("token", "idx", "idf"))
+    from bowline.operators.embed import _maybe_broadcast
+    vocab = _maybe_broadcast(m.vocabulary.select("token", "idx", "idf"), m.vocab_size * 64)
     return toks.join(vocab, "token", "left").select(
         "doc_id", "pos", "token", "idx", r6(F.coalesce("idf", F.lit(0.0))).alias("idf"))
 
