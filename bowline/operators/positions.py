@@ -1,9 +1,14 @@
 """Dense 0-based positions in a global order without a single-partition window.
 
-Rows are range-partitioned on the order keys (sampled bounds), numbered
-inside each partition, and shifted by the row count of all earlier
-partitions (a table with one row per partition, broadcast). Ties in the
-order keys must not exist: pass a unique key as the last order column.
+Only the order keys are numbered: they are range-partitioned (sampled
+bounds), sorted inside each partition and tagged with
+``monotonically_increasing_id`` (partition index in the high bits, row index
+in the low 33 bits). That small key table is written once to the shared
+checkpoint folder, so the per-partition counts and the numbering read the
+same rows even if a sampling or a task is repeated. Each key is shifted by
+the row count of all earlier partitions (one row per partition, broadcast)
+and the positions are joined back on the keys. The order keys must be
+unique: pass a unique key as the last order column.
 """
 
 from __future__ import annotations
@@ -11,21 +16,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from bowline.session import materialize
+
+_LOCAL_BITS = 33  # monotonically_increasing_id keeps the row index in the low 33 bits
+
 
 def dense_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
                     partitions: int | None = None) -> DataFrame:
     spark = df.sparkSession
     n = partitions or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    ranged = (df.repartitionByRange(n, *order_cols)
-              .withColumn("_part", F.spark_partition_id()))
-    local = ranged.withColumn(
-        "_local", F.row_number().over(Window.partitionBy("_part").orderBy(*order_cols)) - 1)
-    counts = local.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    tagged = materialize(
+        df.select(*order_cols).repartitionByRange(n, *order_cols)
+        .sortWithinPartitions(*order_cols)
+        .withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    part = F.shiftright("_mid", _LOCAL_BITS)
+    local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
+    counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select(
         "_part",
-        (F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)))
-        .alias("_off"))
-    offsets = offsets.select("_part", F.coalesce("_off", F.lit(0)).alias("_off"))
-    return (local.join(F.broadcast(offsets), "_part")
-            .withColumn(name, (F.col("_off") + F.col("_local")).cast("long"))
-            .drop("_part", "_local", "_off"))
+        F.coalesce(F.sum("_n").over(Window.orderBy("_part")
+                                    .rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"))
+    keys = [f"_k{i}" for i in range(len(order_cols))]
+    pos = (tagged.withColumn("_part", part)
+           .join(F.broadcast(offsets), "_part")
+           .select(*[F.col(c).alias(k) for c, k in zip(order_cols, keys)],
+                   (F.col("_off") + local).cast("long").alias(name)))
+    # null-safe equality: rows with NULL keys keep their position too
+    cond = [df[c].eqNullSafe(pos[k]) for c, k in zip(order_cols, keys)]
+    return df.join(pos, cond).drop(*keys)

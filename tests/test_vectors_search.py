@@ -70,3 +70,11 @@ def test_dense_positions(spark):
     want = sorted((g, v) for g, v in [(i % 7, i) for i in range(200)])
     assert [p for p, _, _ in got] == list(range(200))
     assert [(g, v) for _, g, v in got] == want
+
+
+def test_dense_positions_keeps_null_keys_and_spread_input(spark):
+    rows = [(None if i == 5 else i, f"t{i}") for i in range(50)]
+    df = spark.createDataFrame(rows, "k long, t string").repartition(7)
+    got = sorted((r["pos"], r["k"]) for r in dense_positions(df, ["k"]).collect())
+    assert [p for p, _ in got] == list(range(50))
+    assert got[0][1] is None                         # NULL sorts first
