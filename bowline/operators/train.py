@@ -72,37 +72,71 @@ class Model:
         return self.config.embedding_dim
 
 
-def select_vocabulary(stats: DataFrame, n_docs: int, config: ModelConfig) -> DataFrame:
+def select_vocabulary(stats: DataFrame, n_docs: int, config: ModelConfig,
+                      take_rows: int | None = None) -> DataFrame:
     """V4-V7: frequency filter, top-N by (count desc, token), dense index, IDF.
 
-    The top-N cut is found from a histogram of counts (one row per distinct
-    count value), so only tokens at or above the cut count reach the final
-    ordered take; the global row_number runs on at most N rows.
+    The cut count comes from a histogram of counts (one row per distinct
+    count value). Tokens above it are all in. Among the tokens at the cut
+    count, the smallest ones are chosen by descending token-prefix
+    histograms: a whole prefix group is in or out, so the final ordered take
+    only sees the undecided group once it holds at most ``take_rows`` (N)
+    rows. The global row_number then runs on at most N rows.
     """
     n_max = config.max_vocabulary_size
     kept = stats.filter(F.col("token").isNotNull()
                         & (F.col("token_count") >= config.min_token_frequency))
     hist = (kept.groupBy("token_count").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.desc("token_count")).limit(n_max + 1).collect())
-    taken, cut, ties = 0, None, 0
+    taken, cut, ties, n_at_cut = 0, None, 0, 0
     for row in hist:
         if taken + row["n"] > n_max:
-            cut, ties = row["token_count"], n_max - taken
+            cut, ties, n_at_cut = row["token_count"], n_max - taken, row["n"]
             break
         taken += row["n"]
     if cut is None:
         top = kept
     else:
-        above = kept.filter(F.col("token_count") > cut)
-        at_cut = (kept.filter(F.col("token_count") == cut)
-                  .orderBy("token").limit(ties))
-        top = above.unionByName(at_cut)
+        top = kept.filter(F.col("token_count") > cut).unionByName(
+            _smallest_tokens(kept.filter(F.col("token_count") == cut), ties, n_at_cut,
+                             take_rows or n_max))
     order = Window.orderBy(F.desc("token_count"), F.asc("token"))
     return (top.withColumn("idx", (F.row_number().over(order) - 1).cast("int"))
             .select("idx", "token", "token_count", "doc_freq",
                     F.log((F.lit(float(n_docs)) + 1.0) / (F.col("doc_freq") + 0.5)).alias("idf")))
 
 
+def _smallest_tokens(ties: DataFrame, need: int, n_ties: int, take_rows: int) -> DataFrame:
+    """The ``need`` smallest tokens of ``ties`` (``n_ties`` rows), exactly.
+
+    Tokens are grouped by their first L characters (L = 1, 2, ...); groups
+    whose prefix sorts before the group holding the need-th token are taken
+    whole, and only that group is examined further.
+    """
+    chosen = []
+    cond = F.lit(True)
+    length = 0
+    while n_ties > take_rows and need > 0:
+        length += 1
+        prefix = F.substring("token", 1, length)
+        groups = (ties.filter(cond).groupBy(prefix.alias("p"))
+                  .agg(F.count(F.lit(1)).alias("n")).orderBy("p").collect())
+        before = 0
+        for g in groups:
+            if before + g["n"] >= need:
+                if before:
+                    chosen.append(ties.filter(cond & (prefix < g["p"])))
+                cond = cond & (prefix == g["p"])
+                need, n_ties = need - before, g["n"]
+                break
+            before += g["n"]
+    chosen.append(ties.filter(cond).orderBy("token").limit(need))
+    out = chosen[0]
+    for part in chosen[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def projection_rows(vocab_idx: DataFrame, vocab_size: int, config: ModelConfig) -> DataFrame:
     """One hash-drawn row per vocabulary index, built inside the row.
 

@@ -76,3 +76,23 @@ def test_default_config_empty_vocabulary(spark):
     assert m.vocab_size == 0
     e = embed(docs, m).collect()
     assert len(e) == 1 and not any(e[0]["embedding"])
+
+
+def test_vocabulary_cut_with_many_ties(spark):
+    import random
+    from bowline.operators.train import select_vocabulary
+    rnd = random.Random(13)
+    alphabet = "abcé日"
+    toks = set()
+    while len(toks) < 300:
+        toks.add("".join(rnd.choice(alphabet) for _ in range(rnd.randint(1, 6))))
+    toks = sorted(toks)
+    rows = [(t, 5 if i < 20 else 2, 1) for i, t in enumerate(toks)]   # 20 above the cut, 280 tied
+    stats = spark.createDataFrame(rows, "token string, token_count long, doc_freq long")
+    for n_max, take in ((57, 3), (21, 1), (299, 5), (400, 2)):
+        cfg = ModelConfig(max_vocabulary_size=n_max, min_token_frequency=1)
+        got = [r["token"] for r in select_vocabulary(stats, 10, cfg, take_rows=take).orderBy("idx").collect()]
+        above = sorted(t for t, c, _ in rows if c == 5)
+        tied = sorted((t for t, c, _ in rows if c == 2), key=lambda t: t.encode())
+        want = (sorted(above, key=lambda t: t.encode()) + tied)[:n_max]
+        assert got == want, (n_max, take)
