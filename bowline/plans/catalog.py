@@ -900,3 +900,12 @@ def q_sequence_nonconsecutive(spark, sf):
     from bowline.operators.temporal import nonconsecutive
     m = nonconsecutive(_seq_emb(spark, sf))
     return m.select("seq_id", "n_pairs", r6(F.col("mean_similarity")).alias("mean_similarity"))
+
+
+@register("cluster_evaluate")  # C11 end to end; k-means is iterative: rows-only check
+def q_cluster_evaluate(spark, sf):
+    from bowline.operators.clustering import evaluate_clustering
+    labelled = docs(spark, sf).join(
+        table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    m = evaluate_clustering(labelled, model(spark, sf), "doc_id", "label", "text", 100, 42)
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
