@@ -6,7 +6,7 @@ words drop out, and the surviving words are ordered by a key that
 reproduces the fold's push / pop-push / double-push behaviour:
 
 * an *anchor* is a word whose kind is not "swap", or the first word left;
-* ``grp`` counts anchors up to the word (a running sum);
+* ``grp`` counts anchors up to the word (a running sum; see the note in the code);
 * a duplicated anchor emits (grp, 0) and (grp, 2), swap words (grp, 1),
   every other anchor (grp, 2); ties by position.
 
@@ -70,12 +70,16 @@ def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, see
         F.floor(draw(2) * nchar).cast("int").alias("ci"))
     kind = F.when(F.col("mutated"), F.col("kind")).otherwise(F.lit(-1))
     kept = words.withColumn("k", kind).filter(F.col("k") != KIND_DELETE)
+    # One window pass. Counting only non-swap words gives the anchor count
+    # up to a constant per (text, variant): a swap that is the first word left
+    # is an anchor too, and it precedes every row, so it adds 1 to all of them
+    # and the sort order below is unchanged.
     w_order = Window.partitionBy("doc_id", "variant").orderBy("pos")
-    kept = kept.withColumn("first_left", F.row_number().over(w_order) == 1)
-    anchor = (F.col("k") != KIND_SWAP) | F.col("first_left")
-    kept = kept.withColumn("anchor", anchor).withColumn(
-        "grp", F.sum(F.col("anchor").cast("int")).over(
-            w_order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = kept.select(
+        "*", (F.row_number().over(w_order) == 1).alias("first_left"),
+        F.sum((F.col("k") != KIND_SWAP).cast("int"))
+        .over(w_order.rowsBetween(Window.unboundedPreceding, 0)).alias("grp"))
+    kept = kept.withColumn("anchor", (F.col("k") != KIND_SWAP) | F.col("first_left"))
     # remove the character at 0-based index ci
     dropped = F.concat(F.expr("substring(word, 1, ci)"), F.expr("substring(word, ci + 2)"))
     out_word = F.when((F.col("k") == KIND_DROP_CHAR) & (nchar >= MIN_CHARS_TO_DROP), dropped) \
@@ -89,10 +93,9 @@ def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, see
                .when(F.col("k") == KIND_DUPLICATE,
                      F.array(entry(0, F.col("word")), entry(2, F.col("word"))))
                .otherwise(F.array(entry(2, out_word))))
-    joined = (kept.select("doc_id", "variant", F.explode(entries).alias("e"))
+    joined = (kept.select("doc_id", "variant", F.inline(entries))
               .groupBy("doc_id", "variant")
-              .agg(F.array_join(F.transform(F.sort_array(F.collect_list("e")), lambda e: e["w"]), " ")
-                   .alias("vt")))
+              .agg(F.expr("listagg(w, ' ') WITHIN GROUP (ORDER BY g, s, p)").alias("vt")))
     return (fan.join(joined, ["doc_id", "variant"], "left")
             .select(F.col("doc_id").alias(id_col), "variant",
                     F.when(F.size("words") == 0, F.col("text"))
