@@ -32,39 +32,77 @@ def _shingle_hashes(words, n: int):
         F.array().cast("array<bigint>"))
 
 
+def _char_hashes(text, n: int):
+    """64-bit hashes of every n-character substring of a text column."""
+    size = F.length(text)
+    return F.when(size >= n, F.transform(
+        F.sequence(F.lit(1), size - n + 1),
+        lambda i: F.xxhash64(F.lit(n), F.lit("c"), F.substring(text, i, n)))).otherwise(
+        F.array().cast("array<bigint>"))
+
+
+def _anchored_candidates(pkeys: DataFrame, dkeys: DataFrame) -> DataFrame:
+    """(query_id, doc_id) pairs sharing each passage's rarest key.
+
+    Only document keys that occur in some passage survive the semi-join;
+    their document counts pick one anchor per passage; the anchor's
+    documents are the candidates.
+    """
+    hits = dkeys.join(pkeys.select("h").distinct(), "h", "left_semi").distinct()
+    df = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    anchor = (pkeys.join(df, "h")
+              .groupBy("query_id").agg(F.min(F.struct("df", "h")).alias("a"))
+              .select("query_id", F.col("a.h").alias("h")))
+    return anchor.join(hits, "h").select("query_id", "doc_id")
+
+
 def passage_qrels(passages: DataFrame, documents: DataFrame,
                   p_id: str = "item_id", d_id: str = "doc_id") -> DataFrame:
     """(query_id, doc_id) for every document whose text contains the passage.
 
-    Passages of 3+ words are matched exactly. Join keys are 64-bit hashes of
-    word n-grams (n = 4, or the passage's interior length when shorter); a
-    hash collision only adds a candidate, and every candidate is verified
-    with a substring test.
+    Passages of 3+ words are keyed by hashed word n-grams of their interior
+    (n = 4, or the interior length when shorter); shorter non-empty passages
+    by hashed character n-grams (n = 4, or the passage length). A hash
+    collision only adds a candidate: every candidate is verified with an
+    exact substring test. (An empty passage, contained everywhere, is not
+    matched.)
     """
     p = passages.select(F.col(p_id).alias("query_id"), F.col("text").alias("ptext"))
-    # interior words only: the first and last word of a passage may be cut
-    inner = let(F.split(trim_unicode(F.col("ptext")), _WS), lambda w: F.when(
-        F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2)).otherwise(F.array().cast("array<string>")))
-    pw = p.select("query_id", inner.alias("inner")) \
-        .filter(F.size("inner") >= 1) \
-        .withColumn("n", F.least(F.lit(SHINGLE), F.size("inner")))
-    sizes = sorted(r[0] for r in pw.select("n").distinct().collect())  # at most SHINGLE values
-    psh = pw.select("query_id", F.explode(F.coalesce(*[
-        F.when(F.col("n") == k, _shingle_hashes(F.col("inner"), k)) for k in sizes] or [F.array()]))
-        .alias("h")).distinct()
     d = documents.select(F.col(d_id).alias("doc_id"), F.col("text").alias("dtext"))
-    # the word array is bound once per document (not re-split per n-gram)
-    dsh = d.select("doc_id", F.explode(let(F.split("dtext", _WS), lambda w: F.flatten(
-        F.array(*[_shingle_hashes(w, k) for k in sizes])))).alias("h")) if sizes \
-        else d.select("doc_id", F.lit(None).cast("bigint").alias("h"))
-    # keep only document n-grams that occur in some passage, then deduplicate
-    hits = dsh.join(psh.select("h").distinct(), "h", "left_semi").distinct()
-    df = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    anchor = (psh.join(df, "h")
-              .groupBy("query_id").agg(F.min(F.struct("df", "h")).alias("a"))
-              .select("query_id", F.col("a.h").alias("h")))
-    cands = anchor.join(hits, "h").select("query_id", "doc_id")
-    return (cands.join(p, "query_id")
+    words = let(F.split(trim_unicode(F.col("ptext")), _WS), lambda w: F.struct(
+        F.size(F.filter(w, lambda x: x != "")).alias("n_words"),
+        F.when(F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2))
+        .otherwise(F.array().cast("array<string>")).alias("inner")))
+    pw = p.select("query_id", "ptext", words.alias("x")).select(
+        "query_id", "ptext", "x.n_words", "x.inner")
+    cands = []
+    # word path: the interior words are whole words of any document holding the passage
+    long_p = pw.filter(F.col("n_words") >= 3).withColumn(
+        "n", F.least(F.lit(SHINGLE), F.size("inner")))
+    sizes = sorted(r[0] for r in long_p.select("n").distinct().collect())  # at most SHINGLE values
+    if sizes:
+        pkeys = long_p.select("query_id", F.explode(F.coalesce(*[
+            F.when(F.col("n") == k, _shingle_hashes(F.col("inner"), k)) for k in sizes]))
+            .alias("h")).distinct()
+        # the word array is bound once per document (not re-split per n-gram)
+        dkeys = d.select("doc_id", F.explode(let(F.split("dtext", _WS), lambda w: F.flatten(
+            F.array(*[_shingle_hashes(w, k) for k in sizes])))).alias("h"))
+        cands.append(_anchored_candidates(pkeys, dkeys))
+    # character path: passages of one or two words may start and end inside words
+    short_p = pw.filter((F.col("n_words") < 3) & (F.length("ptext") > 0)).withColumn(
+        "n", F.least(F.lit(SHINGLE), F.length("ptext")))
+    csizes = sorted(r[0] for r in short_p.select("n").distinct().collect())
+    if csizes:
+        pkeys = short_p.select("query_id", F.explode(F.coalesce(*[
+            F.when(F.col("n") == k, _char_hashes(F.col("ptext"), k)) for k in csizes]))
+            .alias("h")).distinct()
+        dkeys = d.select("doc_id", F.explode(F.flatten(
+            F.array(*[_char_hashes(F.col("dtext"), k) for k in csizes]))).alias("h"))
+        cands.append(_anchored_candidates(pkeys, dkeys))
+    if not cands:
+        return p.select("query_id", F.lit(None).cast("long").alias("doc_id")).filter(F.lit(False))
+    cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1])
+    return (cand.join(p, "query_id")
             .join(d, "doc_id")
             .filter(F.instr(F.col("dtext"), F.col("ptext")) > 0)
             .select("query_id", "doc_id").distinct())
