@@ -114,15 +114,19 @@ def _collect_model(model: Model, limits: Limits) -> dict:
     """Bring the (size-checked) model to the driver once, as NumPy arrays."""
     if model_bytes(model) > limits.broadcast_bytes:
         raise ValueError("model exceeds the broadcast limit; use strategy='join'")
-    vocab = model.vocabulary.select("idx", "token", "idf").orderBy("idx").toPandas()
-    proj = model.projection.orderBy("idx").toPandas()
+    vocab = model.vocabulary.select("idx", "token", "idf").orderBy("idx").toArrow()
+    proj = model.projection.select("idx", "vec").orderBy("idx").toArrow()
     dim = model.embedding_dim
-    matrix = (np.stack(proj["vec"].to_numpy()).astype(np.float64)
-              if len(proj) else np.zeros((0, dim)))
-    if not np.array_equal(vocab["idx"].to_numpy(), np.arange(len(vocab))):
+    vecs = proj.column("vec").combine_chunks()
+    if len(vecs) and (vecs.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
+        raise ValueError("projection rows do not have embedding_dim entries")
+    matrix = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+    idx = vocab.column("idx").to_numpy()
+    if not (np.array_equal(idx, np.arange(len(idx)))
+            and np.array_equal(proj.column("idx").to_numpy(), idx)):
         raise ValueError("vocabulary indexes are not dense 0..V-1")
-    return {"tokens": vocab["token"].tolist(),
-            "idf": vocab["idf"].to_numpy(np.float64), "matrix": matrix}
+    return {"tokens": vocab.column("token").to_pylist(),
+            "idf": vocab.column("idf").to_numpy().astype(np.float64), "matrix": matrix}
 
 
 _BROADCASTS: dict = {}
