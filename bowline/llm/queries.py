@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bowline.llm import decontam, linededup, simhash
+from bowline.llm import (decontam, fingerprint, langid, linededup, packing, secretscan, simhash, tokencount,
+                         toxicity, warc)
 from bowline.llm.tables import ROW, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -23,6 +24,55 @@ def query(key: str, sql: str | None = None):
     return put
 
 
+OP1_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS digest FROM pages),
+k AS (SELECT digest, max(page_id) AS kept FROM p WHERE n >= 1000 GROUP BY digest HAVING count(*) > 1),
+r AS (SELECT p.*, CASE WHEN kept IS NOT NULL AND page_id IS DISTINCT FROM kept THEN kept END AS refers_to
+      FROM p LEFT JOIN k ON k.digest = p.digest)
+SELECT page_id, n AS payload_bytes, digest AS payload_digest,
+       CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM r
+"""
+
+
+@query("op1_warc", OP1_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages").select("page_id", "url", "html")
+    manifest = warc.write_packages(warc.revisits(pages))
+    return warc.pages_of(warc.read_packages(manifest, with_payload=False)).drop("path", "offset", "length")
+
+
+@query("op2_secret_scans")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    spans = secretscan.scan(docs, secretscan.train(secretscan.labelled(docs)))
+    base = F.concat(*secretscan.KINDS)
+    return spans.select(
+        "doc_id", *[F.size(k).cast("long").alias(f"n_{k}") for k in secretscan.KINDS],
+        F.sha2(secretscan.joined(base), 256).alias("base_sha256"),
+        secretscan.joined(F.concat(base, secretscan.ADDED)).alias("spans"))
+
+
+@query("op3_best_fit_packing")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
+@query("op4_document_fingerprints")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op5_toxicity")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    rest = langid.remainder("doc_id", 5)
+    learn = F.coalesce(rest, F.lit(1)) != 0
+    scored = toxicity.score(docs, read(spark, sf_dir, "labels").select("doc_id", "toxic"),
+                            learn & (F.coalesce(rest, F.lit(1)) != 4), learn & (rest == 4))
+    return scored.select("doc_id", F.coalesce(rest == 0, F.lit(False)).alias("held_out"), "score",
+                         (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op6_simhash_near_dedup")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
@@ -30,6 +80,14 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query("op7_language_id")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = langid.train(docs, use=langid.learnable())
+    return langid.identify(docs.select("doc_id", "text"), model).select(
+        f"{ROW}.doc_id", (~langid.learnable(f"{ROW}.doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 # byte-wise word class of the contract, as DuckDB's RE2 sees it over code points
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
@@ -92,3 +150,11 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.drop_lines(docs).select(
         f"{ROW}.doc_id", "n_lines", "n_dropped", F.length("kept_text").cast("long").alias("kept_chars"),
         F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op10_token_counts")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    counts = tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
