@@ -9,15 +9,16 @@ rare expression that one class happens to hold gets little weight:
 
     P_c(x|h) = (max(n_c(hx) - D, 0) + D t_c(h) P(x|h')) / n_c(h)
 
-with n_c the counts, t_c the distinct continuations of context h in class c and
+with n_c the counts (of training texts that hold the gram), t_c the distinct continuations of context h in class c and
 P the shared model of the shorter context h'. The log-likelihood ratio of a
 position depends on its gram only: seen grams get their ratio, an unseen gram
 with a seen context the ratio of the backoff weights (P cancels), any other 0.
 
 Score. Log-likelihoods are normalised by length over a sliding window of
 ``WINDOW`` positions (a shorter text is one window); the document's figure is
-its most toxic window's mean ratio. A logistic curve, fitted on training rows
-that the counts did not use, turns it into a probability.
+its most toxic window's mean ratio. A non-decreasing curve (isotonic regression
+over a histogram), fitted on training rows that the counts did not use, turns
+it into a probability.
 
 Scale. Grams are counted over all training rows: per slice in NumPy, then one
 aggregation by gram. The tables hold distinct grams of five normalised bytes,
@@ -27,7 +28,7 @@ hash share counts. Texts are not shuffled.
 
 Nulls: a null text is empty; an empty text has ratio 0. Rows without a label or
 with a null one are not learned from. Repeated labels of a document count once
-(the largest). Without both classes every score is the smoothed share of label 1.
+(the largest). Without calibration rows every score is 0.
 """
 
 from __future__ import annotations
@@ -44,7 +45,7 @@ from bowline.llm.tables import materialize
 
 ORDER = 5
 DISCOUNT = 0.75
-WINDOW = 24
+WINDOW = 8
 MAX_GRAMS = 1 << 22
 BINS = 200  # bins per unit of the mean ratio in the calibration histogram
 
@@ -78,8 +79,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
         for lo, hi, raw, offs in slices(batch.column(0), 1 << 21):
             row, inside = _rows(offs)
-            g = (grams(raw)[inside] << 1) | toxic[lo:hi][row[inside]]
-            g, n = np.unique(g, return_counts=True)
+            # a gram counts once per text, so a text that repeats itself has no more say than others
+            g = np.unique((row[inside] << (8 * ORDER)) | grams(raw)[inside])
+            row, g = g >> (8 * ORDER), g & ((1 << (8 * ORDER)) - 1)
+            g, n = np.unique((g << 1) | toxic[lo:hi][row], return_counts=True)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(g >> 1), pa.array(np.where(g & 1, 0, n)), pa.array(np.where(g & 1, n, 0))],
                 names=["gram", "n0", "n1"])
@@ -122,6 +125,9 @@ def shared_model(counts: DataFrame) -> DataFrame:
 def train(labelled: DataFrame) -> tuple[pa.Table, pa.Table]:
     """(gram -> ratio, context -> ratio of backoff weights) from (text, toxic)."""
     counts = materialize(count_grams(labelled), "grams")
+    if counts.isEmpty():
+        none = pa.table({"key": pa.array([], pa.int64()), "ratio": pa.array([], pa.float32())})
+        return none, none
     context = materialize(counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(
         *[F.sum(f"n{c}").cast("double").alias(f"all{c}") for c in (0, 1)],
         *[F.sum((F.col(f"n{c}") > 0).cast("double")).alias(f"kinds{c}") for c in (0, 1)]), "contexts")
@@ -208,7 +214,7 @@ def worst_window(r: np.ndarray, row: np.ndarray, rows: int, window: int = WINDOW
     return out
 
 
-def _score(model):
+def _score(model, curve: Curve | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, unseen = (Table(t.column("key").to_numpy(), t.column("ratio").to_numpy()) for t in model.value)
         for batch in batches:
@@ -217,42 +223,46 @@ def _score(model):
                 row, inside = _rows(offs)
                 r = ratios(raw, seen, unseen)
                 x[lo:hi] = worst_window(r[inside], row[inside], hi - lo)
+            if curve is not None:
+                x = np.interp(x, *curve)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x)], names=["doc_id", "x"])
     return run
 
 
 def window_ratios(docs: DataFrame, model: tuple[pa.Table, pa.Table], id_col: str = "doc_id",
-                  text_col: str = "text") -> DataFrame:
-    """(doc_id, x): the most toxic window's mean log-likelihood ratio of every row."""
+                  text_col: str = "text", curve: Curve | None = None) -> DataFrame:
+    """(doc_id, x): the most toxic window's mean log-likelihood ratio of every row, or its probability."""
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     held = docs.sparkSession.sparkContext.broadcast(model)
     kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_score(held), f"doc_id {kind}, x double")
-
-
-def fit_logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
-    """(slope, offset) of a logistic curve over weighted points, by Newton steps."""
-    beta = np.zeros(2)
-    design = np.stack([x, np.ones_like(x)], 1)
-    penalty = np.diag([ridge, 1e-3])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        step = np.linalg.solve((design * (n * p * (1 - p))[:, None]).T @ design + penalty,
-                               design.T @ (n * (y - p)) - penalty @ beta)
-        beta += np.clip(step, -5, 5)
-        if np.abs(step).max() < 1e-9:
-            break
-    return float(beta[0]), float(beta[1])
-
-
-def calibrate(x: DataFrame) -> tuple[float, float]:
-    """Logistic curve over (x, toxic), from a histogram of x."""
+    return src.mapInArrow(_score(held, curve), f"doc_id {kind}, x double")
+
+
+Curve = tuple[np.ndarray, np.ndarray]  # ratios, in order, and their probabilities
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, n: np.ndarray, prior: float = 1.0) -> Curve:
+    """Non-decreasing curve through weighted labels; each level is smoothed towards the share of label 1."""
+    share = float((n * y).sum() / n.sum())
+    levels: list[list[float]] = []  # [rows, rows of label 1, sum of x]
+    for v in np.unique(x):
+        at = x == v
+        levels.append([n[at].sum(), (n * y)[at].sum(), v * n[at].sum()])
+        while len(levels) > 1 and levels[-2][1] * levels[-1][0] >= levels[-1][1] * levels[-2][0]:
+            last = levels.pop()
+            levels[-1] = [a + b for a, b in zip(levels[-1], last)]
+    rows, ones, total = np.array(levels).T
+    return total / rows, np.maximum.accumulate((ones + prior * share) / (rows + prior))
+
+
+def calibrate(x: DataFrame) -> Curve:
+    """The curve over (x, toxic), from a histogram of x (a bounded number of bins)."""
     bin_ = F.round(F.greatest(F.least("x", F.lit(20.0)), F.lit(-20.0)) * BINS).cast("int")
     got = x.groupBy(bin_.alias("b"), "toxic").agg(F.count("*").alias("n")).collect()
     if not got:
-        return 0.0, 0.0
+        return np.zeros(1), np.zeros(1)
     b, y, n = (np.array([r[i] for r in got], np.float64) for i in range(3))
-    return fit_logistic(b / BINS, y, n)
+    return isotonic(b / BINS, y, n)
 
 
 def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -267,6 +277,5 @@ def score(docs: DataFrame, labels: DataFrame, learn: Column, calibration: Column
     model = train(rows.filter(learn))
     held = rows.filter(calibration)
     known = held.select(F.struct("doc_id", "toxic").alias("of"), "text")
-    slope, offset = calibrate(window_ratios(known, model, "of").select("x", F.col("doc_id.toxic").alias("toxic")))
-    out = window_ratios(docs, model)
-    return out.select("doc_id", (1 / (1 + F.exp(-(F.lit(slope) * F.col("x") + F.lit(offset))))).alias("score"))
+    curve = calibrate(window_ratios(known, model, "of").select("x", F.col("doc_id.toxic").alias("toxic")))
+    return window_ratios(docs, model, curve=curve).withColumnRenamed("x", "score")
