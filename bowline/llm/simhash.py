@@ -16,10 +16,11 @@ its smallest id). A group of near copies would give all its pairs in every
 variant, so the join runs in two exact steps:
 
 1. in every variant group each member is compared with the group's smallest
-   fingerprint only; verified links are joined into components;
-2. a link not yet known lies between two components, so only variant groups
-   that still hold more than one component are looked at, and in those every
-   member is compared with the members outside the group's largest component.
+   and largest fingerprint only; verified links are joined into components;
+2. a link not yet known lies between two components, so only variant groups of
+   four and more that still hold more than one component are looked at, and in
+   those every member is compared with the members outside the group's largest
+   component, each pair in the first group that it shares.
 
 Step 2 sees every pair of fingerprints that share a variant and are not yet in
 one component, so no link between components is lost. Components grow by
@@ -48,6 +49,7 @@ SHINGLE = 4
 MAX_BITS = 4
 SEED = 42
 BITS = 64
+POSITION = 57  # a segment of up to 57 bits leaves room for a wildcard's position in one BIGINT
 
 _BIT = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 _BYTE_OF = (np.arange(8) * 256).astype(np.int64)
@@ -111,6 +113,14 @@ def segments(max_bits: int) -> list[tuple[int, int]]:
     return list(zip(edges, (b - a for a, b in zip(edges, edges[1:]))))
 
 
+def _signed(v: int) -> Column:
+    return F.lit(v - (1 << BITS) if v >> (BITS - 1) else v).cast("long")
+
+
+def _segment(bits: Column, first: int, length: int) -> Column:
+    return F.shiftrightunsigned(bits, first).bitwiseAND(_signed((1 << length) - 1))
+
+
 def variants(fp: Column, max_bits: int) -> Column:
     """One key per bit of each segment: the segment with that bit a wildcard.
 
@@ -118,39 +128,58 @@ def variants(fp: Column, max_bits: int) -> Column:
     """
     out = []
     for first, length in segments(max_bits):
-        part = F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << length) - 1))
+        part = _segment(fp, first, length)
         for bit in range(length):
-            masked = part.bitwiseAND(F.lit(((1 << length) - 1) ^ (1 << bit)))
-            # segments of up to 57 bits leave room for the position in one BIGINT
-            out.append(masked.bitwiseOR(F.shiftleft(F.lit(first + bit).cast("long"), 57))
-                       if length <= 57 else F.xxhash64(F.lit(first + bit), masked))
+            masked = part.bitwiseAND(_signed(((1 << length) - 1) ^ (1 << bit)))
+            out.append(masked.bitwiseOR(F.shiftleft(F.lit(first + bit).cast("long"), POSITION))
+                       if length <= POSITION else F.xxhash64(F.lit(first + bit), masked))
     return F.array(*out)
 
 
+def first_shared(a: Column, b: Column, max_bits: int) -> Column | None:
+    """Wildcard position of the first variant that two linked fingerprints share (None: they share only one)."""
+    cut = segments(max_bits)
+    if len(cut) == 1:
+        return None
+    out = F
+    for first, length in cut:
+        part = _segment(a.bitwiseXOR(b), first, length)
+        out = out.when(part == 0, first).when(F.bit_count(part) == 1, F.bit_count(part - 1) + first)
+    return out
+
+
 def star_links(index: DataFrame, max_bits: int) -> DataFrame:
-    """Links of every member with the smallest fingerprint of its variant group."""
-    head = index.groupBy("key").agg(F.min("fp").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    return (index.join(head, "key")
-            .filter((F.col("fp") != F.col("head")) & (distance(F.col("fp"), F.col("head")) <= max_bits))
-            .select(F.col("fp").alias("a"), F.col("head").alias("b")).distinct())
+    """Links of every member with the smallest and the largest fingerprint of its variant group."""
+    heads = index.groupBy("key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo <> hi")
+    near = F.filter(F.array("lo", "hi"), lambda h: (h != F.col("fp")) & (distance(h, F.col("fp")) <= max_bits))
+    return (index.join(heads, "key").withColumn("near", near).filter(F.size("near") > 0)
+            .select(F.col("fp").alias("a"), F.explode("near").alias("b")).distinct())
 
 
 def cross_links(index: DataFrame, comp: DataFrame, max_bits: int) -> DataFrame:
-    """Every link between two components: members against those outside the largest one."""
+    """Every link between two components: members against those outside the largest one.
+
+    Groups of up to three members need no look: their pairs were all compared with the two heads. A
+    pair is compared in the group of the first variant that it shares.
+    """
     named = (index.join(comp.withColumnRenamed("node", "fp"), "fp", "left")
              .select("key", "fp", F.coalesce("root", "fp").alias("root")))
-    mixed = (named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"))
-             .filter("lo <> hi").select("key"))
+    mixed = (named.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"))
+             .filter("lo <> hi and n > 3").select("key"))
     members = materialize(named.join(mixed, "key", "left_semi"), "members")
     sizes = members.groupBy("key", "root").agg(F.count("*").alias("n"))
     largest = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("m")).select(
         "key", F.col("m.root").alias("largest"))
     outside = (members.join(largest, "key").filter("root <> largest")
-               .select("key", F.col("fp").alias("b"), F.col("root").alias("root_b")))
+               .select("key", "largest", F.col("fp").alias("b"), F.col("root").alias("root_b")))
     inside = members.select("key", F.col("fp").alias("a"), F.col("root").alias("root_a"))
-    return (inside.join(outside, "key")
-            .filter((F.col("root_a") != F.col("root_b")) & (distance(F.col("a"), F.col("b")) <= max_bits))
-            .select("a", "b").distinct())
+    a, b = F.col("a"), F.col("b")
+    wanted = ((F.col("root_a") != F.col("root_b")) & ((F.col("root_a") == F.col("largest")) | (a < b))
+              & (distance(a, b) <= max_bits))
+    first = first_shared(a, b, max_bits)
+    if first is not None:
+        wanted = wanted & (F.shiftrightunsigned(F.col("key"), POSITION) == first)
+    return inside.join(outside, "key").filter(wanted).select("a", "b").distinct()
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:

@@ -125,20 +125,22 @@ def zip_members(read_at: ReadAt, size: int) -> dict[str, tuple[int, int, int]]:
     tail_at = max(0, size - 22 - MAX16)
     tail = read_at(tail_at, size - tail_at)
     at = tail.rfind(END)
-    while at >= 0 and at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail):
+    while at >= 0 and (at + 22 > len(tail) or at + 22 + struct.unpack_from("<H", tail, at + 20)[0] != len(tail)):
         at = tail.rfind(END, 0, at)
     if at < 0:
         raise ValueError("not a ZIP file: no end of central directory")
     end = tail_at + at
     count, length, start = struct.unpack_from("<HII", tail, at + 10)
-    if MAX16 == count or MAX32 in (length, start):
-        signature, _, end64, _ = struct.unpack("<4sIQI", read_at(end - 20, 20))
-        if signature == LOCATOR64:
-            record = read_at(end64, 56)
-            if record[:4] != END64:
-                raise ValueError("the ZIP64 locator does not point to its record")
-            count, length, start = struct.unpack_from("<QQQ", record, 32)
-            end = end64
+    locator = read_at(end - 20, 20) if end >= 76 else b""
+    if locator[:4] == LOCATOR64:
+        # where bytes stand in front of the archive, the record is just before its locator
+        places = (struct.unpack_from("<Q", locator, 8)[0], end - 76)
+        end = next((at for at in places if at + 56 <= size and read_at(at, 4) == END64), -1)
+        if end < 0:
+            raise ValueError("the ZIP64 locator does not point to its record")
+        count, length, start = struct.unpack_from("<QQQ", read_at(end, 56), 32)
+    elif MAX16 == count or MAX32 in (length, start):
+        raise ValueError("a ZIP64 archive without its locator")
     shift = end - length - start  # bytes in front of the archive
     directory, at, found = read_at(start + shift, length), 0, {}
     for _ in range(count):
