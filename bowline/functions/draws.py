@@ -12,6 +12,8 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from bowline.functions.common import let
+
 TWO_32 = float(2 ** 32)
 
 
@@ -31,11 +33,12 @@ def uniform(k: Column) -> Column:
 
 
 def normal(k: Column) -> Column:
-    """Standard normal by Box-Muller on the first two words of the hash."""
-    h0 = hash_word(k, 0)
-    h1 = hash_word(k, 1)
-    radius = F.sqrt(F.lit(-2.0) * F.log((h0 + 1) / F.lit(TWO_32 + 1)))
-    return radius * F.cos(F.lit(2 * math.pi) * h1 / F.lit(TWO_32))
+    """Standard normal by Box-Muller on the first two words of the hash, which is taken once."""
+    def word(h: Column, j: int) -> Column:
+        return F.conv(F.substring(h, 1 + 8 * j, 8), 16, 10).cast("bigint")
+
+    return let(F.md5(k), lambda h: F.sqrt(F.lit(-2.0) * F.log((word(h, 0) + 1) / F.lit(TWO_32 + 1)))
+               * F.cos(F.lit(2 * math.pi) * word(h, 1) / F.lit(TWO_32)))
 
 
 # ---- SQL twins (DuckDB dialect) for the oracle ------------------------------

@@ -2,22 +2,27 @@
 
 k-means itself is Spark ML's ``KMeans`` (C1). The single steps (C2-C4) are
 also available as DataFrame operators with hash-drawn starts, so they are
-reproducible and checkable. Centroids are k rows (k = number of labels):
-they are broadcast to the assign step and scored with NumPy per Arrow batch;
-points are never paired with centroids as rows. The pair-counting metrics
-use the contingency table only (no pair join): the Rand index follows from
-sums of C(n, 2) over its cells, rows and columns.
+reproducible and checkable. Centroids are sent in blocks that each fit the
+broadcast limit; each step scores its block in row chunks and keeps the
+nearest centroid so far, so points are never paired with centroids as rows,
+never joined on an id, and the number of blocks does not change the answer.
+The pair-counting metrics use the contingency table only (no pair join): the
+Rand index follows from sums of C(n, 2) over its cells, rows and columns.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as Ty
 
 from bowline.config import DEFAULT_LIMITS, Limits
 from bowline.functions import draws
+from bowline.operators.positions import dense_positions
+from bowline.operators.sums import vector_sums
+from bowline.session import materialize
 
 
 def initial_centroids(points: DataFrame, k: int, seed: int = 42, id_col: str = "vec_id",
@@ -30,91 +35,85 @@ def initial_centroids(points: DataFrame, k: int, seed: int = 42, id_col: str = "
                          F.col(vec_col).cast("array<double>").alias("v"))
 
 
+_CELLS = 1 << 21  # differences that one NumPy step holds
+
+
+def _squared_distances(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
+    """|x - c|^2 by direct differences (the expanded form cancels far from the origin)."""
+    out = np.empty((len(x), len(centers)))
+    step = max(1, _CELLS // max(1, centers.size))
+    for a in range(0, len(x), step):
+        diff = x[a:a + step, None, :] - centers[None, :, :]
+        out[a:a + step] = np.einsum("ijk,ijk->ij", diff, diff)
+    return out
+
+
+def _nearest(bc, vec: str, dim: int):
+    """Update (cluster, d) of every row with a block of centroids; ties keep the lower index."""
+    def run(batches):
+        labels, centers = bc.value
+        for b in batches:
+            names = b.schema.names
+            x = b.column(names.index(vec))
+            if (x.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
+                raise ValueError("k-means: different dimensions")
+            x = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, dim)
+            cluster = pc.fill_null(b.column(names.index("cluster")), -1).to_numpy(zero_copy_only=False).copy()
+            best = b.column(names.index("d")).to_numpy(zero_copy_only=False).copy()
+            step = max(1, _CELLS // max(1, len(centers)))
+            for a in range(0, len(x) if len(centers) else 0, step):
+                d = _squared_distances(x[a:a + step], centers)
+                at = d.argmin(axis=1)
+                low = d[np.arange(len(d)), at]
+                nearer = low < best[a:a + step]
+                best[a:a + step][nearer] = low[nearer]
+                cluster[a:a + step][nearer] = labels[at[nearer]]
+            held = {"cluster": pa.array(cluster, pa.int32(), mask=cluster < 0), "d": pa.array(best)}
+            yield pa.RecordBatch.from_arrays([held[c] if c in held else b.column(i) for i, c in enumerate(names)],
+                                             names=names)
+    return run
+
+
 def assign(points: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
-           vec_col: str = "v", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+           vec_col: str = "v", limits: Limits = DEFAULT_LIMITS, keep_vector: bool = False) -> DataFrame:
     """Nearest centroid by squared distance; ties go to the lowest index.
 
-    Centroids are broadcast when k x dim fits the limit; otherwise points
-    and centroids are hashed into blocks, each (point block, centroid block)
-    group keeps its nearest centroid per point, and a min per point finishes.
+    With ``keep_vector`` the rows carry their vector on, as ``update`` takes it.
     """
-    size = centroids.agg(F.count(F.lit(1)).alias("k"),
-                         F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells")).first()
-    id_type = points.schema[id_col].dataType
-    schema = Ty.StructType([Ty.StructField(id_col, id_type), Ty.StructField("cluster", Ty.IntegerType())])
-    pts = points.select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
-    if (size["cells"] + size["k"]) * 8 > limits.broadcast_bytes:
-        return _assign_blocked(pts, centroids, id_col, size["k"], limits)
-    cen = centroids.orderBy("cluster").toPandas()  # k rows, size checked above
-    mat = np.stack(cen["v"].to_numpy()).astype(np.float64) if len(cen) else np.zeros((0, 0))
-    labels = cen["cluster"].to_numpy(np.int32)
-    bc = points.sparkSession.sparkContext.broadcast((labels, mat))
-
-    def nearest(batches):
-        import numpy as np
-        import pyarrow as pa
-        labs, cm = bc.value
-        for b in batches:
-            n = b.num_rows
-            if n == 0:
-                continue
-            dim = cm.shape[1]
-            x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
-            if x.shape[1] != dim:
-                raise ValueError("k-means: different dimensions")
-            d = ((x[:, None, :] - cm[None, :, :]) ** 2).sum(axis=2)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(labs[np.argmin(d, axis=1)], type=pa.int32())],
-                names=[id_col, "cluster"])
-
-    return pts.mapInArrow(nearest, schema)
-
-
-def _assign_blocked(pts: DataFrame, centroids: DataFrame, id_col: str, k: int,
-                    limits: Limits) -> DataFrame:
-    n_p = pts.count()
-    cb = max(1, -(-k // limits.query_block_rows))
-    pb = max(1, -(-n_p // (limits.query_block_rows * 4)))
-    px = (pts.withColumn("pb", F.pmod(F.xxhash64(id_col), F.lit(pb)))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    cx = (centroids.select("cluster", F.col("v").cast("array<double>").alias("v"))
-          .withColumn("cb", F.pmod(F.col("cluster"), F.lit(cb)))
-          .withColumn("pb", F.explode(F.sequence(F.lit(0), F.lit(pb - 1)))))
-    part = Ty.StructType([Ty.StructField(id_col, pts.schema[id_col].dataType),
-                          Ty.StructField("cluster", Ty.IntegerType()),
-                          Ty.StructField("d", Ty.DoubleType())])
-
-    def nearest_in_block(pp, cp):
-        import numpy as np
-        import pandas as pd
-        if len(pp) == 0 or len(cp) == 0:
-            return pd.DataFrame({id_col: [], "cluster": [], "d": []})
-        cp = cp.sort_values("cluster")
-        x = np.stack(pp["v"].to_numpy()).astype(np.float64)
-        c = np.stack(cp["v"].to_numpy()).astype(np.float64)
-        if x.shape[1] != c.shape[1]:
-            raise ValueError("k-means: different dimensions")
-        d = (x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1)[None, :]
-        best = np.argmin(d, axis=1)
-        return pd.DataFrame({id_col: pp[id_col].to_numpy(), "cluster": cp["cluster"].to_numpy()[best],
-                             "d": d[np.arange(len(x)), best]})
-
-    best = (px.groupBy("pb", "cb").cogroup(cx.groupBy("pb", "cb"))
-            .applyInPandas(nearest_in_block, part))
-    return (best.groupBy(id_col).agg(F.min(F.struct("d", "cluster")).alias("b"))
-            .select(id_col, F.col("b.cluster").alias("cluster")))
-
-
-def update(points: DataFrame, assignment: DataFrame, centroids: DataFrame,
-           id_col: str = "vec_id", vec_col: str = "v") -> DataFrame:
-    """C4: mean per cluster and dimension; an empty cluster keeps its centroid."""
-    cells = (points.join(assignment, id_col)
-             .select("cluster", F.posexplode(F.col(vec_col).cast("array<double>")).alias("dim", "x")))
-    means = cells.groupBy("cluster", "dim").agg(F.avg("x").alias("x"))
-    new = means.groupBy("cluster").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("nv"))
-    return (centroids.join(new, "cluster", "left")
-            .select("cluster", F.coalesce("nv", "v").alias("v")))
+    size = centroids.agg(F.count(F.lit(1)).alias("k"), F.max("cluster").alias("top"),
+                         F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
+    rows = points.select(id_col, F.col(vec_col).cast("array<double>").alias("v"),
+                         F.lit(None).cast("int").alias("cluster"), F.lit(float("inf")).alias("d"))
+    schema = rows.schema
+    per_block = max(1, limits.broadcast_bytes // max(1, (size["dim"] + 1) * 8))
+    for lo in range(0, (size["top"] + 1) if size["k"] else 0, per_block):
+        block = (centroids.filter((F.col("cluster") >= lo) & (F.col("cluster") < lo + per_block))
+                 .select("cluster", F.col("v").cast("array<double>").alias("v")).orderBy("cluster").toArrow())
+        if not block.num_rows:
+            continue
+        centers = block.column("v").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)
+        bc = points.sparkSession.sparkContext.broadcast((block.column("cluster").to_numpy(), centers))
+        rows = rows.mapInArrow(_nearest(bc, "v", size["dim"]), schema)
+    return rows.select(id_col, "cluster", *(["v"] if keep_vector else []))
+
+
+def update(assigned: DataFrame, centroids: DataFrame) -> DataFrame:
+    """C4: mean per cluster and dimension of (cluster, v); an empty cluster keeps its centroid."""
+    of = assigned.filter(F.col("cluster").isNotNull())
+    counts = of.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+    sums = vector_sums(of, "cluster", "v").groupBy("cluster").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("total"))
+    return (centroids.join(sums.join(counts, "cluster"), "cluster", "left")
+            .select("cluster", F.coalesce(F.transform("total", lambda x: x / F.col("n")), "v").alias("v")))
+
+
+def lloyd(points: DataFrame, centroids: DataFrame, rounds: int, id_col: str = "vec_id", vec_col: str = "v",
+          limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """C3 + C4 repeated: the centroids after ``rounds`` assign and update steps."""
+    for _ in range(rounds):
+        centroids = materialize(update(assign(points, centroids, id_col, vec_col, limits, True), centroids),
+                                "centroids")
+    return centroids
 
 
 def kmeans_fit(points: DataFrame, k: int, max_iter: int = 100, seed: int = 42,
@@ -132,9 +131,10 @@ def kmeans_fit(points: DataFrame, k: int, max_iter: int = 100, seed: int = 42,
 
 def label_index(labels: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:
     """Labels numbered in order of first appearance (by id)."""
-    first = labels.groupBy(label_col).agg(F.min(id_col).alias("first"))
-    return first.select(label_col, (F.dense_rank().over(Window.orderBy("first")) - 1)
-                        .cast("int").alias("label_idx"))
+    first = materialize(labels.groupBy(label_col).agg(F.min(id_col).alias("first")), "labels")
+    # labels that first appear at the same id share a number
+    at = dense_positions(first.select("first").distinct(), ["first"], "label_idx")
+    return first.join(at, "first").select(label_col, F.col("label_idx").cast("int").alias("label_idx"))
 
 
 def contingency(assignment: DataFrame, labels: DataFrame, id_col: str = "vec_id",

@@ -17,20 +17,13 @@ def text_pair_similarity(pairs: DataFrame, model: Model, id_col: str = "pair_id"
                          a_col: str = "word1", b_col: str = "word2") -> DataFrame:
     """Cosine of the embeddings of two text columns, per pair row.
 
-    Both columns are embedded in one pass (two rows per pair), then joined
-    back on the pair id.
+    Both columns are embedded in place, one after the other, and carry the
+    row along: no join, so ids may have any type, repeat or be NULL.
     """
-    sides = pairs.select(F.col(id_col).alias("pid"), F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col(a_col).alias("text")),
-        F.struct(F.lit(1).alias("side"), F.col(b_col).alias("text")))).alias("s"))
-    sides = sides.select((F.col("pid") * 2 + F.col("s.side")).alias("sid"), F.col("s.text").alias("text"))
-    e = embed(sides, model, "sid", "text")
-    a = e.filter(F.col("sid") % 2 == 0).select((F.col("sid") / 2).cast("long").alias(id_col),
-                                               F.col("embedding").alias("ea"))
-    b = e.filter(F.col("sid") % 2 == 1).select(((F.col("sid") - 1) / 2).cast("long").alias(id_col),
-                                               F.col("embedding").alias("eb"))
-    return pairs.join(a, id_col).join(b, id_col).withColumn(
-        "similarity", cosine(F.col("ea"), F.col("eb"))).drop("ea", "eb")
+    rows = pairs.select(F.struct(*pairs.columns).alias("_pair"), F.col(a_col).alias("_a"), F.col(b_col).alias("_b"))
+    rows = embed(rows, model, "_pair", "_a", carry=["_b"]).withColumnRenamed("embedding", "_ea")
+    rows = embed(rows, model, "_pair", "_b", carry=["_ea"])
+    return rows.select("_pair.*", cosine(F.col("_ea"), F.col("embedding")).alias("similarity"))
 
 
 def coherence_metrics(scored: DataFrame, sim_col: str = "similarity",

@@ -1,22 +1,20 @@
 """Embedding documents.
 
-Two physical strategies, same result:
-
-* ``broadcast`` (default while the model fits ``Limits.broadcast_bytes``):
-  tokenizing and the per-document term bag are JVM expressions; one
-  ``mapInArrow`` step then looks the bag up in the broadcast vocabulary
-  (Arrow hash lookup), applies the BM25-like weight and sums weighted
-  projection rows with NumPy. The stage is narrow: no shuffle at all, so
-  the embedding of a document is computed where its row is read. The model
-  is bounded by ``max_vocabulary_size x embedding_dim``.
-* ``join``: pure DataFrame plan for models too large to broadcast —
-  explode the bag, join the vocabulary, join the long-form projection,
-  sum per (document, dimension).
+Tokenizing and the per-document term bag are JVM expressions; a
+``mapInArrow`` step then looks the terms up in a broadcast block of the
+vocabulary (Arrow hash lookup), applies the BM25-like weight and sums
+weighted projection rows with NumPy. A model that fits
+``Limits.broadcast_bytes`` is one block. A larger one is cut into blocks of
+vocabulary rows that each fit, and the steps are chained, each adding its
+share to the row's vector. Every step is narrow: no shuffle, rows are never
+joined back on an id, and the number of blocks does not change the answer.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -24,8 +22,10 @@ from pyspark.sql import types as Ty
 from bowline.config import DEFAULT_LIMITS, Limits, clamp_dropout
 from bowline.functions import draws
 from bowline.functions.text import BM25_K1, process_text
-from bowline.functions.vectors import NORMALIZE_EPS, unit_normalize
+from bowline.functions.vectors import NORMALIZE_EPS
+from bowline.operators.sums import vector_sums
 from bowline.operators.train import Model, term_bags
+from bowline.session import materialize
 
 EMBEDDING = "embedding"
 
@@ -48,14 +48,14 @@ def bags_for(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 
 def term_frequency(docs: DataFrame, model: Model, id_col: str = "doc_id",
-                   text_col: str = "text") -> DataFrame:
+                   text_col: str = "text", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(doc_id, idx, token, tf, n_terms) for in-vocabulary terms.
 
     ``n_terms`` counts every term of the document, unknown ones and bigrams
     included. The vocabulary side is broadcast when it fits the limit.
     """
     vocab = model.vocabulary.select("token", "idx", "idf")
-    vocab = _maybe_broadcast(vocab, model.vocab_size * 64)
+    vocab = _maybe_broadcast(vocab, vocabulary_bytes(model), limits)
     return (bags_for(docs, model, id_col, text_col)
             .select("doc_id", "n_terms", F.explode("bag").alias("e"))
             .select("doc_id", "n_terms", F.col("e.token").alias("token"),
@@ -65,9 +65,9 @@ def term_frequency(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 def bm25_weights(docs: DataFrame, model: Model, id_col: str = "doc_id",
                  text_col: str = "text", dropout_rate: float = 0.0,
-                 dropout_seed: int | None = None) -> DataFrame:
+                 dropout_seed: int | None = None, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """E2 (+ E4): (doc_id, idx, weight); dropped terms removed, kept ones rescaled."""
-    tf = term_frequency(docs, model, id_col, text_col)
+    tf = term_frequency(docs, model, id_col, text_col, limits)
     w = weight(F.col("tf").cast("double"), F.col("n_terms").cast("double"), F.col("idf"))
     p = clamp_dropout(dropout_rate)
     if p > 0.0:
@@ -78,215 +78,198 @@ def bm25_weights(docs: DataFrame, model: Model, id_col: str = "doc_id",
     return tf.select("doc_id", "idx", w.alias("weight"))
 
 
-def _maybe_broadcast(df: DataFrame, est_bytes: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    return F.broadcast(df) if est_bytes <= limits.broadcast_bytes else df
+def _maybe_broadcast(df: DataFrame, size_bytes: int, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    return F.broadcast(df) if size_bytes <= limits.broadcast_bytes else df
+
+
+def vocabulary_bytes(model: Model) -> int:
+    """Counted size of the vocabulary: the tokens' bytes and a row's overhead."""
+    if model.token_bytes is None:
+        model.token_bytes = model.vocabulary.agg(
+            F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()[0]
+    return model.token_bytes + model.vocab_size * 48
 
 
 def model_bytes(model: Model) -> int:
-    return model.vocab_size * (model.embedding_dim * 8 + 64)
+    return vocabulary_bytes(model) + model.vocab_size * model.embedding_dim * 8
+
+
+def vocab_lookup(tokens: DataFrame, model: Model, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """V9 + V10: index and IDF of every row's ``token`` (NULL and 0.0 for unknown ones)."""
+    vocab = _maybe_broadcast(model.vocabulary.select("token", "idx", "idf"), vocabulary_bytes(model), limits)
+    return tokens.join(vocab, "token", "left").withColumn("idf", F.coalesce("idf", F.lit(0.0)))
 
 
 def embed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text",
           dropout_rate: float = 0.0, dropout_seed: int | None = None,
-          strategy: str = "auto", limits: Limits = DEFAULT_LIMITS,
-          carry: list[str] | None = None) -> DataFrame:
+          limits: Limits = DEFAULT_LIMITS, carry: list[str] | None = None) -> DataFrame:
     """(doc_id, embedding ARRAY<DOUBLE>) for every input row.
 
     Texts without tokens or with only unknown tokens embed to the zero
-    vector. ``dropout_rate`` > 0 drops each (document, term) with a seeded
-    hash draw and rescales the kept ones by 1 / (1 - p) (E4). ``carry``
-    columns are passed through next to the id.
+    vector; repeated and NULL ids are rows of their own. ``dropout_rate`` > 0
+    drops each (document, term) with a seeded hash draw and rescales the kept
+    ones by 1 / (1 - p) (E4). ``carry`` columns are passed through next to
+    the id.
     """
-    if strategy == "auto":
-        strategy = "broadcast" if model_bytes(model) <= limits.broadcast_bytes else "join"
-    if strategy == "broadcast":
-        return _embed_broadcast(docs, model, id_col, text_col, dropout_rate,
-                                dropout_seed, limits, carry or [])
-    if strategy == "join":
-        return _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed,
-                           carry or [])
-    raise ValueError(f"unknown strategy {strategy!r}")
-
-
-# ---- broadcast strategy ------------------------------------------------------
-
-def _collect_model(model: Model, limits: Limits) -> dict:
-    """Bring the (size-checked) model to the driver once, as NumPy arrays."""
-    if model_bytes(model) > limits.broadcast_bytes:
-        raise ValueError("model exceeds the broadcast limit; use strategy='join'")
-    vocab = model.vocabulary.select("idx", "token", "idf").orderBy("idx").toArrow()
-    proj = model.projection.select("idx", "vec").orderBy("idx").toArrow()
+    carry = carry or []
+    p = clamp_dropout(dropout_rate)
+    if p == 0.0:
+        # no dropout: the Arrow step counts term frequencies itself
+        rows = docs.select(F.col(id_col).alias("doc_id"), *carry,
+                           process_text(F.col(text_col), model.config.use_ngrams).alias(_TERMS))
+    else:
+        seed = model.config.random_seed if dropout_seed is None else dropout_seed
+        rows = bags_for(docs, model, id_col, text_col, carry).withColumn(
+            "bag", F.transform("bag", lambda e: F.struct(
+                e["token"].alias("token"), e["tf"].alias("tf"),
+                (draws.uniform(draws.key(seed, "drop", F.col("doc_id"), e["token"])) >= p)
+                .alias("keep"))))
+        rows = rows.select("doc_id", *carry, F.struct("bag", "n_terms").alias(_TERMS))
+    vector = Ty.ArrayType(Ty.DoubleType(), False)
+    head = [Ty.StructField("doc_id", docs.schema[id_col].dataType)] + [docs.schema[c] for c in carry]
+    blocks = broadcast_blocks(model, limits)
+    for i, bc in enumerate(blocks):
+        last = i == len(blocks) - 1
+        fn = _make_projector(bc, model.embedding_dim, p, limits.projection_chunk, i == 0, last)
+        fields = head + ([] if last else [rows.schema[_TERMS]]) + [Ty.StructField(EMBEDDING, vector)]
+        rows = rows.mapInArrow(fn, Ty.StructType(fields))
+    return rows.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else rows
+
+
+_TERMS = "_terms"
+_BATCH_TERMS = 1 << 18  # terms that one NumPy step holds
+
+
+# ---- the model in blocks -----------------------------------------------------
+
+def _collect_block(model: Model, lo: int, hi: int) -> dict:
+    """Vocabulary rows lo..hi-1 as NumPy arrays; the caller bounds their size."""
+    inside = (F.col("idx") >= lo) & (F.col("idx") < hi)
+    vocab = model.vocabulary.filter(inside).select("idx", "token", "idf").orderBy("idx").toArrow()
+    proj = model.projection.filter(inside).select("idx", "vec").orderBy("idx").toArrow()
     dim = model.embedding_dim
     vecs = proj.column("vec").combine_chunks()
     if len(vecs) and (vecs.value_lengths().to_numpy(zero_copy_only=False) != dim).any():
         raise ValueError("projection rows do not have embedding_dim entries")
     matrix = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
     idx = vocab.column("idx").to_numpy()
-    if not (np.array_equal(idx, np.arange(len(idx)))
+    if not (np.array_equal(idx, np.arange(lo, lo + len(idx)))
             and np.array_equal(proj.column("idx").to_numpy(), idx)):
         raise ValueError("vocabulary indexes are not dense 0..V-1")
     return {"tokens": vocab.column("token").to_pylist(),
             "idf": vocab.column("idf").to_numpy().astype(np.float64), "matrix": matrix}
 
 
-_BROADCASTS: dict = {}
-
-
-def broadcast_model(model: Model, limits: Limits = DEFAULT_LIMITS):
-    key = (model.path, id(model))
-    bc = _BROADCASTS.get(key)
-    if bc is None:
-        sc = model.vocabulary.sparkSession.sparkContext
-        bc = sc.broadcast(_collect_model(model, limits))
-        _BROADCASTS[key] = bc
-    return bc
+def broadcast_blocks(model: Model, limits: Limits = DEFAULT_LIMITS) -> list:
+    """Broadcasts of the model, each within the limit; kept on the model while its session lives."""
+    sc = model.vocabulary.sparkSession.sparkContext
+    size = max(1, -(-model_bytes(model) // limits.broadcast_bytes))
+    rows = max(1, -(-model.vocab_size // min(size, max(1, model.vocab_size))))
+    held = model.broadcasts.get(rows)
+    if held is None or held[0] is not sc:
+        blocks = [sc.broadcast(_collect_block(model, lo, lo + rows))
+                  for lo in range(0, max(1, model.vocab_size), rows)]
+        held = model.broadcasts[rows] = (sc, blocks)
+    return held[1]
 
 
-def _make_projector(bc, dim: int, p: float, chunk: int, k1: float, eps: float):
-    """Arrow batch function: bag -> unit embedding. Self-contained for pickling."""
-    cache: dict = {}
-
+def _make_projector(bc, dim: int, p: float, chunk: int, first: bool, last: bool):
+    """Arrow batch function: terms -> sum over the block's vocabulary, normalized in the last step."""
     def project(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        if "vocab" not in cache:
-            m = bc.value
-            cache["vocab"] = pa.array(m["tokens"], type=pa.string())
-            cache["idf"] = m["idf"]
-            cache["matrix"] = m["matrix"]
-        vocab, idf, matrix = cache["vocab"], cache["idf"], cache["matrix"]
+        block = bc.value
+        vocab = pa.array(block["tokens"], type=pa.string())
         for batch in batches:
-            n = batch.num_rows
-            out = np.zeros((n, dim), dtype=np.float64)
-            names = batch.schema.names
-            if "terms" in names:
-                # raw term arrays: count (row, index) pairs with one sort per batch
-                terms = batch.column("terms")
-                lengths = terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                n_terms = lengths.astype(np.float64)
-                flat_tokens = terms.flatten()
-                keep = None
-            else:
-                bag = batch.column("bag")
-                lengths = bag.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-                n_terms = batch.column("n_terms").to_numpy(zero_copy_only=False).astype(np.float64)
-                flat = bag.flatten()
-                flat_tokens = flat.field("token") if len(flat) else pa.array([], pa.string())
-                keep = flat.field("keep").to_numpy(zero_copy_only=False) if p > 0.0 and len(flat) else None
-            if len(flat_tokens) and len(vocab):
-                row = np.repeat(np.arange(n), lengths)
-                idx = pc.index_in(flat_tokens, value_set=vocab)
-                sel = idx.is_valid().to_numpy(zero_copy_only=False)
-                r = row[sel]
-                ix = idx.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-                if "terms" in names:
-                    uk, tf = np.unique(r * len(vocab) + ix, return_counts=True)
-                    r, ix = uk // len(vocab), uk % len(vocab)
-                    tf = tf.astype(np.float64)
-                else:
-                    tf = flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64)
-                nf = tf / n_terms[r]
-                w = (k1 + 1.0) * nf / (k1 + nf) * idf[ix]
-                if keep is not None:
-                    w = np.where(keep[sel], w / (1.0 - p), 0.0)
-                for a in range(0, len(r), chunk):
-                    rr = r[a:a + chunk]
-                    contrib = matrix[ix[a:a + chunk]] * w[a:a + chunk, None]
-                    starts = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
-                    out[rr[starts]] += np.add.reduceat(contrib, starts, axis=0)
-            norms = np.sqrt(np.einsum("ij,ij->i", out, out))
-            big = norms > eps
-            out[big] /= norms[big, None]
-            offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-            emb = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-            drop = ("bag", "n_terms", "terms")
-            cols = [batch.column(i) for i, f in enumerate(names) if f not in drop]
-            yield pa.RecordBatch.from_arrays(
-                cols + [emb], names=[f for f in names if f not in drop] + ["embedding"])
+            terms = batch.column(batch.schema.get_field_index(_TERMS))
+            lists = terms.field("bag") if p > 0.0 else terms
+            lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
+            ends = np.cumsum(lengths, dtype=np.int64)
+            lo = 0
+            while lo < batch.num_rows:  # runs of rows with a bounded number of terms, a longer row alone
+                before = ends[lo - 1] if lo else 0
+                hi = max(lo + 1, int(np.searchsorted(ends, before + _BATCH_TERMS, "right")))
+                yield _project_rows(batch.slice(lo, hi - lo), vocab, block, dim, p, chunk, first, last)
+                lo = hi
 
     return project
 
 
-def _embed_broadcast(docs, model, id_col, text_col, dropout_rate, dropout_seed, limits,
-                     carry):
-    p = clamp_dropout(dropout_rate)
-    if p == 0.0:
-        # no dropout: the Arrow step counts term frequencies itself
-        bags = docs.select(F.col(id_col).alias("doc_id"), *carry,
-                           process_text(F.col(text_col), model.config.use_ngrams).alias("terms"))
+def _project_rows(batch, vocab, block, dim, p, chunk, first, last):
+    n = batch.num_rows
+    names = batch.schema.names
+    terms = batch.column(names.index(_TERMS))
+    if first:
+        out = np.zeros((n, dim))
     else:
-        bags = bags_for(docs, model, id_col, text_col, carry)
-    if p > 0.0:
-        seed = model.config.random_seed if dropout_seed is None else dropout_seed
-        bags = bags.withColumn("bag", F.transform("bag", lambda e: F.struct(
-            e["token"].alias("token"), e["tf"].alias("tf"),
-            (draws.uniform(draws.key(seed, "drop", F.col("doc_id"), e["token"])) >= p)
-            .alias("keep"))))
-    bc = broadcast_model(model, limits)
-    fn = _make_projector(bc, model.embedding_dim, p, limits.projection_chunk,
-                         BM25_K1, NORMALIZE_EPS)
-    schema = Ty.StructType(
-        [Ty.StructField("doc_id", docs.schema[id_col].dataType)]
-        + [docs.schema[c] for c in carry]
-        + [Ty.StructField(EMBEDDING, Ty.ArrayType(Ty.DoubleType(), False))])
-    out = bags.mapInArrow(fn, schema)
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
-
-
-# ---- join strategy -------------------------------------------------------------
-
-def project_join(weights: DataFrame, model: Model) -> DataFrame:
-    """E3 as joins: sum of weight x projection row per (doc_id, dim).
-
-    Returns (doc_id, dim, value) for documents with at least one kept term.
+        held = batch.column(names.index(EMBEDDING))
+        out = held.flatten().to_numpy(zero_copy_only=False).reshape(n, dim).copy()
+    bag = terms.flatten()[0] if p > 0.0 else terms
+    lengths = pc.fill_null(bag.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    flat = bag.flatten()
+    if len(flat) and len(vocab):
+        n_terms = (terms.flatten()[1].to_numpy(zero_copy_only=False) if p > 0.0 else lengths).astype(np.float64)
+        idx = pc.index_in(flat.field("token") if p > 0.0 else flat, value_set=vocab)
+        sel = idx.is_valid().to_numpy(zero_copy_only=False)
+        r = np.repeat(np.arange(n), lengths)[sel]
+        ix = idx.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+        if p > 0.0:
+            tf = flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64)
+        else:
+            # count (row, index) pairs with one sort
+            uk, tf = np.unique(r * len(vocab) + ix, return_counts=True)
+            r, ix, tf = uk // len(vocab), uk % len(vocab), tf.astype(np.float64)
+        w = weight(tf, n_terms[r], block["idf"][ix])
+        if p > 0.0:
+            keep = flat.field("keep").to_numpy(zero_copy_only=False)[sel]
+            w = np.where(keep, w / (1.0 - p), 0.0)
+        for a in range(0, len(r), chunk):
+            rr = r[a:a + chunk]
+            contrib = block["matrix"][ix[a:a + chunk]] * w[a:a + chunk, None]
+            starts = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
+            out[rr[starts]] += np.add.reduceat(contrib, starts, axis=0)
+    if last:
+        norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+        big = norms > NORMALIZE_EPS
+        out[big] /= norms[big, None]
+    offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+    emb = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
+    kept = [c for c in names if c != EMBEDDING and not (last and c == _TERMS)]
+    return pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + [emb],
+                                      names=kept + [EMBEDDING])
+
+
+# ---- E3 as a table -------------------------------------------------------------
+
+def project_sums(weights: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, dim, value), the sum of weight x projection row per document.
+
+    The projection joins as whole rows; ``vector_sums`` adds them up.
     """
-    proj_long = model.projection.select("idx", F.posexplode("vec").alias("dim", "pval"))
-    return (weights.join(proj_long, "idx")
-            .groupBy("doc_id", "dim")
-            .agg(F.sum(F.col("weight") * F.col("pval")).alias("value")))
-
-
-def _embed_join(docs, model, id_col, text_col, dropout_rate, dropout_seed, carry):
-    dim = model.embedding_dim
-    w = bm25_weights(docs, model, id_col, text_col, dropout_rate, dropout_seed)
-    dense = (project_join(w, model)
-             .groupBy("doc_id")
-             .agg(F.sort_array(F.collect_list(F.struct("dim", "value"))).alias("cells")))
-    dense = dense.select("doc_id", F.transform("cells", lambda c: c["value"]).alias("v"))
-    ids = docs.select(F.col(id_col).alias("doc_id"), *carry)
-    zeros = F.array_repeat(F.lit(0.0), dim)
-    out = (ids.join(dense, "doc_id", "left")
-           .select("doc_id", *carry, unit_normalize(F.coalesce("v", zeros)).alias(EMBEDDING)))
-    return out.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else out
+    rows = weights.join(model.projection, "idx")
+    return vector_sums(rows, "doc_id", "vec", F.col("weight")).withColumnRenamed("x", "value")
 
 
 # ---- E8: embedding store -------------------------------------------------------
 
 def embed_with_store(docs: DataFrame, store: DataFrame, model: Model, id_col: str = "doc_id",
-                     text_col: str = "text", capacity: int = 10000,
+                     text_col: str = "text", capacity: int | None = None,
                      limits: Limits = DEFAULT_LIMITS) -> tuple[DataFrame, DataFrame]:
-    """Reuse stored vectors of identical texts, embed only unseen texts.
+    """Reuse stored vectors of identical texts, embed each unseen text once.
 
-    ``store`` is (text, embedding). Returns (id, embedding) for every input
-    row and the grown store: unseen texts are added, smallest id first, until
-    the store holds ``capacity`` entries. Hits and misses are an equi-join and
-    an anti-join on the text, so nothing is collected.
+    ``store`` is (text, embedding); where it holds a text more than once, the
+    smallest vector counts. Returns (id, embedding) for every input row and
+    the grown store: unseen texts are added, by default all of them; with a
+    ``capacity``, smallest id first until the store holds that many entries.
+    The new vectors are written once and serve both results.
     """
     d = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
-    st = store.select(F.col("text").alias("_t"), F.col(EMBEDDING))
-    hits = d.join(st, "_t").select(id_col, EMBEDDING)
-    misses = d.join(st.select("_t"), "_t", "left_anti")
-    fresh = embed(misses, model, id_col, "_t", limits=limits, carry=["_t"])
-    out = hits.unionByName(fresh.select(id_col, EMBEDDING))
-    room = capacity - store.count()
-    if room > 0:
-        firsts = fresh.groupBy("_t").agg(F.min(F.struct(id_col, EMBEDDING)).alias("f"))
-        added = (firsts.select(F.col("_t").alias("text"), F.col(f"f.{id_col}").alias("_first"),
-                               F.col(f"f.{EMBEDDING}").alias(EMBEDDING))
-                 .orderBy("_first").limit(room).drop("_first"))
-        new_store = store.select("text", EMBEDDING).unionByName(added)
-    else:
-        new_store = store.select("text", EMBEDDING)
-    return out, new_store
+    st = store.groupBy(F.col("text").alias("_t")).agg(F.min(EMBEDDING).alias(EMBEDDING))
+    unseen = (d.join(st.select("_t"), "_t", "left_anti").filter(F.col("_t").isNotNull())
+              .groupBy("_t").agg(F.min(id_col).alias("_first")))
+    fresh = materialize(embed(unseen, model, "_first", "_t", limits=limits, carry=["_t"]), "fresh")
+    known = st.unionByName(fresh.select("_t", EMBEDDING))
+    zero = F.array_repeat(F.lit(0.0), model.embedding_dim)
+    out = d.join(known, "_t", "left").select(id_col, F.coalesce(EMBEDDING, zero).alias(EMBEDDING))
+    added = fresh
+    if capacity is not None:
+        added = fresh.orderBy("_first", "_t").limit(max(0, capacity - store.count()))
+    return out, store.select("text", EMBEDDING).unionByName(added.select(F.col("_t").alias("text"), EMBEDDING))

@@ -8,7 +8,7 @@ checkpoint folder, so the per-partition counts and the numbering read the
 same rows even if a sampling or a task is repeated. Each key is shifted by
 the row count of all earlier partitions (one row per partition, broadcast)
 and the positions are joined back on the keys. The order keys must be
-unique: pass a unique key as the last order column.
+unique (equal ones raise): pass a unique key as the last order column.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ def dense_positions(df: DataFrame, order_cols: list[str], name: str = "pos",
         df.select(*order_cols).repartitionByRange(n, *order_cols)
         .sortWithinPartitions(*order_cols)
         .withColumn("_mid", F.monotonically_increasing_id()), "positions")
+    if not tagged.groupBy(*order_cols).count().filter("count > 1").isEmpty():
+        raise ValueError(f"order keys are not unique: {', '.join(order_cols)}")
     part = F.shiftright("_mid", _LOCAL_BITS)
     local = F.col("_mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
     counts = tagged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_n"))

@@ -17,6 +17,7 @@ from bowline.config import DEFAULT_LIMITS, Limits
 from bowline.functions.common import let
 from bowline.operators.search import nearest_neighbors
 from bowline.operators.train import Model
+from bowline.session import materialize
 from bowline.sources.corpus import trim_unicode
 
 _WS = r"\p{IsWhite_Space}+"
@@ -33,12 +34,9 @@ def _shingle_hashes(words, n: int):
 
 
 def _char_hashes(text, n: int):
-    """64-bit hashes of every n-character substring of a text column."""
-    size = F.length(text)
-    return F.when(size >= n, F.transform(
-        F.sequence(F.lit(1), size - n + 1),
-        lambda i: F.xxhash64(F.lit(n), F.lit("c"), F.substring(text, i, n)))).otherwise(
-        F.array().cast("array<bigint>"))
+    """64-bit hashes of every n-character substring, in one pass: a look-ahead captures at each character."""
+    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    return F.transform(grams, lambda g: F.xxhash64(F.lit(n), F.lit("c"), g))
 
 
 def _anchored_candidates(pkeys: DataFrame, dkeys: DataFrame) -> DataFrame:
@@ -57,17 +55,20 @@ def _anchored_candidates(pkeys: DataFrame, dkeys: DataFrame) -> DataFrame:
 
 
 def passage_qrels(passages: DataFrame, documents: DataFrame,
-                  p_id: str = "item_id", d_id: str = "doc_id") -> DataFrame:
+                  p_id: str = "item_id", d_id: str = "doc_id",
+                  limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(query_id, doc_id) for every document whose text contains the passage.
 
     Passages of 3+ words are keyed by hashed word n-grams of their interior
     (n = 4, or the interior length when shorter); shorter non-empty passages
     by hashed character n-grams (n = 4, or the passage length). A hash
     collision only adds a candidate: every candidate is verified with an
-    exact substring test. (An empty passage, contained everywhere, is not
-    matched.)
+    exact substring test. An empty passage is contained everywhere, so it is
+    no judgement and raises; a NULL one matches nothing.
     """
     p = passages.select(F.col(p_id).alias("query_id"), F.col("text").alias("ptext"))
+    if not p.filter(F.col("ptext") == "").isEmpty():
+        raise ValueError("an empty passage is contained in every document")
     d = documents.select(F.col(d_id).alias("doc_id"), F.col("text").alias("dtext"))
     words = let(F.split(trim_unicode(F.col("ptext")), _WS), lambda w: F.struct(
         F.size(F.filter(w, lambda x: x != "")).alias("n_words"),
@@ -102,8 +103,13 @@ def passage_qrels(passages: DataFrame, documents: DataFrame,
     if not cands:
         return p.select("query_id", F.lit(None).cast("long").alias("doc_id")).filter(F.lit(False))
     cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1])
-    return (cand.join(p, "query_id")
-            .join(d, "doc_id")
+    # documents are filtered by the candidates before any of their text moves
+    pairs = materialize(cand.distinct().join(p, "query_id"), "candidates")
+    size = pairs.agg(F.coalesce(F.sum(F.octet_length("ptext") + 32), F.lit(0))).first()[0]
+    pairs = F.broadcast(pairs) if size <= limits.broadcast_bytes else pairs
+    if size > limits.broadcast_bytes:
+        d = d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
+    return (d.join(pairs, "doc_id")
             .filter(F.instr(F.col("dtext"), F.col("ptext")) > 0)
             .select("query_id", "doc_id").distinct())
 

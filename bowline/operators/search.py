@@ -1,21 +1,19 @@
 """Similarity search: top-k, nearest neighbours, analogies, pair bands, recall@k (K1-K6).
 
 Top-k never materializes (query, candidate) pairs as rows. Candidates stay
-where they are read; each task scores its Arrow batch against a broadcast
-block of query vectors with one matrix product and keeps only the k best
-per query (ties by candidate id), so a task emits at most k rows per query.
-A window then picks the final k per query after a shuffle by query id.
-When the query set is larger than the broadcast limit, queries and
-candidates are hashed into blocks and each (query block, candidate block)
-pair is scored in one grouped task: every group is bounded by the block
-sizes, whatever the key distribution.
+where they are read; each task scores its Arrow batches against a broadcast
+block of query vectors with matrix products and keeps a running top-k per
+query (ties by candidate id), so a task emits at most k rows per query. A
+window then picks the final k per query after a shuffle by query id. Queries
+are sent in blocks that each fit the broadcast limit; with more than one
+block the candidates are written once and scanned per block. The number of
+blocks does not change the answer.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
@@ -25,7 +23,9 @@ from bowline.functions import draws
 from bowline.functions.vectors import NORMALIZE_EPS, add, cosine, subtract, unit_normalize
 from bowline.operators.embed import embed
 from bowline.operators.train import Model
+from bowline.session import materialize
 
+BAND_RUN = 1024
 RANK_DIGITS = 9  # similarities equal to 9 digits are ties, broken by candidate id
 
 HIT_SCHEMA = Ty.StructType([
@@ -35,6 +35,15 @@ HIT_SCHEMA = Ty.StructType([
 ])
 
 
+RANKED_SCHEMA = Ty.StructType([
+    Ty.StructField("query_id", Ty.LongType()),
+    Ty.StructField("rank", Ty.IntegerType()),
+    Ty.StructField("cand_id", Ty.LongType()),
+    Ty.StructField("similarity", Ty.DoubleType()),
+])
+_QUERY_BYTES = 128 * 1024 * 1024  # of one block on its way through the driver
+
+
 def _unit_rows(m: np.ndarray) -> np.ndarray:
     n = np.sqrt(np.einsum("ij,ij->i", m, m))
     out = np.zeros_like(m)
@@ -43,29 +52,32 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best_k(q_ids, qn, c_ids, cn, k, cell_budget=4_000_000):
-    """Top k candidates per query of one candidate chunk; ties by candidate id."""
+def _best_k(qn, c_ids, cn, k, cell_budget=4_000_000):
+    """(ids, similarities), each (queries, k'): the best of one candidate chunk; ties by candidate id."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, cn = c_ids[order], cn[order]
     kk = min(k, len(c_ids))
-    qs, cs, ss = [], [], []
+    ids, sims = [], []
     step = max(1, cell_budget // max(1, len(c_ids)))
-    for a in range(0, len(q_ids), step):
+    for a in range(0, len(qn), step):
         s = qn[a:a + step] @ cn.T
         top = np.argsort(-np.round(s, RANK_DIGITS), axis=1, kind="stable")[:, :kk]
-        rows = np.repeat(np.arange(s.shape[0]), kk)
-        qs.append(q_ids[a:a + step][rows])
-        cs.append(c_ids[top.ravel()])
-        ss.append(s[rows, top.ravel()])
-    return np.concatenate(qs), np.concatenate(cs), np.concatenate(ss)
+        ids.append(c_ids[top])
+        sims.append(np.take_along_axis(s, top, axis=1))
+    return np.concatenate(ids), np.concatenate(sims)
 
 
-def _make_batch_scorer(bc, k: int, dim: int):
-    def score(batches):
-        import numpy as np
-        import pyarrow as pa
+def _merged_k(best, new, k):
+    """The best k of two (ids, similarities) pairs per query."""
+    ids, sims = (np.concatenate(x, axis=1) for x in zip(best, new))
+    top = np.lexsort((ids, -np.round(sims, RANK_DIGITS)), axis=1)[:, :k]
+    return np.take_along_axis(ids, top, axis=1), np.take_along_axis(sims, top, axis=1)
+
 
+def _make_scorer(bc, k: int, dim: int):
+    def score(batches):
         q_ids, qn = bc.value
+        best = None
         for batch in batches:
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
@@ -75,9 +87,12 @@ def _make_batch_scorer(bc, k: int, dim: int):
                 raise ValueError("cosine: different dimensions")
             c = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
             c_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            qi, ci, si = _best_k(q_ids, qn, c_ids, _unit_rows(c), k)
+            new = _best_k(qn, c_ids, _unit_rows(c), k)
+            best = new if best is None else _merged_k(best, new, k)
+        if best is not None:
+            ids, sims = best
             yield pa.RecordBatch.from_arrays(
-                [pa.array(qi), pa.array(ci), pa.array(si)],
+                [pa.array(np.repeat(q_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(sims.ravel())],
                 names=["query_id", "cand_id", "similarity"])
     return score
 
@@ -98,56 +113,35 @@ def top_k_cosine(queries: DataFrame, candidates: DataFrame, k: int,
     candidates per query, ranked by similarity desc then candidate id; k
     larger than the candidate count returns all candidates."""
     if k <= 0:
-        return queries.sparkSession.createDataFrame([], HIT_SCHEMA.add("rank", Ty.IntegerType()))
+        return queries.sparkSession.createDataFrame([], RANKED_SCHEMA)
     q = queries.select(F.col(q_id).cast("long").alias("query_id"),
                        F.col(q_vec).cast("array<double>").alias("v"))
     c = candidates.select(F.col(c_id).cast("long").alias("cand_id"),
                           F.col(c_vec).cast("array<double>").alias("v"))
-    # one small job sizes the query side before anything is collected
+    # the queries' vectors are computed once; their size decides the number of blocks
+    q = materialize(q, "queries")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells"),
-                 F.max(F.size("v")).alias("dim")).first()
+                 F.min(F.size("v")).alias("low"), F.max(F.size("v")).alias("dim")).first()
     n_q, dim = int(size["n"]), int(size["dim"] or 0)
-    if (size["cells"] + n_q) * 8 <= limits.broadcast_bytes:
-        pdf = q.toPandas()
-        ids = pdf["query_id"].to_numpy(np.int64)
-        if len(pdf) and int(pdf["v"].map(len).min()) != dim:
-            raise ValueError("cosine: different dimensions")
-        mat = (np.stack(pdf["v"].to_numpy()).astype(np.float64) if len(pdf)
-               else np.zeros((0, dim)))
-        bc = q.sparkSession.sparkContext.broadcast((ids, _unit_rows(mat)))
-        hits = c.mapInArrow(_make_batch_scorer(bc, k, dim), HIT_SCHEMA)
-    else:
-        hits = _blocked_hits(q, c, k, dim, n_q, limits)
+    if n_q and size["low"] != dim:
+        raise ValueError("cosine: different dimensions")
+    blocks = max(1, -(-(size["cells"] + n_q) * 8 // min(limits.broadcast_bytes, _QUERY_BYTES)))
+    if blocks > 1:
+        c = materialize(c, "candidates")
+    parts = []
+    for i in range(blocks):
+        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        block = part.toArrow().combine_chunks()
+        mat = (block.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
+               if block.num_rows else np.zeros((0, dim)))
+        bc = q.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), _unit_rows(mat)))
+        parts.append(c.mapInArrow(_make_scorer(bc, k, dim), HIT_SCHEMA))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
     return _final_k(hits, k)
 
 
-def _blocked_hits(q, c, k, dim, n_q, limits: Limits) -> DataFrame:
-    """Score (query block x candidate block) groups; each group is bounded."""
-    n_c = c.count()
-    qb = max(1, math.ceil(n_q / limits.query_block_rows))
-    cb = max(1, math.ceil(n_c / (limits.query_block_rows * 4)))
-    qx = (q.withColumn("qb", F.pmod(F.xxhash64("query_id"), F.lit(qb)))
-          .withColumn("cb", F.explode(F.sequence(F.lit(0), F.lit(cb - 1)))))
-    cx = (c.withColumn("cb", F.pmod(F.xxhash64("cand_id"), F.lit(cb)))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(qb - 1)))))
-
-    def pair(qp, cp):
-        import numpy as np
-        import pandas as pd
-        if len(qp) == 0 or len(cp) == 0:
-            return pd.DataFrame({"query_id": [], "cand_id": [], "similarity": []})
-        qm = np.stack(qp["v"].to_numpy()).astype(np.float64)
-        cm = np.stack(cp["v"].to_numpy()).astype(np.float64)
-        if qm.shape[1] != cm.shape[1]:
-            raise ValueError("cosine: different dimensions")
-        qi, ci, si = _best_k(qp["query_id"].to_numpy(np.int64), _unit_rows(qm),
-                             cp["cand_id"].to_numpy(np.int64), _unit_rows(cm), k)
-        return pd.DataFrame({"query_id": qi, "cand_id": ci, "similarity": si})
-
-    return (qx.groupBy("qb", "cb").cogroup(cx.groupBy("qb", "cb"))
-            .applyInPandas(pair, HIT_SCHEMA))
-
-
 def nearest_neighbors(queries: DataFrame, candidates: DataFrame, model: Model, k: int,
                       q_id: str = "query_id", q_text: str = "text",
                       c_id: str = "doc_id", c_text: str = "text",
@@ -163,19 +157,13 @@ def analogy(triples: DataFrame, candidates: DataFrame, model: Model, k: int,
             limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """K3: for each (analogy_id, a, b, c) the top-k candidates for
     normalize((b - a) + c); a, b and c stay eligible as candidates."""
-    parts = triples.select(
-        "analogy_id",
-        F.explode(F.array(*[F.struct(F.lit(i).alias("role"), F.col(r).alias("text"))
-                            for i, r in enumerate(("a", "b", "c"))])).alias("p"))
-    parts = parts.select((F.col("analogy_id") * 3 + F.col("p.role")).alias("part_id"),
-                         F.col("p.text").alias("text"))
-    pe = embed(parts, model, "part_id", "text")
-    by = pe.select((F.col("part_id") / 3).cast("long").alias("analogy_id"),
-                   (F.col("part_id") % 3).alias("role"), "embedding")
-    vecs = by.groupBy("analogy_id").agg(*[
-        F.first(F.when(F.col("role") == i, F.col("embedding")), ignorenulls=True).alias(r)
-        for i, r in enumerate(("a", "b", "c"))])
-    target = vecs.select("analogy_id",
+    rows = triples.select("analogy_id", F.col("a").alias("_a"), F.col("b").alias("_b"), F.col("c").alias("_c"))
+    done: list[str] = []
+    for r in ("a", "b", "c"):  # embedded in place, one after the other: no join on the id
+        rest = [f"_{x}" for x in "abc" if f"_{x}" > f"_{r}"]
+        rows = embed(rows, model, "analogy_id", f"_{r}", carry=done + rest).withColumnRenamed("embedding", r)
+        done.append(r)
+    target = rows.select("analogy_id",
                          unit_normalize(add(subtract("b", "a"), F.col("c"))).alias("embedding"))
     ce = embed(candidates, model, c_id, c_text)
     return top_k_cosine(target, ce, k, "analogy_id", "embedding", c_id, "embedding", limits)
@@ -185,17 +173,23 @@ def banded_pairs(items: DataFrame, model: Model, width: int = 4,
                  pos_col: str = "pos", text_col: str = "text") -> DataFrame:
     """K4: similarity of every item with each of the next ``width`` items.
 
-    The band is an equi-join on position + offset (one row per offset), not a
-    range or cross join.
+    Positions are cut into runs; each vector goes to its run and, where it is
+    among the first ``width`` of one, also to the end of the run before. A
+    window inside the run pairs it with the following items, so a vector is
+    sent at most twice and no pair of runs meets.
     """
-    emb = embed(items, model, pos_col, text_col).select(
-        F.col(pos_col).alias("pos"), "embedding")
-    left = emb.select(F.col("pos").alias("a_pos"), F.col("embedding").alias("ea"),
-                      F.explode(F.sequence(F.lit(1), F.lit(width))).alias("d"))
-    left = left.withColumn("b_pos", F.col("a_pos") + F.col("d"))
-    right = emb.select(F.col("pos").alias("b_pos"), F.col("embedding").alias("eb"))
-    return (left.join(right, "b_pos")
-            .select("a_pos", "b_pos", cosine(F.col("ea"), F.col("eb")).alias("similarity")))
+    emb = embed(items, model, pos_col, text_col).select(F.col(pos_col).cast("long").alias("pos"), "embedding")
+    run = F.floor(F.col("pos") / BAND_RUN)
+    runs = F.when(F.pmod("pos", F.lit(BAND_RUN)) < width, F.array(run, run - 1)).otherwise(F.array(run))
+    placed = emb.select("pos", "embedding", run.alias("own"), F.explode(runs).alias("run"))
+    w = Window.partitionBy("run").orderBy("pos")
+    after = [F.struct(F.lead("pos", d).over(w).alias("pos"), F.lead("embedding", d).over(w).alias("e"))
+             for d in range(1, width + 1)]
+    pairs = placed.withColumn("after", F.array(*after)).filter("own = run").select(
+        F.col("pos").alias("a_pos"), "embedding", F.explode("after").alias("b"))
+    return (pairs.filter((F.col("b.pos") > F.col("a_pos")) & (F.col("b.pos") <= F.col("a_pos") + width))
+            .select("a_pos", F.col("b.pos").alias("b_pos"),
+                    cosine(F.col("embedding"), F.col("b.e")).alias("similarity")))
 
 
 def recall_candidates(n_items: int, positions: DataFrame, every: int = 10, tail: int = 5,
@@ -203,23 +197,28 @@ def recall_candidates(n_items: int, positions: DataFrame, every: int = 10, tail:
     """K5: (query_pos, cand_pos, is_positive).
 
     Queries are every ``every``-th position below n - tail; the positive is
-    the next position; negatives are ``n_neg`` seeded draws of a position
-    (deduplicated), minus the query and its positive.
+    the next position; negatives are ``n_neg`` positions drawn without
+    replacement, from which the query and its positive are then dropped. The
+    draws are seeded; the first ``n_neg`` distinct ones count. Should the
+    draws hold fewer, positions 0, 1, ... fill up, so there are always
+    ``n_neg`` (or all n) of them.
     """
     q = positions.filter((F.col("pos") % every == 0) & (F.col("pos") < n_items - tail)) \
         .select(F.col("pos").alias("query_pos"))
-    pos = q.select("query_pos", (F.col("query_pos") + 1).alias("cand_pos"),
-                   F.lit(True).alias("is_positive"))
-    r = F.explode(F.sequence(F.lit(0), F.lit(n_neg - 1))).alias("r")
-    neg = (q.select("query_pos", r)
-           .select("query_pos", F.floor(draws.uniform(
-               draws.key(seed, "neg", F.col("query_pos"), F.col("r"))) * n_items)
-               .cast("long").alias("cand_pos"))
-           .filter((F.col("cand_pos") != F.col("query_pos"))
-                   & (F.col("cand_pos") != F.col("query_pos") + 1))
-           .distinct()
-           .withColumn("is_positive", F.lit(False)))
-    return pos.unionByName(neg)
+    drawn = F.transform(F.sequence(F.lit(0), F.lit(recall_draws(n_items, n_neg) - 1)), lambda r: F.floor(
+        draws.uniform(draws.key(seed, "neg", F.col("query_pos"), r)) * n_items).cast("long"))
+    fill = F.sequence(F.lit(0).cast("long"), F.lit(max(0, min(n_neg, n_items) - 1)).cast("long"))
+    chosen = F.slice(F.array_distinct(F.concat(drawn, fill)), 1, n_neg)
+    pos = F.col("query_pos") + 1
+    cands = F.concat(F.array(F.struct(pos.alias("cand_pos"), F.lit(True).alias("is_positive"))), F.transform(
+        F.filter(chosen, lambda p: (p != F.col("query_pos")) & (p != pos)),
+        lambda p: F.struct(p.alias("cand_pos"), F.lit(False).alias("is_positive"))))
+    return q.select("query_pos", F.inline(cands))
+
+
+def recall_draws(n_items: int, n_neg: int) -> int:
+    """Number of draws among which ``n_neg`` distinct positions are all but certain."""
+    return n_neg * (20 if n_items < 4 * n_neg else 4)
 
 
 def recall_at_k(items: DataFrame, model: Model, k: int = 5, every: int = 10,
@@ -230,10 +229,9 @@ def recall_at_k(items: DataFrame, model: Model, k: int = 5, every: int = 10,
     items = items.select(F.col(pos_col).cast("long").alias("pos"), F.col(text_col).alias("text"))
     n_items = items.count()
     cands = recall_candidates(n_items, items.select("pos"), every, 5, n_neg, seed)
-    emb = embed(items, model, "pos", "text")
+    emb = materialize(embed(items, model, "pos", "text", carry=["text"]), "recall")
     e_q = emb.select(F.col("pos").alias("query_pos"), F.col("embedding").alias("eq"))
-    e_c = emb.join(items, "pos").select(F.col("pos").alias("cand_pos"),
-                                        F.col("embedding").alias("ec"), F.col("text").alias("ctext"))
+    e_c = emb.select(F.col("pos").alias("cand_pos"), F.col("embedding").alias("ec"), F.col("text").alias("ctext"))
     scored = (cands.join(e_q, "query_pos").join(e_c, "cand_pos")
               .withColumn("similarity", cosine(F.col("eq"), F.col("ec"))))
     w = Window.partitionBy("query_pos").orderBy(

@@ -1,24 +1,28 @@
 """Embedding stability under text mutations.
 
-Variants are built set-wise instead of with a sequential fold: each word of
-a (text, variant) gets seeded draws (mutated?, kind, character), deleted
-words drop out, and the surviving words are ordered by a key that
-reproduces the fold's push / pop-push / double-push behaviour:
-
-* an *anchor* is a word whose kind is not "swap", or the first word left;
-* ``grp`` counts anchors up to the word (a running sum; see the note in the code);
-* a duplicated anchor emits (grp, 0) and (grp, 2), swap words (grp, 1),
-  every other anchor (grp, 2); ties by position.
-
-A swap pushes its word before the last output word, so a run of swaps after
-an anchor lands, in order, just before that anchor. Sorting these keys per
-(text, variant) and joining with spaces equals the fold. The window and the
-group are one text's words, so they are bounded by the longest text.
+Every word of a (text, variant) gets seeded draws (mutated?, kind,
+character). Deleted words drop out; the others are ordered by a key that
+gives the push / pop-push / double-push order of the mutation without
+replaying it:
+
+* ``group`` counts the words up to this one whose kind is not "swap";
+* a swapped word that is not the first word left sorts before its group's
+  word: (group, 1); a duplicated word stands at (group, 0) and (group, 2);
+  every other word at (group, 2). Ties go by position.
+
+So a run of swaps lands, in order, just before the last word that is no
+swap. Words are split in the JVM; the draws and the sort are one Arrow step
+per batch, and originals and variants are embedded in the same narrow
+pipeline: no shuffle, and a text is read once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import hashlib
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bowline.functions import draws
@@ -36,6 +40,60 @@ MIN_CHARS_TO_DROP = 3  # a character is removed only from words of more than 2 c
 _WS = r"\p{IsWhite_Space}+"
 
 
+def _words(text):
+    trimmed = trim_unicode(text)
+    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WS))
+
+
+def mutate(words: list[str], prefix: str, rate: float) -> str:
+    """One variant of a text's words; ``prefix`` + position is the key of a word's draws."""
+    placed = []
+    group = 0
+    for pos, word in enumerate(words):
+        h = hashlib.md5(f"{prefix}|{pos}".encode()).digest()
+        kind = (int.from_bytes(h[4:8]) * N_KINDS) >> 32 if int.from_bytes(h[:4]) / draws.TWO_32 < rate else -1
+        if kind == KIND_DELETE:
+            continue
+        first_left = not placed
+        group += kind != KIND_SWAP
+        if kind == KIND_SWAP and not first_left:
+            placed.append((group, 1, pos, word))
+            continue
+        if kind == KIND_DUPLICATE:
+            placed.append((group, 0, pos, word))
+        elif kind == KIND_DROP_CHAR and len(word) >= MIN_CHARS_TO_DROP:
+            at = (int.from_bytes(h[8:12]) * len(word)) >> 32
+            word = word[:at] + word[at + 1:]
+        placed.append((group, 2, pos, word))
+    placed.sort(key=lambda e: e[:3])
+    return " ".join(e[3] for e in placed)
+
+
+def _fan_out(num_variants: int, rate: float, seed: int):
+    """Rows (row, key, text, words) -> one row per variant with its text."""
+    def run(batches):
+        for batch in batches:
+            row, keys, texts, words = (batch.column(i) for i in range(4))
+            made = []
+            for key, text, w in zip(keys.to_pylist(), texts.to_pylist(), words.to_pylist()):
+                # as concat_ws does, a NULL id leaves its part of the key out
+                start = f"{seed}|variant" + ("" if key is None else f"|{key}")
+                made += [mutate(w, f"{start}|{v}", rate) if w else text for v in range(1, num_variants + 1)]
+            back = pa.array(np.repeat(np.arange(batch.num_rows), num_variants))
+            number = pa.array(np.tile(np.arange(1, num_variants + 1, dtype=np.int32), batch.num_rows))
+            yield pa.RecordBatch.from_arrays([row.take(back), number, pa.array(made, pa.string())],
+                                             names=["row", "variant", "variant_text"])
+    return run
+
+
+def _variants(rows: DataFrame, num_variants: int, rate: float, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, variant, variant_text); ``row`` is the whole input row."""
+    src = rows.select(F.struct(*rows.columns).alias("row"), F.col(id_col).cast("string").alias("key"),
+                      F.col(text_col).alias("text"), _words(F.col(text_col)).alias("words"))
+    kind = src.schema["row"].dataType.simpleString()
+    return src.mapInArrow(_fan_out(num_variants, rate, seed), f"row {kind}, variant int, variant_text string")
+
+
 def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, seed: int = 42,
                   id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """G1 + G2: (doc_id, variant, variant_text) for variant = 1..num_variants.
@@ -43,76 +101,20 @@ def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, see
     A text without words is returned unchanged; a variant whose words were
     all deleted is the empty string.
     """
-    # Hash-partition the texts once by id: the window and the group-by below
-    # are keyed by (doc_id, variant), which this partitioning already
-    # satisfies, so the exploded word rows are never shuffled.
-    base = (texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .repartition("doc_id"))
-    trimmed = trim_unicode(F.col("text"))
-    base = base.select("doc_id", "text", F.when(trimmed == "", F.array().cast("array<string>"))
-                       .otherwise(F.split(trimmed, _WS)).alias("words"))
-    fan = base.select("doc_id", "text", "words",
-                      F.explode(F.sequence(F.lit(1), F.lit(num_variants))).alias("variant"))
-    words = fan.select("doc_id", "variant", F.posexplode("words").alias("pos", "word"))
-
-    # one MD5 per word; its first three 32-bit words are the three draws
-    k = draws.key(seed, "variant", F.col("doc_id"), F.col("variant"), F.col("pos"))
-    words = words.select("doc_id", "variant", "pos", "word", F.md5(k).alias("h"))
-
-    def draw(j):
-        return F.conv(F.substring("h", 1 + 8 * j, 8), 16, 10).cast("bigint") / F.lit(draws.TWO_32)
-
-    nchar = F.length("word")
-    words = words.select(
-        "doc_id", "variant", "pos", "word",
-        (draw(0) < mutation_rate).alias("mutated"),
-        F.floor(draw(1) * N_KINDS).cast("int").alias("kind"),
-        F.floor(draw(2) * nchar).cast("int").alias("ci"))
-    kind = F.when(F.col("mutated"), F.col("kind")).otherwise(F.lit(-1))
-    kept = words.withColumn("k", kind).filter(F.col("k") != KIND_DELETE)
-    # One window pass. Counting only non-swap words gives the anchor count
-    # up to a constant per (text, variant): a swap that is the first word left
-    # is an anchor too, and it precedes every row, so it adds 1 to all of them
-    # and the sort order below is unchanged.
-    w_order = Window.partitionBy("doc_id", "variant").orderBy("pos")
-    kept = kept.select(
-        "*", (F.row_number().over(w_order) == 1).alias("first_left"),
-        F.sum((F.col("k") != KIND_SWAP).cast("int"))
-        .over(w_order.rowsBetween(Window.unboundedPreceding, 0)).alias("grp"))
-    kept = kept.withColumn("anchor", (F.col("k") != KIND_SWAP) | F.col("first_left"))
-    # remove the character at 0-based index ci
-    dropped = F.concat(F.expr("substring(word, 1, ci)"), F.expr("substring(word, ci + 2)"))
-    out_word = F.when((F.col("k") == KIND_DROP_CHAR) & (nchar >= MIN_CHARS_TO_DROP), dropped) \
-        .otherwise(F.col("word"))
-
-    def entry(sub, word):
-        return F.struct(F.col("grp").alias("g"), F.lit(sub).alias("s"), F.col("pos").alias("p"),
-                        word.alias("w"))
-
-    entries = (F.when(~F.col("anchor"), F.array(entry(1, F.col("word"))))
-               .when(F.col("k") == KIND_DUPLICATE,
-                     F.array(entry(0, F.col("word")), entry(2, F.col("word"))))
-               .otherwise(F.array(entry(2, out_word))))
-    joined = (kept.select("doc_id", "variant", F.inline(entries))
-              .groupBy("doc_id", "variant")
-              .agg(F.expr("listagg(w, ' ') WITHIN GROUP (ORDER BY g, s, p)").alias("vt")))
-    return (fan.join(joined, ["doc_id", "variant"], "left")
-            .select(F.col("doc_id").alias(id_col), "variant",
-                    F.when(F.size("words") == 0, F.col("text"))
-                    .otherwise(F.coalesce("vt", F.lit(""))).alias("variant_text")))
+    out = _variants(texts.select(id_col, text_col), num_variants, mutation_rate, seed, id_col, text_col)
+    return out.select(f"row.{id_col}", "variant", "variant_text")
 
 
 def variant_similarity(texts: DataFrame, model: Model, num_variants: int, mutation_rate: float,
                        seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, variant, similarity) of each text with each of its variants."""
     base = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    variants = text_variants(base, num_variants, mutation_rate, seed)
-    orig = embed(base, model, "doc_id", "text").select("doc_id", F.col("embedding").alias("eo"))
-    vid = F.col("doc_id") * num_variants + F.col("variant") - 1
-    vs = variants.select(vid.alias("vid"), F.col("doc_id").alias("src"), "variant", "variant_text")
-    ve = embed(vs, model, "vid", "variant_text", carry=["src", "variant"])
-    return (ve.join(orig, F.col("src") == F.col("doc_id"))
-            .select("doc_id", "variant", cosine(F.col("embedding"), F.col("eo")).alias("similarity")))
+    orig = embed(base, model, "doc_id", "text", carry=["text"]).withColumnRenamed("embedding", "eo")
+    variants = _variants(orig, num_variants, mutation_rate, seed, "doc_id", "text").select(
+        F.struct(F.col("row.doc_id").alias("doc_id"), "variant", F.col("row.eo").alias("eo")).alias("of"),
+        "variant_text")
+    return (embed(variants, model, "of", "variant_text")
+            .select("of.doc_id", "of.variant", cosine(F.col("embedding"), F.col("of.eo")).alias("similarity")))
 
 
 def stability_metrics(sims: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@
 * The mean over non-consecutive pairs needs no pair rows: for unit (or zero)
   vectors u_i, the sum over all pairs i < j of u_i.u_j is
   (|sum u_i|^2 - sum |u_i|^2) / 2; subtracting the consecutive pairs leaves
-  the non-consecutive sum. The vector sum is a partial-aggregated group-by.
+  the non-consecutive sum. The vectors are summed per task before the shuffle.
 * Kendall's tau compares every consecutive similarity with every
   non-consecutive one, so it needs all pair similarities; they are computed
   by matrix products in (position block x position block) tasks and counted
@@ -23,7 +23,9 @@ from bowline.functions.common import let
 from bowline.functions.vectors import cosine_lenient, distance, norm
 from bowline.operators.embed import embed
 from bowline.operators.positions import dense_positions
+from bowline.operators.sums import vector_sums
 from bowline.operators.train import Model
+from bowline.session import materialize
 
 TIE_DIGITS = 9
 
@@ -44,11 +46,11 @@ def renumber(seqs: DataFrame, seq_col: str = "seq_id", pos_col: str = "pos",
 
 def sequence_embeddings(seqs: DataFrame, model: Model, seq_col: str = "seq_id",
                         pos_col: str = "pos", text_col: str = "text") -> DataFrame:
-    """(seq_id, pos, embedding) with dense positions."""
+    """(seq_id, pos, embedding) with dense positions; embedded once, written for all that follows."""
     s = renumber(seqs.select(F.col(seq_col).alias("seq_id"), F.col(pos_col).alias("pos"),
                              F.col(text_col).alias("text")), global_col="row_id")
     e = embed(s, model, "row_id", "text", carry=["seq_id", "pos"])
-    return e.select("seq_id", "pos", "embedding")
+    return materialize(e.select("seq_id", "pos", "embedding"), "sequences")
 
 
 def consecutive(emb: DataFrame) -> DataFrame:
@@ -66,10 +68,10 @@ def _pair_sums(emb: DataFrame) -> DataFrame:
         return let(norm(v), lambda m: F.transform(
             v, lambda x: F.when(m > 0.0, x / m).otherwise(F.lit(0.0))))
     u = emb.select("seq_id", unit(F.col("embedding")).alias("u"))
-    cells = u.select("seq_id", F.posexplode("u").alias("dim", "x"))
-    s = cells.groupBy("seq_id", "dim").agg(F.sum("x").alias("s"), F.sum(F.col("x") * F.col("x")).alias("q"))
-    return s.groupBy("seq_id").agg(
-        ((F.sum(F.col("s") * F.col("s")) - F.sum("q")) / 2.0).alias("all_pairs_sum"))
+    own = F.aggregate("u", F.lit(0.0), lambda acc, x: acc + x * x)
+    q = u.groupBy("seq_id").agg(F.sum(own).alias("q"))
+    s = vector_sums(u, "seq_id", "u").groupBy("seq_id").agg(F.sum(F.col("x") * F.col("x")).alias("s"))
+    return s.join(q, "seq_id").select("seq_id", ((F.col("s") - F.col("q")) / 2.0).alias("all_pairs_sum"))
 
 
 TAU_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
@@ -77,10 +79,9 @@ TAU_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
 _COUNT_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
                                Ty.StructField("conc", Ty.LongType()),
                                Ty.StructField("disc", Ty.LongType())])
-# A sequence is cut into at most TAU_MAX_BLOCKS position blocks of at least
-# TAU_MIN_BLOCK items; every (block i <= block j) pair is its own task.
-TAU_MIN_BLOCK = 4096
-TAU_MAX_BLOCKS = 64
+# A sequence is cut into position blocks of TAU_BLOCK items; every (block i <= block j)
+# pair is its own task, so a task's vectors are bounded whatever the sequence's length.
+TAU_BLOCK = 2048
 
 
 def _tau_block_pair(pdf):
@@ -124,17 +125,13 @@ def sequence_tau(emb: DataFrame) -> DataFrame:
     Positions are cut into blocks; each vector goes to the block pairs it
     belongs to and each consecutive similarity (rounded to 9 digits) to every
     block pair of its sequence. A task therefore holds two blocks of vectors
-    plus the sequence's consecutive similarities (one float per item), and a
-    long sequence spreads over up to TAU_MAX_BLOCKS * (TAU_MAX_BLOCKS + 1) / 2
-    tasks instead of one.
+    plus the sequence's consecutive similarities (one float per item).
     """
     e = emb.select(F.col("seq_id").cast("long").alias("seq_id"),
                    F.col("pos").cast("long").alias("pos"), "embedding")
     sizes = e.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
-    bsize = F.greatest(F.lit(TAU_MIN_BLOCK), F.ceil(F.col("n") / TAU_MAX_BLOCKS))
-    sizes = sizes.select("seq_id", bsize.alias("bsize"),
-                         F.ceil(F.col("n") / bsize).cast("long").alias("nb"))
-    eb = e.join(sizes, "seq_id").withColumn("b", F.floor(F.col("pos") / F.col("bsize")))
+    sizes = sizes.select("seq_id", F.ceil(F.col("n") / TAU_BLOCK).cast("long").alias("nb"))
+    eb = e.join(sizes, "seq_id").withColumn("b", F.floor(F.col("pos") / TAU_BLOCK))
     null_c = F.lit(None).cast("double").alias("c")
     rows = eb.select("seq_id", F.col("b").alias("bi"),
                      F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("bj"),

@@ -11,7 +11,7 @@ checkpoint folder; everything after works on that table or on the at most
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +66,8 @@ class Model:
     n_docs: int
     vocab_size: int
     path: str | None = None
+    token_bytes: int | None = None  # counted when first needed
+    broadcasts: dict = field(default_factory=dict, repr=False, compare=False)
 
     @property
     def embedding_dim(self) -> int:

@@ -13,10 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bowline.config import ModelConfig
+from bowline.config import DEFAULT_LIMITS, Limits, ModelConfig
 from bowline.functions import text as T
 from bowline.plans import oracle as O
-from bowline.session import table
+from bowline.session import materialize, table
 from bowline.sources.corpus import corpus, spread
 
 # Model used by the catalog: the reference demo program's settings.
@@ -192,10 +192,8 @@ def q_vocab_lookup(spark, sf):
     m = model(spark, sf)
     toks = docs(spark, sf).select(
         "doc_id", F.posexplode(T.tokenize(F.col("text"))).alias("pos", "token"))
-    from bowline.operators.embed import _maybe_broadcast
-    vocab = _maybe_broadcast(m.vocabulary.select("token", "idx", "idf"), m.vocab_size * 64)
-    return toks.join(vocab, "token", "left").select(
-        "doc_id", "pos", "token", "idx", r6(F.coalesce("idf", F.lit(0.0))).alias("idf"))
+    from bowline.operators.embed import vocab_lookup
+    return vocab_lookup(toks, m).select("doc_id", "pos", "token", "idx", r6(F.col("idf")).alias("idf"))
 
 
 @register("train_vocab_summary", VOCAB + f"""SELECT (SELECT n FROM n_docs) AS n_docs,
@@ -254,9 +252,9 @@ def q_bm25_weights(spark, sf):
 
 @register("project_dense", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM dense")
 def q_project_dense(spark, sf):
-    from bowline.operators.embed import bm25_weights, project_join
+    from bowline.operators.embed import bm25_weights, project_sums
     m = model(spark, sf)
-    return project_join(bm25_weights(docs(spark, sf), m), m).select(
+    return project_sums(bm25_weights(docs(spark, sf), m), m).select(
         "doc_id", F.col("dim").cast("int").alias("dim"), r6(F.col("value")).alias("value"))
 
 
@@ -275,6 +273,19 @@ def q_embed_documents(spark, sf):
     return long_vectors(embed(docs(spark, sf), model(spark, sf)), "doc_id", "embedding")
 
 
+# small limits, so that the model, the queries and the centroids go out in many blocks
+BLOCKS = Limits(broadcast_bytes=20_000)
+
+
+@register("embed_documents_join", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM emb")
+def q_embed_documents_join(spark, sf):
+    """E6 / E7 for a model beyond the broadcast limit: the vocabulary in blocks."""
+    from bowline.operators.embed import embed, model_bytes
+    m = model(spark, sf)
+    limits = Limits(broadcast_bytes=max(1, model_bytes(m) // 3))
+    return long_vectors(embed(docs(spark, sf), m, limits=limits), "doc_id", "embedding")
+
+
 @register("embedding_dim_check", EMB +
           "SELECT doc_id, CAST(count(*) AS INTEGER) AS dimension FROM emb GROUP BY doc_id")
 def q_embedding_dim_check(spark, sf):
@@ -290,6 +301,10 @@ def vectors(spark, sf) -> DataFrame:
         "vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
+def table_bytes(v: DataFrame) -> int:
+    return v.agg(F.coalesce(F.sum(F.size("v") + 1), F.lit(0))).first()[0] * 8 + 1
+
+
 def _next_pairs(spark, sf) -> DataFrame:
     v = vectors(spark, sf)
     a = v.select(F.col("vec_id").alias("a_id"), F.col("v").alias("va"))
@@ -377,6 +392,14 @@ def q_topk_cosine(spark, sf):
     return _ranked(top_k_cosine(v, v, 5, "vec_id", "v", "vec_id", "v"))
 
 
+@register("topk_cosine_blocked", SQL["topk_cosine"])
+def q_topk_cosine_blocked(spark, sf):
+    from bowline.operators.search import top_k_cosine
+    v = vectors(spark, sf)
+    limits = Limits(broadcast_bytes=table_bytes(v) // 3)
+    return _ranked(top_k_cosine(v, v, 5, "vec_id", "v", "vec_id", "v", limits=limits))
+
+
 # ---- K2-K6 on texts ----------------------------------------------------------------------
 
 def bench_items(spark, sf) -> DataFrame:
@@ -407,13 +430,17 @@ def flagship(spark, sf):
        round({O.cos_sql('a.v', 'b.v')}, {DIGITS}) AS similarity
 FROM qv a JOIN qv b ON b.doc_id = a.doc_id + 1""")
 def q_text_pair_similarity(spark, sf):
-    from bowline.functions.vectors import cosine
-    from bowline.operators.embed import embed
-    e = embed(bench_items(spark, sf), model(spark, sf), "item_id")
-    a = e.select(F.col("item_id").alias("a_id"), F.col("embedding").alias("ea"))
-    b = e.select(F.col("item_id").alias("b_id"), F.col("embedding").alias("eb"))
-    return a.join(b, F.col("b_id") == F.col("a_id") + 1).select(
-        "a_id", "b_id", r6(cosine(F.col("ea"), F.col("eb"))).alias("similarity"))
+    from bowline.operators.coherence import text_pair_similarity
+    return text_pair_similarity(_text_pairs(spark, sf), model(spark, sf)).select(
+        F.col("pair_id").alias("a_id"), (F.col("pair_id") + 1).alias("b_id"), r6(F.col("similarity")).alias("similarity"))
+
+
+def _text_pairs(spark, sf) -> DataFrame:
+    """Neighbouring benchmark texts; those of an even first id count as related."""
+    b = bench_items(spark, sf)
+    nxt = b.select((F.col("item_id") - 1).alias("pair_id"), F.col("text").alias("word2"))
+    return b.select(F.col("item_id").alias("pair_id"), F.col("text").alias("word1")).join(nxt, "pair_id").withColumn(
+        "related", F.col("pair_id") % 2 == 0)
 
 
 def _triples(spark, sf) -> DataFrame:
@@ -498,7 +525,7 @@ RANKED_SQL = f"""sims AS (
 def _retrieval(spark, sf):
     from bowline.operators.retrieval import passage_qrels, retrieval_ranking
     d = docs(spark, sf)
-    qrels = passage_qrels(bench_items(spark, sf), d)
+    qrels = materialize(passage_qrels(bench_items(spark, sf), d), "qrels")
     ranking = retrieval_ranking(bench_items(spark, sf), qrels, d, model(spark, sf), RET_K,
                                 q_id="item_id")
     return qrels, ranking
@@ -529,6 +556,17 @@ def q_retrieval_per_query(spark, sf):
     return pq.select("query_id", "found", *[r6(F.col(c)).alias(c) for c in ("precision", "recall", "ap", "rr")])
 
 
+@register("retrieval_per_query_k0", """SELECT item_id AS query_id, CAST(0 AS BIGINT) AS found,
+  CAST(0.0 AS DOUBLE) AS precision, CAST(0.0 AS DOUBLE) AS recall, CAST(0.0 AS DOUBLE) AS ap, CAST(0.0 AS DOUBLE) AS rr
+FROM benchmark""")
+def q_retrieval_per_query_k0(spark, sf):
+    from bowline.operators.retrieval import passage_qrels, retrieval_per_query, retrieval_ranking
+    b, d = bench_items(spark, sf), docs(spark, sf)
+    qrels = passage_qrels(b, d)
+    ranking = retrieval_ranking(b, qrels, d, model(spark, sf), 0, q_id="item_id")
+    return retrieval_per_query(ranking, b, qrels, 0, q_id="item_id")
+
+
 @register("retrieval_metrics", with_(*QTEXT, *RANKED_SQL) + f"""SELECT
   round(avg(precision), {DIGITS}) AS precision_at_k, round(avg(recall), {DIGITS}) AS recall_at_k,
   round(CASE WHEN avg(precision) + avg(recall) > 0
@@ -569,19 +607,31 @@ def q_coherence_pairs(spark, sf):
     return p.select("a_id", "b_id", "related", r6(F.col("similarity")).alias("similarity"))
 
 
-@register("coherence_metrics", with_(CPAIRS, CSIMS) + f"""SELECT
+COHERENCE_SELECT = f"""SELECT
   round(coalesce(avg(CASE WHEN (similarity > 0.5) = related THEN 1.0 ELSE 0.0 END), 0.0), {DIGITS}) AS accuracy,
   round(coalesce(avg(CASE WHEN related THEN similarity END), 0.0), {DIGITS}) AS average_related_similarity,
   round(coalesce(avg(CASE WHEN NOT related THEN similarity END), 0.0), {DIGITS}) AS average_unrelated_similarity,
   round(coalesce(avg(CASE WHEN related THEN similarity END), 0.0)
         - coalesce(avg(CASE WHEN NOT related THEN similarity END), 0.0), {DIGITS}) AS contrast_score
-FROM cs""")
+FROM cs"""
+
+
+@register("coherence_metrics", with_(CPAIRS, CSIMS) + COHERENCE_SELECT)
 def q_coherence_metrics(spark, sf):
     from bowline.operators.coherence import coherence_metrics
     m = coherence_metrics(_coherence_pairs(spark, sf))
     return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
 
 
+@register("text_coherence_metrics", with_(*QTEXT, f"""cs AS (
+  SELECT a.doc_id % 2 = 0 AS related, {O.cos_sql('a.v', 'b.v')} AS similarity
+  FROM qv a JOIN qv b ON b.doc_id = a.doc_id + 1)""") + COHERENCE_SELECT)
+def q_text_coherence_metrics(spark, sf):
+    from bowline.operators.coherence import evaluate_semantic_coherence
+    m = evaluate_semantic_coherence(_text_pairs(spark, sf), model(spark, sf))
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns])
+
+
 # ---- O1-O6 temporal ordering and K5-K6 recall on conversations -------------------------
 
 CONV = [O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG), O.projection_cte(QCFG),
@@ -667,12 +717,18 @@ RECALL_SQL = CONV + ["""items AS (
   SELECT pos AS query_pos, pos + 1 AS cand_pos, true AS is_positive
   FROM items WHERE pos % 10 = 0 AND pos < (SELECT n FROM nitems) - 5
   UNION ALL
-  SELECT DISTINCT query_pos, cand_pos, false FROM (
-    SELECT i.pos AS query_pos,
-           CAST(floor({O.draws.uniform_sql(O.draws.key_sql(42, 'neg', 'i.pos', 'r.r'))} * (SELECT n FROM nitems)) AS BIGINT) AS cand_pos
-    FROM items i, range(0, 19) r(r)
-    WHERE i.pos % 10 = 0 AND i.pos < (SELECT n FROM nitems) - 5)
-  WHERE cand_pos <> query_pos AND cand_pos <> query_pos + 1)"""]
+  SELECT query_pos, cand_pos, false FROM (
+    SELECT query_pos, cand_pos, row_number() OVER (PARTITION BY query_pos ORDER BY first) AS nth FROM (
+      SELECT query_pos, cand_pos, min(r) AS first FROM (
+        SELECT i.pos AS query_pos, r.r,
+               CAST(floor({O.draws.uniform_sql(O.draws.key_sql(42, 'neg', 'i.pos', 'r.r'))} * (SELECT n FROM nitems)) AS BIGINT) AS cand_pos
+        FROM items i, range(0, (SELECT CASE WHEN n < 76 THEN 380 ELSE 76 END FROM nitems)) r(r)
+        WHERE i.pos % 10 = 0 AND i.pos < (SELECT n FROM nitems) - 5
+        UNION ALL
+        SELECT i.pos, 1000 + r.r, r.r FROM items i, range(0, (SELECT least(19, n) FROM nitems)) r(r)
+        WHERE i.pos % 10 = 0 AND i.pos < (SELECT n FROM nitems) - 5)
+      GROUP BY query_pos, cand_pos))
+  WHERE nth <= 19 AND cand_pos <> query_pos AND cand_pos <> query_pos + 1)"""]
 
 
 def _recall_items(spark, sf):
@@ -709,11 +765,11 @@ def _n_labels(spark, sf) -> int:
     return table(spark, sf, "embeddings").select("label").distinct().count()
 
 
-def _kmeans_step(spark, sf):
+def _kmeans_step(spark, sf, limits=DEFAULT_LIMITS, keep_vector=False):
     from bowline.operators.clustering import assign, initial_centroids
     v = vectors(spark, sf)
     cen = initial_centroids(v, _n_labels(spark, sf), 42)
-    return v, cen, assign(v, cen)
+    return v, cen, assign(v, cen, limits=limits, keep_vector=keep_vector)
 
 
 CLU = ["ev AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings)",
@@ -756,8 +812,51 @@ def q_kmeans_assign(spark, sf):
 FROM cenl c LEFT JOIN means m ON m.cluster = c.cluster AND m.dim = c.dim""")
 def q_kmeans_update(spark, sf):
     from bowline.operators.clustering import update
-    v, cen, a = _kmeans_step(spark, sf)
-    return long_vectors(update(v, a, cen), "cluster", "v")
+    _, cen, a = _kmeans_step(spark, sf, keep_vector=True)
+    return long_vectors(update(a, cen), "cluster", "v")
+
+
+@register("kmeans_assign_blocked", SQL["kmeans_assign"])
+def q_kmeans_assign_blocked(spark, sf):
+    return _kmeans_step(spark, sf, Limits(broadcast_bytes=3 * 65 * 8))[2]
+
+
+KMEANS_ROUNDS = 3
+
+
+def _lloyd_sql() -> str:
+    """KMEANS_ROUNDS assign and update steps, unrolled."""
+    ctes, before = [CLU[0], CLU[1].replace("cen AS", "c0 AS", 1)], "c0"
+    for i in range(1, KMEANS_ROUNDS + 1):
+        ctes.append(CLU[2].replace("asg AS", f"a{i} AS", 1).replace("ev e, cen c", f"ev e, {before} c"))
+        ctes.append(f"""x{i} AS (SELECT a.cluster, generate_subscripts(e.v, 1) AS dim, unnest(e.v) AS x
+  FROM a{i} a JOIN ev e ON e.vec_id = a.vec_id)""")
+        ctes.append(f"""m{i} AS (SELECT cluster, list(x ORDER BY dim) AS v FROM
+  (SELECT cluster, dim, avg(x) AS x FROM x{i} GROUP BY cluster, dim) GROUP BY cluster)""")
+        ctes.append(f"c{i} AS (SELECT b.cluster, coalesce(m.v, b.v) AS v FROM {before} b LEFT JOIN m{i} m ON m.cluster = b.cluster)")
+        before = f"c{i}"
+    return with_(*ctes) + f"""SELECT cluster, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim,
+  unnest(list_transform(v, lambda x: round(x, {DIGITS}))) AS value FROM {before}"""
+
+
+@register("kmeans_steps", _lloyd_sql())
+def q_kmeans_steps(spark, sf):
+    from bowline.operators.clustering import initial_centroids, lloyd
+    v = vectors(spark, sf)
+    return long_vectors(lloyd(v, initial_centroids(v, _n_labels(spark, sf), 42), KMEANS_ROUNDS), "cluster", "v")
+
+
+@register("kmeans_fixed_point", "SELECT CAST(0 AS BIGINT) AS moved, count(*) AS points FROM embeddings")
+def q_kmeans_fixed_point(spark, sf):
+    """Another assign and update step moves no point of the fitted clustering."""
+    from bowline.operators.clustering import assign, kmeans_fit, update
+    v = vectors(spark, sf)
+    fitted = materialize(kmeans_fit(v, _n_labels(spark, sf), 100, 42), "kmeans")
+    named = fitted.join(v, "vec_id").select("vec_id", "cluster", "v")
+    start = named.groupBy("cluster").agg(F.first("v").alias("v"))  # replaced by the means of its members
+    again = assign(v, update(named, start)).withColumnRenamed("cluster", "now")
+    moved = (F.col("now") != F.col("cluster")).cast("long")
+    return fitted.join(again, "vec_id").agg(F.sum(moved).alias("moved"), F.count(F.lit(1)).alias("points"))
 
 
 @register("contingency", with_(*CLU[:5]) + "SELECT cluster, label_idx, n FROM cont")
@@ -869,14 +968,33 @@ def q_stability_metrics(spark, sf):
 
 # ---- E8 store, S2/S3 round trip ----------------------------------------------------------
 
+def _store(spark, sf):
+    """Vectors of every third document, one of the texts held twice, and the documents."""
+    from bowline.operators.embed import embed, embed_with_store
+    m, d = model(spark, sf), docs(spark, sf)
+    part = embed(d.filter(F.col("doc_id") % 3 == 0), m, carry=["text"]).select("doc_id", "text", "embedding")
+    part = materialize(part, "store")
+    twice = part.filter(F.col("doc_id") == 0)
+    store = part.unionByName(twice).select("text", "embedding")
+    return embed_with_store(d, store, m)
+
+
 @register("embed_incremental", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM emb")
 def q_embed_incremental(spark, sf):
-    from bowline.operators.embed import embed, embed_with_store
-    m = model(spark, sf)
-    b = bench_items(spark, sf)
-    store = embed(b, m, "item_id").join(b, "item_id").select("text", "embedding")
-    out, _ = embed_with_store(docs(spark, sf), store, m)
-    return long_vectors(out, "doc_id", "embedding")
+    return long_vectors(_store(spark, sf)[0], "doc_id", "embedding")
+
+
+@register("store_grown", EMB.rstrip() + f""",
+held AS (SELECT text, count(*) + max(CASE WHEN doc_id = 0 THEN 1 ELSE 0 END) AS copies FROM corpus
+         WHERE doc_id % 3 = 0 GROUP BY text),
+first AS (SELECT c.text, min(c.doc_id) AS doc_id, coalesce(max(h.copies), 1) AS copies
+          FROM corpus c LEFT JOIN held h ON h.text = c.text GROUP BY c.text)
+SELECT md5(f.text) AS text_md5, CAST(f.copies AS BIGINT) AS copies, e.dim, round(e.value, {DIGITS}) AS value
+FROM first f JOIN emb e ON e.doc_id = f.doc_id""")
+def q_store_grown(spark, sf):
+    grown = _store(spark, sf)[1].groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("e"))
+    return grown.select(F.md5("text").alias("text_md5"), "copies", F.posexplode("e").alias("dim", "value")) \
+        .select("text_md5", "copies", F.col("dim").cast("int").alias("dim"), r6(F.col("value")).alias("value"))
 
 
 @register("model_roundtrip", VOCAB + f"""SELECT idx, token, token_count, doc_freq,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -39,24 +41,47 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster.
 
     ``spark.checkpoint.dir`` (or the context's checkpoint dir) is read from the
-    session; a temporary folder is set only when nothing is configured, which
-    is the case in local tests.
+    session. Only a local session may go without: it gets a temporary folder
+    that is removed when the process ends. Any other master raises.
     """
     sc = spark.sparkContext
     d = sc.getCheckpointDir()
     if not d:
         d = spark.conf.get("spark.checkpoint.dir", None)
         if not d:
-            d = tempfile.mkdtemp(prefix="bowline-ckpt-")
+            d = _temporary_folder(sc.master)
         sc.setCheckpointDir(d)
         d = sc.getCheckpointDir() or d
     return d
 
 
+def _temporary_folder(master: str) -> str:
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="bowline-ckpt-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+_MADE: set[str] = set()
+
+
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/bowline-{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/bowline-{name}-{uuid.uuid4().hex[:12]}"
+    _MADE.add(path)
+    return path
+
+
+def release_work(spark: SparkSession) -> int:
+    """Delete the work folders this process has made, once no DataFrame reads them any more."""
+    jvm, gone = spark._jvm, 0
+    for path in sorted(_MADE):
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        gone += bool(at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True))
+    _MADE.clear()
+    return gone
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
