@@ -126,6 +126,7 @@ def top_k_cosine(queries: DataFrame, candidates: DataFrame, k: int,
     if n_q and size["low"] != dim:
         raise ValueError("cosine: different dimensions")
     blocks = max(1, -(-(size["cells"] + n_q) * 8 // min(limits.broadcast_bytes, _QUERY_BYTES)))
+    blocks = min(blocks, max(1, n_q))
     if blocks > 1:
         c = materialize(c, "candidates")
     parts = []

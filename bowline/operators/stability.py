@@ -37,6 +37,7 @@ N_KINDS = 4
 MIN_CHARS_TO_DROP = 3  # a character is removed only from words of more than 2 characters
 # ---------------------------------------------------------------------------
 
+KEEP = -1  # a word that is not mutated
 _WS = r"\p{IsWhite_Space}+"
 
 
@@ -45,13 +46,22 @@ def _words(text):
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WS))
 
 
-def mutate(words: list[str], prefix: str, rate: float) -> str:
-    """One variant of a text's words; ``prefix`` + position is the key of a word's draws."""
-    placed = []
-    group = 0
+def drawn_kinds(words: list[str], prefix: str, rate: float) -> list[tuple[int, int]]:
+    """(kind or KEEP, character) of every word; ``prefix`` + position is the key of its draws."""
+    out = []
     for pos, word in enumerate(words):
         h = hashlib.md5(f"{prefix}|{pos}".encode()).digest()
-        kind = (int.from_bytes(h[4:8]) * N_KINDS) >> 32 if int.from_bytes(h[:4]) / draws.TWO_32 < rate else -1
+        mutated = int.from_bytes(h[:4]) / draws.TWO_32 < rate
+        out.append(((int.from_bytes(h[4:8]) * N_KINDS) >> 32 if mutated else KEEP,
+                    (int.from_bytes(h[8:12]) * len(word)) >> 32))
+    return out
+
+
+def mutated(words: list[str], kinds: list[tuple[int, int]]) -> str:
+    """The words of a text after the given kinds of mutation, joined by spaces."""
+    placed = []
+    group = 0
+    for pos, (word, (kind, at)) in enumerate(zip(words, kinds)):
         if kind == KIND_DELETE:
             continue
         first_left = not placed
@@ -62,7 +72,6 @@ def mutate(words: list[str], prefix: str, rate: float) -> str:
         if kind == KIND_DUPLICATE:
             placed.append((group, 0, pos, word))
         elif kind == KIND_DROP_CHAR and len(word) >= MIN_CHARS_TO_DROP:
-            at = (int.from_bytes(h[8:12]) * len(word)) >> 32
             word = word[:at] + word[at + 1:]
         placed.append((group, 2, pos, word))
     placed.sort(key=lambda e: e[:3])
@@ -78,7 +87,8 @@ def _fan_out(num_variants: int, rate: float, seed: int):
             for key, text, w in zip(keys.to_pylist(), texts.to_pylist(), words.to_pylist()):
                 # as concat_ws does, a NULL id leaves its part of the key out
                 start = f"{seed}|variant" + ("" if key is None else f"|{key}")
-                made += [mutate(w, f"{start}|{v}", rate) if w else text for v in range(1, num_variants + 1)]
+                made += [mutated(w, drawn_kinds(w, f"{start}|{v}", rate)) if w else text
+                         for v in range(1, num_variants + 1)]
             back = pa.array(np.repeat(np.arange(batch.num_rows), num_variants))
             number = pa.array(np.tile(np.arange(1, num_variants + 1, dtype=np.int32), batch.num_rows))
             yield pa.RecordBatch.from_arrays([row.take(back), number, pa.array(made, pa.string())],

@@ -21,10 +21,58 @@ def test_recall_candidates_shape(spark):
         positives = [c for c, p in cands if p]
         negatives = [c for c, p in cands if not p]
         assert positives == [q + 1]
-        assert len(negatives) == len(set(negatives)) <= 19
+        assert len(negatives) == len(set(negatives)) and 17 <= len(negatives) <= 19
         assert all(0 <= c < n and c not in (q, q + 1) for c in negatives)
 
 
+@pytest.mark.parametrize("n", [19, 30, 75, 76, 400])
+def test_negatives_are_drawn_without_replacement(spark, n):
+    rows = recall_candidates(n, spark.range(n).select(F.col("id").alias("pos"))).filter("not is_positive").collect()
+    by_q = {}
+    for r in rows:
+        by_q.setdefault(r["query_pos"], []).append(r["cand_pos"])
+    assert all(17 <= len(c) == len(set(c)) <= 19 for c in by_q.values())
+    assert len({tuple(sorted(c)) for c in by_q.values()}) == len(by_q)
+    few = recall_candidates(12, spark.range(12).select(F.col("id").alias("pos"))).filter("not is_positive").collect()
+    assert sorted(r["cand_pos"] for r in few) == list(range(2, 12))
+
+
+def test_no_results_for_k_zero_and_two_afterwards(spark):
+    from bowline.operators.retrieval import evaluate_document_retrieval
+    from bowline.operators.search import top_k_cosine
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, embedding array<double>")
+    c = spark.createDataFrame([(5, [1.0, 0.0]), (6, [0.0, 1.0])], "cand_id long, embedding array<double>")
+    none = top_k_cosine(q, c, 0)
+    two = top_k_cosine(q, c, 2)
+    assert none.columns == two.columns and none.count() == 0
+    assert [(r["rank"], r["cand_id"]) for r in two.orderBy("rank").collect()] == [(1, 5), (2, 6)]
+    docs = spark.createDataFrame([(0, "alpha beta"), (1, "gamma delta")], "doc_id long, text string")
+    m = train(docs, ModelConfig(embedding_dim=6, min_token_frequency=1))
+    qs = spark.createDataFrame([(1, "alpha")], "query_id long, text string")
+    qrels = spark.createDataFrame([(1, 0)], "query_id long, doc_id long")
+    assert evaluate_document_retrieval(qs, qrels, docs, m, 0).first()["precision_at_k"] == 0.0
+    assert evaluate_document_retrieval(qs, qrels, docs, m, 1).first()["mean_reciprocal_rank"] == 1.0
+
+
+def test_large_ids(spark):
+    from bowline.operators.coherence import evaluate_semantic_coherence, text_pair_similarity
+    from bowline.operators.search import analogy
+    from bowline.operators.stability import variant_similarity
+    docs = spark.createDataFrame([(2 ** 53 + 1, "alpha beta"), (2 ** 62 + 1, "gamma delta")], "doc_id long, text string")
+    m = train(docs, ModelConfig(embedding_dim=6, min_token_frequency=1))
+    ids = [2 ** 53 + 1, 2 ** 53 + 3, 2 ** 62, None]
+    pairs = spark.createDataFrame([(i, "alpha", "alpha", True) for i in ids] + [(ids[0], "alpha", "gamma", False)],
+                                  "pair_id long, word1 string, word2 string, related boolean")
+    got = text_pair_similarity(pairs, m).collect()
+    assert sorted(str(r["pair_id"]) for r in got) == sorted(str(i) for i in ids + ids[:1])
+    assert all(abs(r["similarity"] - 1) < 1e-9 for r in got if r["related"])
+    assert evaluate_semantic_coherence(pairs, m).first()["average_related_similarity"] > 0.99
+    t = spark.createDataFrame([(i, "alpha", "alpha", "gamma delta") for i in ids[:3]], "analogy_id long, a string, b string, c string")
+    assert {(r["query_id"], r["cand_id"]) for r in analogy(t, docs, m, 1).collect()} == {(i, 2 ** 62 + 1) for i in ids[:3]}
+    sims = variant_similarity(docs, m, 2, 0.0).collect()
+    assert len(sims) == 4 and all(abs(r["similarity"] - 1) < 1e-9 for r in sims)
+
+
 def test_retrieval_formulas(spark):
     # query 1: hits at ranks 1 and 3 of 3 relevant; query 2: no hit; query 3: none listed
     ranking = spark.createDataFrame(
@@ -52,6 +100,9 @@ def test_embedding_store(spark):
                                   (3, "new words here"), (4, "new words here")], "doc_id long, text string")
     m = train(docs, ModelConfig(embedding_dim=6, min_token_frequency=1))
     stored = embed(docs.filter("doc_id = 0"), m).join(docs, "doc_id").select("text", "embedding")
+    twice = stored.unionByName(stored)
+    out, store = embed_with_store(docs, twice, m)
+    assert out.count() == 5 and store.count() == 4               # a repeated stored text is one vector; no cap
     fake = stored.select("text", F.transform("embedding", lambda x: x * 0.0 + 7.0).alias("embedding"))
     out, store = embed_with_store(docs, fake, m, capacity=3)
     got = {r["doc_id"]: r["embedding"] for r in out.collect()}

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bowline.config import ModelConfig
-from bowline.operators.embed import bm25_weights, embed
+from bowline.config import Limits, ModelConfig
+from bowline.operators.embed import bm25_weights, embed, model_bytes
 from bowline.operators.train import train
 from bowline.session import work_path
 from bowline.sources import model_io
@@ -44,8 +44,9 @@ def test_embed_strategies_agree_and_dims(spark, small):
     extra = spark.createDataFrame([(10, ""), (11, "unknownword zzz"), (12, "test document")],
                                   "doc_id long, text string")
     d = docs.unionByName(extra)
+    blocks = Limits(broadcast_bytes=model_bytes(m) // 4)
     a = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d, m).collect()}
-    b = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d, m, strategy="join").collect()}
+    b = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d, m, limits=blocks).collect()}
     assert set(a) == set(b) == {0, 1, 2, 10, 11, 12}
     for k in a:
         assert a[k].shape == (8,)
@@ -56,7 +57,7 @@ def test_embed_strategies_agree_and_dims(spark, small):
     c = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d.repartition(3), m).collect()}
     assert all(np.allclose(a[k], c[k], atol=1e-12) for k in a)
     p = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d, m, dropout_rate=0.5).collect()}
-    q = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d, m, dropout_rate=0.5, strategy="join").collect()}
+    q = {r["doc_id"]: np.array(r["embedding"]) for r in embed(d, m, dropout_rate=0.5, limits=blocks).collect()}
     assert all(np.allclose(p[k], q[k], atol=1e-12) for k in p)
 
 
@@ -96,3 +97,73 @@ def test_vocabulary_cut_with_many_ties(spark):
         tied = sorted((t for t, c, _ in rows if c == 2), key=lambda t: t.encode())
         want = (sorted(above, key=lambda t: t.encode()) + tied)[:n_max]
         assert got == want, (n_max, take)
+
+
+def test_blocks_keep_repeated_and_null_ids_apart(spark, small):
+    _, m = small
+    d = spark.createDataFrame([(1, "test document"), (1, "completely different"), (None, "content one")],
+                              "doc_id long, text string")
+    rows = [sorted((str(r["doc_id"]), np.round(r["embedding"], 9).tolist()) for r in embed(d, m, limits=limits).collect())
+            for limits in (Limits(), Limits(broadcast_bytes=model_bytes(m) // 5))]
+    assert rows[0] == rows[1] and len(rows[0]) == 3
+    assert len({tuple(v) for _, v in rows[0]}) == 3 and all(any(v) for _, v in rows[0])
+
+
+def test_long_rows_are_embedded_in_runs(spark, small, monkeypatch):
+    from bowline.operators import embed as E
+    _, m = small
+    d = spark.createDataFrame([(i, "test document one " * (1 + i % 5) * 10) for i in range(40)], "doc_id long, text string")
+    a = sorted(map(str, embed(d, m).collect()))
+    chunk = E._project_rows
+    monkeypatch.setattr(E, "_BATCH_TERMS", 50)
+    assert chunk is E._project_rows and sorted(map(str, embed(d, m).collect())) == a
+
+
+def test_one_model_per_broadcast(spark, small):
+    docs, m = small
+    other = train(docs, ModelConfig(embedding_dim=8, min_token_frequency=1, random_seed=7))
+    a, b = ([r["embedding"] for r in embed(docs, x).orderBy("doc_id").collect()] for x in (m, other))
+    assert a != b
+
+
+@pytest.mark.parametrize("change", [{"use_ngrams": False}, {"use_orthogonal_init": False}])
+def test_training_options(spark, change):
+    docs = spark.createDataFrame(list(enumerate(CORPUS)), "doc_id long, text string")
+    m = train(docs, ModelConfig(embedding_dim=8, min_token_frequency=1).replace(**change))
+    tokens = {r["token"] for r in m.vocabulary.collect()}
+    assert ("test_document" in tokens) == m.config.use_ngrams and "document" in tokens
+    rows = np.array([r["vec"] for r in m.projection.collect()])
+    if m.config.use_orthogonal_init:
+        assert np.allclose(np.linalg.norm(rows, axis=1), 1.0)
+    else:
+        assert np.abs(rows).max() <= math.sqrt(6.0 / (m.vocab_size + 8)) and rows.std() > 0.1
+    e = np.array([r["embedding"] for r in embed(docs, m).collect()])
+    assert np.allclose(np.linalg.norm(e, axis=1), 1.0)
+
+
+def test_configuration():
+    assert ModelConfig(projection_dropout=2.0).projection_dropout == 0.9
+    assert ModelConfig.from_dict({**ModelConfig(embedding_dim=5).to_dict(), "unknown": 1}).embedding_dim == 5
+    with pytest.raises(ValueError):
+        ModelConfig(embedding_dim=0)
+    with pytest.raises(ValueError):
+        ModelConfig(max_vocabulary_size=-1)
+
+
+def test_only_local_sessions_get_a_temporary_folder(tmp_path):
+    from bowline import session
+    assert session._temporary_folder("local[4]")
+    for master in ("yarn", "spark://host:7077", "k8s://x", "local-cluster[3,2,1024]"):
+        with pytest.raises(ValueError):
+            session._temporary_folder(master)
+
+
+def test_work_folders_are_released(spark):
+    import os
+    from bowline import session
+    df = session.materialize(spark.range(3), "gone")
+    path = next(p for p in session._MADE if "gone" in p)
+    assert df.count() == 3
+    held, session._MADE = session._MADE - {path}, {path}
+    assert session.release_work(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
+    session._MADE |= held

@@ -43,7 +43,7 @@ def _brute_topk(q, c, k):
     return out
 
 
-@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=1, query_block_rows=3)])
+@pytest.mark.parametrize("limits", [Limits(), Limits(broadcast_bytes=100)])
 def test_top_k_matches_brute_force(spark, limits):
     rng = np.random.default_rng(3)
     cand = {i: rng.normal(size=5) for i in range(40)}
@@ -78,3 +78,27 @@ def test_dense_positions_keeps_null_keys_and_spread_input(spark):
     got = sorted((r["pos"], r["k"]) for r in dense_positions(df, ["k"]).collect())
     assert [p for p, _ in got] == list(range(50))
     assert got[0][1] is None                         # NULL sorts first
+
+
+def test_dense_positions_need_unique_keys(spark):
+    with pytest.raises(ValueError, match="not unique"):
+        dense_positions(spark.createDataFrame([(1, "a"), (1, "b")], "k long, t string"), ["k"])
+
+
+@pytest.mark.parametrize("n", [1, 3, 1023, 1030, 2060])
+def test_bands_across_runs(spark, n):
+    from bowline.config import ModelConfig
+    from bowline.operators.search import banded_pairs
+    from bowline.operators.train import train
+    items = spark.range(n).selectExpr("id as pos", "concat('word', id % 7) as text")
+    m = train(items.selectExpr("pos as doc_id", "text").limit(50), ModelConfig(embedding_dim=4, min_token_frequency=1))
+    got = sorted((r["a_pos"], r["b_pos"]) for r in banded_pairs(items, m, 4).collect())
+    assert got == [(a, b) for a in range(n) for b in range(a + 1, min(n, a + 5))]
+
+
+def test_vector_sums(spark):
+    from bowline.operators.sums import vector_sums
+    rows = [("a", 2.0, [1.0, 2.0]), ("b", 1.0, [5.0, 5.0]), ("a", 1.0, [0.0, 1.0]), (None, 3.0, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "k string, w double, v array<double>").repartition(3)
+    got = {(r["k"], r["dim"]): r["x"] for r in vector_sums(df, "k", "v", F.col("w")).collect()}
+    assert got == {("a", 0): 2.0, ("a", 1): 5.0, ("b", 0): 5.0, ("b", 1): 5.0, (None, 0): 3.0, (None, 1): 3.0}
