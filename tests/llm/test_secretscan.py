@@ -8,7 +8,7 @@ from bowline.llm.queries import QUERIES
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
                               re.I | re.A), 2, 6),
         ("access", re.compile(r"AKIA[A-Z0-9]+"), 0, 20), ("hex", re.compile(r"[0-9a-f]+"), 0, 24)]
-RANDOM = "qX7vR2mK9pL4tZ8wB3nY6cJ1"
+RANDOM = "q7x2vkm9zl4wtb8njc6yhd3f"
 TEXTS = ["password=abc token: 'secret99' x", "passwd = \"a.b-c_d=\" AKIA" + "Z9" * 8, "AKIA" + "1" * 15, "🙂é api_key=" + "ab" * 15,
          "APIKEY:xyz123", "password=token:abcdefgh", "0" * 23 + " " + "0123456789abcdef" * 2, None, "", "token=" * 40,
          f"see {RANDOM} here", "the interoperability_requirements_document", "4111111111111111 4222222222222222",

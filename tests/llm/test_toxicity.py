@@ -28,7 +28,7 @@ def corpus(n, seed):
 
 def test_held_out_rows_are_told_apart(spark, table_dir, frame):
     rows, labels = corpus(240, 5)
-    rows += [(1000, None, None, None), (1001, "", None, None), (None, "over many zblarg stones", None, None), (1002, "ab", None, None),
+    rows += [(1000, None, None, None), (1001, "", None, None), (None, "the river runs over zblarg stones and kwoxtu", None, None), (1002, "ab", None, None),
              (1003, "the river " * 20_000 + "zblarg kwoxtu", None, None), (0, rows[0][1], "en", "s")]
     labels += [(0, 1, 1), (2, 1, None), (None, 0, 1), (5000, 0, 1)]
     d = table_dir(documents=frame(rows), labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
