@@ -22,9 +22,10 @@ it into a probability.
 
 Scale. Grams are counted over all training rows: per slice in NumPy, then one
 aggregation by gram. The tables hold distinct grams of five normalised bytes,
-a number set by the writing systems and not by the corpus; their broadcast is
-checked against ``MAX_GRAMS``, beyond which grams with the same highest-order
-hash share counts. Texts are not shuffled.
+a number set by the writing systems and not by the corpus. They are sent in
+blocks of about ``MAX_GRAMS`` rows; with more than one block the scoring steps
+are chained and carry the ratios of a text's positions along, so every gram is
+used at any size. Texts are not shuffled.
 
 Nulls: a null text is empty; an empty text has ratio 0. Rows without a label or
 with a null one are not learned from. Repeated labels of a document count once
@@ -122,11 +123,11 @@ def shared_model(counts: DataFrame) -> DataFrame:
     return model
 
 
-def train(labelled: DataFrame) -> tuple[pa.Table, pa.Table]:
-    """(gram -> ratio, context -> ratio of backoff weights) from (text, toxic)."""
+def train(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, ratio) tables of seen grams and of contexts (ratio of backoff weights) from (text, toxic)."""
     counts = materialize(count_grams(labelled), "grams")
     if counts.isEmpty():
-        none = pa.table({"key": pa.array([], pa.int64()), "ratio": pa.array([], pa.float32())})
+        none = counts.select(F.col("gram").alias("key"), F.lit(0.0).cast("float").alias("ratio"))
         return none, none
     context = materialize(counts.groupBy(F.shiftright("gram", 8).alias("context")).agg(
         *[F.sum(f"n{c}").cast("double").alias(f"all{c}") for c in (0, 1)],
@@ -145,14 +146,18 @@ def train(labelled: DataFrame) -> tuple[pa.Table, pa.Table]:
                   F.col("suffix") == F.col("gram").bitwiseAND((1 << (8 * (ORDER - 1))) - 1))
             .select(F.col("gram").alias("key"), F.log(p(1) / p(0)).cast("float").alias("ratio")))
     unseen = context.select(F.col("context").alias("key"), F.log(weight(1) / weight(0)).cast("float").alias("ratio"))
-    return tuple(_bounded(t).toArrow() for t in (seen, unseen))
+    return materialize(seen, "seen"), materialize(unseen, "unseen")
 
 
-def _bounded(table: DataFrame) -> DataFrame:
-    """At most MAX_GRAMS rows: beyond that, the strongest ratios (the rest are nearest to 0, the ratio of no row)."""
-    if table.count() <= MAX_GRAMS:
-        return table
-    return table.orderBy(F.abs("ratio").desc(), "key").limit(MAX_GRAMS)
+def blocks_of(model: tuple[DataFrame, DataFrame], max_grams: int = MAX_GRAMS) -> list[tuple]:
+    """(broadcast block, bits to drop from a gram for its key): the seen grams' blocks, then the contexts'."""
+    out = []
+    for table, shift in zip(model, (0, 8)):
+        n = max(1, -(-table.count() // max_grams))
+        for i in range(n):
+            block = (table if n == 1 else table.filter(F.pmod(F.xxhash64("key"), F.lit(n)) == i)).toArrow()
+            out.append((table.sparkSession.sparkContext.broadcast(block), shift))
+    return out
 
 
 class Table:
@@ -187,11 +192,17 @@ class Table:
         return out, np.concatenate(missing) if missing else np.zeros(0, np.int64)
 
 
-def ratios(raw: np.ndarray, seen: Table, unseen: Table) -> np.ndarray:
-    """Log-likelihood ratio of every gram, by distinct gram."""
+def ratios(raw: np.ndarray, tables: list[tuple[Table, int]], held: np.ndarray | None = None) -> np.ndarray:
+    """Log-likelihood ratio of every gram; NaN where no table so far holds it."""
     g, back = np.unique(grams(raw), return_inverse=True)
-    out, miss = seen.get(g)
-    out[miss] = unseen.get(g[miss] >> 8)[0]
+    out = np.full(len(g), np.nan, np.float32)
+    if held is not None:
+        out[back] = held
+    for table, shift in tables:
+        left = np.flatnonzero(np.isnan(out))
+        got, miss = table.get(g[left] >> shift)
+        got[miss] = np.nan
+        out[left] = got
     return out[back]
 
 
@@ -214,28 +225,45 @@ def worst_window(r: np.ndarray, row: np.ndarray, rows: int, window: int = WINDOW
     return out
 
 
-def _score(model, curve: Curve | None):
+def _score(blocks: list[tuple], last: bool, curve: Curve | None):
+    """Score rows (id, text) or, after an earlier step, (id, text, ratios so far)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, unseen = (Table(t.column("key").to_numpy(), t.column("ratio").to_numpy()) for t in model.value)
+        tables = [(Table(b.value.column("key").to_numpy(), b.value.column("ratio").to_numpy()), shift)
+                  for b, shift in blocks]
         for batch in batches:
-            x = np.zeros(batch.num_rows)
+            x, partial = np.zeros(batch.num_rows), []
             for lo, hi, raw, offs in slices(batch.column(1)):
                 row, inside = _rows(offs)
-                r = ratios(raw, seen, unseen)
-                x[lo:hi] = worst_window(r[inside], row[inside], hi - lo)
+                held = None
+                if batch.num_columns == 3:
+                    held = np.full(len(row), np.nan, np.float32)
+                    held[inside] = np.frombuffer(b"".join(batch.column(2).slice(lo, hi - lo).to_pylist()), np.float32)
+                r, row = ratios(raw, tables, held)[inside], row[inside]
+                if last:
+                    x[lo:hi] = worst_window(np.nan_to_num(r), row, hi - lo)
+                else:
+                    cut = np.searchsorted(row, np.arange(hi - lo + 1))
+                    partial += [r[a:b].tobytes() for a, b in zip(cut, cut[1:])]
+            if not last:
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(partial, pa.binary())],
+                                                 names=["doc_id", "text", "held"])
+                continue
             if curve is not None:
                 x = np.interp(x, *curve)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x)], names=["doc_id", "x"])
     return run
 
 
-def window_ratios(docs: DataFrame, model: tuple[pa.Table, pa.Table], id_col: str = "doc_id",
-                  text_col: str = "text", curve: Curve | None = None) -> DataFrame:
+def window_ratios(docs: DataFrame, blocks: list[tuple], id_col: str = "doc_id", text_col: str = "text",
+                  curve: Curve | None = None) -> DataFrame:
     """(doc_id, x): the most toxic window's mean log-likelihood ratio of every row, or its probability."""
-    src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    held = docs.sparkSession.sparkContext.broadcast(model)
-    kind = src.schema["doc_id"].dataType.simpleString()
-    return src.mapInArrow(_score(held, curve), f"doc_id {kind}, x double")
+    out = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kind = out.schema["doc_id"].dataType.simpleString()
+    if len(blocks) > 2:
+        for b in blocks[:-1]:
+            out = out.mapInArrow(_score([b], False, None), f"doc_id {kind}, text string, held binary")
+        blocks = blocks[-1:]
+    return out.mapInArrow(_score(blocks, True, curve), f"doc_id {kind}, x double")
 
 
 Curve = tuple[np.ndarray, np.ndarray]  # ratios, in order, and their probabilities
@@ -274,7 +302,7 @@ def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def score(docs: DataFrame, labels: DataFrame, learn: Column, calibration: Column) -> DataFrame:
     """(doc_id, score) of every row; counts come from ``learn`` rows, the curve from ``calibration`` rows."""
     rows = with_labels(docs, labels)
-    model = train(rows.filter(learn))
+    model = blocks_of(train(rows.filter(learn)))
     held = rows.filter(calibration)
     known = held.select(F.struct("doc_id", "toxic").alias("of"), "text")
     curve = calibrate(window_ratios(known, model, "of").select("x", F.col("doc_id.toxic").alias("toxic")))

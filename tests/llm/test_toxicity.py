@@ -94,10 +94,16 @@ def brute_ratios(texts, text):
 def test_model_against_dictionaries(spark):
     texts = [("You are a zblarg!", 1), ("You were an artist 42", 0), ("an artist zblarg", 1), ("é artist", 0), ("abc", 0)]
     model = toxicity.train(spark.createDataFrame(texts, "text string, toxic int"))
-    seen, unseen = (toxicity.Table(t.column("key").to_numpy(), t.column("ratio").to_numpy()) for t in model)
+    tables = [(toxicity.Table(b.value.column("key").to_numpy(), b.value.column("ratio").to_numpy()), shift)
+              for b, shift in toxicity.blocks_of(model)]
     for text in ("you are an artist, zblarg 77", "quite new words é artist"):
         raw = np.frombuffer(text.encode(), np.uint8)
-        np.testing.assert_allclose(toxicity.ratios(raw, seen, unseen), brute_ratios(texts, text), atol=1e-4)
+        np.testing.assert_allclose(np.nan_to_num(toxicity.ratios(raw, tables)), brute_ratios(texts, text), atol=1e-4)
+    docs = spark.createDataFrame([(1, "you are an artist, zblarg 77"), (2, None), (3, "abc"), (4, "quite new artist")],
+                                 "doc_id long, text string")
+    whole, cut = (sorted(map(tuple, toxicity.window_ratios(docs, toxicity.blocks_of(model, n)).collect()))
+                  for n in (1 << 20, 9))
+    assert whole == cut
 
 
 def test_windows_and_curve():
