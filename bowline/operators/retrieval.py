@@ -141,7 +141,7 @@ def retrieval_per_query(ranking: DataFrame, queries: DataFrame, qrels: DataFrame
         F.min(F.when(F.col("is_rel") == 1, F.col("rank"))).alias("first_hit"))
     n_rel = qrels.select("query_id", "doc_id").distinct().groupBy("query_id") \
         .agg(F.count(F.lit(1)).alias("n_rel"))
-    q = queries.select(F.col(q_id).cast("long").alias("query_id"))
+    q = queries.select(F.col(q_id).alias("query_id"))
     found = F.coalesce("found", F.lit(0)).cast("long")
     return (q.join(per, "query_id", "left").join(n_rel, "query_id", "left")
             .select("query_id", found.alias("found"),

@@ -28,19 +28,15 @@ from bowline.session import materialize
 BAND_RUN = 1024
 RANK_DIGITS = 9  # similarities equal to 9 digits are ties, broken by candidate id
 
-HIT_SCHEMA = Ty.StructType([
-    Ty.StructField("query_id", Ty.LongType()),
-    Ty.StructField("cand_id", Ty.LongType()),
-    Ty.StructField("similarity", Ty.DoubleType()),
-])
-
-
-RANKED_SCHEMA = Ty.StructType([
-    Ty.StructField("query_id", Ty.LongType()),
-    Ty.StructField("rank", Ty.IntegerType()),
-    Ty.StructField("cand_id", Ty.LongType()),
-    Ty.StructField("similarity", Ty.DoubleType()),
-])
+
+def _schema(q: DataFrame, c: DataFrame, *, ranked: bool) -> Ty.StructType:
+    """Hits keep the types of the ids."""
+    rank = [Ty.StructField("rank", Ty.IntegerType())] if ranked else []
+    return Ty.StructType([Ty.StructField("query_id", q.schema["query_id"].dataType)] + rank
+                         + [Ty.StructField("cand_id", c.schema["cand_id"].dataType),
+                            Ty.StructField("similarity", Ty.DoubleType())])
+
+
 _QUERY_BYTES = 128 * 1024 * 1024  # of one block on its way through the driver
 
 
@@ -70,29 +66,35 @@ def _best_k(qn, c_ids, cn, k, cell_budget=4_000_000):
 def _merged_k(best, new, k):
     """The best k of two (ids, similarities) pairs per query."""
     ids, sims = (np.concatenate(x, axis=1) for x in zip(best, new))
-    top = np.lexsort((ids, -np.round(sims, RANK_DIGITS)), axis=1)[:, :k]
+    by_id = np.argsort(ids, axis=1, kind="stable")
+    ids, sims = np.take_along_axis(ids, by_id, axis=1), np.take_along_axis(sims, by_id, axis=1)
+    top = np.argsort(-np.round(sims, RANK_DIGITS), axis=1, kind="stable")[:, :k]
     return np.take_along_axis(ids, top, axis=1), np.take_along_axis(sims, top, axis=1)
 
 
 def _make_scorer(bc, k: int, dim: int):
     def score(batches):
         q_ids, qn = bc.value
-        best = None
+        best = kind = None
         for batch in batches:
             if batch.num_rows == 0 or len(q_ids) == 0:
                 continue
+            if batch.column(0).null_count:
+                raise ValueError("candidates need ids")
+            kind = batch.column(0).type
             vecs = batch.column(1)
             lens = vecs.value_lengths().to_numpy(zero_copy_only=False)
             if (lens != dim).any():
                 raise ValueError("cosine: different dimensions")
             c = vecs.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
-            c_ids = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            c_ids = batch.column(0).to_numpy(zero_copy_only=False)
             new = _best_k(qn, c_ids, _unit_rows(c), k)
             best = new if best is None else _merged_k(best, new, k)
         if best is not None:
             ids, sims = best
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.repeat(q_ids, ids.shape[1])), pa.array(ids.ravel()), pa.array(sims.ravel())],
+                [q_ids.take(pa.array(np.repeat(np.arange(len(q_ids)), ids.shape[1]))),
+                 pa.array(ids.ravel(), kind), pa.array(sims.ravel())],
                 names=["query_id", "cand_id", "similarity"])
     return score
 
@@ -112,12 +114,10 @@ def top_k_cosine(queries: DataFrame, candidates: DataFrame, k: int,
     """K1: (query_id, rank, cand_id, similarity) — the k most cosine-similar
     candidates per query, ranked by similarity desc then candidate id; k
     larger than the candidate count returns all candidates."""
+    q = queries.select(F.col(q_id).alias("query_id"), F.col(q_vec).cast("array<double>").alias("v"))
+    c = candidates.select(F.col(c_id).alias("cand_id"), F.col(c_vec).cast("array<double>").alias("v"))
     if k <= 0:
-        return queries.sparkSession.createDataFrame([], RANKED_SCHEMA)
-    q = queries.select(F.col(q_id).cast("long").alias("query_id"),
-                       F.col(q_vec).cast("array<double>").alias("v"))
-    c = candidates.select(F.col(c_id).cast("long").alias("cand_id"),
-                          F.col(c_vec).cast("array<double>").alias("v"))
+        return queries.sparkSession.createDataFrame([], _schema(q, c, ranked=True))
     # the queries' vectors are computed once; their size decides the number of blocks
     q = materialize(q, "queries")
     size = q.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size("v")), F.lit(0)).alias("cells"),
@@ -135,8 +135,8 @@ def top_k_cosine(queries: DataFrame, candidates: DataFrame, k: int,
         block = part.toArrow().combine_chunks()
         mat = (block.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)
                if block.num_rows else np.zeros((0, dim)))
-        bc = q.sparkSession.sparkContext.broadcast((block.column("query_id").to_numpy(), _unit_rows(mat)))
-        parts.append(c.mapInArrow(_make_scorer(bc, k, dim), HIT_SCHEMA))
+        bc = q.sparkSession.sparkContext.broadcast((block.column("query_id").combine_chunks(), _unit_rows(mat)))
+        parts.append(c.mapInArrow(_make_scorer(bc, k, dim), _schema(q, c, ranked=False)))
     hits = parts[0]
     for p in parts[1:]:
         hits = hits.unionByName(p)

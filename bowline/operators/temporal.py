@@ -74,11 +74,6 @@ def _pair_sums(emb: DataFrame) -> DataFrame:
     return s.join(q, "seq_id").select("seq_id", ((F.col("s") - F.col("q")) / 2.0).alias("all_pairs_sum"))
 
 
-TAU_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
-                            Ty.StructField("kendall_tau", Ty.DoubleType())])
-_COUNT_SCHEMA = Ty.StructType([Ty.StructField("seq_id", Ty.LongType()),
-                               Ty.StructField("conc", Ty.LongType()),
-                               Ty.StructField("disc", Ty.LongType())])
 # A sequence is cut into position blocks of TAU_BLOCK items; every (block i <= block j)
 # pair is its own task, so a task's vectors are bounded whatever the sequence's length.
 TAU_BLOCK = 2048
@@ -90,7 +85,7 @@ def _tau_block_pair(pdf):
     import numpy as np
     import pandas as pd
 
-    seq = int(pdf["seq_id"].iloc[0])
+    seq = pdf["seq_id"].iloc[0]
     same = int(pdf["bi"].iloc[0]) == int(pdf["bj"].iloc[0])
     cons = np.sort(pdf.loc[pdf["kind"] == 2, "c"].to_numpy(np.float64))
 
@@ -127,8 +122,9 @@ def sequence_tau(emb: DataFrame) -> DataFrame:
     block pair of its sequence. A task therefore holds two blocks of vectors
     plus the sequence's consecutive similarities (one float per item).
     """
-    e = emb.select(F.col("seq_id").cast("long").alias("seq_id"),
-                   F.col("pos").cast("long").alias("pos"), "embedding")
+    e = emb.select("seq_id", F.col("pos").cast("long").alias("pos"), "embedding")
+    counted = Ty.StructType([e.schema["seq_id"], Ty.StructField("conc", Ty.LongType()),
+                             Ty.StructField("disc", Ty.LongType())])
     sizes = e.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
     sizes = sizes.select("seq_id", F.ceil(F.col("n") / TAU_BLOCK).cast("long").alias("nb"))
     eb = e.join(sizes, "seq_id").withColumn("b", F.floor(F.col("pos") / TAU_BLOCK))
@@ -150,7 +146,7 @@ def sequence_tau(emb: DataFrame) -> DataFrame:
                   F.lit(2).alias("kind"), F.lit(None).cast("long").alias("pos"),
                   F.lit(None).cast("array<double>").alias("embedding"), "c"))
     counts = (rows.unionByName(cols).unionByName(cs)
-              .groupBy("seq_id", "bi", "bj").applyInPandas(_tau_block_pair, _COUNT_SCHEMA)
+              .groupBy("seq_id", "bi", "bj").applyInPandas(_tau_block_pair, counted)
               .groupBy("seq_id").agg(F.sum("conc").alias("conc"), F.sum("disc").alias("disc")))
     return counts.select("seq_id", F.when(F.col("conc") + F.col("disc") > 0,
                                           (F.col("conc") - F.col("disc"))
@@ -169,7 +165,7 @@ def nonconsecutive(emb: DataFrame) -> DataFrame:
     n = F.col("n_cons") + 1
     n_non = ((n - 1) * (n - 2) / 2).cast("long")
     return cons.join(_pair_sums(emb), "seq_id").select(
-        F.col("seq_id").cast("long").alias("seq_id"), n_non.alias("n_pairs"),
+        "seq_id", n_non.alias("n_pairs"),
         F.when(n_non > 0, (F.col("all_pairs_sum") - F.col("cons_sum")) / n_non)
         .otherwise(0.0).alias("mean_similarity"))
 
@@ -184,7 +180,7 @@ def sequence_metrics(emb: DataFrame) -> DataFrame:
     n_non = (n - 1) * (n - 2) / 2
     non_mean = F.when(n_non > 0, (F.col("all_pairs_sum") - F.col("cons_sum")) / n_non).otherwise(0.0)
     return (cons.join(sums, "seq_id").join(sequence_tau(emb), "seq_id")
-            .select(F.col("seq_id").cast("long").alias("seq_id"), n.cast("long").alias("n"),
+            .select("seq_id", n.cast("long").alias("n"),
                     "kendall_tau",
                     (F.col("cons_sum") / F.col("n_cons") - non_mean).alias("correlation"),
                     (F.col("dist_sum") / F.col("n_cons")).alias("average_distance")))
@@ -193,7 +189,7 @@ def sequence_metrics(emb: DataFrame) -> DataFrame:
 def temporal_metrics(per_seq: DataFrame, seqs: DataFrame, seq_col: str = "seq_id") -> DataFrame:
     """Sums over scored sequences divided by the number of all input
     sequences (sequences shorter than 2 count in the divisor only)."""
-    every = seqs.select(F.col(seq_col).cast("long").alias("seq_id")).distinct()
+    every = seqs.select(F.col(seq_col).alias("seq_id")).distinct()
     s = every.join(per_seq, "seq_id", "left")
 
     def mean(c):

@@ -75,7 +75,7 @@ def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def model(spark: SparkSession, sf_dir: str, cfg: ModelConfig = QCFG):
     from bowline.operators.train import train
-    key = (id(spark), sf_dir, cfg)
+    key = (spark.sparkContext.applicationId, sf_dir, cfg)
     if key not in _MODELS:
         _MODELS[key] = train(docs(spark, sf_dir), cfg)
     return _MODELS[key]

@@ -54,6 +54,22 @@ def test_no_results_for_k_zero_and_two_afterwards(spark):
     assert evaluate_document_retrieval(qs, qrels, docs, m, 1).first()["mean_reciprocal_rank"] == 1.0
 
 
+def test_string_ids(spark):
+    from bowline.operators.retrieval import evaluate_document_retrieval
+    from bowline.operators.search import nearest_neighbors
+    from bowline.operators.temporal import evaluate_temporal_ordering
+    docs = spark.createDataFrame([("d2", "alpha beta"), ("d1", "alpha beta"), ("é", "gamma delta")], "doc_id string, text string")
+    m = train(docs, ModelConfig(embedding_dim=6, min_token_frequency=1))
+    q = spark.createDataFrame([("q", "alpha beta"), ("r", "delta gamma")], "query_id string, text string")
+    got = nearest_neighbors(q, docs.repartition(3), m, 2).orderBy("query_id", "rank").collect()
+    assert [r["cand_id"] for r in got if r["query_id"] == "q"] == ["d1", "d2"] and got[2]["cand_id"] == "é"
+    qrels = spark.createDataFrame([("q", "d1")], "query_id string, doc_id string")
+    assert evaluate_document_retrieval(q, qrels, docs, m, 1).first()["mean_reciprocal_rank"] == 0.5
+    seqs = spark.createDataFrame([("s", i, t) for i, t in enumerate(["alpha", "beta", "gamma", "delta"])],
+                                 "seq_id string, pos long, text string")
+    assert evaluate_temporal_ordering(seqs, m).first()["average_distance"] > 0
+
+
 def test_large_ids(spark):
     from bowline.operators.coherence import evaluate_semantic_coherence, text_pair_similarity
     from bowline.operators.search import analogy
