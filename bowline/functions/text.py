@@ -1,14 +1,18 @@
 """Text column functions: normalize, tokenize, n-grams, term bags.
 
-Everything runs as built-in JVM expressions. NFC has no Spark SQL function;
-it calls ICU4J's composer (a Spark dependency) through ``reflect``, and only
-for the rows that can change under NFC (a character at or above U+0300).
+Everything but NFC runs as built-in JVM expressions. NFC has no Spark SQL
+function; it is an Arrow function that gets only the rows that can change
+under NFC (a character at or above U+0300), all others are null to it.
 """
 
 from __future__ import annotations
 
+import unicodedata
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from bowline.functions.common import let
 
@@ -38,14 +42,15 @@ SPLIT_PATTERN = r"[^\p{IsAlphabetic}\p{N}]+"
 _MAY_CHANGE_UNDER_NFC = r"[^\x{0000}-\x{02FF}]"
 
 
-def nfc(text: Column) -> Column:
-    """Unicode NFC, in the JVM: ICU4J (shipped with Spark) through ``reflect``.
+@F.arrow_udf(StringType())
+def _composed(texts: pa.Array) -> pa.Array:
+    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
 
-    Rows whose characters are all below U+0300 are returned as they are
-    without the call.
-    """
-    composed = F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), text, F.lit(False))
-    return F.when(text.rlike(_MAY_CHANGE_UNDER_NFC), composed).otherwise(text)
+
+def nfc(text: Column) -> Column:
+    """Unicode NFC; rows whose characters are all below U+0300 are returned as they are."""
+    may_change = text.rlike(_MAY_CHANGE_UNDER_NFC)
+    return F.coalesce(_composed(F.when(may_change, text)), text)
 
 
 def normalize(text: Column) -> Column:
