@@ -52,12 +52,11 @@ def clamp_dropout(rate: float) -> float:
 class Limits:
     """Size guards for everything that is shipped whole to executors.
 
-    ``broadcast_bytes`` bounds a model or a query block that is broadcast;
-    beyond it the operators switch to their shuffle-join path.
+    ``broadcast_bytes`` bounds a block of a model, of queries or of centroids;
+    more than that goes out in several blocks, which changes no answer.
     """
 
     broadcast_bytes: int = 512 * 1024 * 1024
-    query_block_rows: int = 4096
     # rows of (term, weight) handled per numpy chunk in the dense projection
     projection_chunk: int = 16384
 

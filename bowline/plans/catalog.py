@@ -273,10 +273,6 @@ def q_embed_documents(spark, sf):
     return long_vectors(embed(docs(spark, sf), model(spark, sf)), "doc_id", "embedding")
 
 
-# small limits, so that the model, the queries and the centroids go out in many blocks
-BLOCKS = Limits(broadcast_bytes=20_000)
-
-
 @register("embed_documents_join", EMB + f"SELECT doc_id, dim, round(value, {DIGITS}) AS value FROM emb")
 def q_embed_documents_join(spark, sf):
     """E6 / E7 for a model beyond the broadcast limit: the vocabulary in blocks."""

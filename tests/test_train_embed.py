@@ -2,7 +2,6 @@ import math
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from bowline.config import Limits, ModelConfig
 from bowline.operators.embed import bm25_weights, embed, model_bytes
