@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bowline.session import materialize, work_path
 
-__all__ = ["materialize", "work_path", "read", "packed", "unpacked", "bounded_broadcast"]
+__all__ = ["materialize", "work_path", "read", "packed"]
 
 ROW = "_row"
 
@@ -19,12 +19,3 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def packed(df: DataFrame) -> Column:
     """The whole row as one struct, so no name of an input column can clash."""
     return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(ROW)
-
-
-def unpacked(df: DataFrame, like: DataFrame) -> DataFrame:
-    return df.select(*[F.col(f"{ROW}.`{c}`").alias(c) for c in like.columns])
-
-
-def bounded_broadcast(df: DataFrame, rows: int, row_bytes: int, limit: int) -> DataFrame:
-    """Broadcast hint only where ``rows`` counted rows of ``row_bytes`` stay under ``limit``."""
-    return F.broadcast(df) if rows * row_bytes <= limit else df

@@ -7,7 +7,6 @@ import pytest
 import corpus_pipeline as cp
 
 from test_decontam import brute as brute_hits
-from test_linededup import brute as brute_lines  # noqa: F401
 from test_simhash import brute_components, brute_fp
 
 WORDS = {"en": "the and of that with this from they have which".split(), "de": "der und nicht schön über mit dass für ich auch".split()}
