@@ -89,10 +89,16 @@ def _landmark_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary())], names=["bits"])
 
 
+def landmark_matrix(bits: list[bytes]) -> np.ndarray:
+    """The normalised landmark vectors of their packed bits."""
+    x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1)
+    return unit(x.astype(np.float32)).astype(np.float32)
+
+
 def _normal_sums(landmarks, languages: list[str]):
     """K_NL' K_NL and K_NL' Y of the task's rows, as one row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = landmarks.value
+        marks = landmark_matrix(landmarks.value)
         gram = np.zeros((len(marks), len(marks)))
         right = np.zeros((len(marks), len(languages)))
         at = {v: i for i, v in enumerate(languages)}
@@ -140,10 +146,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     bits = sampled(sample, LANDMARKS).select("text").mapInArrow(_landmark_bits, "bits binary").collect()
     if not bits:  # a tiny sample may have no row under its share
         bits = sample.select("text").limit(LANDMARKS).mapInArrow(_landmark_bits, "bits binary").collect()
-    x = np.unpackbits(np.frombuffer(b"".join(r[0] for r in bits), np.uint8).reshape(len(bits), -1), axis=1)
-    marks = unit(x.astype(np.float32)).astype(np.float32)
+    held = [bytes(r[0]) for r in bits]
+    marks = landmark_matrix(held)
+    # the tasks get the landmarks as bits: a 32nd of the matrix
     parts = sample.select("text", "lang").mapInArrow(
-        _normal_sums(spark.sparkContext.broadcast(marks), languages), "gram binary, right binary")
+        _normal_sums(spark.sparkContext.broadcast(held), languages), "gram binary, right binary")
     m = len(marks)
     gram, right = np.zeros((m, m)), np.zeros((m, len(languages)))
     for r in parts.toLocalIterator():
