@@ -25,7 +25,8 @@ aggregation by gram. The tables hold distinct grams of five normalised bytes,
 a number set by the writing systems and not by the corpus. They are sent in
 blocks of about ``MAX_GRAMS`` rows; with more than one block the scoring steps
 are chained and carry the ratios of a text's positions along, so every gram is
-used at any size. Texts are not shuffled.
+used at any size. Texts are shuffled only where the labels are too many to be
+sent to them.
 
 Nulls: a null text is empty; an empty text has ratio 0. Rows without a label or
 with a null one are not learned from. Repeated labels of a document count once
@@ -48,6 +49,8 @@ ORDER = 5
 DISCOUNT = 0.75
 WINDOW = 8
 MAX_GRAMS = 1 << 22
+LABEL_ROW = 32  # bytes of one label in a hashed relation
+LABEL_BYTES = 64 * 1024 * 1024
 BINS = 200  # bins per unit of the mean ratio in the calibration histogram
 
 SYMBOL = np.full(256, 0x20, np.uint8)
@@ -293,10 +296,16 @@ def calibrate(x: DataFrame) -> Curve:
     return isotonic(b / BINS, y, n)
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, text, toxic) of the labelled documents; 0 or 1, the largest of repeated labels."""
-    per_doc = labels.filter(F.col("toxic").isin(0, 1)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    return docs.select("doc_id", "text").join(per_doc, "doc_id")
+def with_labels(docs: DataFrame, labels: DataFrame, broadcast_bytes: int = LABEL_BYTES) -> DataFrame:
+    """(doc_id, text, toxic) of the labelled documents; 0 or 1, the largest of repeated labels.
+
+    Labels whose counted size allows are sent to the texts; more of them meet
+    the texts in a shuffle join.
+    """
+    per_doc = materialize(labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+                          .groupBy("doc_id").agg(F.max("toxic").alias("toxic")), "labels")
+    small = per_doc.count() * LABEL_ROW <= broadcast_bytes
+    return docs.select("doc_id", "text").join(F.broadcast(per_doc) if small else per_doc, "doc_id")
 
 
 def score(docs: DataFrame, labels: DataFrame, learn: Column, calibration: Column) -> DataFrame:

@@ -106,6 +106,14 @@ def test_model_against_dictionaries(spark):
     assert whole == cut
 
 
+def test_labels_join_either_way(spark):
+    docs = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c"), (None, "d"), (3, "e")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (2, 0), (3, None), (4, 1), (None, 1)], "doc_id long, toxic int")
+    for limit in (0, 1 << 20):
+        got = sorted(map(tuple, toxicity.with_labels(docs, labels, limit).collect()))
+        assert got == [(1, "a", 1), (1, "b", 1), (2, "c", 0)]
+
+
 def test_windows_and_curve():
     r, row = np.array([1.0, 3, -1, 5, 5, 0, 2]), np.array([0, 0, 0, 2, 2, 2, 3])
     np.testing.assert_allclose(toxicity.worst_window(r, row, 5, 2), [2, 0, 5, 2, 0])
