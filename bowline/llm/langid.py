@@ -118,8 +118,11 @@ def _normal_sums(landmarks, languages: list[str]):
     return run
 
 
-def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
-    """About ``per_language`` rows of every language, by the hash ``u`` in [0, 1)."""
+def sampled(labelled: DataFrame, per_language: int, by: str) -> DataFrame:
+    """About ``per_language`` rows of every language, by the hash ``by`` in [0, 1).
+
+    A sample of a sample needs a hash of its own: within it the first hash is not uniform.
+    """
     size = labelled.groupBy("lang").agg(F.count("*").alias("rows"))
     # one row per language; each share keeps per_language rows in expectation
     shares = {r["lang"]: per_language / r["rows"] for r in size.collect()}
@@ -127,7 +130,7 @@ def sampled(labelled: DataFrame, per_language: int) -> DataFrame:
         return labelled.limit(0)
     share = F.element_at(F.map_from_arrays(*[F.array(*map(F.lit, v)) for v in (shares.keys(), shares.values())]),
                          F.col("lang"))
-    return labelled.filter(F.col("u") < share)
+    return labelled.filter(F.col(by) < share)
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -137,13 +140,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if use is not None:
         rows = rows.filter(use)
-    hashed = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col)), 11) / F.lit(float(1 << 53))
-    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), hashed.alias("u"))
-    sample = materialize(sampled(rows, PER_LANGUAGE), "sample")
+    def hashed(salt: str) -> Column:
+        h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(salt))
+        return (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias(salt)
+
+    rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+                       hashed("in_sample"), hashed("in_landmarks"))
+    sample = materialize(sampled(rows, PER_LANGUAGE, "in_sample"), "sample")
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((FEATURES, 0), np.float32)
-    bits = sampled(sample, LANDMARKS).select("text").mapInArrow(_landmark_bits, "bits binary").collect()
+    bits = sampled(sample, LANDMARKS, "in_landmarks").select("text").mapInArrow(_landmark_bits, "bits binary").collect()
     if not bits:  # a tiny sample may have no row under its share
         bits = sample.select("text").limit(LANDMARKS).mapInArrow(_landmark_bits, "bits binary").collect()
     held = [bytes(r[0]) for r in bits]

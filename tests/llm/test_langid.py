@@ -39,6 +39,15 @@ def test_held_out_rows_and_edge_cases(spark, table_dir, frame):
     assert {g["lang_pred"] for g in got if g["doc_id"] == 903} == {"de"}
 
 
+def test_samples_are_bounded(spark, frame):
+    rows = frame(corpus(3000, 2), extra=False).selectExpr("lang", "text", "rand(1) as a", "rand(2) as b")
+    first = langid.sampled(rows, 200, "a")
+    second = langid.sampled(first, 20, "b")
+    for df, n in ((first, 200), (second, 20)):
+        for r in df.groupBy("lang").count().collect():
+            assert 0.4 * n < r["count"] < 1.8 * n
+
+
 def test_presence_against_sets():
     texts = ["Ab ab", "", "x", "日本語 日本", "ab"]
     column = pa.array([*texts, None])
