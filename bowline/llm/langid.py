@@ -40,7 +40,6 @@ PER_LANGUAGE = 1024
 RIDGE = 0.1
 ROWS = 128  # rows of one dense presence matrix
 UNKNOWN = "und"
-MIN_SCORE = 0.5
 
 _ANY_LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
