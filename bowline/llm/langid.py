@@ -1,13 +1,18 @@
 """Language identification by a string kernel with Nystroem landmarks.
 
-Kernel: blended-spectrum presence. A text is the set of its character n-grams
-of lengths 1 to ``MAX_N`` (lower-cased code points), hashed into ``FEATURES``
-positions of a 0/1 vector; the kernel is the cosine of two such vectors.
-Landmarks L are sampled training texts. One-versus-rest kernel ridge regression
-on the Nystroem features solves (K_NL' K_NL + ridge K_LL) a = K_NL' Y with
-targets -1 and 1. A text's scores are K(x, L) a; as the kernel is linear in the
-0/1 vector, K(x, L) a = x (L' a) / |x|, so a batch of texts is scored by one
-matrix product with the (FEATURES, languages) matrix L' a.
+Kernel: blended-spectrum presence. A text is cut evenly into windows of at most
+``WINDOW`` code points that together cover it (each with the ``MAX_N`` - 1 that
+follow, so no n-gram is lost). A window is the set of its character n-grams of
+lengths 1 to ``MAX_N`` (lower-cased code points), hashed into ``FEATURES``
+positions of a 0/1 vector of at most ``MAX_N * WINDOW`` ones, and normalised; a
+text is the mean x of its windows that have a letter, so a long text fills no
+more positions at once than a short one and scores as its parts do. The kernel
+is the product of two such vectors, for texts of one window the cosine.
+Landmarks L are one window each (by a hash) of sampled training texts.
+One-versus-rest kernel ridge regression on the Nystroem features solves
+(K_NL' K_NL + ridge K_LL) a = K_NL' Y with targets -1 and 1. A text's scores
+are K(x, L) a = x (L' a), so a batch of texts is scored by one matrix product
+with the (FEATURES, languages) matrix L' a.
 
 Training reads a bounded sample of the labelled rows, documented here:
 ``PER_LANGUAGE`` rows and ``LANDMARKS`` landmarks per language, chosen by a
@@ -22,6 +27,7 @@ null lang is no training row. With no training rows every text is ``und``.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -38,6 +44,7 @@ FEATURES = 1 << FEATURE_BITS
 LANDMARKS = 64
 PER_LANGUAGE = 1024
 RIDGE = 0.1
+WINDOW = 1024  # code points; their n-grams fill at most an eighth of the positions
 ROWS = 128  # rows of one dense presence matrix
 UNKNOWN = "und"
 
@@ -47,10 +54,23 @@ _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 def presence(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(0/1 matrix of the rows' n-grams, whether a row has a letter)."""
-    n = len(offs) - 1
-    texts = [raw[a:b].tobytes().decode() for a, b in zip(offs, offs[1:])]
-    letters = np.fromiter((_ANY_LETTER.search(t) is not None for t in texts), np.bool_, n)
-    low = [t.lower() for t in texts]
+    return grams(lowered(raw, offs))
+
+
+def lowered(raw: np.ndarray, offs: np.ndarray) -> list[str]:
+    return [raw[a:b].tobytes().decode().lower() for a, b in zip(offs, offs[1:])]
+
+
+def windows(low: str) -> list[str]:
+    """The even windows of a text; a text of up to ``WINDOW`` code points is one."""
+    n = max(1, -(-len(low) // WINDOW))
+    return [low[len(low) * i // n:len(low) * (i + 1) // n + MAX_N - 1] for i in range(n)]
+
+
+def grams(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(0/1 matrix of the n-grams of lower-cased texts, whether a text has a letter)."""
+    n = len(low)
+    letters = np.fromiter((_ANY_LETTER.search(t) is not None for t in low), np.bool_, n)
     points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, low), np.int64, n)
     row = np.repeat(np.arange(n), sizes)
@@ -68,13 +88,48 @@ def presence(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return out.reshape(n, FEATURES), letters
 
 
-def matrices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, last row, presence matrix as float32, has a letter) of runs of rows."""
+def pieces(column: pa.Array) -> Iterator[tuple[int, int, Iterator[tuple[np.ndarray, np.ndarray]]]]:
+    """(first row, last row, runs of windows) of runs of rows.
+
+    A run of windows is (row of each from the first, 0/1 matrix); windows without a letter are left out.
+    """
+    def run(low: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        cut = [windows(t) for t in low]
+        row = np.repeat(np.arange(len(cut)), list(map(len, cut)))
+        flat = [w for ws in cut for w in ws]
+        for a in range(0, len(flat), ROWS):
+            x, letters = grams(flat[a:a + ROWS])
+            if letters.any():
+                yield (row[a:a + ROWS], x) if letters.all() else (row[a:a + ROWS][letters], x[letters])
+
     for lo, hi, raw, offs in slices(column):
         for a in range(0, hi - lo, ROWS):
             b = min(a + ROWS, hi - lo)
-            x, letters = presence(raw[offs[a]:offs[b]], offs[a:b + 1] - offs[a])
-            yield lo + a, lo + b, x.astype(np.float32), letters
+            yield lo + a, lo + b, run(lowered(raw, offs[a:b + 1]))
+
+
+def matrices(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, mean of the normalised windows as float32, has a letter) of runs of rows."""
+    for lo, hi, runs in pieces(column):
+        out, voices = np.zeros((hi - lo, FEATURES), np.float32), np.zeros(hi - lo)
+        for row, x in runs:
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[first]] += np.add.reduceat(unit(x.astype(np.float32)), first, axis=0)
+            voices += np.bincount(row, minlength=hi - lo)
+        out /= np.maximum(voices, 1).astype(np.float32)[:, None]
+        yield lo, hi, out, voices > 0
+
+
+def products(column: pa.Array, weights: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, last row, ``matrices`` @ weights, has a letter), from the windows' own products."""
+    for lo, hi, runs in pieces(column):
+        out, voices = np.zeros((hi - lo, weights.shape[1])), np.zeros(hi - lo)
+        for row, x in runs:
+            f = (x.astype(np.float32) @ weights) / np.sqrt(np.count_nonzero(x, axis=1))[:, None]
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            out[row[first]] += np.add.reduceat(f, first, axis=0)
+            voices += np.bincount(row, minlength=hi - lo)
+        yield lo, hi, out / np.maximum(voices, 1)[:, None], voices > 0
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -83,8 +138,11 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 def _landmark_bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for lo, hi, x, _ in matrices(batch.column(0)):
-            bits = [r.tobytes() for r in np.packbits(x.astype(np.bool_), axis=1)]
+        for _, _, raw, offs in slices(batch.column(0)):
+            cut = [windows(t) for t in lowered(raw, offs)]
+            one = [ws[zlib.crc32("".join(ws).encode()) % len(ws)] for ws in cut]
+            bits = [r.tobytes() for a in range(0, len(one), ROWS)
+                    for r in np.packbits(grams(one[a:a + ROWS])[0], axis=1)]
             yield pa.RecordBatch.from_arrays([pa.array(bits, pa.binary())], names=["bits"])
 
 
@@ -104,8 +162,7 @@ def _normal_sums(landmarks, languages: list[str]):
         seen = 0
         for batch in batches:
             lang = np.array([at[v] for v in batch.column(1).to_pylist()], np.int64)
-            for lo, hi, x, _ in matrices(batch.column(0)):
-                k = (unit(x) @ marks.T).astype(np.float64)
+            for lo, hi, k, _ in products(batch.column(0), marks.T):
                 y = np.full((hi - lo, len(languages)), -1.0)
                 y[np.arange(hi - lo), lang[lo:hi]] = 1.0
                 gram += k.T @ k
@@ -176,11 +233,10 @@ def _predict(model, text_col: str):
             best = np.full(len(held), len(languages), np.int64)
             score = np.zeros(len(held))
             if languages:
-                for lo, hi, x, letters in matrices(held.field(text_col)):
-                    f = (x @ weights) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1.0))
+                for lo, hi, f, letters in products(held.field(text_col), weights):
                     top = f.argmax(1)
                     best[lo:hi] = np.where(letters, top, len(languages))
-                    s = np.clip((f[np.arange(hi - lo), top].astype(np.float64) + 1) / 2, 0, 1)
+                    s = np.clip((f[np.arange(hi - lo), top] + 1) / 2, 0, 1)
                     score[lo:hi] = np.where(letters, s, 0.0)
             yield pa.RecordBatch.from_arrays([held, pa.array(names[best], pa.string()), pa.array(score)],
                                              names=[ROW, "lang_pred", "score"])

@@ -76,3 +76,32 @@ def test_no_training_rows_and_empty_table(spark, table_dir, frame):
     got = op(spark, table_dir(documents=frame([(1, "some text", None, None)]))).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("und", 0.0)]
     assert op(spark, table_dir(documents=frame([]))).count() == 0
+
+
+def invented(lang, n, seed):
+    """Characters of a language with 2,000 letters of its own, some frequent."""
+    r = random.Random(seed)
+    first = {"ja": 0x4E00, "ko": 0xAC00}[lang]
+    return "".join(chr(first + min(int(r.paretovariate(0.6)) - 1, r.randrange(2000))) for _ in range(n))
+
+
+def test_windows_cover_the_text():
+    text = "".join(chr(0x4E00 + i % 5000) for i in range(12_345))
+    cut = langid.windows(text)
+    assert all(langid.WINDOW // 2 <= len(w) <= langid.WINDOW + langid.MAX_N for w in cut)
+    for k in range(1, langid.MAX_N + 1):
+        assert {w[i:i + k] for w in cut for i in range(len(w) - k + 1)} >= {text[i:i + k] for i in range(len(text) - k + 1)}
+    assert langid.windows("") == [""] and langid.windows("short") == ["short"]
+
+
+def test_long_texts_of_many_distinct_ngrams_score_like_short_ones(spark, frame):
+    rows = [(i, invented(lang, 800, i), lang, "s") for i in range(120) for lang in [("ja", "ko")[i % 2]]]
+    rows += [(1000 + i, t, lang, "s") for i, t, lang, _ in corpus(120, 9) if lang != "ja"]
+    model = langid.train(frame(rows, extra=False))
+    sizes = (800, 20_000, 50_000, 400_000)
+    asked = [(10_000 * k + n, invented(lang, n, -n), lang, None) for k, lang in enumerate(("ja", "ko")) for n in sizes]
+    got = langid.identify(frame(asked, extra=False), model).select("_row.lang", "_row.n_chars", "lang_pred", "score").collect()
+    assert len(got) == 8 and all(r["lang_pred"] == r["lang"] for r in got)
+    for lang in ("ja", "ko"):
+        score = {r["n_chars"]: r["score"] for r in got if r["lang"] == lang}
+        assert all(abs(score[n] - score[800]) < 0.1 for n in sizes), score
