@@ -20,6 +20,17 @@ hash of id and text. Landmark vectors are built and K_NL' K_NL is summed in
 the tasks; the driver gets bit vectors of the landmarks and one sum per task,
 and solves the (landmarks x landmarks) system. No text goes to the driver.
 
+``cuts`` gives the least score of a text in a learned language, by length, from
+labelled rows left out of the fit. A text unlike every landmark has f = 0, the
+score ``NO_EVIDENCE``. Left-out rows (up to about ``PER_LANGUAGE`` a language)
+are scored whole and as their first 16, 32, ... ``WINDOW`` code points, in
+classes of doubling length. Where the ``LOW`` quantile of a class is over
+``NO_EVIDENCE`` by ``CLEAR`` (unlike texts scatter less around it), its cut is
+a quarter of the way from there to the quantile. A class of shorter texts
+tells too little, and its clean ones shall stay: its cut is the ``LOWEST``
+quantile. A length without ``LEAST_ROWS`` scored texts takes the next shorter
+class, at the end ``NO_CUT``.
+
 Nulls: a null text, and a text without a letter, is ``und`` with score 0. A
 null lang is no training row. With no training rows every text is ``und``.
 """
@@ -47,6 +58,12 @@ RIDGE = 0.1
 WINDOW = 1024  # code points; their n-grams fill at most an eighth of the positions
 ROWS = 128  # rows of one dense presence matrix
 UNKNOWN = "und"
+NO_EVIDENCE = 0.5
+CLEAR = 0.05
+LOW, LOWEST = 0.01, 0.001
+LEAST_ROWS = 100
+NO_CUT = 0.25
+SHORTEST = 16
 
 _ANY_LETTER = re.compile(r"[^\W\d_]")
 _MUL = np.uint64(0x9E3779B97F4A7C15)
@@ -174,6 +191,12 @@ def _normal_sums(landmarks, languages: list[str]):
     return run
 
 
+def hashed(id_col: str, text_col: str, salt: str) -> Column:
+    """A number in [0, 1) of a row's id and text."""
+    h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(salt))
+    return F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))
+
+
 def sampled(labelled: DataFrame, per_language: int, by: str) -> DataFrame:
     """About ``per_language`` rows of every language, by the hash ``by`` in [0, 1).
 
@@ -196,12 +219,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     if use is not None:
         rows = rows.filter(use)
-    def hashed(salt: str) -> Column:
-        h = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(salt))
-        return (F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53))).alias(salt)
-
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-                       hashed("in_sample"), hashed("in_landmarks"))
+                       *[hashed(id_col, text_col, salt).alias(salt) for salt in ("in_sample", "in_landmarks")])
     sample = materialize(sampled(rows, PER_LANGUAGE, "in_sample"), "sample")
     languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
     if not languages:
@@ -251,6 +270,39 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], text_col: str
     return rows.mapInArrow(_predict(held, text_col), schema)
 
 
+def left_out(id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """The quarter of the rows that ``cuts`` is to have and the fit is not."""
+    return hashed(id_col, text_col, "left_out") < 0.25
+
+
+def cuts(docs: DataFrame, model: tuple[list[str], np.ndarray], use: Column, id_col: str = "doc_id",
+         text_col: str = "text", lang_col: str = "lang") -> list[tuple[int, float]]:
+    """(least length, least score) of the length classes, ascending, from the labelled rows ``use``."""
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & use).select(
+        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
+        hashed(id_col, text_col, "in_cuts").alias("in_cuts"))
+    lengths = [SHORTEST << i for i in range((WINDOW // SHORTEST).bit_length())]
+    size = F.length("text")
+    whole = F.array(F.when(size >= SHORTEST, F.col("text")))
+    starts = F.array(*[F.when(size > n, F.substring("text", 1, n)) for n in lengths])
+    texts = sampled(rows, PER_LANGUAGE, "in_cuts").select(
+        F.explode(F.array_compact(F.concat(whole, starts))).alias("text"))
+    bound = F.greatest(*[F.when(F.length(f"{ROW}.text") >= n, n) for n in lengths])
+    found = (identify(texts, model).filter(F.col("lang_pred") != UNKNOWN)
+             .groupBy(bound.alias("bound"))
+             .agg(F.count("*").alias("rows"), F.percentile_approx("score", [LOW, LOWEST], 10_000).alias("q")).collect())
+    # one row per class of lengths
+    return sorted((r["bound"], lowest if low < NO_EVIDENCE + CLEAR else NO_EVIDENCE + (low - NO_EVIDENCE) / 4)
+                  for r in found if r["rows"] >= LEAST_ROWS for low, lowest in [r["q"]])
+
+
+def least_score(found: list[tuple[int, float]], text: Column) -> Column:
+    out = F.lit(NO_CUT)
+    for bound, cut in found:
+        out = F.when(F.length(text) >= bound, cut).otherwise(out)
+    return out
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 

@@ -71,3 +71,26 @@ def test_entry_registers_every_operator(spark):
     import __spark_entry__ as entry
     names = set(entry.queries())
     assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
+
+
+def test_language_id_rejects_unlearned_languages_and_random_strings(spark, frame):
+    r = random.Random(3)
+    made = lambda stems, ends: ["".join(p) for p in ((r.choice(stems), r.choice(stems), r.choice(ends)) for _ in range(400))]
+    words = {"en": WORDS["en"] + made("th re on in ea st nd ou".split(), ["ing", "er", "ly", ""]),
+             "de": WORDS["de"] + made("sch ei ge ver un ß ü ch".split(), ["en", "ung", "lich", ""])}
+    say = lambda lang, n: " ".join(r.choice(words[lang]) for _ in range(n))
+    rows = [(i, say(lang, r.randint(3, 400)), lang, "a") for i in range(900) for lang in [r.choice("en de".split())]]
+    keep = [(2000 + i, say(lang, n), None, "a") for i, (lang, n) in enumerate(
+        (lang, n) for lang in words for n in (3, 8, 60, 300, 3000, 60_000))]
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    odd = ["Η γλώσσα είναι ένα σύστημα επικοινωνίας που χρησιμοποιούν οι άνθρωποι για να μιλούν. " * 8,
+           "Язык это система знаков которая служит средством общения людей и выражения мыслей. " * 8,
+           "语言是人类最重要的交际工具是人们进行沟通的主要表达方式" * 20, r.randbytes(500).hex(),
+           "".join(r.choice(letters + letters.upper() + "0123456789+/") for _ in range(900)),
+           " ".join("".join(r.choice(letters) for _ in range(r.randint(2, 9))) for _ in range(200))]
+    odd += [t * 300 for t in odd[:3]]
+    docs = frame(rows + keep + [(3000 + i, t, None, "a") for i, t in enumerate(odd)])
+    kept = {x["doc_id"] for x in cp.language_id(spark, docs, "").select("doc_id").collect()}
+    assert not {i for i in kept if i >= 3000}
+    assert kept >= {i for i, *_ in keep}
+    assert len([i for i in kept if i < 900]) >= 898
