@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bowline.llm import (decontam, fingerprint, langid, linededup, packing, secretscan, simhash, tokencount,
-                         toxicity, warc)
+from bowline.llm import (decontam, fingerprint, importance, langid, linededup, packing, secretscan, simhash,
+                         tokencount, toxicity, warc)
 from bowline.llm.tables import ROW, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -158,3 +158,58 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     counts = tokencount.token_counts(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
+
+
+# CRC-32 in SQL: the byte table from its rule, then a fold over the bytes of a string
+CRC_TABLE = """crc_step(i, k, v) AS (
+  SELECT i, 0, i FROM range(256) t(i)
+  UNION ALL
+  SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM crc_step WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS tab FROM crc_step WHERE k = 8)"""
+
+
+def crc32_sql(text: str) -> str:
+    """Unsigned CRC-32 of a string's UTF-8 bytes; ``tab`` of crc_table must be in scope."""
+    byte = f"list_transform(range(1, strlen({text}) + 1), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i - 1 AS BIGINT), 2) AS BIGINT))"
+    fold = f"list_reduce({byte}, lambda a, b: xor(a >> 8, tab[(xor(a, b) & 255) + 1]), CAST(4294967295 AS BIGINT))"
+    return f"xor({fold}, 4294967295)"
+
+
+OP13_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({_WORDS}, []::VARCHAR[]) AS w FROM documents),
+df AS (SELECT r, unnest(w) AS x FROM d),
+bf AS (SELECT unnest({_WORDS}) AS x FROM benchmark WHERE text IS NOT NULL),
+dist AS (SELECT DISTINCT x FROM (SELECT x FROM df UNION ALL SELECT x FROM bf)),
+xb AS (SELECT x, {crc32_sql('x')} % {importance.BUCKETS} AS bucket FROM dist, crc_table),
+s AS (SELECT bucket, count(*) AS s FROM df JOIN xb USING (x) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM bf JOIN xb USING (x) GROUP BY bucket),
+totals AS (SELECT (SELECT count(*) FROM df) AS sn, (SELECT count(*) FROM bf) AS tn),
+g AS (
+  SELECT b.bucket, CAST(floor(1000 * ln(
+           (CAST(coalesce(t, 0) + 1 AS DOUBLE) * CAST(sn + {importance.BUCKETS} AS DOUBLE))
+           / (CAST(coalesce(s, 0) + 1 AS DOUBLE) * CAST(tn + {importance.BUCKETS} AS DOUBLE)))) AS BIGINT) AS gain
+  FROM range({importance.BUCKETS}) b(bucket) CROSS JOIN totals LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+per AS (SELECT r, sum(gain) AS total FROM df JOIN xb USING (x) JOIN g USING (bucket) GROUP BY r),
+w AS (
+  SELECT d.r, doc_id, CAST(len(d.w) AS BIGINT) AS n_features,
+         CASE WHEN len(d.w) > 0 THEN CAST(total - ((total % len(d.w)) + len(d.w)) % len(d.w) AS BIGINT) // len(d.w) ELSE 0 END AS weight
+  FROM d LEFT JOIN per USING (r)),
+sc AS (
+  SELECT r, doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln(
+           (CAST('0x' || substr(sha256('{importance.SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5)
+           / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS score FROM w),
+may AS (
+  SELECT r, row_number() OVER (ORDER BY score DESC, doc_id ASC NULLS LAST, weight, n_features) AS place,
+         count(*) OVER () AS n
+  FROM sc WHERE n_features >= {importance.LEAST_WORDS})
+SELECT doc_id, n_features, CAST(weight AS BIGINT) AS weight, CAST(score AS BIGINT) AS score,
+       CASE WHEN place <= {importance.PERCENT} * n // 100 THEN place END AS rank
+FROM sc LEFT JOIN may USING (r)
+"""
+
+
+@query("op13_importance_resampling", OP13_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(read(spark, sf_dir, "documents").select("doc_id", "text"),
+                               read(spark, sf_dir, "benchmark").select("text"))
