@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bowline.llm import (decontam, fingerprint, importance, langid, linededup, packing, secretscan, simhash,
-                         tokencount, toxicity, warc)
+from bowline.llm import (convtrie, decontam, fingerprint, importance, langid, linededup, packing, pii, secretscan,
+                         simhash, tokencount, toxicity, warc)
 from bowline.llm.tables import ROW, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,6 +160,20 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
 
 
+@query("op11_pii")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+
+    def count(kind: str):
+        return F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, pii.BASE),
+        F.sha2(pii.joined(base), 256).alias("base_sha256"), pii.joined(F.col("spans")).alias("spans"))
+
+
 # CRC-32 in SQL: the byte table from its rule, then a fold over the bytes of a string
 CRC_TABLE = """crc_step(i, k, v) AS (
   SELECT i, 0, i FROM range(256) t(i)
@@ -213,3 +227,44 @@ FROM sc LEFT JOIN may USING (r)
 def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(read(spark, sf_dir, "documents").select("doc_id", "text"),
                                read(spark, sf_dir, "benchmark").select("text"))
+
+
+OP12_SQL = rf"""
+WITH RECURSIVE {CRC_TABLE},
+x AS (
+  SELECT conv_id AS c, turn, sha256(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS x,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS words
+  FROM conversations WHERE conv_id IS NOT NULL),
+t AS (SELECT c, x, words, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, x) - 1 AS i FROM x),
+n AS (SELECT c, count(*) AS n, CAST(c AS VARCHAR) AS s FROM t GROUP BY c),
+h AS (SELECT c, n, {crc32_sql('s')} % {convtrie.SHARED} AS h,
+             c - ((c % {convtrie.GROUP}) + {convtrie.GROUP}) % {convtrie.GROUP} AS b FROM n, crc_table),
+v AS (SELECT h.*, least(h.h, coalesce(n.n, 0)) AS taken FROM h LEFT JOIN n ON n.c = h.b),
+r AS (
+  SELECT v.c, t.i + 1 AS depth, x, words FROM v JOIN t ON t.c = v.b AND t.i < v.h
+  UNION ALL
+  SELECT v.c, v.taken + t.i - v.h + 1, x, words FROM v JOIN t ON t.c = v.c AND t.i >= v.h),
+q AS (
+  SELECT v.c, coalesce(list(x ORDER BY depth) FILTER (x IS NOT NULL), []) AS xs,
+         coalesce(list(words ORDER BY depth) FILTER (x IS NOT NULL), []) AS ws FROM v LEFT JOIN r ON r.c = v.c GROUP BY v.c),
+d AS (SELECT c, xs, ws, unnest(range(0, len(xs) + 1)) AS depth FROM q),
+p AS (SELECT c, depth, array_to_string(xs[1:depth], '') AS key, array_to_string(xs[1:depth - 1], '') AS parent,
+             CASE WHEN depth = 0 THEN 0 ELSE ws[depth] END AS words, depth = len(xs) AS ends FROM d),
+g AS (
+  SELECT key, depth, min(parent) AS parent, min(c) AS conv_id, count(*) AS n_convs, max(words) AS words,
+         sha256(coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256
+  FROM p GROUP BY key, depth),
+k AS (SELECT parent AS key, count(*) AS n_children FROM g WHERE depth > 0 GROUP BY parent),
+u AS (
+  SELECT a.key, sum((b.n_convs - 1) * b.words) AS saved, count(*) FILTER (k.key IS NULL) AS n_leaves
+  FROM g a JOIN g b ON b.depth >= a.depth AND starts_with(b.key, a.key) LEFT JOIN k ON k.key = b.key GROUP BY a.key)
+SELECT g.conv_id, CAST(g.depth AS BIGINT) AS depth, CASE WHEN g.depth > 0 THEN up.conv_id END AS parent_conv_id, g.n_convs,
+       coalesce(n_children, 0) AS n_children, n_leaves, CAST(saved AS BIGINT) AS saved_tokens, g.ends_sha256
+FROM g JOIN u ON u.key = g.key LEFT JOIN k ON k.key = g.key
+LEFT JOIN g up ON g.depth > 0 AND up.key = g.parent AND up.depth = g.depth - 1
+"""
+
+
+@query("op12_conversation_prefix_trie", OP12_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convtrie.conversation_trie(read(spark, sf_dir, "conversations")).drop("key", "parent")
