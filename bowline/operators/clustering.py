@@ -1,11 +1,16 @@
 """Clustering evaluation.
 
-k-means itself is Spark ML's ``KMeans`` (C1). The single steps (C2-C4) are
-also available as DataFrame operators with hash-drawn starts, so they are
+k-means (C1) starts from hash-drawn members (C2) and repeats assign (C3) and
+update (C4) until no point moves or the rounds are used up, so its answer is
 reproducible and checkable. Centroids are sent in blocks that each fit the
 broadcast limit; each step scores its block in row chunks and keeps the
 nearest centroid so far, so points are never paired with centroids as rows,
 never joined on an id, and the number of blocks does not change the answer.
+A round is one pass over the written points: every point is scored under the
+centroids before and after the last update, and the shuffle gets one row per
+cluster and task with the vector sum, the members and the moved points. What
+a round leaves behind is its centroids, written, so no state of the points is
+kept and a lost executor repeats a part of one round only.
 The pair-counting metrics use the contingency table only (no pair join): the
 Rand index follows from sums of C(n, 2) over its cells, rows and columns.
 """
@@ -74,26 +79,38 @@ def _nearest(bc, vec: str, dim: int):
     return run
 
 
-def assign(points: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
-           vec_col: str = "v", limits: Limits = DEFAULT_LIMITS, keep_vector: bool = False) -> DataFrame:
-    """Nearest centroid by squared distance; ties go to the lowest index.
-
-    With ``keep_vector`` the rows carry their vector on, as ``update`` takes it.
-    """
+def _centroid_blocks(centroids: DataFrame, limits: Limits) -> tuple[int, list]:
+    """(dimension, broadcast blocks of (labels, centers) in the order of their labels)."""
     size = centroids.agg(F.count(F.lit(1)).alias("k"), F.max("cluster").alias("top"),
                          F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
-    rows = points.select(id_col, F.col(vec_col).cast("array<double>").alias("v"),
-                         F.lit(None).cast("int").alias("cluster"), F.lit(float("inf")).alias("d"))
-    schema = rows.schema
     per_block = max(1, limits.broadcast_bytes // max(1, (size["dim"] + 1) * 8))
+    blocks = []
     for lo in range(0, (size["top"] + 1) if size["k"] else 0, per_block):
         block = (centroids.filter((F.col("cluster") >= lo) & (F.col("cluster") < lo + per_block))
                  .select("cluster", F.col("v").cast("array<double>").alias("v")).orderBy("cluster").toArrow())
-        if not block.num_rows:
-            continue
-        centers = block.column("v").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)
-        bc = points.sparkSession.sparkContext.broadcast((block.column("cluster").to_numpy(), centers))
-        rows = rows.mapInArrow(_nearest(bc, "v", size["dim"]), schema)
+        if block.num_rows:
+            centers = block.column("v").combine_chunks().flatten().to_numpy().reshape(block.num_rows, -1)
+            blocks.append(centroids.sparkSession.sparkContext.broadcast((block.column("cluster").to_numpy(), centers)))
+    return size["dim"], blocks
+
+
+def _with_nearest(rows: DataFrame, dim: int, blocks: list) -> DataFrame:
+    """Rows (.., v) with ``cluster``, their nearest centroid of all blocks (null without any)."""
+    rows = rows.withColumns({"cluster": F.lit(None).cast("int"), "d": F.lit(float("inf"))})
+    schema = rows.schema
+    for bc in blocks:
+        rows = rows.mapInArrow(_nearest(bc, "v", dim), schema)
+    return rows.drop("d")
+
+
+def assign(points: DataFrame, centroids: DataFrame, id_col: str = "vec_id",
+           vec_col: str = "v", limits: Limits = DEFAULT_LIMITS, keep_vector: bool = False) -> DataFrame:
+    """Nearest centroid by squared distance; ties go to the lowest index.
+
+    With ``keep_vector`` the rows carry their vector on, as ``update`` takes it.
+    """
+    rows = points.select(id_col, F.col(vec_col).cast("array<double>").alias("v"))
+    rows = _with_nearest(rows, *_centroid_blocks(centroids, limits))
     return rows.select(id_col, "cluster", *(["v"] if keep_vector else []))
 
 
@@ -116,17 +133,54 @@ def lloyd(points: DataFrame, centroids: DataFrame, rounds: int, id_col: str = "v
     return centroids
 
 
-def kmeans_fit(points: DataFrame, k: int, max_iter: int = 100, seed: int = 42,
-               id_col: str = "vec_id", vec_col: str = "v") -> DataFrame:
-    """Lloyd's k-means with random starts (Spark ML); (id, cluster)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def _round(rows: DataFrame, before: list | None, dim: int, blocks: list, centroids: DataFrame) -> DataFrame:
+    """The centroids (cluster, v, moved) after one assign and update step.
 
-    data = points.select(id_col, array_to_vector(F.col(vec_col).cast("array<double>")).alias("features"))
-    km = KMeans(k=k, maxIter=max_iter, initMode="random", seed=seed, tol=0.0,
-                featuresCol="features", predictionCol="cluster")
-    fitted = km.fit(data)
-    return fitted.transform(data).select(id_col, F.col("cluster").cast("int").alias("cluster"))
+    ``moved`` counts the members that were elsewhere under the ``before`` centroids; without these all
+    points stand in cluster 0, as the reference starts.
+    """
+    if before is None:
+        rows = rows.withColumn("was", F.lit(0))
+    else:
+        rows = _with_nearest(rows, dim, before).withColumnRenamed("cluster", "was")
+    moved = (F.col("cluster") != F.col("was")).cast("double")
+    step = _with_nearest(rows, dim, blocks).select("cluster", F.concat("v", F.array(F.lit(1.0), moved)).alias("v"))
+    total = vector_sums(step, "cluster", "v").groupBy("cluster").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("dim", "x"))), lambda c: c["x"]).alias("total"))
+    n, mean = F.get("total", F.lit(dim)), F.slice("total", 1, dim)
+    return (centroids.select("cluster", "v").join(total, "cluster", "left")
+            .select("cluster", F.coalesce(F.transform(mean, lambda x: x / n), "v").alias("v"),
+                    F.coalesce(F.get("total", F.lit(dim + 1)), F.lit(0.0)).cast("long").alias("moved")))
+
+
+def kmeans_rounds(points: DataFrame, k: int, max_iter: int = 100, seed: int = 42, id_col: str = "vec_id",
+                  vec_col: str = "v", limits: Limits = DEFAULT_LIMITS) -> tuple[DataFrame, list[int]]:
+    """((id, cluster), points moved in every round).
+
+    Starts are C2's. A round assigns every point and updates the centroids; the last round is the
+    first in which no point moves, or the ``max_iter``-th. A cluster without points keeps its centroid.
+    """
+    rows = materialize(points.select(id_col, F.col(vec_col).cast("array<double>").alias("v")), "points")
+    centroids = materialize(initial_centroids(rows, k, seed, id_col), "centroids")
+    dim, blocks = _centroid_blocks(centroids, limits)
+    before, moves = None, []
+    while blocks and len(moves) < max_iter:
+        centroids = materialize(_round(rows, before, dim, blocks, centroids), "centroids")
+        moves.append(centroids.agg(F.sum("moved")).first()[0])
+        if moves[-1] == 0 or len(moves) == max_iter:
+            break
+        for bc in before or []:
+            bc.unpersist()
+        before, blocks = blocks, _centroid_blocks(centroids, limits)[1]
+    if not moves and blocks:  # no round: all points stand where they start
+        return rows.select(id_col, F.lit(0).alias("cluster")), moves
+    return _with_nearest(rows, dim, blocks).select(id_col, "cluster"), moves
+
+
+def kmeans_fit(points: DataFrame, k: int, max_iter: int = 100, seed: int = 42, id_col: str = "vec_id",
+               vec_col: str = "v", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """(id, cluster) of Lloyd's k-means from C2's starts to the reference's stop rule."""
+    return kmeans_rounds(points, k, max_iter, seed, id_col, vec_col, limits)[0]
 
 
 def label_index(labels: DataFrame, id_col: str = "vec_id", label_col: str = "label") -> DataFrame:

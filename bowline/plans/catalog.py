@@ -891,7 +891,45 @@ def q_cluster_nmi_true(spark, sf):
     return _scores(spark, sf).select(r6(F.col("nmi_true")).alias("nmi_true"))
 
 
-@register("kmeans_fit")  # iterative: rows-only check
+def fitted_ctes(points: str, k: str, rounds: int = 100) -> list[str]:
+    """k-means to its stop rule as a recursive query over ``points`` (id, v): fit_out (id, cluster).
+
+    A step's rows are the centroids (kind 0, with the step's moved points) and the assigned points (kind 1).
+    """
+    nearest = """SELECT id, v, was, cluster FROM (
+      SELECT p.id, p.v, {was} AS was, c.cluster, row_number() OVER (PARTITION BY p.id ORDER BY
+        list_sum(list_transform(list_zip(p.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), c.cluster) AS rn
+      FROM {points} p, {cents} c) WHERE rn = 1"""
+    return [f"""fit0 AS (SELECT CAST(rn - 1 AS INTEGER) AS cluster, v FROM (
+  SELECT id, v, row_number() OVER (ORDER BY u, id) AS rn FROM (
+    SELECT id, v, {O.draws.uniform_sql(O.draws.key_sql(42, 'init', 'id'))} AS u FROM {points}))
+  WHERE rn <= {k})""",
+            f"""fit(round, kind, id, cluster, v, moved) AS (
+  SELECT 0, 0, CAST(NULL AS BIGINT), cluster, v, CAST(1 AS BIGINT) FROM fit0
+  UNION ALL
+  SELECT 0, 1, id, 0, v, CAST(1 AS BIGINT) FROM {points}
+  UNION ALL
+  (WITH now AS (SELECT * FROM fit WHERE moved > 0 AND round < {rounds}),
+   cents AS (SELECT cluster, v FROM now WHERE kind = 0),
+   pts AS (SELECT id, v, cluster AS was FROM now WHERE kind = 1),
+   a AS ({nearest.format(was="p.was", points="pts", cents="cents")}),
+   x AS (SELECT cluster, generate_subscripts(v, 1) AS dim, unnest(v) AS x FROM a),
+   m AS (SELECT cluster, list(x ORDER BY dim) AS v FROM (SELECT cluster, dim, avg(x) AS x FROM x GROUP BY cluster, dim) GROUP BY cluster),
+   g AS (SELECT count(*) FILTER (was <> cluster) AS moved FROM a),
+   r AS (SELECT max(round) + 1 AS round FROM now)
+   SELECT r.round, 0, CAST(NULL AS BIGINT), c.cluster, coalesce(m.v, c.v), g.moved FROM cents c LEFT JOIN m ON m.cluster = c.cluster, g, r
+   UNION ALL
+   SELECT r.round, 1, a.id, a.cluster, a.v, g.moved FROM a, g, r))""",
+            "fit_out AS (SELECT id, cluster FROM fit WHERE kind = 1 AND round = (SELECT max(round) FROM fit))"]
+
+
+def with_recursive(*ctes: str) -> str:
+    return "WITH RECURSIVE " + ",\n".join(ctes) + "\n"
+
+
+@register("kmeans_fit", with_recursive(
+    "pts0 AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)",
+    *fitted_ctes("pts0", "(SELECT count(DISTINCT label) FROM embeddings)")) + "SELECT id AS vec_id, cluster FROM fit_out")
 def q_kmeans_fit(spark, sf):
     from bowline.operators.clustering import kmeans_fit
     return kmeans_fit(vectors(spark, sf), _n_labels(spark, sf), 100, 42)
@@ -1016,7 +1054,18 @@ def q_sequence_nonconsecutive(spark, sf):
     return m.select("seq_id", "n_pairs", r6(F.col("mean_similarity")).alias("mean_similarity"))
 
 
-@register("cluster_evaluate")  # C11 end to end; k-means is iterative: rows-only check
+_EVAL_LABELLED = """labelled AS (SELECT c.doc_id, c.text, l.quality AS label FROM corpus c JOIN labels l ON l.doc_id = c.doc_id)"""
+
+
+@register("cluster_evaluate", with_recursive(
+    O.corpus_cte(), O.terms_ctes(), O.vocab_ctes(QCFG), O.projection_cte(QCFG), _EVAL_LABELLED,
+    O.embed_ctes(QCFG), O.embvec_cte("emb", "docvec", "id"),
+    "pts0 AS (SELECT d.id, d.v FROM docvec d JOIN labelled l ON l.doc_id = d.id)",
+    *fitted_ctes("pts0", "(SELECT count(DISTINCT label) FROM labelled)"),
+    """ev AS (SELECT doc_id AS vec_id, label FROM labelled)""", "asg AS (SELECT id AS vec_id, cluster FROM fit_out)",
+    *CLU[3:]) + f"""SELECT round(purity, {DIGITS}) AS purity,
+  round((purity + rand_index) / 2, {DIGITS}) AS normalized_mutual_information,
+  round(rand_index, {DIGITS}) AS rand_index FROM scores""")
 def q_cluster_evaluate(spark, sf):
     from bowline.operators.clustering import evaluate_clustering
     labelled = docs(spark, sf).join(
