@@ -1,57 +1,129 @@
 """Retrieval evaluation (D1-D9) and passage relevance judgements.
 
-``passage_qrels`` finds the documents that contain a passage without a
-cross join: hashed interior word n-grams of each passage are looked up in the
-documents' n-grams (a semi-join, so only n-grams that occur in some passage
-are kept), each passage is anchored on its rarest n-gram, and only the
-documents holding that anchor are verified with an exact substring test.
-Every step is an equi-join or a partial-aggregated group-by.
+``passage_qrels`` finds the documents that contain a passage without a cross
+join. Passages are keyed by hashed n-grams; a bit filter over these keys is
+sent to the scan, so a document emits only the keys that pass it, and what is
+shuffled does not grow with the documents' text. The keys found are written
+once; they give each passage its rarest key, the documents holding that key,
+and only those are verified with an exact substring test.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bowline.config import DEFAULT_LIMITS, Limits
-from bowline.functions.common import let
+from bowline.functions import grams
 from bowline.operators.search import nearest_neighbors
 from bowline.operators.train import Model
 from bowline.session import materialize
-from bowline.sources.corpus import trim_unicode
 
-_WS = r"\p{IsWhite_Space}+"
 SHINGLE = 4
+BITS_PER_KEY = 16  # about 6 in 100 document keys that no passage has pass by chance
+KEY_BYTES = 8
 
 
-def _shingle_hashes(words, n: int):
-    """64-bit hashes of the word n-grams of an array (empty when too short)."""
-    size = F.size(words)
-    return F.when(size >= n, F.transform(
-        F.sequence(F.lit(1), size - n + 1),
-        lambda i: F.xxhash64(F.lit(n), F.array_join(F.slice(words, i, n), " ")))).otherwise(
-        F.array().cast("array<bigint>"))
-
-
-def _char_hashes(text, n: int):
-    """64-bit hashes of every n-character substring, in one pass: a look-ahead captures at each character."""
-    grams = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
-    return F.transform(grams, lambda g: F.xxhash64(F.lit(n), F.lit("c"), g))
-
-
-def _anchored_candidates(pkeys: DataFrame, dkeys: DataFrame) -> DataFrame:
-    """(query_id, doc_id) pairs sharing each passage's rarest key.
+def _passage_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, h, chars, n): the keys of every passage and the n-grams they come from.
 
-    Only document keys that occur in some passage survive the semi-join;
-    their document counts pick one anchor per passage; the anchor's
-    documents are the candidates.
+    Three words and more: the word n-grams of the interior, whose words are whole words of any text
+    that holds the passage. Fewer: the character n-grams, which may start and end inside words.
     """
-    hits = dkeys.join(pkeys.select("h").distinct(), "h", "left_semi").distinct()
-    df = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
-    anchor = (pkeys.join(df, "h")
-              .groupBy("query_id").agg(F.min(F.struct("df", "h")).alias("a"))
-              .select("query_id", F.col("a.h").alias("h")))
-    return anchor.join(hits, "h").select("query_id", "doc_id")
+    for batch in batches:
+        for run in grams.runs(batch.column(1)):
+            w = grams.words(run)
+            rows = len(run.offs) - 1
+            n_words = np.diff(w.first)
+            n_of = np.minimum(n_words - 2, SHINGLE)
+            for n in range(1, SHINGLE + 1):
+                at, h = grams.word_grams(w, n)
+                row = w.row[at]
+                inner = (n_of[row] == n) & (at > w.first[row]) & (at + n < w.first[row + 1])
+                yield _keys(batch, run.row + row[inner], h[inner], False, n)
+            chars = np.bincount(np.searchsorted(run.offs, np.flatnonzero((run.raw & 0xC0) != 0x80), "right") - 1,
+                                minlength=rows)
+            for n in range(1, SHINGLE + 1):
+                row, h = grams.char_grams(run, n)
+                short = (n_words[row] < 3) & (np.minimum(chars[row], SHINGLE) == n)
+                yield _keys(batch, run.row + row[short], h[short], True, n)
+
+
+def _keys(batch: pa.RecordBatch, row: np.ndarray, h: np.ndarray, chars: bool, n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0).take(pa.array(row)), pa.array(h.view(np.int64)), pa.array(np.full(len(h), chars)),
+         pa.array(np.full(len(h), n, np.int32))], names=["query_id", "h", "chars", "n"])
+
+
+def bit_filter(keys: np.ndarray) -> np.ndarray:
+    """A power of two of bits, at least ``BITS_PER_KEY`` a key, with the bit of every key set."""
+    size = 1 << max(6, (BITS_PER_KEY * len(keys) - 1).bit_length())
+    bits = np.zeros(size >> 3, np.uint8)
+    at = keys & np.uint64(size - 1)
+    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+    return bits
+
+
+def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    at = keys & np.uint64(8 * len(bits) - 1)
+    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(np.bool_)
+
+
+def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
+    return (keys >> np.uint64(33)) % np.uint64(blocks)
+
+
+def _probable(bc, kinds: list[tuple[bool, int]], block: int, blocks: int):
+    """(doc_id, h): a document's n-grams of the given kinds that pass the filter of one block of keys."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = bc.value
+        for batch in batches:
+            for part in grams.runs(batch.column(1)):
+                w = grams.words(part) if any(not chars for chars, _ in kinds) else None
+                for chars, n in kinds:
+                    if chars:
+                        row, h = grams.char_grams(part, n)
+                    else:
+                        at, h = grams.word_grams(w, n)
+                        row = w.row[at]
+                    on = passes(bits, h)
+                    if blocks > 1:
+                        on &= _block(h, blocks) == block
+                    row, h = row[on], h[on]
+                    order = np.lexsort((h, row))
+                    row, h = row[order], h[order]
+                    new = np.ones(len(h), np.bool_)
+                    new[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(part.row + row[new])), pa.array(h[new].view(np.int64))],
+                        names=["doc_id", "h"])
+    return run
+
+
+def passage_hits(documents: DataFrame, keys: DataFrame, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """(doc_id, h): which of (doc_id, text) hold which of the passages' keys, plus a few keys of no passage.
+
+    The filter's keys are counted; beyond the limit they go out in blocks, each with a pass over the documents.
+    """
+    spark = documents.sparkSession
+    distinct = materialize(keys.select("h").distinct(), "passage_keys")
+    kinds = sorted((r["chars"], r["n"]) for r in keys.select("chars", "n").distinct().collect())  # 2 * SHINGLE at most
+    blocks = max(1, -(-distinct.count() * KEY_BYTES // limits.broadcast_bytes))
+    parts = []
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    for i in range(blocks):
+        of = distinct if blocks == 1 else distinct.filter(F.shiftrightunsigned("h", 33) % blocks == i)
+        held = of.toArrow().column("h").to_numpy().view(np.uint64)
+        bc = spark.sparkContext.broadcast(bit_filter(held))
+        parts.append(documents.select("doc_id", "text").mapInArrow(_probable(bc, kinds, i, blocks), f"doc_id {kind}, h long"))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def passage_qrels(passages: DataFrame, documents: DataFrame,
@@ -69,40 +141,15 @@ def passage_qrels(passages: DataFrame, documents: DataFrame,
     p = passages.select(F.col(p_id).alias("query_id"), F.col("text").alias("ptext"))
     if not p.filter(F.col("ptext") == "").isEmpty():
         raise ValueError("an empty passage is contained in every document")
-    d = documents.select(F.col(d_id).alias("doc_id"), F.col("text").alias("dtext"))
-    words = let(F.split(trim_unicode(F.col("ptext")), _WS), lambda w: F.struct(
-        F.size(F.filter(w, lambda x: x != "")).alias("n_words"),
-        F.when(F.size(w) >= 3, F.slice(w, 2, F.size(w) - 2))
-        .otherwise(F.array().cast("array<string>")).alias("inner")))
-    pw = p.select("query_id", "ptext", words.alias("x")).select(
-        "query_id", "ptext", "x.n_words", "x.inner")
-    cands = []
-    # word path: the interior words are whole words of any document holding the passage
-    long_p = pw.filter(F.col("n_words") >= 3).withColumn(
-        "n", F.least(F.lit(SHINGLE), F.size("inner")))
-    sizes = sorted(r[0] for r in long_p.select("n").distinct().collect())  # at most SHINGLE values
-    if sizes:
-        pkeys = long_p.select("query_id", F.explode(F.coalesce(*[
-            F.when(F.col("n") == k, _shingle_hashes(F.col("inner"), k)) for k in sizes]))
-            .alias("h")).distinct()
-        # the word array is bound once per document (not re-split per n-gram)
-        dkeys = d.select("doc_id", F.explode(let(F.split("dtext", _WS), lambda w: F.flatten(
-            F.array(*[_shingle_hashes(w, k) for k in sizes])))).alias("h"))
-        cands.append(_anchored_candidates(pkeys, dkeys))
-    # character path: passages of one or two words may start and end inside words
-    short_p = pw.filter((F.col("n_words") < 3) & (F.length("ptext") > 0)).withColumn(
-        "n", F.least(F.lit(SHINGLE), F.length("ptext")))
-    csizes = sorted(r[0] for r in short_p.select("n").distinct().collect())
-    if csizes:
-        pkeys = short_p.select("query_id", F.explode(F.coalesce(*[
-            F.when(F.col("n") == k, _char_hashes(F.col("ptext"), k)) for k in csizes]))
-            .alias("h")).distinct()
-        dkeys = d.select("doc_id", F.explode(F.flatten(
-            F.array(*[_char_hashes(F.col("dtext"), k) for k in csizes]))).alias("h"))
-        cands.append(_anchored_candidates(pkeys, dkeys))
-    if not cands:
-        return p.select("query_id", F.lit(None).cast("long").alias("doc_id")).filter(F.lit(False))
-    cand = cands[0] if len(cands) == 1 else cands[0].unionByName(cands[1])
+    d = documents.select(F.col(d_id).alias("doc_id"), F.col("text").alias("text"))
+    kind = p.schema["query_id"].dataType.simpleString()
+    keys = materialize(p.filter(F.col("ptext").isNotNull()).mapInArrow(
+        _passage_keys, f"query_id {kind}, h long, chars boolean, n int").distinct(), "keys")
+    hits = materialize(passage_hits(d, keys, limits), "hits")
+    df = hits.groupBy("h").agg(F.count(F.lit(1)).alias("df"))
+    anchor = (keys.join(df, "h").groupBy("query_id").agg(F.min(F.struct("df", "h")).alias("a"))
+              .select("query_id", F.col("a.h").alias("h")))
+    cand = anchor.join(hits, "h").select("query_id", "doc_id")
     # documents are filtered by the candidates before any of their text moves
     pairs = materialize(cand.distinct().join(p, "query_id"), "candidates")
     size = pairs.agg(F.coalesce(F.sum(F.octet_length("ptext") + 32), F.lit(0))).first()[0]
@@ -110,7 +157,7 @@ def passage_qrels(passages: DataFrame, documents: DataFrame,
     if size > limits.broadcast_bytes:
         d = d.join(pairs.select("doc_id").distinct(), "doc_id", "left_semi")
     return (d.join(pairs, "doc_id")
-            .filter(F.instr(F.col("dtext"), F.col("ptext")) > 0)
+            .filter(F.instr(F.col("text"), F.col("ptext")) > 0)
             .select("query_id", "doc_id").distinct())
 
 

@@ -1,3 +1,6 @@
+import random
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -129,3 +132,54 @@ def test_embedding_store(spark):
     texts = [r["text"] for r in store.collect()]
     assert len(texts) == 3 and "alpha beta gamma" in texts
     assert "beta gamma delta" in texts                           # smallest new id added first
+
+
+def test_word_and_character_grams(spark):
+    import pyarrow as pa
+    from bowline.functions import grams
+    r = random.Random(6)
+    space = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+    letters = "ab\u00e9\u0105\u200b\u3001\U0001f642\u00c2\u1681\u2010\u2060\u00a1"
+    texts = ["".join(r.choice(space) if r.random() < 0.3 else r.choice(letters) for _ in range(r.randint(0, 30))) for _ in range(400)]
+    texts += [None, "", "x", space]
+    column = pa.array(texts)
+    seen_words, seen_chars = {}, {}
+    for limit in (1, 50, 1 << 20):
+        for run in grams.runs(column, limit):
+            w = grams.words(run)
+            split = [re.findall(f"[^{space}]+", t or "") for t in texts[run.row:run.row + len(run.offs) - 1]]
+            assert np.diff(w.first).tolist() == [len(x) for x in split]
+            flat = [x for ws in split for x in ws]
+            for n in (1, 2, 4):
+                at, h = grams.word_grams(w, n)
+                want = [tuple(ws[i:i + n]) for ws in split for i in range(len(ws) - n + 1)]
+                assert [tuple(flat[i:i + n]) for i in at] == want
+                for gram, key in zip(want, h.tolist()):
+                    assert seen_words.setdefault(gram, key) == key
+                row, h = grams.char_grams(run, n)
+                chars = [(k, t[i:i + n]) for k, t in enumerate(texts[run.row:run.row + len(run.offs) - 1])
+                         for i in range(len(t or "") - n + 1)]
+                assert row.tolist() == [k for k, _ in chars]
+                for (_, gram), key in zip(chars, h.tolist()):
+                    assert seen_chars.setdefault(gram, key) == key
+    for seen in (seen_words, seen_chars):
+        assert len(set(seen.values())) == len(seen)
+
+
+def test_passage_hits_do_not_grow_with_the_text(spark):
+    """Only documents that hold a passage's key emit rows, whatever else they hold; blocks change nothing."""
+    from bowline.config import Limits
+    from bowline.operators.retrieval import bit_filter, passage_qrels, passes
+    r = random.Random(8)
+    vocabulary = [f"v{i}" for i in range(4000)]
+    docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(5, 120)))) for i in range(300)]
+    passages = [(q, " ".join(docs[q * 3][1].split()[1:r.randint(3, 9)])) for q in range(80)] + [(100, "v1"), (101, "9 v"), (102, None)]
+    want = {(q, i) for q, t in passages if t for i, d in docs if t in d}
+    ddf = spark.createDataFrame(docs, "doc_id long, text string").repartition(6)
+    pdf = spark.createDataFrame(passages, "item_id long, text string")
+    for limits in (Limits(), Limits(broadcast_bytes=512)):
+        assert {(x["query_id"], x["doc_id"]) for x in passage_qrels(pdf, ddf, limits=limits).collect()} == want
+    keys = np.array([r.getrandbits(64) for _ in range(5000)], np.uint64)
+    others = np.array([r.getrandbits(64) for _ in range(50_000)], np.uint64)
+    bits = bit_filter(keys)
+    assert passes(bits, keys).all() and passes(bits, others).mean() < 0.08
