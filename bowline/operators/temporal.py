@@ -8,21 +8,32 @@
   the non-consecutive sum. The vectors are summed per task before the shuffle.
 * Kendall's tau compares every consecutive similarity with every
   non-consecutive one, so it needs all pair similarities; they are computed
-  by matrix products in (position block x position block) tasks and counted
-  against the sorted consecutive similarities, never emitted as rows.
+  by matrix products, sorted in chunks and counted against the ranked
+  consecutive similarities, never emitted as rows. A block of positions meets
+  the half ring of blocks after it, so blocks have equal work, and the rows
+  moved are n times half the number of blocks for vectors and n times the
+  number of blocks for consecutive similarities.
   Similarities equal to 9 digits count as ties.
+* Positions are numbered in the one range exchange that sorts the sequences.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
+from pyspark.sql.pandas.types import to_arrow_type
 
+from bowline.config import DEFAULT_LIMITS, Limits
 from bowline.functions.common import let
 from bowline.functions.vectors import cosine_lenient, distance, norm
 from bowline.operators.embed import embed
-from bowline.operators.positions import dense_positions
+from bowline.operators.positions import numbered_in_groups
 from bowline.operators.sums import vector_sums
 from bowline.operators.train import Model
 from bowline.session import materialize
@@ -30,26 +41,11 @@ from bowline.session import materialize
 TIE_DIGITS = 9
 
 
-def renumber(seqs: DataFrame, seq_col: str = "seq_id", pos_col: str = "pos",
-             global_col: str | None = None) -> DataFrame:
-    """Dense 0-based positions per sequence, keeping the given order.
-
-    Global dense positions (range-partitioned) minus each sequence's first
-    position (a partial-aggregated min), so no sequence is one window task.
-    """
-    g = dense_positions(seqs, [seq_col, pos_col], "_g")
-    first = g.groupBy(seq_col).agg(F.min("_g").alias("_g0"))
-    out = (g.join(first, seq_col)
-           .withColumn(pos_col, (F.col("_g") - F.col("_g0")).cast("long")).drop("_g0"))
-    return out.withColumnRenamed("_g", global_col) if global_col else out.drop("_g")
-
-
 def sequence_embeddings(seqs: DataFrame, model: Model, seq_col: str = "seq_id",
                         pos_col: str = "pos", text_col: str = "text") -> DataFrame:
     """(seq_id, pos, embedding) with dense positions; embedded once, written for all that follows."""
-    s = renumber(seqs.select(F.col(seq_col).alias("seq_id"), F.col(pos_col).alias("pos"),
-                             F.col(text_col).alias("text")), global_col="row_id")
-    e = embed(s, model, "row_id", "text", carry=["seq_id", "pos"])
+    rows = seqs.select(F.col(seq_col).alias("seq_id"), F.col(pos_col).alias("pos"), F.col(text_col).alias("text"))
+    e = embed(numbered_in_groups(rows, "seq_id", ["pos"]), model, "pos", "text", carry=["seq_id"])
     return materialize(e.select("seq_id", "pos", "embedding"), "sequences")
 
 
@@ -74,84 +70,116 @@ def _pair_sums(emb: DataFrame) -> DataFrame:
     return s.join(q, "seq_id").select("seq_id", ((F.col("s") - F.col("q")) / 2.0).alias("all_pairs_sum"))
 
 
-# A sequence is cut into position blocks of TAU_BLOCK items; every (block i <= block j)
-# pair is its own task, so a task's vectors are bounded whatever the sequence's length.
+# A sequence is cut into blocks of TAU_BLOCK positions. A task holds one block's vectors, the
+# sequence's consecutive similarities (one float an item) and a chunk of the others' vectors.
 TAU_BLOCK = 2048
-
-
-def _tau_block_pair(pdf):
-    """Count concordant / discordant (consecutive, non-consecutive) pairs for
-    the non-consecutive pairs (i in block bi, j in block bj, j >= i + 2)."""
-    import numpy as np
-    import pandas as pd
-
-    seq = pdf["seq_id"].iloc[0]
-    same = int(pdf["bi"].iloc[0]) == int(pdf["bj"].iloc[0])
-    cons = np.sort(pdf.loc[pdf["kind"] == 2, "c"].to_numpy(np.float64))
-
-    def unit_rows(part):
-        part = part.sort_values("pos")
-        if len(part) == 0:
-            return np.zeros(0, np.int64), np.zeros((0, 0))
-        e = np.stack(part["embedding"].to_numpy()).astype(np.float64)
-        nr = np.sqrt(np.einsum("ij,ij->i", e, e))
-        u = np.zeros_like(e)
-        u[nr > 0] = e[nr > 0] / nr[nr > 0, None]
-        return part["pos"].to_numpy(np.int64), u
-
-    pr, ur = unit_rows(pdf[pdf["kind"] == 0])
-    pc, uc = (pr, ur) if same else unit_rows(pdf[pdf["kind"] == 1])
-    conc = disc = 0
-    if len(cons) and len(pr) and len(pc):
-        chunk = max(1, 2_000_000 // len(pc))
-        for a in range(0, len(pr), chunk):
-            g = np.round(ur[a:a + chunk] @ uc.T, TIE_DIGITS)
-            m = g[pc[None, :] >= pr[a:a + chunk, None] + 2]
-            upto = np.searchsorted(cons, m, side="right")   # consecutive <= m
-            below = np.searchsorted(cons, m, side="left")   # consecutive < m
-            conc += int((len(cons) - upto).sum())
-            disc += int(below.sum())
-    return pd.DataFrame({"seq_id": [seq], "conc": [conc], "disc": [disc]})
-
-
-def sequence_tau(emb: DataFrame) -> DataFrame:
+_CELLS = 1 << 21  # similarities that one NumPy step holds
+
+
+def _unit_rows(vectors: pa.Array) -> np.ndarray:
+    e = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    n = np.sqrt(np.einsum("ij,ij->i", e, e))
+    return np.divide(e, n[:, None], out=np.zeros_like(e), where=n[:, None] > 0)
+
+
+class _Block:
+    """Concordant and discordant pairs of one block of positions, counted as the rows come in."""
+
+    def __init__(self, key: tuple):
+        self.key, self.ranks, self.own, self.counted, self.conc, self.disc = key, [], [], False, 0, 0
+
+    def _count(self, pos: np.ndarray, u: np.ndarray, within: bool) -> None:
+        own_pos, own = self.own[0]
+        step = max(1, _CELLS // max(1, len(pos)))
+        for a in range(0, len(own), step):
+            apart = pos[None, :] - own_pos[a:a + step, None]
+            apart = apart >= 2 if within else np.abs(apart) >= 2
+            m = np.sort(np.round(own[a:a + step] @ u.T, TIE_DIGITS)[apart])
+            self.conc += int(np.searchsorted(m, self.ranks[0], "left").sum())
+            self.disc += int((len(m) - np.searchsorted(m, self.ranks[0], "right")).sum())
+
+    def close(self) -> None:
+        """All ranks and own vectors are in: join them, and count the pairs inside the block."""
+        if not self.counted:
+            self.counted = True
+            self.ranks = [np.concatenate(self.ranks) if self.ranks else np.zeros(0)]
+            if self.own and len(self.ranks[0]):
+                self.own = [tuple(np.concatenate(x) for x in zip(*self.own))]
+                self._count(*self.own[0], within=True)
+
+    def add(self, kind: int, step: int, pos: np.ndarray, similarity: np.ndarray, vectors: pa.Array) -> None:
+        if kind == 0:
+            self.ranks.append(similarity)
+        elif step == 0:
+            self.own.append((pos, _unit_rows(vectors)))
+        else:
+            self.close()
+            if len(self.ranks[0]):
+                self._count(pos, _unit_rows(vectors), within=False)
+
+
+def _tau_counts(kind_of: pa.DataType):
+    def emitted(blocks: list[_Block]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([b.key[0] for b in blocks], kind_of), pa.array([b.conc for b in blocks], pa.int64()),
+             pa.array([b.disc for b in blocks], pa.int64())], names=["seq_id", "conc", "disc"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, done = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            seq = pc.dictionary_encode(batch.column(0), null_encoding="encode")
+            bi, kind, step, pos, similarity = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 6))
+            keys = np.stack([seq.indices.to_numpy(), bi, kind, step])
+            starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+            for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+                key = (seq.dictionary[int(keys[0, a])].as_py(), int(bi[a]))
+                if block is None or block.key != key:
+                    done += [block] if block else []
+                    block = _Block(key)
+                block.add(int(kind[a]), int(step[a]), pos[a:b], similarity[a:b], batch.column(6).slice(a, b - a))
+            for d in done:
+                d.close()
+            if done:
+                yield emitted(done)
+                done = []
+        if block:
+            block.close()
+            yield emitted([block])
+    return run
+
+
+def sequence_tau(emb: DataFrame, cons: DataFrame | None = None, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """O3: (seq_id, kendall_tau) for sequences of 2+ items (0.0 below 3).
 
-    Positions are cut into blocks; each vector goes to the block pairs it
-    belongs to and each consecutive similarity (rounded to 9 digits) to every
-    block pair of its sequence. A task therefore holds two blocks of vectors
-    plus the sequence's consecutive similarities (one float per item).
+    ``cons`` may pass on what ``consecutive`` gives for ``emb``. Block bi of nb meets blocks bi to
+    bi + nb // 2 round the ring; opposite blocks of an even ring meet in the lower one.
     """
-    e = emb.select("seq_id", F.col("pos").cast("long").alias("pos"), "embedding")
-    counted = Ty.StructType([e.schema["seq_id"], Ty.StructField("conc", Ty.LongType()),
-                             Ty.StructField("disc", Ty.LongType())])
-    sizes = e.groupBy("seq_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= 2)
-    sizes = sizes.select("seq_id", F.ceil(F.col("n") / TAU_BLOCK).cast("long").alias("nb"))
-    eb = e.join(sizes, "seq_id").withColumn("b", F.floor(F.col("pos") / TAU_BLOCK))
-    null_c = F.lit(None).cast("double").alias("c")
-    rows = eb.select("seq_id", F.col("b").alias("bi"),
-                     F.explode(F.sequence(F.col("b"), F.col("nb") - 1)).alias("bj"),
-                     F.lit(0).alias("kind"), "pos", "embedding", null_c)
-    cols = eb.filter(F.col("b") > 0).select(
-        "seq_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("b") - 1)).alias("bi"),
-        F.col("b").alias("bj"), F.lit(1).alias("kind"), "pos", "embedding", null_c)
-    block_pairs = F.flatten(F.transform(
-        F.sequence(F.lit(0).cast("long"), F.col("nb") - 1),
-        lambda i: F.transform(F.sequence(i, F.col("nb") - 1),
-                              lambda j: F.struct(i.alias("bi"), j.alias("bj")))))
-    cs = (consecutive(e).join(sizes, "seq_id")
-          .select("seq_id", F.explode(block_pairs).alias("bp"),
-                  F.round("similarity", TIE_DIGITS).alias("c"))
-          .select("seq_id", F.col("bp.bi").alias("bi"), F.col("bp.bj").alias("bj"),
-                  F.lit(2).alias("kind"), F.lit(None).cast("long").alias("pos"),
-                  F.lit(None).cast("array<double>").alias("embedding"), "c"))
-    counts = (rows.unionByName(cols).unionByName(cs)
-              .groupBy("seq_id", "bi", "bj").applyInPandas(_tau_block_pair, counted)
+    e = emb.select("seq_id", F.col("pos").cast("long").alias("pos"), F.col("embedding").cast("array<double>").alias("embedding"))
+    cons = (consecutive(e) if cons is None else cons).select("seq_id", F.round("similarity", TIE_DIGITS).alias("c"))
+    sizes = e.groupBy("seq_id").agg(F.floor((F.max("pos")) / TAU_BLOCK).cast("long").alias("top"))
+    long = materialize(sizes.filter("top > 0").withColumn("nb", F.col("top") + 1).drop("top"), "long_sequences")
+    if long.count() * 64 <= limits.broadcast_bytes:
+        long = F.broadcast(long)
+    nb = F.coalesce("nb", F.lit(1).cast("long"))
+    zero = F.lit(0).cast("long")
+    ring = (e.join(long, "seq_id", "left").withColumns({"nb": nb, "b": F.floor(F.col("pos") / TAU_BLOCK).cast("long")})
+            .withColumn("step", F.explode(F.sequence(zero, F.floor(F.col("nb") / 2).cast("long"))))
+            .withColumn("bi", F.pmod(F.col("b") - F.col("step"), F.col("nb")))
+            .filter("step = 0 or 2 * step < nb or bi < b"))
+    vectors = ring.select("seq_id", "bi", F.lit(1).alias("kind"), "step", "pos", F.lit(None).cast("double").alias("c"), "embedding")
+    ranks = cons.join(long, "seq_id", "left").withColumn("bi", F.explode(F.sequence(zero, nb - 1))).select(
+        "seq_id", "bi", F.lit(0).alias("kind"), zero.alias("step"), zero.alias("pos"), "c",
+        F.lit(None).cast("array<double>").alias("embedding"))
+    rows = vectors.unionByName(ranks).repartition("seq_id", "bi").sortWithinPartitions("seq_id", "bi", "kind", "step", "c", "pos")
+    counted = Ty.StructType([e.schema["seq_id"], Ty.StructField("conc", Ty.LongType()), Ty.StructField("disc", Ty.LongType())])
+    counts = (rows.mapInArrow(_tau_counts(to_arrow_type(e.schema["seq_id"].dataType)), counted)
               .groupBy("seq_id").agg(F.sum("conc").alias("conc"), F.sum("disc").alias("disc")))
-    return counts.select("seq_id", F.when(F.col("conc") + F.col("disc") > 0,
-                                          (F.col("conc") - F.col("disc"))
-                                          / (F.col("conc") + F.col("disc"))).otherwise(0.0)
-                         .alias("kendall_tau"))
+    both = F.col("conc") + F.col("disc")
+    tau = F.when(both > 0, (F.col("conc") - F.col("disc")) / both).otherwise(0.0)
+    return (counts.join(cons.select("seq_id").distinct(), "seq_id", "left_semi")
+            .select("seq_id", tau.alias("kendall_tau")))
 
 
 def nonconsecutive(emb: DataFrame) -> DataFrame:
@@ -172,14 +200,15 @@ def nonconsecutive(emb: DataFrame) -> DataFrame:
 
 def sequence_metrics(emb: DataFrame) -> DataFrame:
     """O3-O5 per sequence with 2+ items: (seq_id, n, kendall_tau, correlation, average_distance)."""
-    cons = consecutive(emb).groupBy("seq_id").agg(
+    pairs = materialize(consecutive(emb), "consecutive")
+    cons = pairs.groupBy("seq_id").agg(
         F.count(F.lit(1)).alias("n_cons"), F.sum("similarity").alias("cons_sum"),
         F.sum("distance").alias("dist_sum"))
     sums = _pair_sums(emb)
     n = F.col("n_cons") + 1
     n_non = (n - 1) * (n - 2) / 2
     non_mean = F.when(n_non > 0, (F.col("all_pairs_sum") - F.col("cons_sum")) / n_non).otherwise(0.0)
-    return (cons.join(sums, "seq_id").join(sequence_tau(emb), "seq_id")
+    return (cons.join(sums, "seq_id").join(sequence_tau(emb, pairs), "seq_id")
             .select("seq_id", n.cast("long").alias("n"),
                     "kendall_tau",
                     (F.col("cons_sum") / F.col("n_cons") - non_mean).alias("correlation"),

@@ -102,3 +102,28 @@ def test_vector_sums(spark):
     df = spark.createDataFrame(rows, "k string, w double, v array<double>").repartition(3)
     got = {(r["k"], r["dim"]): r["x"] for r in vector_sums(df, "k", "v", F.col("w")).collect()}
     assert got == {("a", 0): 2.0, ("a", 1): 5.0, ("b", 0): 5.0, ("b", 1): 5.0, (None, 0): 3.0, (None, 1): 3.0}
+
+
+def test_numbered_in_groups(spark):
+    from bowline.operators.positions import numbered_in_groups
+    r = np.random.default_rng(3)
+    rows = [("hot", i, f"t{i}") for i in range(3000)] + [(f"g{k}", int(v), "x") for k in range(50) for v in r.permutation(200)[:k]]
+    rows += [(None, 1, "n"), (None, None, "n"), ("hot", None, "null first")]
+    df = spark.createDataFrame([rows[i] for i in r.permutation(len(rows))], "g string, o long, t string").repartition(7)
+    got = numbered_in_groups(df, "g", ["o"], "at").collect()
+    want = {}
+    for g, o, t in sorted(rows, key=lambda x: (str(x[0]), x[1] is not None, x[1] or 0)):
+        want.setdefault(g, []).append((o, t))
+    assert sorted((str(x["g"]), x["at"], x["o"] or -1, x["t"]) for x in got) == sorted(
+        (str(g), i, o or -1, t) for g, xs in want.items() for i, (o, t) in enumerate(xs))
+    with pytest.raises(ValueError):
+        numbered_in_groups(df.union(df.limit(1)), "g", ["o"])
+    assert numbered_in_groups(df.limit(0), "g", ["o"]).collect() == []
+
+
+def test_numbering_moves_a_row_once(spark):
+    """One exchange of whole rows; nothing is joined back but one figure a partition."""
+    from bowline.operators.positions import numbered_in_groups
+    df = spark.createDataFrame([(i // 100, i, "text") for i in range(1000)], "g long, o long, t string")
+    plan = numbered_in_groups(df, "g", ["o"])._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
