@@ -15,12 +15,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
 from bowline.config import DEFAULT_LIMITS, Limits, clamp_dropout
 from bowline.functions import draws
+from bowline.functions.bitfilter import empty_filter, passes, put
 from bowline.functions.text import BM25_K1, process_text
 from bowline.functions.vectors import NORMALIZE_EPS
 from bowline.operators.sums import vector_sums
@@ -239,17 +240,59 @@ def _project_rows(batch, vocab, block, dim, p, chunk, first, last):
 
 # ---- E3 as a table -------------------------------------------------------------
 
-def project_sums(weights: DataFrame, model: Model) -> DataFrame:
+HOT_SHARE = 2  # an index is hot when it has more than 1 / (HOT_SHARE * partitions) of the weights
+
+
+def project_sums(weights: DataFrame, model: Model, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(doc_id, dim, value), the sum of weight x projection row per document.
 
-    The projection joins as whole rows; ``vector_sums`` adds them up.
+    A projection that fits the limit is sent to the weights. A larger one meets them by index; a token
+    that most documents hold would be one key there, so the weights are counted by index first, the
+    hot indexes (at most HOT_SHARE times the partitions, by their definition) get their rows sent to
+    them, and only the others are joined.
     """
-    rows = weights.join(model.projection, "idx")
+    spark = weights.sparkSession
+    if model.vocab_size * model.embedding_dim * 8 <= limits.broadcast_bytes:
+        rows = weights.join(F.broadcast(model.projection), "idx")
+    else:
+        weights = materialize(weights, "weights")
+        counts = materialize(weights.groupBy("idx").agg(F.count(F.lit(1)).alias("n")), "index-counts")
+        total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        hot = F.broadcast(counts.filter(F.col("n") * (HOT_SHARE * parts) > total).select("idx"))
+        sent = weights.join(F.broadcast(model.projection.join(hot, "idx", "left_semi")), "idx")
+        joined = weights.join(hot, "idx", "left_anti").hint("merge").join(model.projection, "idx")
+        rows = sent.unionByName(joined.select(*sent.columns))
     return vector_sums(rows, "doc_id", "vec", F.col("weight")).withColumnRenamed("x", "value")
 
 
 # ---- E8: embedding store -------------------------------------------------------
 
+DIGEST_ROW = 96  # bytes of one digest and id in a hashed relation
+
+
+def text_digest(text: Column) -> Column:
+    """What a text is looked up by: 128 bits of MD5, 64 of XXH64 and the length; NULL for NULL."""
+    return F.when(text.isNotNull(), F.struct(F.unhex(F.md5(text)).alias("md5"), F.xxhash64(text).alias("xx"),
+                                             F.octet_length(text).alias("n")))
+
+
+def _may_hold(keys: DataFrame, limits: Limits):
+    """A filter over 64-bit keys as an Arrow function; a bounded size, so more keys let more others pass."""
+    rows = keys.count()
+    blocks = max(1, -(-rows * 8 // limits.broadcast_bytes))
+    bits = empty_filter(rows, limits.broadcast_bytes)
+    for i in range(blocks):  # the driver holds one block of keys at a time
+        part = keys if blocks == 1 else keys.filter(F.shiftrightunsigned("h", 33) % blocks == i)
+        put(bits, part.toArrow().column("h").to_numpy().view(np.uint64))
+    bc = keys.sparkSession.sparkContext.broadcast(bits)
+
+    @F.arrow_udf(Ty.BooleanType())
+    def may(h: pa.Array) -> pa.Array:
+        return pa.array(passes(bc.value, h.to_numpy(zero_copy_only=False).view(np.uint64)))
+    return may
+
+
 def embed_with_store(docs: DataFrame, store: DataFrame, model: Model, id_col: str = "doc_id",
                      text_col: str = "text", capacity: int | None = None,
                      limits: Limits = DEFAULT_LIMITS) -> tuple[DataFrame, DataFrame]:
@@ -259,16 +302,35 @@ def embed_with_store(docs: DataFrame, store: DataFrame, model: Model, id_col: st
     smallest vector counts. Returns (id, embedding) for every input row and
     the grown store: unseen texts are added, by default all of them; with a
     ``capacity``, smallest id first until the store holds that many entries.
-    The new vectors are written once and serve both results.
+
+    Texts are looked up by ``text_digest`` and do not move: rows and store
+    meet by digest, and an unseen text is embedded where its row with the
+    smallest id lies. These rows are named by id and digest. If their counted
+    size allows, they are sent to the texts; else a bit filter of a bounded
+    size is, and only the few texts that pass it meet the exact list.
     """
-    d = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
-    st = store.groupBy(F.col("text").alias("_t")).agg(F.min(EMBEDDING).alias(EMBEDDING))
-    unseen = (d.join(st.select("_t"), "_t", "left_anti").filter(F.col("_t").isNotNull())
-              .groupBy("_t").agg(F.min(id_col).alias("_first")))
-    fresh = materialize(embed(unseen, model, "_first", "_t", limits=limits, carry=["_t"]), "fresh")
-    known = st.unionByName(fresh.select("_t", EMBEDDING))
+    d = docs.select(F.col(id_col), F.col(text_col).alias("_t"), text_digest(F.col(text_col)).alias("_d"))
+    st = store.groupBy(text_digest(F.col("text")).alias("_d")).agg(F.min(EMBEDDING).alias(EMBEDDING))
+    keys = materialize(d.select(id_col, "_d"), "digests")
+    unseen = materialize(keys.filter(F.col("_d").isNotNull()).groupBy("_d").agg(F.min(id_col).alias("_first"))
+                         .join(st.select("_d"), "_d", "left_anti"), "unseen")
+    n = unseen.count()
+    named = unseen.select(F.col("_d").alias("_ud"), "_first")
+    same = (F.col("_d") == F.col("_ud")) & F.col(id_col).eqNullSafe(F.col("_first"))
+    if n * DIGEST_ROW <= limits.broadcast_bytes:
+        rows = d.join(F.broadcast(named), same, "left_semi")
+    else:
+        def key(ident: str, digest: str) -> Column:
+            return F.xxhash64(F.col(ident), F.col(f"{digest}.xx"))
+        may = _may_hold(unseen.select(key("_first", "_d").alias("h")), limits)
+        rows = d.filter(F.col("_d").isNotNull()).filter(may(key(id_col, "_d"))).join(named, same, "left_semi")
+    rows = rows.select(F.col(id_col).alias("_first"), "_t", "_d")
+    fresh = materialize(embed(rows, model, "_first", "_t", limits=limits, carry=["_t", "_d"]), "fresh")
+    if fresh.count() > n:  # rows that repeat both id and text
+        fresh = fresh.dropDuplicates(["_d"])
+    known = st.unionByName(fresh.select("_d", EMBEDDING))
     zero = F.array_repeat(F.lit(0.0), model.embedding_dim)
-    out = d.join(known, "_t", "left").select(id_col, F.coalesce(EMBEDDING, zero).alias(EMBEDDING))
+    out = keys.join(known, "_d", "left").select(id_col, F.coalesce(EMBEDDING, zero).alias(EMBEDDING))
     added = fresh
     if capacity is not None:
         added = fresh.orderBy("_first", "_t").limit(max(0, capacity - store.count()))

@@ -19,12 +19,12 @@ from pyspark.sql import functions as F
 
 from bowline.config import DEFAULT_LIMITS, Limits
 from bowline.functions import grams
+from bowline.functions.bitfilter import bit_filter, passes
 from bowline.operators.search import nearest_neighbors
 from bowline.operators.train import Model
 from bowline.session import materialize
 
 SHINGLE = 4
-BITS_PER_KEY = 16  # about 6 in 100 document keys that no passage has pass by chance
 KEY_BYTES = 8
 
 
@@ -59,20 +59,6 @@ def _keys(batch: pa.RecordBatch, row: np.ndarray, h: np.ndarray, chars: bool, n:
          pa.array(np.full(len(h), n, np.int32))], names=["query_id", "h", "chars", "n"])
 
 
-def bit_filter(keys: np.ndarray) -> np.ndarray:
-    """A power of two of bits, at least ``BITS_PER_KEY`` a key, with the bit of every key set."""
-    size = 1 << max(6, (BITS_PER_KEY * len(keys) - 1).bit_length())
-    bits = np.zeros(size >> 3, np.uint8)
-    at = keys & np.uint64(size - 1)
-    np.bitwise_or.at(bits, (at >> np.uint64(3)).astype(np.int64), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-    return bits
-
-
-def passes(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    at = keys & np.uint64(8 * len(bits) - 1)
-    return ((bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).astype(np.bool_)
-
-
 def _block(keys: np.ndarray, blocks: int) -> np.ndarray:
     return (keys >> np.uint64(33)) % np.uint64(blocks)
 

@@ -16,12 +16,16 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bowline.config import ModelConfig
+from bowline.config import DEFAULT_LIMITS, Limits, ModelConfig
 from bowline.functions import draws
 from bowline.functions import text as T
 from bowline.functions.common import let
 from bowline.functions.vectors import PROJECTION_ROW_EPS, norm
-from bowline.session import materialize
+from bowline.session import estimated_bytes, materialize
+
+BUCKETS = 1 << 20       # hash buckets of frequent_stats: a task sends at most one row for each
+SAMPLE = 0.01           # share of the documents that name likely tokens
+PRUNE_BYTES = 8 << 30   # size of a corpus from which rare tokens outweigh two more reads
 
 
 def document_terms(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
@@ -52,6 +56,47 @@ def token_stats(bags: DataFrame) -> DataFrame:
                  F.count(F.lit(1)).alias("doc_freq")))
 
 
+def frequent_stats(corpus: DataFrame, config: ModelConfig, buckets: int = BUCKETS, sample: float = SAMPLE,
+                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+    """V1 + V2 + V3 as ``token_stats`` gives them, for all tokens that can get into the vocabulary.
+
+    At scale most distinct tokens are rare bigrams, and they would be most of the exact shuffle. So:
+
+    1. the most frequent tokens of a sample of the documents are likely words of the vocabulary;
+    2. one pass counts all tokens in hash buckets, and the likely ones exactly; the N-th largest exact
+       count is a count that at least N tokens reach, so no token below it gets in;
+    3. a token of a bucket whose sum is below that count (or the minimum frequency) is rarer still and
+       stays out of the exact aggregation.
+
+    The vocabulary is the same for every sample; a poor one only prunes less.
+    """
+    n_max = config.max_vocabulary_size
+    likely = (token_stats(term_bags(corpus.sample(fraction=sample, seed=config.random_seed), config.use_ngrams))
+              .filter(F.col("token").isNotNull()).orderBy(F.desc("token_count"), "token").limit(2 * n_max)
+              .select("token", F.col("token").alias("likely")))
+    likely = materialize(likely, "likely")
+    size = likely.agg(F.coalesce(F.sum(2 * F.octet_length("token") + 64), F.lit(0))).first()[0]
+    if size > limits.broadcast_bytes:
+        return token_stats(term_bags(corpus, config.use_ngrams))
+    # every document adds a NULL token, counted in a bucket of its own
+    marker = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(1).alias("tf")))
+    terms = term_bags(corpus, config.use_ngrams).select(F.explode(F.concat("bag", marker)).alias("e")).select(
+        F.col("e.token").alias("token"), F.col("e.tf").cast("long").alias("tf")).withColumn(
+        "bucket", F.when(F.col("token").isNull(), -1).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets))).cast("int"))
+    counts = materialize(terms.join(F.broadcast(likely), "token", "left").groupBy("bucket", "likely").agg(
+        F.sum("tf").alias("n")), "bucket-counts")
+    exact = counts.filter(F.col("likely").isNotNull()).orderBy(F.desc("n")).limit(n_max)
+    nth = exact.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
+    least = max(config.min_token_frequency, nth["n"] if n_max and nth["k"] == n_max else 0)
+    # at most ``buckets`` rows of one number
+    may = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("bucket")
+    stats = (terms.join(F.broadcast(may.filter("bucket >= 0")), "bucket", "left_semi").groupBy("token")
+             .agg(F.sum("tf").alias("token_count"), F.count(F.lit(1)).alias("doc_freq")))
+    docs = counts.filter("bucket = -1").select(
+        F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("token_count"), F.col("n").alias("doc_freq"))
+    return stats.unionByName(docs)
+
+
 @dataclass
 class Model:
     """A trained model: two tables plus the config.
@@ -161,12 +206,19 @@ def projection_rows(vocab_idx: DataFrame, vocab_size: int, config: ModelConfig)
 
 
 def train(corpus: DataFrame, config: ModelConfig | None = None,
-          path: str | None = None) -> Model:
-    """Train on a (doc_id, text) corpus; the model tables are written once."""
+          path: str | None = None, prune_bytes: int = PRUNE_BYTES) -> Model:
+    """Train on a (doc_id, text) corpus; the model tables are written once.
+
+    A corpus that the optimizer estimates at more than ``prune_bytes`` is counted by
+    ``frequent_stats``, which reads it three times to keep rare tokens out of the shuffle. Both
+    ways give the same model.
+    """
     from bowline.sources import model_io
 
     config = config or ModelConfig()
-    stats = materialize(token_stats(term_bags(corpus, config.use_ngrams)), "token-stats")
+    prune = estimated_bytes(corpus) > prune_bytes
+    counted = frequent_stats(corpus, config) if prune else token_stats(term_bags(corpus, config.use_ngrams))
+    stats = materialize(counted, "token-stats")
     marker = stats.filter(F.col("token").isNull()).select("doc_freq").collect()
     n_docs = int(marker[0][0]) if marker else 0
     vocab = select_vocabulary(stats, n_docs, config)

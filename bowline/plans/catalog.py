@@ -172,6 +172,15 @@ def q_vocabulary(spark, sf):
     return model(spark, sf).vocabulary.select("idx", "token", "token_count", "doc_freq")
 
 
+@register("vocabulary_pruned", VOCAB + "SELECT idx, token, token_count, doc_freq FROM vocab")
+def q_vocabulary_pruned(spark, sf):
+    """The vocabulary counted the way a large corpus is: buckets first, then only tokens that can get in."""
+    from bowline.operators.train import frequent_stats, select_vocabulary
+    stats = materialize(frequent_stats(docs(spark, sf), QCFG), "token-stats")
+    n_docs = stats.filter(F.col("token").isNull()).first()["doc_freq"]
+    return select_vocabulary(stats, n_docs, QCFG).select("idx", "token", "token_count", "doc_freq")
+
+
 @register("idf", VOCAB + f"SELECT idx, token, round(idf, {DIGITS}) AS idf FROM vocab")
 def q_idf(spark, sf):
     return model(spark, sf).vocabulary.select("idx", "token", r6(F.col("idf")).alias("idf"))
@@ -1018,6 +1027,15 @@ def q_embed_incremental(spark, sf):
     return long_vectors(_store(spark, sf)[0], "doc_id", "embedding")
 
 
+@register("project_dense_hot", SQL["project_dense"])
+def q_project_dense_hot(spark, sf):
+    """E3 with a projection over the limit: hot indexes are sent their rows, the others are joined."""
+    from bowline.operators.embed import bm25_weights, project_sums
+    m = model(spark, sf)
+    return project_sums(bm25_weights(docs(spark, sf), m), m, Limits(broadcast_bytes=1 << 16)).select(
+        "doc_id", "dim", r6(F.col("value")).alias("value"))
+
+
 @register("store_grown", EMB.rstrip() + f""",
 held AS (SELECT text, count(*) + max(CASE WHEN doc_id = 0 THEN 1 ELSE 0 END) AS copies FROM corpus
          WHERE doc_id % 3 = 0 GROUP BY text),

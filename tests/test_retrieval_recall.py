@@ -169,7 +169,8 @@ def test_word_and_character_grams(spark):
 def test_passage_hits_do_not_grow_with_the_text(spark):
     """Only documents that hold a passage's key emit rows, whatever else they hold; blocks change nothing."""
     from bowline.config import Limits
-    from bowline.operators.retrieval import bit_filter, passage_qrels, passes
+    from bowline.functions.bitfilter import bit_filter, passes
+    from bowline.operators.retrieval import passage_qrels
     r = random.Random(8)
     vocabulary = [f"v{i}" for i in range(4000)]
     docs = [(i, " ".join(r.choice(vocabulary) for _ in range(r.randint(5, 120)))) for i in range(300)]
@@ -183,3 +184,72 @@ def test_passage_hits_do_not_grow_with_the_text(spark):
     others = np.array([r.getrandbits(64) for _ in range(50_000)], np.uint64)
     bits = bit_filter(keys)
     assert passes(bits, keys).all() and passes(bits, others).mean() < 0.08
+
+
+def exchanges(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "Exchange" in line and "Broadcast" not in line]
+
+
+def test_store_by_digest_moves_no_text(spark, monkeypatch):
+    """Both ways of naming unseen rows agree with embedding everything; hot, null and repeated rows."""
+    from bowline.config import Limits
+    from bowline.operators import embed as E
+    r = random.Random(5)
+    texts = [" ".join(r.choice(["alpha", "beta", "gamma", "delta", "omega"]) for _ in range(r.randint(1, 5))) for _ in range(60)]
+    rows = [(i, r.choice(texts)) for i in range(300)] + [(1000 + i, "hot text") for i in range(200)]
+    rows += [(5, rows[5][1]), (5, "another text of one id"), (None, "no id"), (None, "no id"), (7, None), (8, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    m = train(docs.filter("text is not null"), ModelConfig(embedding_dim=5, min_token_frequency=1))
+    held = docs.filter("doc_id % 4 = 0 and text is not null").dropDuplicates(["text"])
+    stored = spark.createDataFrame([(t, e) for t, e in zip(
+        [x["text"] for x in held.orderBy("text").collect()], [[float(k)] * 5 for k in range(400)])], "text string, embedding array<double>")
+    vectors = {x["text"]: x["embedding"] for x in stored.collect()}
+    plain = {t: x for (t,), x in zip([(t,) for _, t in rows], [None] * len(rows))}
+    texts_of = docs.filter("text is not null").select("text").distinct()
+    for x in embed(texts_of.withColumn("doc_id", F.lit(1)), m, carry=["text"]).collect():
+        plain[x["text"]] = vectors.get(x["text"], x["embedding"])
+    plain[None] = [0.0] * 5
+    moved = []
+    keep = E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df, name: (moved.extend((name, e) for e in exchanges(df)), keep(df, name))[1])
+    for limits in (Limits(), Limits(broadcast_bytes=1000)):
+        out, grown = embed_with_store(docs, stored, m, limits=limits)
+        got = sorted((str(x["doc_id"]), tuple(np.round(x["embedding"], 9))) for x in out.collect())
+        assert got == sorted((str(i), tuple(np.round(plain[t], 9))) for i, t in rows)
+        new = [x["text"] for x in grown.collect()]
+        assert sorted(new) == sorted({t for _, t in rows if t is not None})
+        if limits == Limits():
+            assert not [e for _, e in moved if "_t#" in e] and not [e for e in exchanges(out) if "_t#" in e]
+
+
+def test_pruned_counts_give_the_same_vocabulary(spark):
+    from bowline.operators.train import frequent_stats, select_vocabulary, token_stats, term_bags
+    r = random.Random(12)
+    words = [f"word{i}" for i in range(400)]
+    weights = [1 / (i + 1) for i in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(r.choices(words, weights, k=r.randint(0, 60)))) for i in range(400)],
+                                 "doc_id long, text string").repartition(4).cache()
+    for n, least in ((10, 3), (50, 1), (300, 4), (100_000, 2), (0, 1)):
+        config = ModelConfig(max_vocabulary_size=n, min_token_frequency=least)
+        full = token_stats(term_bags(docs))
+        want = sorted(tuple(x) for x in select_vocabulary(full, 400, config).collect())
+        for sample, buckets in ((0.05, 1 << 16), (0.0, 64), (1.0, 1))[:3 if n == 50 else 1]:
+            pruned = frequent_stats(docs, config, buckets, sample).cache()
+            assert sorted(tuple(x) for x in select_vocabulary(pruned, 400, config).collect()) == want
+            assert pruned.filter("token is null").first()["doc_freq"] == 400
+            if n == 50 and buckets > 64:
+                assert pruned.count() < 0.2 * full.count()
+
+
+def test_projection_of_a_token_in_every_document(spark):
+    from bowline.config import Limits
+    from bowline.operators.embed import bm25_weights, project_sums
+    r = random.Random(1)
+    docs = spark.createDataFrame([(i, "everywhere " + " ".join(f"w{r.randrange(300)}" for _ in range(4))) for i in range(600)],
+                                 "doc_id long, text string")
+    m = train(docs, ModelConfig(embedding_dim=4, min_token_frequency=1, use_ngrams=False))
+    weights = bm25_weights(docs, m)
+    a, b = (sorted((x["doc_id"], x["dim"], round(x["value"], 9)) for x in project_sums(weights, m, limits).collect())
+            for limits in (Limits(), Limits(broadcast_bytes=1000)))
+    assert a == b and len(a) == 2400
