@@ -5,7 +5,9 @@ member per record) and ``indexes/index.cdxj`` (offset and length of each
 record). The reader parses the end of the central directory, the ZIP64 locator,
 record and extra fields, finds the stored archive members and their indexes,
 and reads only the ranges of the records. Nothing is unpacked to disk. An
-archive member without an index is scanned once for its record boundaries.
+archive member without an index, and what an index leaves out, is scanned once
+for its record boundaries. A gzip stream of many records is one range, and all
+its records are read.
 
 Writing: every task streams its rows into packages of at most
 ``PACKAGE_RECORDS`` records or ``PACKAGE_BYTES``, under names of their own; the
@@ -184,8 +186,42 @@ def scan_records(read_at: ReadAt, start: int, size: int, gzipped: bool) -> Itera
         yield begin, at - begin
 
 
+def unpacked(raw: bytes, gzipped: bool, chunk: int = 1 << 20) -> Iterator[bytes]:
+    """Every uncompressed record of a range; a gzip stream may hold many, of which one at a time is kept."""
+    if not gzipped:
+        yield raw
+        return
+    rest = b""
+    while raw:
+        inflate = zlib.decompressobj(31)
+        while raw and not inflate.eof:
+            rest += inflate.decompress(raw, chunk)
+            raw = inflate.unconsumed_tail or inflate.unused_data
+            at = 0
+            while (n := _record_end(rest, at)) is not None:
+                yield rest[at:n]
+                at = n
+            rest = rest[at:]
+        if not inflate.eof:
+            raise ValueError("a gzip stream of the archive is cut off")
+    if rest.strip(b"\r\n"):
+        yield rest  # the last record may lack the line ends after it
+
+
+def _record_end(data: bytes, at: int) -> int | None:
+    """Where the record that starts at ``at`` ends with its two line ends, if ``data`` reaches as far."""
+    head = data.find(b"\r\n\r\n", at)
+    if head < 0:
+        return None
+    end = head + 4 + int(_head(data[at:head + 4])[0]["content-length"]) + 4
+    return end if end <= len(data) else None
+
+
 def list_records(read_at: ReadAt, size: int) -> Iterator[tuple[str, int, int]]:
-    """(member, absolute offset, length) of every record of a package, in file order."""
+    """(member, absolute offset, length) of every record of a package, in file order.
+
+    A gzip stream that holds many records is listed once; ``unpacked`` gives them all.
+    """
     members = zip_members(read_at, size)
     known: dict[str, list] = {}
     for name, (method, header, length) in members.items():
@@ -199,9 +235,14 @@ def list_records(read_at: ReadAt, size: int) -> Iterator[tuple[str, int, int]]:
             if method:
                 raise ValueError(f"{name} is compressed in the ZIP; only stored members are range-read")
             start = data_offset(read_at, header)
-            found = known.get(name.removeprefix("archive/"))
-            for offset, n in sorted(found) if found else scan_records(read_at, start, length, name.endswith(".gz")):
-                yield name, start + offset, n
+            gzipped, at = name.endswith(".gz"), 0
+            for offset, n in [*sorted(set(known.get(name.removeprefix("archive/"), []))), (length, 0)]:
+                # what the index leaves out is scanned
+                for gap, m in scan_records(read_at, start + at, offset - at, gzipped) if offset > at else ():
+                    yield name, start + at + gap, m
+                if n:
+                    yield name, start + offset, n
+                at = max(at, offset + n)
 
 
 # ---- writing -----------------------------------------------------------------
@@ -328,6 +369,19 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pylist([{k: r[k] for k in RUN_TYPE.names} for r in runs], RUN_TYPE)
 
 
+def _row_of(record: bytes, run: dict, at: int, length: int, with_payload: bool) -> dict:
+    fields, http, payload = parse_record(record)
+    whole = fields.get("warc-type") != "revisit"
+    return {
+        "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"),
+        "refers_to": fields.get("warc-refers-to"), "url": fields.get("warc-target-uri"),
+        "payload_bytes": len(payload) if whole else int(http.get("content-length", 0)),
+        "payload_digest": hashlib.sha1(payload).hexdigest() if whole
+        else fields.get("warc-payload-digest", "").removeprefix("sha1:"),
+        "path": run["path"], "member": run["member"], "offset": run["at"] + at, "length": length,
+        "payload": payload if with_payload and whole else None}
+
+
 def _read(with_payload: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -336,19 +390,8 @@ def _read(with_payload: bool):
                     raw = f.read_at(sum(r["lengths"]), r["at"])
                 out, at = [], 0
                 for n in r["lengths"]:
-                    record = raw[at:at + n]
-                    if r["member"].endswith(".gz"):
-                        record = zlib.decompress(record, 31)
-                    fields, http, payload = parse_record(record)
-                    whole = fields.get("warc-type") != "revisit"
-                    out.append({
-                        "record_id": fields.get("warc-record-id"), "record_type": fields.get("warc-type"),
-                        "refers_to": fields.get("warc-refers-to"), "url": fields.get("warc-target-uri"),
-                        "payload_bytes": len(payload) if whole else int(http.get("content-length", 0)),
-                        "payload_digest": hashlib.sha1(payload).hexdigest() if whole
-                        else fields.get("warc-payload-digest", "").removeprefix("sha1:"),
-                        "path": r["path"], "member": r["member"], "offset": r["at"] + at, "length": n,
-                        "payload": payload if with_payload and whole else None})
+                    for record in unpacked(raw[at:at + n], r["member"].endswith(".gz")):
+                        out.append(_row_of(record, r, at, n, with_payload))
                     at += n
                 yield pa.RecordBatch.from_pylist(out, RECORD_TYPE)
     return run

@@ -120,3 +120,39 @@ def test_unreadable_packages():
         list(warc.list_records(reader(raw), len(raw)))
     with pytest.raises(ValueError, match="not a ZIP"):
         warc.zip_members(reader(b"nothing here"), 12)
+
+
+def written(spark, tmp_path, raw):
+    (tmp_path / "p.wacz").write_bytes(raw)
+    manifest = spark.createDataFrame([(f"file://{tmp_path}/p.wacz", len(raw))], "path string, bytes long")
+    return sorted(bytes(r["payload"]) for r in warc.read_packages(manifest).collect())
+
+
+PAYLOADS = sorted(b"p" * i for i in (1, 50, 0))
+
+
+@pytest.mark.parametrize("cut", [[0, 3], [0, 1, 3], [0, 2, 3]])
+def test_gzip_streams_of_many_records_lose_none(spark, tmp_path, cut):
+    streams = [gzip.compress(b"".join(RECORDS[a:b])) for a, b in zip(cut, cut[1:])]
+    assert written(spark, tmp_path, package([("archive/a.warc.gz", b"".join(streams))])) == PAYLOADS
+
+
+def test_a_last_record_without_line_ends(spark, tmp_path):
+    whole = gzip.compress(b"".join(RECORDS)[:-4])
+    assert written(spark, tmp_path, package([("archive/a.warc.gz", whole)])) == PAYLOADS
+
+
+@pytest.mark.parametrize("named", [[], [0], [1], [2], [0, 2], [1, 1], [0, 1, 2]])
+@pytest.mark.parametrize("gz", [True, False])
+def test_what_an_index_leaves_out_is_scanned(spark, tmp_path, named, gz):
+    import json
+    parts = [gzip.compress(r) if gz else r for r in RECORDS]
+    at = [sum(map(len, parts[:i])) for i in range(3)]
+    name = "a.warc" + ".gz" * gz
+    index = "".join("k 2020 " + json.dumps({"filename": name, "offset": str(at[i]), "length": str(len(parts[i]))}) + "\n" for i in named)
+    assert written(spark, tmp_path, package([("archive/" + name, b"".join(parts)), ("indexes/index.cdxj", index)])) == PAYLOADS
+
+
+def test_records_of_a_stream_come_one_at_a_time():
+    big = [warc.warc_record(i, "http://x/", bytes([i % 251]) * (i * 7000), "0" * 40, None) for i in range(40)]
+    assert list(warc.unpacked(gzip.compress(b"".join(big[:25])) + gzip.compress(b"".join(big[25:])), True, 1000)) == big
