@@ -28,8 +28,9 @@ classes of doubling length. Where the ``LOW`` quantile of a class is over
 ``NO_EVIDENCE`` by ``CLEAR`` (unlike texts scatter less around it), its cut is
 a quarter of the way from there to the quantile. A class of shorter texts
 tells too little, and its clean ones shall stay: its cut is the ``LOWEST``
-quantile. A length without ``LEAST_ROWS`` scored texts takes the next shorter
-class, at the end ``NO_CUT``.
+quantile. A class of fewer than ``LEAST_ROWS`` scored texts is judged together
+with the next shorter ones, as far as there are any. Texts shorter than the
+shortest class are not judged by their score.
 
 Nulls: a null text, and a text without a letter, is ``und`` with score 0. A
 null lang is no training row. With no training rows every text is ``und``.
@@ -62,10 +63,9 @@ NO_EVIDENCE = 0.5
 CLEAR = 0.05
 LOW, LOWEST = 0.01, 0.001
 LEAST_ROWS = 100
-NO_CUT = 0.25
 SHORTEST = 16
 
-_ANY_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_LIKE = re.compile(r"[^\W\d_]")  # letters, and numbers such as a half
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -78,6 +78,11 @@ def lowered(raw: np.ndarray, offs: np.ndarray) -> list[str]:
     return [raw[a:b].tobytes().decode().lower() for a, b in zip(offs, offs[1:])]
 
 
+def has_letter(text: str) -> bool:
+    """Whether a character is of the Unicode category L."""
+    return any(m[0].isalpha() for m in _LETTER_LIKE.finditer(text))
+
+
 def windows(low: str) -> list[str]:
     """The even windows of a text; a text of up to ``WINDOW`` code points is one."""
     n = max(1, -(-len(low) // WINDOW))
@@ -87,7 +92,7 @@ def windows(low: str) -> list[str]:
 def grams(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(0/1 matrix of the n-grams of lower-cased texts, whether a text has a letter)."""
     n = len(low)
-    letters = np.fromiter((_ANY_LETTER.search(t) is not None for t in low), np.bool_, n)
+    letters = np.fromiter(map(has_letter, low), np.bool_, n)
     points = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
     sizes = np.fromiter(map(len, low), np.int64, n)
     row = np.repeat(np.arange(n), sizes)
@@ -288,16 +293,25 @@ def cuts(docs: DataFrame, model: tuple[list[str], np.ndarray], use: Column, id_c
     texts = sampled(rows, PER_LANGUAGE, "in_cuts").select(
         F.explode(F.array_compact(F.concat(whole, starts))).alias("text"))
     bound = F.greatest(*[F.when(F.length(f"{ROW}.text") >= n, n) for n in lengths])
+    # one row per class and score of four digits
     found = (identify(texts, model).filter(F.col("lang_pred") != UNKNOWN)
-             .groupBy(bound.alias("bound"))
-             .agg(F.count("*").alias("rows"), F.percentile_approx("score", [LOW, LOWEST], 10_000).alias("q")).collect())
-    # one row per class of lengths
-    return sorted((r["bound"], lowest if low < NO_EVIDENCE + CLEAR else NO_EVIDENCE + (low - NO_EVIDENCE) / 4)
-                  for r in found if r["rows"] >= LEAST_ROWS for low, lowest in [r["q"]])
+             .groupBy(bound.alias("bound"), F.round("score", 4).alias("score")).agg(F.count("*").alias("n")).collect())
+    scores: list[np.ndarray] = []
+    out = []
+    for n in sorted({r["bound"] for r in found}):
+        of = [(r["score"], r["n"]) for r in found if r["bound"] == n]
+        scores.append(np.repeat([s for s, _ in of], [k for _, k in of]))
+        pooled = scores[-1]
+        for shorter in scores[-2::-1]:
+            if len(pooled) < LEAST_ROWS:
+                pooled = np.concatenate([pooled, shorter])
+        low, lowest = np.quantile(pooled, [LOW, LOWEST], method="inverted_cdf")
+        out.append((n, float(lowest if low < NO_EVIDENCE + CLEAR else NO_EVIDENCE + (low - NO_EVIDENCE) / 4)))
+    return out
 
 
 def least_score(found: list[tuple[int, float]], text: Column) -> Column:
-    out = F.lit(NO_CUT)
+    out = F.lit(0.0)
     for bound, cut in found:
         out = F.when(F.length(text) >= bound, cut).otherwise(out)
     return out

@@ -22,7 +22,7 @@ def test_held_out_rows_and_edge_cases(spark, table_dir, frame):
     rows = corpus(300)
     odd = [(900, None, "en", "s"), (901, "", None, "s"), (902, "12 34 !!", "en", "s"), (None, rows[0][1], None, None),
            (903, "und " + "der über " * 30_000, None, "s"), (904, "東", None, None), (5, rows[5][1], rows[5][2], "s"),
-           (906, "İİ the and", "en", "s")]
+           (906, "İİ the and", "en", "s"), (907, "½ ②", "en", "s"), (908, "Ⅷ ²", None, "s"), (909, "٣ ৪ ₂", "de", "s")]
     got = QUERIES["op7_language_id"](spark, table_dir(documents=frame(rows + odd))).collect()
     assert len(got) == len(rows) + len(odd)
     of = {i: (t, lang) for i, t, lang, _ in rows}
@@ -31,7 +31,7 @@ def test_held_out_rows_and_edge_cases(spark, table_dir, frame):
         i = g["doc_id"]
         assert g["held_out"] == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2)
         assert 0 <= g["score"] <= 1 and g["lang_pred"] in {*WORDS, "und"}
-        if i in (900, 901, 902):
+        if i in (900, 901, 902, 907, 908, 909):
             assert (g["lang_pred"], g["score"]) == ("und", 0.0)
         elif i in of and g["held_out"]:
             wrong += g["lang_pred"] != of[i][1]
@@ -105,3 +105,48 @@ def test_long_texts_of_many_distinct_ngrams_score_like_short_ones(spark, frame):
     for lang in ("ja", "ko"):
         score = {r["n_chars"]: r["score"] for r in got if r["lang"] == lang}
         assert all(abs(score[n] - score[800]) < 0.1 for n in sizes), score
+
+
+def test_prediction_equals_the_kernel_form_from_sets(spark, monkeypatch):
+    """K(x, L) a with kernels counted on sets of n-grams and a solved from the same sums, against the scored rows."""
+    monkeypatch.setattr(langid, "WINDOW", 40)
+    rows = [(i, t, lang) for i, t, lang, _ in corpus(120, 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = {}
+    keep = langid.landmark_matrix
+    monkeypatch.setattr(langid, "landmark_matrix", lambda bits: held.setdefault("bits", bits) and keep(bits))
+    languages, weights = langid.train(docs)
+    landmarks = [set(np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8)))) for b in held["bits"]]
+
+    def slots(window):
+        x, _ = langid.grams([window])
+        return set(np.flatnonzero(x[0]))
+
+    def kernel(text):
+        cut = [slots(w) for w in langid.windows(text.lower()) if langid.has_letter(w)]
+        return np.mean([[len(x & y) / np.sqrt(len(x) * len(y)) for y in landmarks] for x in cut], axis=0)
+
+    k = np.array([kernel(t) for _, t, _ in rows])
+    target = np.array([[1.0 if lang == v else -1.0 for v in languages] for _, _, lang in rows])
+    k_ll = np.array([[len(x & y) / np.sqrt(len(x) * len(y)) for y in landmarks] for x in landmarks])
+    a = np.linalg.solve(k.T @ k + langid.RIDGE * k_ll + 1e-6 * np.eye(len(landmarks)), k.T @ target)
+    f = k @ a
+    got = {r["_row"]["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.identify(docs, (languages, weights)).collect()}
+    for (i, _, _), own in zip(rows, f):
+        assert got[i][0] == languages[own.argmax()] and abs(got[i][1] - np.clip((own.max() + 1) / 2, 0, 1)) < 1e-3
+
+
+def test_cuts_of_few_rows_are_pooled(spark):
+    """Any number of left-out rows gives cuts; one class with few rows is judged with the shorter ones."""
+    rows = corpus(400, 3)
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    model = langid.train(docs, use=~langid.left_out())
+    for least in (1, 10, 10_000):
+        langid_least, langid.LEAST_ROWS = langid.LEAST_ROWS, least
+        try:
+            found = langid.cuts(docs, model, langid.left_out())
+        finally:
+            langid.LEAST_ROWS = langid_least
+        assert found and [n for n, _ in found] == sorted({n for n, _ in found})
+        assert all(0.25 < cut < 1 for _, cut in found)
+    assert langid.cuts(docs.limit(0), model, langid.left_out()) == []
