@@ -12,22 +12,29 @@ Two deterministic transducers replace the tokenizer:
   with the change of the emitted-token count. It rests on the fact that the
   BPE encoding of any prefix is unique and is valid exactly if each pair of
   neighbouring tokens is: a state is the set of tokens in progress with the
-  token before each and its count, relative to the present one. States and
-  transitions are determinised as texts need them; at ``MAX_STATES`` the table
-  starts anew, which changes no count. Counts of short pieces are remembered
-  under the same kind of bound.
+  token before each and its count, relative to the present one. Whether two
+  tokens can be neighbours follows from the ranks of the merges that made them
+  and those at their seam (``MergeMachine.seam``). States and transitions are
+  determinised as texts need them; at ``MAX_STATES`` the table starts anew,
+  which changes no count. Counts of short pieces are remembered up to
+  ``MAX_PIECES``, then the older half is forgotten. A Python worker keeps its
+  tables from task to task.
 
 The vocabulary file's path is a parameter; the driver reads it once and its
 merges and character classes are broadcast (their size is the vocabulary's).
 Special strings inside a text are one token each, as by the library's default.
 
-Nulls: a null text is empty; an empty text has no tokens.
+Nulls and edges: a null text is empty; an empty text has no tokens. Very long
+texts are counted whole, alone in their run of rows. Repeated rows and ids are
+rows of their own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +44,8 @@ from pyspark.sql import functions as F
 from bowline.llm.bytetext import slices
 
 CHUNK = 256
-MAX_STATES = 100_000
-MAX_PIECES = 200_000
+MAX_STATES = 200_000
+MAX_PIECES = 500_000
 PIECE_BYTES = 32
 LIMIT = 1024
 
@@ -127,24 +134,58 @@ class MergeMachine:
         self.merge = {(a << 20) | b: (rank, to) for rank, (a, b, to) in enumerate(merges)}
         self.tokens, self.max_states = tokens, max_states
         self.byte_token = {t[0]: i for i, t in enumerate(tokens) if len(t) == 1}
-        self.child: dict[int, int] = {}
-        self.token_at: dict[int, int] = {}
-        self.inner = {0}
-        nodes = 1
+        self.children: list[dict[int, int]] = [{}]  # of every node of the tokens' trie
+        self.token_at = [-1]
         for i, t in enumerate(tokens):
             node = 0
             for b in t:
-                self.inner.add(node)
-                key = (node << 8) | b
-                to = self.child.get(key)
+                to = self.children[node].get(b)
                 if to is None:
-                    to = self.child[key] = nodes
-                    nodes += 1
+                    to = self.children[node][b] = len(self.children)
+                    self.children.append({})
+                    self.token_at.append(-1)
                 node = to
-            self.token_at[node] = i
+            self.token_at[node] = i if node else -1
         self.fits: dict[int, bool] = {}
         self.counts: dict[bytes, int] = {}
         self._clear()
+        self._split_trees(merges)
+
+    def _split_trees(self, merges: list[tuple[int, int, int]]) -> None:
+        """The merge that makes each token from its own bytes; tokens that no bytes become are not ``whole``."""
+        base = set(self.byte_token.values())
+        self.made = [-1 if i in base else 1 << 30 for i in range(len(self.tokens))]
+        self.left, self.right = list(range(len(self.tokens))), list(range(len(self.tokens)))
+        self.whole = [i in base for i in range(len(self.tokens))]
+        # learned merges come after the tokens they join; with any other order seams are settled by encoding
+        self.learned = True
+        for rank, (a, b, to) in enumerate(merges):
+            self.learned &= self.made[a] < rank and self.made[b] < rank
+            if self.whole[to] or not (self.whole[a] and self.whole[b]) or not self.learned or not self.seam(a, b, rank):
+                continue
+            self.made[to], self.left[to], self.right[to], self.whole[to] = rank, a, b, True
+        if not self.learned:
+            self.whole = [bool(t) and self.encode(t) == [i] for i, t in enumerate(self.tokens)]
+
+    def seam(self, a: int, b: int, until: int = 1 << 30) -> bool:
+        """Whether nothing merges across the seam of a and b before the merge of rank ``until``.
+
+        Walks back in time along the right edge of a's merges and the left edge of b's. Two tokens there
+        stood side by side until the earlier of them was merged on, so a merge of them of a lower rank
+        would have come first; of equal ranks the left one comes first.
+        """
+        on_a = on_b = until
+        merge, made = self.merge, self.made
+        while True:
+            at = merge.get((a << 20) | b)
+            if at is not None and at[0] < on_a and (at[0] < on_b or at[0] == on_b != until):
+                return False
+            if made[a] > made[b]:
+                on_a, a = made[a], self.right[a]
+            elif made[b] >= 0:
+                on_b, b = made[b], self.left[b]
+            else:
+                return True
 
     def _clear(self) -> None:
         first = ((-1, 0, 0),)
@@ -171,29 +212,39 @@ class MergeMachine:
     def _fit(self, a: int, b: int) -> bool:
         """Whether token b can follow token a."""
         if a < 0:
-            return True
+            return self.whole[b]
         key = (a << 20) | b
         ok = self.fits.get(key)
         if ok is None:
             if len(self.fits) > 4 * self.max_states:
                 self.fits.clear()
-            ok = self.fits[key] = self.encode(self.tokens[a] + self.tokens[b]) == [a, b]
+            if self.learned:
+                ok = self.whole[a] and self.whole[b] and self.seam(a, b)
+            else:
+                ok = self.encode(self.tokens[a] + self.tokens[b]) == [a, b]
+            self.fits[key] = ok
         return ok
 
     def _grow(self, state: int, byte: int) -> tuple[int, int]:
-        """Determinise one transition: (next state, change of the count)."""
+        """Determinise one transition: (next state, change of the count).
+
+        The tokens in progress of a state stand in the order of their first bytes.
+        """
         ahead, last, change = [], -1, 0
+        children, token_at = self.children, self.token_at
         for before, node, count in self.live[state]:
-            to = self.child.get((node << 8) | byte)
+            to = children[node].get(byte)
             if to is None:
                 continue
-            if to in self.inner:
+            if last < 0 and token_at[to] >= 0 and self._fit(before, token_at[to]):
+                last, change = token_at[to], count + 1
+            if children[to]:
                 ahead.append((before, to, count))
-            token = self.token_at.get(to)
-            if last < 0 and token is not None and self._fit(before, token):
-                last, change = token, count + 1
         # relative to the count after this byte; the new token may be followed by any
-        held = tuple(sorted((b, n, c - change) for b, n, c in ahead)) + ((last, 0, 0),)
+        if change:
+            ahead = [(b, n, c - change) for b, n, c in ahead]
+        ahead.append((last, 0, 0))
+        held = tuple(ahead)
         to = self.number.get(held)
         if to is None:
             to = self.number[held] = len(self.live)
@@ -205,8 +256,9 @@ class MergeMachine:
         if len(self.live) > self.max_states:
             self._clear()
         state = total = 0
+        step = self.step.get
         for b in piece:
-            at = self.step.get((state << 8) | b)
+            at = step((state << 8) | b)
             state, change = at if at is not None else self._grow(state, b)
             total += change
         return total
@@ -217,7 +269,8 @@ class MergeMachine:
             n = self.count(piece)
             if len(piece) <= PIECE_BYTES:
                 if len(self.counts) >= MAX_PIECES:
-                    self.counts.clear()
+                    for old in list(islice(self.counts, MAX_PIECES // 2)):
+                        del self.counts[old]
                 self.counts[piece] = n
         return n
 
@@ -229,19 +282,27 @@ def _byte_symbols() -> dict[str, int]:
     return {**{chr(b): b for b in shown}, **{chr(256 + i): b for i, b in enumerate(rest)}}
 
 
+@cache
 def _classes() -> np.ndarray:
-    """Class of every code point, by the split pattern's own regex engine."""
+    """Class of every code point, by the split pattern's own regex engine.
+
+    One pass cuts all code points into runs of one class; the classes of the runs follow from their first characters.
+    """
     from tokenizers import Regex, pre_tokenizers
 
     every = "".join(chr(c) for c in range(ALPHABET_END) if not 0xD800 <= c < 0xE000)
-    def is_in(pattern: str) -> np.ndarray:
-        out = np.ones(len(every), np.bool_)
-        for _, (s, e) in pre_tokenizers.Split(Regex(pattern), "removed").pre_tokenize_str(every):
-            out[s:e] = False
-        return out
-    got = np.full(len(every), OTHER, np.uint8)
-    for pattern, c in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", BLANK)):
-        got[is_in(pattern)] = c
+
+    def cut(pattern: str, text: str, behavior: str) -> list[tuple[int, int]]:
+        return [at for _, at in pre_tokenizers.Split(Regex(pattern), behavior).pre_tokenize_str(text)]
+    runs = cut(r"\p{L}+|\p{N}+|\s+", every, "isolated")
+    firsts = "".join(every[s] for s, _ in runs)
+    of_run = np.full(len(runs), OTHER, np.uint8)
+    for pattern, c in ((r"\p{L}", LETTER), (r"\p{N}", NUMBER), (r"\s", BLANK)):
+        inside = np.ones(len(runs), np.bool_)
+        for s, e in cut(pattern, firsts, "removed"):
+            inside[s:e] = False
+        of_run[inside] = c
+    got = np.repeat(of_run, [e - s for s, e in runs])
     out = np.full(ALPHABET_END, OTHER, np.uint8)
     out[:0xD800], out[0xE000:] = got[:0xD800], got[0xD800:]
     for chars, c in (("stmd", ONE), ("r", RE), ("v", VE), ("l", LL), ("e", E), (" ", SPACE), ("'", QUOTE)):
@@ -258,6 +319,12 @@ def compile_tokenizer(path: str) -> dict:
     if spec["model"]["type"] != "BPE" or spec["normalizer"] or split["type"] != "ByteLevel" \
             or split["add_prefix_space"] or not split["use_regex"]:
         raise ValueError("only byte-level BPE tokenizers with the standard split can be compiled")
+    model = spec["model"]
+    odd = [k for k in ("ignore_merges", "byte_fallback", "unk_token", "continuing_subword_prefix", "end_of_word_suffix",
+                       "dropout") if model.get(k)]
+    odd += [k for t in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized") if t.get(k)]
+    if odd:
+        raise ValueError(f"tokenizer settings that are not compiled: {', '.join(sorted(set(odd)))}")
     byte_of = _byte_symbols()
     vocab = spec["model"]["vocab"]
     special = [t["content"] for t in spec["added_tokens"]]
@@ -321,9 +388,18 @@ class Counter:
         return np.diff(total[np.searchsorted(starts, first)])
 
 
+_HELD: list = []  # the tokenizer and the counter that this Python worker used last
+
+
+def _counter(spec: dict) -> Counter:
+    if not _HELD or _HELD[0] is not spec:
+        _HELD[:] = [spec, Counter(spec)]
+    return _HELD[1]
+
+
 def _count(spec) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = Counter(spec.value)
+        counter = _counter(spec.value)
         for batch in batches:
             for lo, hi, raw, offs in slices(batch.column(1)):
                 n = counter.slice_counts(raw.tobytes(), offs)

@@ -62,3 +62,58 @@ def test_query(spark, table_dir, frame, library):
     want = [(i, len((t or "").encode()), n, n > 1024) for (i, t, _, _), n in zip(rows, theirs(library, [t or "" for _, t, _, _ in rows]))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
     assert QUERIES["op10_token_counts"](spark, table_dir(documents=frame([]))).count() == 0
+
+
+def test_seams_equal_encoding(counter):
+    r = random.Random(4)
+    m = counter.merge
+    assert m.learned and all(m.whole[i] for i, t in enumerate(m.tokens) if t)
+    ids = [i for i, t in enumerate(m.tokens) if t]
+    pairs = [(r.choice(ids), r.choice(ids)) for _ in range(4000)]
+    for _ in range(4000):  # neighbours as texts have them
+        t = m.tokens[r.choice(ids)] + m.tokens[r.choice(ids)]
+        k = r.randrange(1, len(t))
+        pairs.append((m.encode(t[:k])[-1], m.encode(t[k:])[0]))
+    for a, b in pairs:
+        assert m.seam(a, b) == (m.encode(m.tokens[a] + m.tokens[b]) == [a, b]), (m.tokens[a], m.tokens[b])
+
+
+def test_seams_of_small_vocabularies():
+    """All merge lists over two letters: learned ones by seams, any other order by encoding."""
+    r = random.Random(5)
+    learned = 0
+    for _ in range(300):
+        tokens, merges = [b"a", b"b"], []
+        for _ in range(r.randint(1, 7)):
+            x, y = r.randrange(len(tokens)), r.randrange(len(tokens))
+            joined = tokens[x] + tokens[y]
+            if (x, y) in {(a, b) for a, b, _ in merges} or len(joined) > 8:
+                continue
+            if joined not in tokens:
+                tokens.append(joined)
+            merges.append((x, y, tokens.index(joined)))
+        if r.random() < 0.3:
+            r.shuffle(merges)
+        m = tokencount.MergeMachine(tokens, merges)
+        learned += m.learned
+        for _ in range(60):
+            piece = bytes(r.choice(b"ab") for _ in range(r.randint(1, 14)))
+            assert m.count(piece) == len(m.encode(piece)), (tokens, merges, piece)
+    assert learned > 100
+
+
+def test_forgetting_pieces_changes_nothing(counter, library, monkeypatch):
+    monkeypatch.setattr(tokencount, "MAX_PIECES", 10)
+    small = tokencount.Counter(tokencount.compile_tokenizer(PATH))
+    texts = ["some words of a text that goes on " * 3, "and again, some other words"]
+    assert mine(small, texts) == theirs(library, texts) and len(small.merge.counts) <= 10
+
+
+def test_settings_that_are_not_compiled_raise(tmp_path):
+    import json
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"ignore_merges": True}, {"byte_fallback": True}, {"unk_token": "<unk>"}):
+        path = tmp_path / "t.json"
+        path.write_text(json.dumps({**spec, "model": {**spec["model"], **change}}), encoding="utf-8")
+        with pytest.raises(ValueError, match=next(iter(change))):
+            tokencount.compile_tokenizer(str(path))
