@@ -114,16 +114,21 @@ class WordRun(NamedTuple):
     first: np.ndarray
 
 
-def words(run: Run) -> WordRun:
+def word_bounds(run: Run) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, first word of every row and one more) of the runs between white space; none crosses a row."""
     inside = np.zeros(len(run.raw) + 2, np.int8)
     inside[1:-1] = ~spaces(run.raw)
     begins, ends = inside[1:] > inside[:-1], inside[1:] < inside[:-1]
-    cut = run.offs[1:-1]  # a word never crosses a row
+    cut = run.offs[1:-1]
     both = cut[(inside[cut] == 1) & (inside[cut + 1] == 1)]
     begins[both] = ends[both] = True
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
+    return start, end, np.searchsorted(start, run.offs)
+
+
+def words(run: Run) -> WordRun:
+    start, end, first = word_bounds(run)
     h = mixed(range_hashes(run.raw, start, end), 0)
-    first = np.searchsorted(start, run.offs)
     return WordRun(h, np.repeat(np.arange(len(run.offs) - 1), np.diff(first)), first)
 
 

@@ -11,25 +11,24 @@ replaying it:
   every other word at (group, 2). Ties go by position.
 
 So a run of swaps lands, in order, just before the last word that is no
-swap. Words are split in the JVM; the draws and the sort are one Arrow step
-per batch, and originals and variants are embedded in the same narrow
-pipeline: no shuffle, and a text is read once.
+swap. Words are found on the Arrow buffer; draws, order and the new texts are
+array operations over all words of a run of rows, and originals and variants
+are embedded in the same narrow pipeline: no shuffle, and a text is read once.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bowline.functions import draws
+from bowline.functions import draws, grams
+from bowline.functions.md5 import md5_words
 from bowline.functions.vectors import cosine
 from bowline.operators.embed import embed
 from bowline.operators.train import Model
-from bowline.sources.corpus import trim_unicode
 
 # --- fixed values: mutation kinds of the reference, each equally likely ---
 KIND_DELETE, KIND_DUPLICATE, KIND_SWAP, KIND_DROP_CHAR = 0, 1, 2, 3
@@ -38,68 +37,117 @@ MIN_CHARS_TO_DROP = 3  # a character is removed only from words of more than 2 c
 # ---------------------------------------------------------------------------
 
 KEEP = -1  # a word that is not mutated
-_WS = r"\p{IsWhite_Space}+"
-
-
-def _words(text):
-    trimmed = trim_unicode(text)
-    return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, _WS))
-
-
-def drawn_kinds(words: list[str], prefix: str, rate: float) -> list[tuple[int, int]]:
-    """(kind or KEEP, character) of every word; ``prefix`` + position is the key of its draws."""
-    out = []
-    for pos, word in enumerate(words):
-        h = hashlib.md5(f"{prefix}|{pos}".encode()).digest()
-        mutated = int.from_bytes(h[:4]) / draws.TWO_32 < rate
-        out.append(((int.from_bytes(h[4:8]) * N_KINDS) >> 32 if mutated else KEEP,
-                    (int.from_bytes(h[8:12]) * len(word)) >> 32))
-    return out
-
-
-def mutated(words: list[str], kinds: list[tuple[int, int]]) -> str:
-    """The words of a text after the given kinds of mutation, joined by spaces."""
-    placed = []
-    group = 0
-    for pos, (word, (kind, at)) in enumerate(zip(words, kinds)):
-        if kind == KIND_DELETE:
-            continue
-        first_left = not placed
-        group += kind != KIND_SWAP
-        if kind == KIND_SWAP and not first_left:
-            placed.append((group, 1, pos, word))
-            continue
-        if kind == KIND_DUPLICATE:
-            placed.append((group, 0, pos, word))
-        elif kind == KIND_DROP_CHAR and len(word) >= MIN_CHARS_TO_DROP:
-            word = word[:at] + word[at + 1:]
-        placed.append((group, 2, pos, word))
-    placed.sort(key=lambda e: e[:3])
-    return " ".join(e[3] for e in placed)
+
+
+def _keyed(prefixes: list[bytes], row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of the draw keys: each word's row prefix and its position in decimal."""
+    size = np.array([len(p) for p in prefixes], np.int64)
+    begin = np.cumsum(size) - size
+    text = np.frombuffer(b"".join(prefixes), np.uint8)
+    digits = np.searchsorted(10 ** np.arange(1, 19), pos, "right") + 1
+    length = size[row] + digits
+    first = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), np.uint8)
+    n = size[row]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # place within the prefix
+    out[np.repeat(first, n) + at] = text[np.repeat(begin[row], n) + at]
+    left = pos.copy()
+    for k in range(int(digits.max(initial=0))):
+        on = digits > k
+        out[(first + length - 1 - k)[on]] = 0x30 + left[on] % 10
+        left //= 10
+    return out, length
+
+
+def drawn_kinds(prefixes: list[bytes], row: np.ndarray, pos: np.ndarray, chars: np.ndarray,
+                rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """(kind or KEEP, character) of words at ``pos`` of their rows, of so many characters."""
+    if not len(row):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    h = md5_words(*_keyed(prefixes, row, pos)).astype(np.int64)
+    kind = np.where(h[:, 0] / draws.TWO_32 < rate, (h[:, 1] * N_KINDS) >> 32, KEEP)
+    return kind, (h[:, 2] * chars) >> 32
+
+
+def mutated_order(kind: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, row) of the words of the mutated texts, in order; rows stay together."""
+    left = np.flatnonzero(kind != KIND_DELETE)
+    k, r = kind[left], row[left]
+    first = np.ones(len(left), np.bool_)
+    first[1:] = r[1:] != r[:-1]
+    anchored = (k != KIND_SWAP).astype(np.int64)
+    total = np.cumsum(anchored)
+    group = total - np.repeat((total - anchored)[first], np.diff(np.append(np.flatnonzero(first), len(left))))
+    rank = np.where((k == KIND_SWAP) & ~first, 1, 2)
+    twice = np.flatnonzero(k == KIND_DUPLICATE)
+    at = np.concatenate([np.arange(len(left)), twice])
+    rank = np.concatenate([rank, np.zeros(len(twice), np.int64)])
+    order = np.lexsort((at, rank, group[at], r[at]))
+    return left[at[order]], r[at[order]]
+
+
+def _joined(run: grams.Run, start: np.ndarray, end: np.ndarray, chars: np.ndarray, kind: np.ndarray,
+            at: np.ndarray, word: np.ndarray, row: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, end of every row) of the given words of each row, joined by spaces, a drawn character left out."""
+    cut = (kind == KIND_DROP_CHAR) & (chars >= MIN_CHARS_TO_DROP)
+    lost = np.zeros(len(run.raw) + 1, np.bool_)  # bytes of left out characters; a word is dropped from once
+    edges = np.append(np.flatnonzero((run.raw & 0xC0) != 0x80), len(run.raw))
+    from_char = np.searchsorted(edges, start[cut]) + at[cut]
+    lo, hi = edges[from_char], edges[from_char + 1]
+    for k in range(4):
+        lost[(lo + k)[lo + k < hi]] = True
+    size = (end - start)[word] + 1
+    begin = np.cumsum(size) - size
+    source = np.arange(int(size.sum())) + np.repeat(start[word] - begin, size)
+    space = np.zeros(len(source), np.bool_)
+    space[begin + size - 1] = True
+    out = np.where(space, 0x20, np.append(run.raw, 0)[source]).astype(np.uint8)
+    keep = space | ~lost[source]
+    last = np.ones(len(word), np.bool_)
+    last[:-1] = row[1:] != row[:-1]
+    keep[(begin + size - 1)[last]] = False  # no space after a row's last word
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    ends = kept[np.append(begin, len(source))]
+    return out[keep], ends[np.searchsorted(row, np.arange(rows), "right")]
+
+
+def _mutated(run: grams.Run, prefixes: list[bytes], rate: float) -> pa.Array:
+    """The mutated text of every row; a text without words as it is."""
+    rows = len(run.offs) - 1
+    start, end, first = grams.word_bounds(run)
+    row = np.repeat(np.arange(rows), np.diff(first))
+    lead = np.concatenate([[0], np.cumsum((run.raw & 0xC0) != 0x80)])
+    chars = lead[end] - lead[start]
+    kind, at = drawn_kinds(prefixes, row, np.arange(len(start)) - first[row], chars, rate)
+    word, of = mutated_order(kind, row)
+    data, ends = _joined(run, start, end, chars, kind, at, word, of, rows)
+    made = pa.Array.from_buffers(pa.large_string(), rows, [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int64)),
+                                                           pa.py_buffer(np.ascontiguousarray(data))])
+    return made.cast(pa.string())
 
 
 def _fan_out(num_variants: int, rate: float, seed: int):
-    """Rows (row, key, text, words) -> one row per variant with its text."""
+    """Rows (row, key, text) -> one row per variant with its text."""
     def run(batches):
         for batch in batches:
-            row, keys, texts, words = (batch.column(i) for i in range(4))
-            made = []
-            for key, text, w in zip(keys.to_pylist(), texts.to_pylist(), words.to_pylist()):
+            for part in grams.runs(batch.column(2)):
+                rows = len(part.offs) - 1
+                row, keys, texts = (batch.column(i).slice(part.row, rows) for i in range(3))
                 # as concat_ws does, a NULL id leaves its part of the key out
-                start = f"{seed}|variant" + ("" if key is None else f"|{key}")
-                made += [mutated(w, drawn_kinds(w, f"{start}|{v}", rate)) if w else text
-                         for v in range(1, num_variants + 1)]
-            back = pa.array(np.repeat(np.arange(batch.num_rows), num_variants))
-            number = pa.array(np.tile(np.arange(1, num_variants + 1, dtype=np.int32), batch.num_rows))
-            yield pa.RecordBatch.from_arrays([row.take(back), number, pa.array(made, pa.string())],
-                                             names=["row", "variant", "variant_text"])
+                start = [f"{seed}|variant" + ("" if k is None else f"|{k}") for k in keys.to_pylist()]
+                plain = pa.array(np.diff(grams.word_bounds(part)[2]) == 0)
+                for v in range(1, num_variants + 1):
+                    made = _mutated(part, [f"{s}|{v}|".encode() for s in start], rate)
+                    yield pa.RecordBatch.from_arrays(
+                        [row, pa.array(np.full(rows, v, np.int32)), pc.if_else(plain, texts.cast(pa.string()), made)],
+                        names=["row", "variant", "variant_text"])
     return run
 
 
 def _variants(rows: DataFrame, num_variants: int, rate: float, seed: int, id_col: str, text_col: str) -> DataFrame:
     """(row, variant, variant_text); ``row`` is the whole input row."""
     src = rows.select(F.struct(*rows.columns).alias("row"), F.col(id_col).cast("string").alias("key"),
-                      F.col(text_col).alias("text"), _words(F.col(text_col)).alias("words"))
+                      F.col(text_col).alias("text"))
     kind = src.schema["row"].dataType.simpleString()
     return src.mapInArrow(_fan_out(num_variants, rate, seed), f"row {kind}, variant int, variant_text string")
 
