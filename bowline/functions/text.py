@@ -1,8 +1,9 @@
 """Text column functions: normalize, tokenize, n-grams, term bags.
 
-Everything but NFC runs as built-in JVM expressions. NFC has no Spark SQL
-function; it is an Arrow function that gets only the rows that can change
-under NFC (a character at or above U+0300), all others are null to it.
+NFC has no Spark SQL function; it is an Arrow function that gets only the rows
+that can change under NFC (a character at or above U+0300), all others are null
+to it. Lower-casing is the JVM's. Tokens are found on the Arrow buffer
+(``tokens``); n-grams of given arrays and term bags are JVM expressions.
 """
 
 from __future__ import annotations
@@ -12,31 +13,19 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from bowline.functions.common import let
+from bowline.functions.tokens import MIN_TOKEN_BYTES, NGRAM_SEP, STOP_WORDS, token_lists
 
-# --- fixed values: must equal the reference's tokenizer -------------------
-# English stop words removed after tokenizing (68 words, reference order).
-STOP_WORDS = (
-    "a", "an", "the", "and", "but", "or", "for", "nor", "on", "at", "to", "from", "by", "with", "in", "out",
-    "is", "are", "am", "was", "were", "be", "being", "been", "have", "has", "had", "do", "does", "did",
-    "will", "would", "shall", "should", "may", "might", "must", "can", "could", "of", "this", "that",
-    "these", "those", "i", "you", "he", "she", "it", "we", "they", "me", "him", "her", "us", "them", "its",
-    "our", "their", "what", "which", "who", "whom", "whose", "when", "where", "why", "how",
-)
-# A token is kept when its UTF-8 length is at least this many bytes.
-MIN_TOKEN_BYTES = 2
-# n-gram pieces are joined with this separator.
-NGRAM_SEP = "_"
+__all__ = ["MIN_TOKEN_BYTES", "NGRAM_SEP", "STOP_WORDS", "BM25_K1", "BAG_TYPE", "nfc", "normalize", "tokenize", "ngrams",
+           "process_text", "term_bag"]
+
+# --- fixed values (with those of ``tokens``) --------------------------------
 # BM25-like saturation constants (k1; b cancels out in the reference formula).
 BM25_K1 = 1.2
 # ---------------------------------------------------------------------------
 
-# Split on every character that is neither alphabetic nor numeric
-# (Unicode Alphabetic property or general category N), like char::is_alphanumeric.
-SPLIT_PATTERN = r"[^\p{IsAlphabetic}\p{N}]+"
-
 # Every character below U+0300 is NFC-stable and never composes with a
 # neighbour below U+0300, so only rows with a character >= U+0300 can change.
 _MAY_CHANGE_UNDER_NFC = r"[^\x{0000}-\x{02FF}]"
@@ -58,19 +47,19 @@ def normalize(text: Column) -> Column:
     return F.lower(nfc(text))
 
 
-def tokenize_normalized(norm: Column) -> Column:
-    """T2-T4 on already normalized text: split, byte-length and stop-word filter."""
-    pieces = F.split(norm, SPLIT_PATTERN)
-    return F.filter(
-        pieces,
-        lambda x: (F.octet_length(x) >= MIN_TOKEN_BYTES)
-        & ~x.isin(*STOP_WORDS),
-    )
+@F.arrow_udf(ArrayType(StringType()))
+def _tokens(norm: pa.Array) -> pa.Array:
+    return token_lists(norm, use_ngrams=False)
+
+
+@F.arrow_udf(ArrayType(StringType()))
+def _terms(norm: pa.Array) -> pa.Array:
+    return token_lists(norm, use_ngrams=True)
 
 
 def tokenize(text: Column) -> Column:
-    """Normalized tokens of a text as ARRAY<STRING>."""
-    return tokenize_normalized(normalize(text))
+    """Normalized tokens of a text as ARRAY<STRING>: split, byte-length and stop-word filter."""
+    return _tokens(normalize(text))
 
 
 def ngrams(tokens: Column, n: int) -> Column:
@@ -88,24 +77,9 @@ def ngrams(tokens: Column, n: int) -> Column:
     return let(tokens, body)
 
 
-def bigrams(tokens: Column) -> Column:
-    """T5 with n = 2, written as a pairwise zip (no per-window slice)."""
-    return let(tokens, _bigrams_of)
-
-
-def _bigrams_of(t: Column) -> Column:
-    size = F.size(t)
-    pairs = F.zip_with(F.slice(t, 1, size - 1), F.slice(t, 2, size - 1),
-                       lambda a, b: F.concat(a, F.lit(NGRAM_SEP), b))
-    return F.when(size >= 2, pairs).otherwise(F.array().cast("array<string>"))
-
-
 def process_text(text: Column, use_ngrams: bool = True) -> Column:
     """Unigrams, then bigrams when enabled (bigrams bridge stop words)."""
-    toks = tokenize(text)
-    if not use_ngrams:
-        return toks
-    return let(toks, lambda t: F.concat(t, _bigrams_of(t)))
+    return _terms(normalize(text)) if use_ngrams else tokenize(text)
 
 
 def term_bag(terms: Column) -> Column:

@@ -1,9 +1,9 @@
 """Embedding documents.
 
-Tokenizing and the per-document term bag are JVM expressions; a
-``mapInArrow`` step then looks the terms up in a broadcast block of the
-vocabulary (Arrow hash lookup), applies the BM25-like weight and sums
-weighted projection rows with NumPy. A model that fits
+Texts are normalized in the JVM; a ``mapInArrow`` step then finds their tokens
+on the buffer, looks tokens and pairs of tokens up in a broadcast block of the
+vocabulary, applies the BM25-like weight and sums weighted projection rows with
+NumPy (with dropout, whose draws are JVM expressions, it gets term bags). A model that fits
 ``Limits.broadcast_bytes`` is one block. A larger one is cut into blocks of
 vocabulary rows that each fit, and the steps are chained, each adding its
 share to the row's vector. Every step is narrow: no shuffle, rows are never
@@ -22,7 +22,8 @@ from pyspark.sql import types as Ty
 from bowline.config import DEFAULT_LIMITS, Limits, clamp_dropout
 from bowline.functions import draws
 from bowline.functions.bitfilter import empty_filter, passes, put
-from bowline.functions.text import BM25_K1, process_text
+from bowline.functions.text import BM25_K1, normalize
+from bowline.functions.tokens import Vocabulary, token_runs
 from bowline.functions.vectors import NORMALIZE_EPS
 from bowline.operators.sums import vector_sums
 from bowline.operators.train import Model, term_bags
@@ -115,9 +116,8 @@ def embed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     carry = carry or []
     p = clamp_dropout(dropout_rate)
     if p == 0.0:
-        # no dropout: the Arrow step counts term frequencies itself
-        rows = docs.select(F.col(id_col).alias("doc_id"), *carry,
-                           process_text(F.col(text_col), model.config.use_ngrams).alias(_TERMS))
+        # no dropout: the Arrow step tokenizes and counts term frequencies itself
+        rows = docs.select(F.col(id_col).alias("doc_id"), *carry, normalize(F.col(text_col)).alias(_TERMS))
     else:
         seed = model.config.random_seed if dropout_seed is None else dropout_seed
         rows = bags_for(docs, model, id_col, text_col, carry).withColumn(
@@ -131,7 +131,9 @@ def embed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     blocks = broadcast_blocks(model, limits)
     for i, bc in enumerate(blocks):
         last = i == len(blocks) - 1
-        fn = _make_projector(bc, model.embedding_dim, p, limits.projection_chunk, i == 0, last)
+        dim, chunk = model.embedding_dim, limits.projection_chunk
+        fn = (_make_projector(bc, dim, chunk, model.config.use_ngrams, i == 0, last) if p == 0.0
+              else _make_bag_projector(bc, dim, p, chunk, i == 0, last))
         fields = head + ([] if last else [rows.schema[_TERMS]]) + [Ty.StructField(EMBEDDING, vector)]
         rows = rows.mapInArrow(fn, Ty.StructType(fields))
     return rows.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else rows
@@ -174,68 +176,100 @@ def broadcast_blocks(model: Model, limits: Limits = DEFAULT_LIMITS) -> list:
     return held[1]
 
 
-def _make_projector(bc, dim: int, p: float, chunk: int, first: bool, last: bool):
-    """Arrow batch function: terms -> sum over the block's vocabulary, normalized in the last step."""
+_VOCABULARIES: dict[int, tuple] = {}  # a Python worker's look-up tables, by the block they are made of
+
+
+def _vocabulary(block: dict) -> Vocabulary:
+    held = _VOCABULARIES.get(id(block))
+    if held is None or held[0] is not block:
+        if len(_VOCABULARIES) > 64:
+            _VOCABULARIES.clear()
+        held = _VOCABULARIES[id(block)] = (block, Vocabulary(block["tokens"]))
+    return held[1]
+
+
+def _start(batch: pa.RecordBatch, dim: int, first: bool) -> np.ndarray:
+    """The sums that the blocks before have made of the rows."""
+    if first:
+        return np.zeros((batch.num_rows, dim))
+    held = batch.column(batch.schema.get_field_index(EMBEDDING))
+    return held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).copy()
+
+
+def _add(out: np.ndarray, r: np.ndarray, ix: np.ndarray, w: np.ndarray, matrix: np.ndarray, chunk: int) -> None:
+    """Add weighted projection rows to their rows of ``out``; ``r`` is ascending."""
+    for a in range(0, len(r), chunk):
+        rr = r[a:a + chunk]
+        contrib = matrix[ix[a:a + chunk]] * w[a:a + chunk, None]
+        starts = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
+        out[rr[starts]] += np.add.reduceat(contrib, starts, axis=0)
+
+
+def _finished(batch: pa.RecordBatch, out: np.ndarray, last: bool) -> pa.RecordBatch:
+    n, dim = out.shape
+    if last:
+        norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+        big = norms > NORMALIZE_EPS
+        out[big] /= norms[big, None]
+    names = batch.schema.names
+    emb = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(out.ravel()))
+    kept = [c for c in names if c != EMBEDDING and not (last and c == _TERMS)]
+    return pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + [emb], names=kept + [EMBEDDING])
+
+
+def _make_projector(bc, dim: int, chunk: int, use_ngrams: bool, first: bool, last: bool):
+    """Arrow batch function: normalized text -> sum over the block's vocabulary, normalized in the last step."""
+    def project(batches):
+        block = bc.value
+        vocab, v = _vocabulary(block), max(1, len(block["tokens"]))
+        for batch in batches:
+            for t in token_runs(batch.column(batch.schema.get_field_index(_TERMS))):
+                part = batch.slice(t.first_row, t.rows)
+                out = _start(part, dim, first)
+                n = np.bincount(t.row, minlength=t.rows)
+                n_terms = (n + np.maximum(n - 1, 0) if use_ngrams else n).astype(np.float64)
+                row, index = vocab.find(t, use_ngrams)
+                key, tf = np.unique(row * v + index, return_counts=True)  # (row, index) pairs, by one sort
+                r, ix = key // v, key % v
+                _add(out, r, ix, weight(tf.astype(np.float64), n_terms[r], block["idf"][ix]), block["matrix"], chunk)
+                yield _finished(part, out, last)
+    return project
+
+
+def _make_bag_projector(bc, dim: int, p: float, chunk: int, first: bool, last: bool):
+    """As ``_make_projector`` for bags of terms with a keep flag each, runs of rows with a bounded number of terms."""
     def project(batches):
         block = bc.value
         vocab = pa.array(block["tokens"], type=pa.string())
         for batch in batches:
-            terms = batch.column(batch.schema.get_field_index(_TERMS))
-            lists = terms.field("bag") if p > 0.0 else terms
-            lengths = pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)
-            ends = np.cumsum(lengths, dtype=np.int64)
+            lists = batch.column(batch.schema.get_field_index(_TERMS)).field("bag")
+            ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
             lo = 0
-            while lo < batch.num_rows:  # runs of rows with a bounded number of terms, a longer row alone
+            while lo < batch.num_rows:  # a longer row stands alone
                 before = ends[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(ends, before + _BATCH_TERMS, "right")))
-                yield _project_rows(batch.slice(lo, hi - lo), vocab, block, dim, p, chunk, first, last)
+                yield _project_bags(batch.slice(lo, hi - lo), vocab, block, dim, p, chunk, first, last)
                 lo = hi
-
     return project
 
 
-def _project_rows(batch, vocab, block, dim, p, chunk, first, last):
+def _project_bags(batch, vocab, block, dim, p, chunk, first, last):
     n = batch.num_rows
-    names = batch.schema.names
-    terms = batch.column(names.index(_TERMS))
-    if first:
-        out = np.zeros((n, dim))
-    else:
-        held = batch.column(names.index(EMBEDDING))
-        out = held.flatten().to_numpy(zero_copy_only=False).reshape(n, dim).copy()
-    bag = terms.flatten()[0] if p > 0.0 else terms
-    lengths = pc.fill_null(bag.value_lengths(), 0).to_numpy(zero_copy_only=False)
+    terms = batch.column(batch.schema.get_field_index(_TERMS))
+    out = _start(batch, dim, first)
+    bag, n_terms = terms.flatten()
     flat = bag.flatten()
     if len(flat) and len(vocab):
-        n_terms = (terms.flatten()[1].to_numpy(zero_copy_only=False) if p > 0.0 else lengths).astype(np.float64)
-        idx = pc.index_in(flat.field("token") if p > 0.0 else flat, value_set=vocab)
+        lengths = pc.fill_null(bag.value_lengths(), 0).to_numpy(zero_copy_only=False)
+        n_terms = n_terms.to_numpy(zero_copy_only=False).astype(np.float64)
+        idx = pc.index_in(flat.field("token"), value_set=vocab)
         sel = idx.is_valid().to_numpy(zero_copy_only=False)
         r = np.repeat(np.arange(n), lengths)[sel]
         ix = idx.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
-        if p > 0.0:
-            tf = flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64)
-        else:
-            # count (row, index) pairs with one sort
-            uk, tf = np.unique(r * len(vocab) + ix, return_counts=True)
-            r, ix, tf = uk // len(vocab), uk % len(vocab), tf.astype(np.float64)
-        w = weight(tf, n_terms[r], block["idf"][ix])
-        if p > 0.0:
-            keep = flat.field("keep").to_numpy(zero_copy_only=False)[sel]
-            w = np.where(keep, w / (1.0 - p), 0.0)
-        for a in range(0, len(r), chunk):
-            rr = r[a:a + chunk]
-            contrib = block["matrix"][ix[a:a + chunk]] * w[a:a + chunk, None]
-            starts = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
-            out[rr[starts]] += np.add.reduceat(contrib, starts, axis=0)
-    if last:
-        norms = np.sqrt(np.einsum("ij,ij->i", out, out))
-        big = norms > NORMALIZE_EPS
-        out[big] /= norms[big, None]
-    offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
-    emb = pa.ListArray.from_arrays(offsets, pa.array(out.ravel()))
-    kept = [c for c in names if c != EMBEDDING and not (last and c == _TERMS)]
-    return pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + [emb],
-                                      names=kept + [EMBEDDING])
+        w = weight(flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64), n_terms[r], block["idf"][ix])
+        keep = flat.field("keep").to_numpy(zero_copy_only=False)[sel]
+        _add(out, r, ix, np.where(keep, w / (1.0 - p), 0.0), block["matrix"], chunk)
+    return _finished(batch, out, last)
 
 
 # ---- E3 as a table -------------------------------------------------------------

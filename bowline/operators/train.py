@@ -1,9 +1,9 @@
 """Training: token statistics, vocabulary, IDF and projection matrix.
 
-Plan shape at scale: one narrow stage tokenizes every document and builds
-its term bag inside the row; one shuffle by token (with map-side partial
-aggregation, so frequent tokens are pre-summed per partition) yields token
-and document frequencies. The statistics are written once to the shared
+Plan shape at scale: one narrow stage tokenizes the documents and counts the
+terms of every run of rows on their codes; one shuffle by token (with map-side
+partial aggregation, so frequent tokens are pre-summed per partition) yields
+token and document frequencies. The statistics are written once to the shared
 checkpoint folder; everything after works on that table or on the at most
 ``max_vocabulary_size`` rows of the vocabulary.
 """
@@ -11,14 +11,17 @@ checkpoint folder; everything after works on that table or on the at most
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bowline.config import DEFAULT_LIMITS, Limits, ModelConfig
 from bowline.functions import draws
 from bowline.functions import text as T
+from bowline.functions import tokens
 from bowline.functions.common import let
 from bowline.functions.vectors import PROJECTION_ROW_EPS, norm
 from bowline.session import estimated_bytes, materialize
@@ -41,19 +44,40 @@ def term_bags(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
             .withColumn("n_terms", F.aggregate("bag", F.lit(0), lambda acc, e: acc + e["tf"])))
 
 
-def token_stats(bags: DataFrame) -> DataFrame:
+def _run_counts(use_ngrams: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = 0
+        for batch in batches:
+            rows += batch.num_rows
+            for t in tokens.token_runs(batch.column(0)):
+                terms, total, docs = tokens.counts(t, use_ngrams)
+                yield pa.RecordBatch.from_arrays([terms, pa.array(total), pa.array(docs)],
+                                                 names=["token", "token_count", "doc_freq"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.string()), pa.array([0]), pa.array([rows])],
+                                         names=["token", "token_count", "doc_freq"])
+    return run
+
+
+def term_counts(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
+    """(token, token_count, doc_freq) of every run of documents.
+
+    Every task also gives a row with a NULL token, whose doc_freq is its number of documents.
+    """
+    return corpus.select(T.normalize(F.col("text")).alias("text")).mapInArrow(
+        _run_counts(use_ngrams), "token string, token_count long, doc_freq long")
+
+
+def token_stats(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
     """V1 + V2 + V3 in one aggregation.
 
-    (token, token_count, doc_freq). Every document also contributes one row
-    with a NULL token, so the NULL group's doc_freq is the corpus size,
-    documents without tokens included.
+    (token, token_count, doc_freq). The NULL token's doc_freq is the corpus size, documents without
+    tokens included.
     """
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("token"),
-                              F.lit(0).alias("tf")))
-    return (bags.select(F.explode(F.concat("bag", marker)).alias("e"))
-            .groupBy(F.col("e.token").alias("token"))
-            .agg(F.sum(F.col("e.tf").cast("long")).alias("token_count"),
-                 F.count(F.lit(1)).alias("doc_freq")))
+    return _summed(term_counts(corpus, use_ngrams))
+
+
+def _summed(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("token").agg(F.sum("token_count").alias("token_count"), F.sum("doc_freq").alias("doc_freq"))
 
 
 def frequent_stats(corpus: DataFrame, config: ModelConfig, buckets: int = BUCKETS, sample: float = SAMPLE,
@@ -71,30 +95,27 @@ def frequent_stats(corpus: DataFrame, config: ModelConfig, buckets: int = BUCKET
     The vocabulary is the same for every sample; a poor one only prunes less.
     """
     n_max = config.max_vocabulary_size
-    likely = (token_stats(term_bags(corpus.sample(fraction=sample, seed=config.random_seed), config.use_ngrams))
+    likely = (token_stats(corpus.sample(fraction=sample, seed=config.random_seed), config.use_ngrams)
               .filter(F.col("token").isNotNull()).orderBy(F.desc("token_count"), "token").limit(2 * n_max)
               .select("token", F.col("token").alias("likely")))
     likely = materialize(likely, "likely")
     size = likely.agg(F.coalesce(F.sum(2 * F.octet_length("token") + 64), F.lit(0))).first()[0]
     if size > limits.broadcast_bytes:
-        return token_stats(term_bags(corpus, config.use_ngrams))
-    # every document adds a NULL token, counted in a bucket of its own
-    marker = F.array(F.struct(F.lit(None).cast("string").alias("token"), F.lit(1).alias("tf")))
-    terms = term_bags(corpus, config.use_ngrams).select(F.explode(F.concat("bag", marker)).alias("e")).select(
-        F.col("e.token").alias("token"), F.col("e.tf").cast("long").alias("tf")).withColumn(
-        "bucket", F.when(F.col("token").isNull(), -1).otherwise(F.pmod(F.xxhash64("token"), F.lit(buckets))).cast("int"))
+        return token_stats(corpus, config.use_ngrams)
+    # the NULL token, which counts documents, has a bucket of its own
+    terms = term_counts(corpus, config.use_ngrams).withColumn("bucket", F.when(F.col("token").isNull(), -1).otherwise(
+        F.pmod(F.xxhash64("token"), F.lit(buckets))).cast("int"))
     counts = materialize(terms.join(F.broadcast(likely), "token", "left").groupBy("bucket", "likely").agg(
-        F.sum("tf").alias("n")), "bucket-counts")
+        F.sum("token_count").alias("n"), F.sum("doc_freq").alias("docs")), "bucket-counts")
     exact = counts.filter(F.col("likely").isNotNull()).orderBy(F.desc("n")).limit(n_max)
     nth = exact.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
     least = max(config.min_token_frequency, nth["n"] if n_max and nth["k"] == n_max else 0)
     # at most ``buckets`` rows of one number
-    may = counts.groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("bucket")
-    stats = (terms.join(F.broadcast(may.filter("bucket >= 0")), "bucket", "left_semi").groupBy("token")
-             .agg(F.sum("tf").alias("token_count"), F.count(F.lit(1)).alias("doc_freq")))
+    may = (counts.filter("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n"))
+           .filter(F.col("n") >= least).select("bucket"))
     docs = counts.filter("bucket = -1").select(
-        F.lit(None).cast("string").alias("token"), F.lit(0).cast("long").alias("token_count"), F.col("n").alias("doc_freq"))
-    return stats.unionByName(docs)
+        F.lit(None).cast("string").alias("token"), F.col("n").alias("token_count"), F.col("docs").alias("doc_freq"))
+    return _summed(terms.join(F.broadcast(may), "bucket", "left_semi")).unionByName(docs)
 
 
 @dataclass
@@ -217,7 +238,7 @@ def train(corpus: DataFrame, config: ModelConfig | None = None,
 
     config = config or ModelConfig()
     prune = estimated_bytes(corpus) > prune_bytes
-    counted = frequent_stats(corpus, config) if prune else token_stats(term_bags(corpus, config.use_ngrams))
+    counted = frequent_stats(corpus, config) if prune else token_stats(corpus, config.use_ngrams)
     stats = materialize(counted, "token-stats")
     marker = stats.filter(F.col("token").isNull()).select("doc_freq").collect()
     n_docs = int(marker[0][0]) if marker else 0

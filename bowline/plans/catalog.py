@@ -144,8 +144,8 @@ def q_document_terms(spark, sf):
 # ---- V1-V13 ---------------------------------------------------------------------------
 
 def _stats(spark, sf):
-    from bowline.operators.train import term_bags, token_stats
-    return token_stats(term_bags(docs(spark, sf))).filter(F.col("token").isNotNull())
+    from bowline.operators.train import token_stats
+    return token_stats(docs(spark, sf)).filter(F.col("token").isNotNull())
 
 
 @register("token_frequency", BASE +
@@ -162,8 +162,8 @@ def q_document_frequency(spark, sf):
 
 @register("corpus_size", with_(O.corpus_cte()) + "SELECT count(*) AS n_docs FROM corpus")
 def q_corpus_size(spark, sf):
-    from bowline.operators.train import term_bags, token_stats
-    st = token_stats(term_bags(docs(spark, sf)))
+    from bowline.operators.train import token_stats
+    st = token_stats(docs(spark, sf))
     return st.filter(F.col("token").isNull()).select(F.col("doc_freq").alias("n_docs"))
 
 

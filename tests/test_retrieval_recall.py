@@ -224,7 +224,7 @@ def test_store_by_digest_moves_no_text(spark, monkeypatch):
 
 
 def test_pruned_counts_give_the_same_vocabulary(spark):
-    from bowline.operators.train import frequent_stats, select_vocabulary, token_stats, term_bags
+    from bowline.operators.train import frequent_stats, select_vocabulary, token_stats
     r = random.Random(12)
     words = [f"word{i}" for i in range(400)]
     weights = [1 / (i + 1) for i in range(400)]
@@ -232,7 +232,7 @@ def test_pruned_counts_give_the_same_vocabulary(spark):
                                  "doc_id long, text string").repartition(4).cache()
     for n, least in ((10, 3), (50, 1), (300, 4), (100_000, 2), (0, 1)):
         config = ModelConfig(max_vocabulary_size=n, min_token_frequency=least)
-        full = token_stats(term_bags(docs))
+        full = token_stats(docs)
         want = sorted(tuple(x) for x in select_vocabulary(full, 400, config).collect())
         for sample, buckets in ((0.05, 1 << 16), (0.0, 64), (1.0, 1))[:3 if n == 50 else 1]:
             pruned = frequent_stats(docs, config, buckets, sample).cache()

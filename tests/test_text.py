@@ -72,3 +72,58 @@ def test_nfc_matches_unicodedata(spark):
     df = spark.createDataFrame(texts, "id long, text string")
     got = {r["id"]: r["n"] for r in df.select("id", T.nfc(F.col("text")).alias("n")).collect()}
     assert all(got[i] == unicodedata.normalize("NFC", t) for i, t in texts)
+
+
+def test_tokens_on_the_buffer_equal_a_regex():
+    import random
+    import pyarrow as pa
+    import regex
+    from bowline.functions import grams, tokens
+    rnd = random.Random(8)
+    pool = ["the", "of", "a", "alpha", "beta", "x", " ", "  ", "-", "_", ".", "é", "日本", "ß", "\u0301", "\u0345", "Ⅷ", "½", "٣",
+            "\U0001d7d9", "\U0001f642", "\U00020000", "ª", "º", "\u200d", "\ud7ff", "\ue000", "\ufffd"]
+    texts = ["".join(rnd.choice(pool) for _ in range(rnd.randint(0, 25))) for _ in range(600)] + [None, "", "a", "日", "the of"]
+    column = pa.array(texts)
+
+    def plain(t):
+        words = [w for w in regex.split(r"[^\p{Alphabetic}\p{N}]+", t) if len(w.encode()) >= 2 and w not in tokens.STOP_WORDS]
+        return words, [f"{a}_{b}" for a, b in zip(words, words[1:])]
+
+    for limit in (1, 40, 1 << 20):
+        keep, grams_limit = grams.runs, limit
+        tokens.runs = lambda c: keep(c, grams_limit)
+        try:
+            one, two = tokens.token_lists(column, False).to_pylist(), tokens.token_lists(column, True).to_pylist()
+            seen = {}
+            for t in tokens.token_runs(column):
+                for term, n, d in zip(*(x.tolist() if hasattr(x, "tolist") else x.to_pylist() for x in tokens.counts(t, True))):
+                    got = seen.setdefault(term, [0, 0])
+                    got[0] += n
+                    got[1] += d
+        finally:
+            tokens.runs = keep
+        assert one == [None if t is None else plain(t)[0] for t in texts]
+        assert two == [None if t is None else sum(plain(t), []) for t in texts]
+        total, docs = Counter(), Counter()
+        for t in filter(None, texts):
+            total.update(sum(plain(t), []))
+            docs.update(set(sum(plain(t), [])))
+        assert {k: tuple(v) for k, v in seen.items()} == {k: (total[k], docs[k]) for k in total}
+
+
+def test_vocabulary_blocks_find_terms():
+    import random
+    import pyarrow as pa
+    from bowline.functions import tokens
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma", "delta", "éa"]
+    terms = ["beta", "alpha_beta", "gamma_gamma", "éa_alpha", "omega", "delta", "beta_omega"]
+    texts = [" ".join(rnd.choice(words + ["the"]) for _ in range(rnd.randint(0, 12))) for _ in range(80)]
+    vocab = tokens.Vocabulary(terms)
+    for use_ngrams in (True, False):
+        lists = tokens.token_lists(pa.array(texts), use_ngrams).to_pylist()
+        (t,) = tokens.token_runs(pa.array(texts))
+        row, index = vocab.find(t, use_ngrams)
+        assert sorted(zip(row.tolist(), index.tolist())) == sorted(
+            (i, terms.index(x)) for i, xs in enumerate(lists) for x in xs if x in terms)
+    assert [len(x) for x in tokens.Vocabulary([]).find(t, True)] == [0, 0]

@@ -109,13 +109,23 @@ def test_blocks_keep_repeated_and_null_ids_apart(spark, small):
 
 
 def test_long_rows_are_embedded_in_runs(spark, small, monkeypatch):
+    """The projector in this process, over runs of any size: the vectors that the query gives."""
+    import pyarrow as pa
+    from bowline.config import DEFAULT_LIMITS
+    from bowline.functions import grams, tokens
     from bowline.operators import embed as E
     _, m = small
-    d = spark.createDataFrame([(i, "test document one " * (1 + i % 5) * 10) for i in range(40)], "doc_id long, text string")
-    a = sorted(map(str, embed(d, m).collect()))
-    chunk = E._project_rows
-    monkeypatch.setattr(E, "_BATCH_TERMS", 50)
-    assert chunk is E._project_rows and sorted(map(str, embed(d, m).collect())) == a
+    rows = [(i, "test document one " * (1 + i % 5) * 10) for i in range(40)] + [(40, None), (41, "")]
+    want = {r["doc_id"]: r["embedding"] for r in embed(spark.createDataFrame(rows, "doc_id long, text string"), m).collect()}
+    (block,) = E.broadcast_blocks(m, DEFAULT_LIMITS)
+    batch = pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows]), pa.array([t for _, t in rows])], names=["doc_id", E._TERMS])
+    keep = grams.runs
+    for limit in (1, 500, 1 << 20):
+        monkeypatch.setattr(tokens, "runs", lambda c: keep(c, limit))
+        out = list(E._make_projector(block, m.embedding_dim, 7, True, True, True)([batch]))
+        assert len(out) > 1 or limit == 1 << 20
+        got = {i: v for b in out for i, v in zip(*(c.to_pylist() for c in b.columns))}
+        assert set(got) == set(want) and all(np.allclose(got[i], want[i]) for i in want)
 
 
 def test_one_model_per_broadcast(spark, small):
