@@ -57,12 +57,29 @@ def _best_k(qn, c_ids, cn, k, cell_budget=4_000_000):
     step = max(1, cell_budget // max(1, len(c_ids)))
     for a in range(0, len(qn), step):
         s = qn[a:a + step] @ cn.T
-        top = np.argsort(-np.round(s, RANK_DIGITS), axis=1, kind="stable")[:, :kk]
+        top = _top(np.round(s, RANK_DIGITS), kk)
         ids.append(c_ids[top])
         sims.append(np.take_along_axis(s, top, axis=1))
     return np.concatenate(ids), np.concatenate(sims)
 
 
+def _top(r, k):
+    """Columns of the k largest values of every row, largest first; of equal ones the first columns.
+
+    Selects by the k-th value instead of sorting the rows; only the k chosen are sorted.
+    """
+    n = r.shape[1]
+    if k < n:
+        cut = np.partition(r, n - k, axis=1)[:, n - k, None]
+        more, ties = r > cut, r == cut
+        chosen = more | (ties & (np.cumsum(ties, axis=1) <= k - more.sum(axis=1, keepdims=True)))
+        at = np.nonzero(chosen)[1].reshape(len(r), k)
+    else:
+        at = np.broadcast_to(np.arange(n), r.shape)
+    order = np.argsort(-np.take_along_axis(r, at, axis=1), axis=1, kind="stable")
+    return np.take_along_axis(at, order, axis=1)
+
+
 def _merged_k(best, new, k):
     """The best k of two (ids, similarities) pairs per query."""
     ids, sims = (np.concatenate(x, axis=1) for x in zip(best, new))

@@ -127,3 +127,11 @@ def test_numbering_moves_a_row_once(spark):
     df = spark.createDataFrame([(i // 100, i, "text") for i in range(1000)], "g long, o long, t string")
     plan = numbered_in_groups(df, "g", ["o"])._jdf.queryExecution().executedPlan().toString()
     assert "Exchange hashpartitioning" not in plan and "SortMergeJoin" not in plan
+
+
+def test_selection_equals_a_stable_sort():
+    from bowline.operators.search import _top
+    r = np.random.default_rng(5)
+    for n, k in ((1, 1), (7, 3), (50, 5), (50, 50), (200, 17)):
+        x = r.integers(0, 9, size=(40, n)) / 4.0
+        assert (_top(x, k) == np.argsort(-x, axis=1, kind="stable")[:, :k]).all()
