@@ -405,6 +405,14 @@ def q_topk_cosine_blocked(spark, sf):
     return _ranked(top_k_cosine(v, v, 5, "vec_id", "v", "vec_id", "v", limits=limits))
 
 
+@register("topk_cosine_pruned", SQL["topk_cosine"])
+def q_topk_cosine_pruned(spark, sf):
+    """K1 over a pivot index: groups of candidates that cannot get in are skipped."""
+    from bowline.operators.pivots import pivot_index, top_k
+    v = vectors(spark, sf)
+    return _ranked(top_k(v, pivot_index(v, c_id="vec_id", c_vec="v"), 5, "vec_id", "v")[0])
+
+
 # ---- K2-K6 on texts ----------------------------------------------------------------------
 
 def bench_items(spark, sf) -> DataFrame:
