@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,17 @@ def normal(k: Column) -> Column:
                * F.cos(F.lit(2 * math.pi) * word(h, 1) / F.lit(TWO_32)))
 
 
+# ---- the same draws over the words of many keys (``md5.md5_words``) -----------
+
+def uniform_array(words: np.ndarray) -> np.ndarray:
+    return words[:, 0] / TWO_32
+
+
+def normal_array(words: np.ndarray) -> np.ndarray:
+    return (np.sqrt(-2.0 * np.log((words[:, 0].astype(np.float64) + 1) / (TWO_32 + 1)))
+            * np.cos(2 * math.pi * words[:, 1] / TWO_32))
+
+
 # ---- SQL twins (DuckDB dialect) for the oracle ------------------------------
 
 def key_sql(seed: int, purpose: str, *ids: str) -> str:

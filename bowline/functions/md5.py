@@ -46,3 +46,23 @@ def md5_words(data: np.ndarray, length: np.ndarray) -> np.ndarray:
             a, d, c, b = d, c, b, b + ((f << turn) | (f >> (np.uint32(32) - turn)))
         state = [np.where(on, s + v, s) for s, v in zip(state, (a, b, c, d))]
     return np.stack(state, axis=1).astype("<u4").view(">u4").astype(np.uint32)
+
+
+def keyed(prefixes: list[bytes], row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, lengths) of draw keys: the prefix of each key's row, then its position in decimal."""
+    size = np.array([len(p) for p in prefixes], np.int64)
+    begin = np.cumsum(size) - size
+    text = np.frombuffer(b"".join(prefixes), np.uint8)
+    digits = np.searchsorted(10 ** np.arange(1, 19), pos, "right") + 1
+    length = size[row] + digits
+    first = np.cumsum(length) - length
+    out = np.empty(int(length.sum()), np.uint8)
+    n = size[row]
+    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # place within the prefix
+    out[np.repeat(first, n) + at] = text[np.repeat(begin[row], n) + at]
+    left = pos.copy()
+    for k in range(int(digits.max(initial=0))):
+        on = digits > k
+        out[(first + length - 1 - k)[on]] = 0x30 + left[on] % 10
+        left //= 10
+    return out, length

@@ -40,12 +40,10 @@ NGRAM_SEP = "_"
 def alphanumeric() -> np.ndarray:
     """Whether a code point is alphabetic (Unicode Alphabetic) or numeric (general category N)."""
     import regex
-    every = "".join(chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000)
+    points = np.concatenate([np.arange(0xD800), np.arange(0xE000, 0x110000)])  # all but surrogates
     out = np.zeros(0x110000, np.bool_)
-    for m in regex.finditer(r"[\p{Alphabetic}\p{N}]+", every):
-        s, e = m.span()
-        for a, b, shift in ((s, min(e, 0xD800), 0), (max(s, 0xD800), e, 0x800)):
-            out[a + shift:max(a, b) + shift] = True
+    for m in regex.finditer(r"[\p{Alphabetic}\p{N}]+", points.astype("<u4").tobytes().decode("utf-32-le")):
+        out[points[m.start():m.end()]] = True
     return out
 
 
@@ -177,7 +175,8 @@ class Vocabulary:
 def counts(t: TokenRun, use_ngrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(term, occurrences, rows that hold it) of the distinct terms of a run."""
     def of(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-        held = np.unique(row * n + codes) % n if n else codes
+        held = np.sort(row * n + codes)
+        held = held[np.append(True, held[1:] != held[:-1])[:len(held)]] % max(n, 1)
         return np.bincount(codes, minlength=n), np.bincount(held, minlength=n)
 
     n = len(t.words)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bowline.functions import draws, grams
-from bowline.functions.md5 import md5_words
+from bowline.functions.md5 import keyed, md5_words
 from bowline.functions.vectors import cosine
 from bowline.operators.embed import embed
 from bowline.operators.train import Model
@@ -39,32 +39,12 @@ MIN_CHARS_TO_DROP = 3  # a character is removed only from words of more than 2 c
 KEEP = -1  # a word that is not mutated
 
 
-def _keyed(prefixes: list[bytes], row: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, lengths) of the draw keys: each word's row prefix and its position in decimal."""
-    size = np.array([len(p) for p in prefixes], np.int64)
-    begin = np.cumsum(size) - size
-    text = np.frombuffer(b"".join(prefixes), np.uint8)
-    digits = np.searchsorted(10 ** np.arange(1, 19), pos, "right") + 1
-    length = size[row] + digits
-    first = np.cumsum(length) - length
-    out = np.empty(int(length.sum()), np.uint8)
-    n = size[row]
-    at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)  # place within the prefix
-    out[np.repeat(first, n) + at] = text[np.repeat(begin[row], n) + at]
-    left = pos.copy()
-    for k in range(int(digits.max(initial=0))):
-        on = digits > k
-        out[(first + length - 1 - k)[on]] = 0x30 + left[on] % 10
-        left //= 10
-    return out, length
-
-
 def drawn_kinds(prefixes: list[bytes], row: np.ndarray, pos: np.ndarray, chars: np.ndarray,
                 rate: float) -> tuple[np.ndarray, np.ndarray]:
     """(kind or KEEP, character) of words at ``pos`` of their rows, of so many characters."""
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = md5_words(*_keyed(prefixes, row, pos)).astype(np.int64)
+    h = md5_words(*keyed(prefixes, row, pos)).astype(np.int64)
     kind = np.where(h[:, 0] / draws.TWO_32 < rate, (h[:, 1] * N_KINDS) >> 32, KEEP)
     return kind, (h[:, 2] * chars) >> 32
 

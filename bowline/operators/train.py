@@ -14,6 +14,7 @@ import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,8 +23,8 @@ from bowline.config import DEFAULT_LIMITS, Limits, ModelConfig
 from bowline.functions import draws
 from bowline.functions import text as T
 from bowline.functions import tokens
-from bowline.functions.common import let
-from bowline.functions.vectors import PROJECTION_ROW_EPS, norm
+from bowline.functions.md5 import keyed, md5_words
+from bowline.functions.vectors import PROJECTION_ROW_EPS
 from bowline.session import estimated_bytes, materialize
 
 BUCKETS = 1 << 20       # hash buckets of frequent_stats: a task sends at most one row for each
@@ -205,25 +206,40 @@ def _smallest_tokens(ties: DataFrame, need: int, n_ties: int, take_rows: int) ->
     return out
 
 
+_DRAWS = 1 << 17  # draws that one NumPy step holds
+
+
+def _drawn_rows(vocab_size: int, config: ModelConfig):
+    dim = config.embedding_dim
+    scale = math.sqrt(6.0 / (vocab_size + dim))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, _DRAWS // dim)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, step):
+                idx = batch.column(0).slice(lo, step)
+                n = len(idx)
+                prefixes = [f"{config.random_seed}|proj|{i}|".encode() for i in idx.to_pylist()]
+                words = md5_words(*keyed(prefixes, np.repeat(np.arange(n), dim), np.tile(np.arange(dim), n)))
+                if config.use_orthogonal_init:
+                    v = draws.normal_array(words).reshape(n, dim)
+                    size = np.sqrt(np.einsum("ij,ij->i", v, v))
+                    v = np.where((size > PROJECTION_ROW_EPS)[:, None], v / np.maximum(size, PROJECTION_ROW_EPS)[:, None], v)
+                else:
+                    v = -scale + 2 * scale * draws.uniform_array(words).reshape(n, dim)
+                offsets = pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32))
+                yield pa.RecordBatch.from_arrays([idx, pa.ListArray.from_arrays(offsets, pa.array(v.ravel()))], names=["idx", "vec"])
+    return run
+
+
 def projection_rows(vocab_idx: DataFrame, vocab_size: int, config: ModelConfig) -> DataFrame:
-    """One hash-drawn row per vocabulary index, built inside the row.
+    """One hash-drawn row per vocabulary index, drawn by array operations where the index lies.
 
     Gaussian rows are scaled to unit length when their norm exceeds 1e-8
     (the reference's "orthogonal" init only normalizes); otherwise Xavier
     uniform on +-sqrt(6 / (V + dim)).
     """
-    dim, seed = config.embedding_dim, config.random_seed
-    dims = F.sequence(F.lit(0), F.lit(dim - 1))
-    idx = F.col("idx")
-    if config.use_orthogonal_init:
-        raw = F.transform(dims, lambda j: draws.normal(draws.key(seed, "proj", idx, j)))
-        vec = let(raw, lambda v: let(norm(v), lambda m: F.when(
-            m > PROJECTION_ROW_EPS, F.transform(v, lambda x: x / m)).otherwise(v)))
-    else:
-        s = math.sqrt(6.0 / (vocab_size + dim))
-        vec = F.transform(dims, lambda j: F.lit(-s) + F.lit(2 * s)
-                          * draws.uniform(draws.key(seed, "proj", idx, j)))
-    return vocab_idx.select("idx", vec.alias("vec"))
+    return vocab_idx.select("idx").mapInArrow(_drawn_rows(vocab_size, config), "idx int, vec array<double>")
 
 
 def train(corpus: DataFrame, config: ModelConfig | None = None,
