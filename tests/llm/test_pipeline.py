@@ -70,7 +70,7 @@ def test_entry_registers_every_operator(spark):
     sys.path.insert(0, os.path.dirname(os.path.abspath(cp.__file__)))
     import __spark_entry__ as entry
     names = set(entry.queries())
-    assert {f"op{n}_" for n in range(1, 11)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
+    assert {f"op{n}_" for n in range(1, 14)} == {k.split("_")[0] + "_" for k in names if k.startswith("op")} and "pipeline" in names
 
 
 def test_language_id_rejects_unlearned_languages_and_random_strings(spark, frame):
