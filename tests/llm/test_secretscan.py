@@ -1,6 +1,10 @@
+import base64
 import hashlib
 import itertools
+import math
+import random
 import re
+from collections import Counter
 
 from bowline.llm import secretscan
 from bowline.llm.queries import QUERIES
@@ -59,3 +63,79 @@ def test_model_separates_held_out_samples(spark, frame):
 
 def test_empty_table(spark, table_dir, frame):
     assert QUERIES["op2_secret_scans"](spark, table_dir(documents=frame([]))).count() == 0
+
+
+def plain_samples(texts):
+    """Labelled samples by the stated rule."""
+    out = set()
+    for text in map(lambda t: t or "", texts):
+        out |= {(m.group(g), 1) for _, p, g, n in BASE for m in p.finditer(text) if len(m.group(g)) >= n}
+        words = re.findall(r"[A-Za-z_-]{10,}", text)
+        out |= {(w, 0) for w in words} | {(f"/{w}/", 0) for w in words}
+    for i in range(secretscan.GENERATED):
+        digest = hashlib.sha256(str(i).encode())
+        b64 = base64.b64encode(digest.digest()).decode()
+        out |= {(t, 1) for t in (digest.hexdigest()[:40], b64, re.sub("[^A-Za-z0-9]", "", b64).upper())}
+    return out
+
+
+def plain_model(samples):
+    size, count = len(secretscan.ALPHABET) + 1, [Counter(), Counter()]
+    for token, label in samples:
+        count[label].update(zip(token, token[1:]))
+    rows = [Counter(), Counter()]
+    for c, r in zip(count, rows):
+        for (a, _), n in c.items():
+            r[a] += n
+
+    def p(c, a, b):
+        return (count[c][a, b] + secretscan.SMOOTHING) / (rows[c][a] + secretscan.SMOOTHING * size)
+
+    return lambda t: sum(math.log(p(1, a, b) / p(0, a, b)) for a, b in zip(t, t[1:])) / (len(t) - 1)
+
+
+IDENTIFIERS = ["see documentation/requirement/configuration now",
+               "550e8400-e29b-41d4-a716-446655440000 or id=550E8400-e29b-41d4-a716-446655440000."]
+
+
+def test_added_spans_against_plain_loops(spark, frame):
+    r = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/"
+    mixed = []
+    for _ in range(60):
+        parts = ["".join(r.choices(letters, k=r.randint(10, 40))) for _ in range(r.randint(0, 4))]
+        parts += r.choices(["token=abcdefgh", "configuration_documentation", "secret: " + "ab" * 20, "é🙂", "x" * 20,
+                            "AKIA" + "Q7" * 10, "key_" + "0f" * 13], k=r.randint(0, 4))
+        r.shuffle(parts)
+        mixed.append(r.choice([" ", "\n", ".", ":"]).join(parts))
+    texts = TEXTS + PROSE + IDENTIFIERS + mixed
+    docs = frame([(i, t, "en", "s") for i, t in enumerate(texts)])
+    samples = secretscan.labelled(docs)
+    plain = plain_samples(texts)
+    assert {tuple(x) for x in samples.collect()} == plain
+    score = plain_model(plain)
+    uuid = re.compile(r"([A-Za-z_-]+=)?[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+    n_added = 0
+    for row in secretscan.scan(docs, secretscan.train(samples)).collect():
+        text = texts[row["doc_id"]] or ""
+        base = [(s, e) for found in brute(text) for s, _, e in found]
+        want = [m.span() for m in re.finditer(r"[A-Za-z0-9+/_=-]{16,}", text)
+                if re.search("[A-Za-z]", m.group()) and not uuid.fullmatch(m.group())
+                and score(m.group()) > secretscan.LLR_MIN
+                and not any(s < m.end() and m.start() < e for s, e in base)]
+        assert [(x["start"], x["end"]) for x in row[secretscan.ADDED]] == want, text
+        assert text not in IDENTIFIERS or not want
+        n_added += len(want)
+    assert n_added > 40
+
+
+def test_texts_of_very_many_spans_and_very_long_tokens(spark, table_dir, frame):
+    n = 30_000
+    texts = [f"token=abcdef {RANDOM} " * n, "aZ9/bQ" * 100_000, "the interoperability " * 5]
+    rows = {r["doc_id"]: r for r in QUERIES["op2_secret_scans"](spark, table_dir(documents=frame(
+        [(i, t, "en", "s") for i, t in enumerate(texts)]))).collect()}
+    step = len(f"token=abcdef {RANDOM} ")
+    assert rows[0]["n_assign"] == n
+    assert rows[0]["spans"] == ",".join(f"assign:{i * step}:{i * step + 12},random:{i * step + 13}:{(i + 1) * step - 1}"
+                                        for i in range(n))
+    assert rows[1]["spans"] == f"random:0:{len(texts[1])}" and rows[2]["spans"] == ""
