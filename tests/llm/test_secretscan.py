@@ -131,7 +131,7 @@ def test_added_spans_against_plain_loops(spark, frame):
 
 def test_texts_of_very_many_spans_and_very_long_tokens(spark, table_dir, frame):
     n = 30_000
-    texts = [f"token=abcdef {RANDOM} " * n, "aZ9/bQ" * 100_000, "the interoperability " * 5]
+    texts = [f"token=abcdef {RANDOM} " * n, RANDOM * 25_000, "the interoperability " * 5] + PROSE
     rows = {r["doc_id"]: r for r in QUERIES["op2_secret_scans"](spark, table_dir(documents=frame(
         [(i, t, "en", "s") for i, t in enumerate(texts)]))).collect()}
     step = len(f"token=abcdef {RANDOM} ")
