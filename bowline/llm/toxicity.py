@@ -13,6 +13,9 @@ with n_c the counts (of training texts that hold the gram), t_c the distinct con
 P the shared model of the shorter context h'. The log-likelihood ratio of a
 position depends on its gram only: seen grams get their ratio, an unseen gram
 with a seen context the ratio of the backoff weights (P cancels), any other 0.
+In training and scoring alike every text that is not empty has a blank at both
+ends (two where it has under three bytes), so its first and last word are seen
+as among other words and a text of one byte has a gram too.
 
 Score. Log-likelihoods are normalised by length over a sliding window of
 ``WINDOW`` positions (a shorter text is one window); the document's figure is
@@ -23,14 +26,15 @@ it into a probability.
 Scale. Grams are counted over all training rows: per slice in NumPy, then one
 aggregation by gram. The tables hold distinct grams of five normalised bytes,
 a number set by the writing systems and not by the corpus. They are sent in
-blocks of about ``MAX_GRAMS`` rows; with more than one block the scoring steps
-are chained and carry the ratios of a text's positions along, so every gram is
-used at any size. Texts are shuffled only where the labels are too many to be
+blocks of about ``MAX_GRAMS`` rows, of which the driver reads one at a time;
+with more than one block the scoring steps are chained and carry the ratios of
+a text's positions along, so every gram is used at any size. Texts are shuffled only where the labels are too many to be
 sent to them.
 
 Nulls: a null text is empty; an empty text has ratio 0. Rows without a label or
 with a null one are not learned from. Repeated labels of a document count once
-(the largest). Without calibration rows every score is 0.
+(the largest). Repeated documents are scored row by row. Very long texts are
+read whole. Without calibration rows every score is 0.
 """
 
 from __future__ import annotations
@@ -39,6 +43,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -59,6 +64,16 @@ SYMBOL[0x41:0x5B] = SYMBOL[0x61:0x7B] = np.arange(0x61, 0x7B, dtype=np.uint8)
 SYMBOL[0x80:] = np.arange(0x80, 0x100, dtype=np.uint8)
 
 
+def padded(column: pa.Array) -> pa.Array:
+    """Texts with blanks at both ends; null and empty ones are empty."""
+    column = column.cast(pa.large_string()).fill_null("")
+    blank, none = (pa.scalar(x, pa.large_string()) for x in (" ", ""))
+    size = pc.binary_length(column)
+    once = pc.binary_join_element_wise(blank, column, blank, none)
+    twice = pc.binary_join_element_wise(blank, once, blank, none)
+    return pc.if_else(pc.equal(size, 0), column, pc.if_else(pc.less(size, ORDER - 2), twice, once))
+
+
 def grams(raw: np.ndarray) -> np.ndarray:
     """The ORDER bytes that end at each position from ORDER - 1, as one integer."""
     s = SYMBOL[raw].astype(np.int64)
@@ -81,7 +96,7 @@ def _rows(offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         toxic = batch.column(1).to_numpy(zero_copy_only=False)
-        for lo, hi, raw, offs in slices(batch.column(0), 1 << 21):
+        for lo, hi, raw, offs in slices(padded(batch.column(0)), 1 << 21):
             row, inside = _rows(offs)
             # a gram counts once per text, so a text that repeats itself has no more say than others
             g = np.unique((row[inside] << (8 * ORDER)) | grams(raw)[inside])
@@ -235,7 +250,7 @@ def _score(blocks: list[tuple], last: bool, curve: Curve | None):
                   for b, shift in blocks]
         for batch in batches:
             x, partial = np.zeros(batch.num_rows), []
-            for lo, hi, raw, offs in slices(batch.column(1)):
+            for lo, hi, raw, offs in slices(padded(batch.column(1))):
                 row, inside = _rows(offs)
                 held = None
                 if batch.num_columns == 3:

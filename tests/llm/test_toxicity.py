@@ -51,10 +51,27 @@ def test_without_labels_or_documents(spark, table_dir, frame):
     assert QUERIES["op5_toxicity"](spark, table_dir(documents=frame([]), labels=none)).count() == 0
 
 
+def test_texts_of_a_few_bytes_are_judged(spark, table_dir, frame):
+    r = random.Random(8)
+    rows, labels = [], []
+    for i in range(300):
+        words = [r.choice(CALM) for _ in range(r.randint(1, 30))]
+        if i % 3 == 0:
+            words[r.randrange(len(words))] = r.choice(["zqk", "vuxo"])
+        rows.append((i, " ".join(words), "en", "s"))
+        labels.append((i, 1, int(i % 3 == 0)))
+    short = {1000: ("zqk", 1), 1001: ("vuxo", 1), 1002: ("VUXO", 1), 1004: ("over", 0), 1005: ("a", 0),
+             1006: ("the", 0), 1007: ("", 0), 1008: (None, 0), 1009: (" ", 0)}
+    d = table_dir(documents=frame(rows + [(i, t, "en", "s") for i, (t, _) in short.items()]),
+                  labels=spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {x["doc_id"]: x["predicted"] for x in QUERIES["op5_toxicity"](spark, d).collect()}
+    assert {i: got[i] for i in short} == {i: toxic for i, (_, toxic) in short.items()}
+
+
 def brute_ratios(texts, text):
     """Kneser-Ney by dictionaries: {gram: log ratio} of the grams of ``text``."""
     n, order, d = [defaultdict(int), defaultdict(int)], toxicity.ORDER, toxicity.DISCOUNT
-    sym = [bytes(toxicity.SYMBOL[np.frombuffer(t.encode(), np.uint8)]) for t, _ in texts]
+    sym = [bytes(toxicity.SYMBOL[np.frombuffer(f" {t} ".encode() if t else b"", np.uint8)]) for t, _ in texts]
     for s, (_, c) in zip(sym, texts):
         for g in {s[i:i + order] for i in range(len(s) - order + 1)}:
             n[c][g] += 1
@@ -92,7 +109,7 @@ def brute_ratios(texts, text):
 
 
 def test_model_against_dictionaries(spark):
-    texts = [("You are a zblarg!", 1), ("You were an artist 42", 0), ("an artist zblarg", 1), ("é artist", 0), ("abc", 0)]
+    texts = [("You are a zblarg!", 1), ("You were an artist 42", 0), ("an artist zblarg", 1), ("é artist", 0), ("abc", 0), ("", 1)]
     model = toxicity.train(spark.createDataFrame(texts, "text string, toxic int"))
     tables = [(toxicity.Table(b.value.column("key").to_numpy(), b.value.column("ratio").to_numpy()), shift)
               for b, shift in toxicity.blocks_of(model)]
