@@ -14,16 +14,16 @@ One-versus-rest kernel ridge regression on the Nystroem features solves
 are K(x, L) a = x (L' a), so a batch of texts is scored by one matrix product
 with the (FEATURES, languages) matrix L' a.
 
-Training reads a bounded sample of the labelled rows, documented here:
-``PER_LANGUAGE`` rows and ``LANDMARKS`` landmarks per language, chosen by a
-hash of id and text. Landmark vectors are built and K_NL' K_NL is summed in
-the tasks; the driver gets bit vectors of the landmarks and one sum per task,
-and solves the (landmarks x landmarks) system. No text goes to the driver.
+Every labelled row is trained on. The Nystroem basis is ``LANDMARKS`` landmarks
+per language, chosen by a hash of id and text among ``PER_LANGUAGE`` rows so
+chosen; the fit's sums K_NL' K_NL and K_NL' Y, and ``cuts``, are over all rows.
+Landmark vectors are built and K_NL' K_NL is summed in the tasks; the driver gets bit vectors of
+the landmarks and one sum per task, and solves the (landmarks x landmarks)
+system. No text goes to the driver.
 
 ``cuts`` gives the least score of a text in a learned language, by length, from
 labelled rows left out of the fit. A text unlike every landmark has f = 0, the
-score ``NO_EVIDENCE``. Left-out rows (up to about ``PER_LANGUAGE`` a language)
-are scored whole and as their first 16, 32, ... ``WINDOW`` code points, in
+score ``NO_EVIDENCE``. All left-out rows are scored whole and as their first 16, 32, ... ``WINDOW`` code points, in
 classes of doubling length. Where the ``LOW`` quantile of a class is over
 ``NO_EVIDENCE`` by ``CLEAR`` (unlike texts scatter less around it), its cut is
 a quarter of the way from there to the quantile. A class of shorter texts
@@ -226,17 +226,17 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         rows = rows.filter(use)
     rows = rows.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
                        *[hashed(id_col, text_col, salt).alias(salt) for salt in ("in_sample", "in_landmarks")])
-    sample = materialize(sampled(rows, PER_LANGUAGE, "in_sample"), "sample")
-    languages = sorted(r[0] for r in sample.select("lang").distinct().collect())
+    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())
     if not languages:
         return [], np.zeros((FEATURES, 0), np.float32)
+    sample = materialize(sampled(rows, PER_LANGUAGE, "in_sample"), "landmark-rows")
     bits = sampled(sample, LANDMARKS, "in_landmarks").select("text").mapInArrow(_landmark_bits, "bits binary").collect()
     if not bits:  # a tiny sample may have no row under its share
-        bits = sample.select("text").limit(LANDMARKS).mapInArrow(_landmark_bits, "bits binary").collect()
+        bits = rows.select("text").limit(LANDMARKS).mapInArrow(_landmark_bits, "bits binary").collect()
     held = [bytes(r[0]) for r in bits]
     marks = landmark_matrix(held)
     # the tasks get the landmarks as bits: a 32nd of the matrix
-    parts = sample.select("text", "lang").mapInArrow(
+    parts = rows.select("text", "lang").mapInArrow(
         _normal_sums(spark.sparkContext.broadcast(held), languages), "gram binary, right binary")
     m = len(marks)
     gram, right = np.zeros((m, m)), np.zeros((m, len(languages)))
@@ -283,14 +283,12 @@ def left_out(id_col: str = "doc_id", text_col: str = "text") -> Column:
 def cuts(docs: DataFrame, model: tuple[list[str], np.ndarray], use: Column, id_col: str = "doc_id",
          text_col: str = "text", lang_col: str = "lang") -> list[tuple[int, float]]:
     """(least length, least score) of the length classes, ascending, from the labelled rows ``use``."""
-    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & use).select(
-        F.col(text_col).alias("text"), F.col(lang_col).alias("lang"),
-        hashed(id_col, text_col, "in_cuts").alias("in_cuts"))
+    rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & use).select(F.col(text_col).alias("text"))
     lengths = [SHORTEST << i for i in range((WINDOW // SHORTEST).bit_length())]
     size = F.length("text")
     whole = F.array(F.when(size >= SHORTEST, F.col("text")))
     starts = F.array(*[F.when(size > n, F.substring("text", 1, n)) for n in lengths])
-    texts = sampled(rows, PER_LANGUAGE, "in_cuts").select(
+    texts = rows.select(
         F.explode(F.array_compact(F.concat(whole, starts))).alias("text"))
     bound = F.greatest(*[F.when(F.length(f"{ROW}.text") >= n, n) for n in lengths])
     # one row per class and score of four digits

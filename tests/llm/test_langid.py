@@ -150,3 +150,14 @@ def test_cuts_of_few_rows_are_pooled(spark):
         assert found and [n for n, _ in found] == sorted({n for n, _ in found})
         assert all(0.25 < cut < 1 for _, cut in found)
     assert langid.cuts(docs.limit(0), model, langid.left_out()) == []
+
+
+def test_the_fit_and_the_cuts_are_over_all_rows(spark, monkeypatch):
+    """However few rows the landmarks come from."""
+    rows = corpus(300, 4)
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang, _ in rows], "doc_id long, text string, lang string")
+    model = langid.train(docs, use=~langid.left_out())
+    want = langid.cuts(docs, model, langid.left_out())
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 20)
+    assert langid.cuts(docs, model, langid.left_out()) == want
+    test_prediction_equals_the_kernel_form_from_sets(spark, monkeypatch)
