@@ -172,8 +172,58 @@ class Vocabulary:
         return row, index
 
 
-def counts(t: TokenRun, use_ngrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """(term, occurrences, rows that hold it) of the distinct terms of a run."""
+class RunTerms(NamedTuple):
+    """The distinct terms of a run, tokens before pairs: their codes (second -1: a token), occurrences and rows."""
+
+    words: pa.Array
+    first: np.ndarray
+    second: np.ndarray
+    total: np.ndarray
+    docs: np.ndarray
+
+    def names(self, at: np.ndarray | None = None) -> pa.Array:
+        """The terms, or those at ascending places."""
+        first, second = (self.first, self.second) if at is None else (self.first[at], self.second[at])
+        n = int(np.count_nonzero(second < 0))
+        return pa.concat_arrays([self.words.take(pa.array(first[:n])), joined(
+            self.words.take(pa.array(first[n:])), self.words.take(pa.array(second[n:])))])
+
+    def hashes(self) -> np.ndarray:
+        """64 bits of every term, the same in every run."""
+        of = word_hashes(self.words)
+        if not len(self.first):
+            return np.zeros(0, np.uint64)
+        second = np.where(self.second < 0, np.uint64(0), of[self.second])
+        return _mixed(of[self.first] * _PAIR_STEP + second)
+
+
+_PAIR_STEP = np.uint64(0xD6E8FEB86659FD93)  # any odd numbers do
+_MIX_STEPS = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX_STEPS[0]
+    x = (x ^ (x >> np.uint64(27))) * _MIX_STEPS[1]
+    return x ^ (x >> np.uint64(31))
+
+
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of every word: a sum over its bytes and their places, mixed."""
+    words = words.cast(pa.large_string())
+    _, ends, data = words.buffers()
+    offs = np.frombuffer(ends, np.int64)[words.offset:words.offset + len(words) + 1]
+    out = np.zeros(len(words), np.uint64)
+    size = np.diff(offs)
+    some = np.flatnonzero(size)
+    if len(some):
+        raw = np.frombuffer(data, np.uint8)[offs[0]:offs[-1]].astype(np.uint64)
+        place = np.arange(len(raw)) - np.repeat(offs[:-1] - offs[0], size)
+        out[some] = np.add.reduceat(_mixed((place.astype(np.uint64) << np.uint64(8)) + raw + np.uint64(1)), (offs[:-1] - offs[0])[some])
+    return _mixed(out)
+
+
+def run_terms(t: TokenRun, use_ngrams: bool) -> RunTerms:
+    """The distinct terms of a run, counted on their codes."""
     def of(codes: np.ndarray, row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
         held = np.sort(row * n + codes)
         held = held[np.append(True, held[1:] != held[:-1])[:len(held)]] % max(n, 1)
@@ -181,13 +231,18 @@ def counts(t: TokenRun, use_ngrams: bool) -> tuple[pa.Array, np.ndarray, np.ndar
 
     n = len(t.words)
     total, docs = of(t.codes, t.row, n)
-    used = np.flatnonzero(total)
-    terms, total, docs = t.words.take(pa.array(used)), total[used], docs[used]
+    first = np.flatnonzero(total)
+    second, total, docs = np.full(len(first), -1), total[first], docs[first]
     if use_ngrams:
         at = pairs(t)
         key, code = np.unique(t.codes[at] * n + t.codes[at + 1], return_inverse=True)
         more, held = of(code, t.row[at], len(key))
-        names = joined(t.words.take(pa.array(key // max(n, 1))), t.words.take(pa.array(key % max(n, 1))))
-        terms = pa.concat_arrays([terms, names])
+        first, second = np.concatenate([first, key // max(n, 1)]), np.concatenate([second, key % max(n, 1)])
         total, docs = np.concatenate([total, more]), np.concatenate([docs, held])
-    return terms, total.astype(np.int64), docs.astype(np.int64)
+    return RunTerms(t.words, first, second, total.astype(np.int64), docs.astype(np.int64))
+
+
+def counts(t: TokenRun, use_ngrams: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(term, occurrences, rows that hold it) of the distinct terms of a run."""
+    r = run_terms(t, use_ngrams)
+    return r.names(), r.total, r.docs

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bowline.config import DEFAULT_LIMITS, Limits, ModelConfig
+from bowline.config import ModelConfig
 from bowline.functions import draws
 from bowline.functions import text as T
 from bowline.functions import tokens
@@ -28,8 +28,8 @@ from bowline.functions.vectors import PROJECTION_ROW_EPS
 from bowline.session import estimated_bytes, materialize
 
 BUCKETS = 1 << 20       # hash buckets of frequent_stats: a task sends at most one row for each
-SAMPLE = 0.01           # share of the documents that name likely tokens
-PRUNE_BYTES = 8 << 30   # size of a corpus from which rare tokens outweigh two more reads
+PRUNE_BYTES = 16 << 20  # size of a corpus from which rare tokens outweigh one more read
+_ROWS = 1 << 16
 
 
 def document_terms(corpus: DataFrame, use_ngrams: bool = True) -> DataFrame:
@@ -81,42 +81,82 @@ def _summed(counts: DataFrame) -> DataFrame:
     return counts.groupBy("token").agg(F.sum("token_count").alias("token_count"), F.sum("doc_freq").alias("doc_freq"))
 
 
-def frequent_stats(corpus: DataFrame, config: ModelConfig, buckets: int = BUCKETS, sample: float = SAMPLE,
-                   limits: Limits = DEFAULT_LIMITS) -> DataFrame:
+def _bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
+    return (h % np.uint64(buckets)).astype(np.int64)
+
+
+def _bucket_counts(use_ngrams: bool, buckets: int, n_max: int):
+    """(bucket, token, n, docs): a task's sum for each bucket; each run's most frequent tokens; the documents (both null)."""
+    def rows(bucket, token, n, docs) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([bucket, token, pa.array(n), docs], names=["bucket", "token", "n", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, seen = np.zeros(buckets, np.int64), 0
+        for batch in batches:
+            seen += batch.num_rows
+            for t in tokens.token_runs(batch.column(0)):
+                terms = tokens.run_terms(t, use_ngrams)
+                sums += np.bincount(_bucket_of(terms.hashes(), buckets), terms.total, buckets).astype(np.int64)
+                top = np.arange(len(terms.total))
+                if n_max < len(top):
+                    top = np.sort(np.argpartition(-terms.total, n_max)[:n_max])
+                if len(top):
+                    yield rows(pa.nulls(len(top), pa.int64()), terms.names(top), terms.total[top], pa.nulls(len(top), pa.int64()))
+        used = np.flatnonzero(sums)
+        for at in (used[a:a + _ROWS] for a in range(0, len(used), _ROWS)):
+            yield rows(pa.array(at), pa.nulls(len(at), pa.string()), sums[at], pa.nulls(len(at), pa.int64()))
+        yield rows(pa.nulls(1, pa.int64()), pa.nulls(1, pa.string()), [0], pa.array([seen]))
+    return run
+
+
+def _counts_within(bc, use_ngrams: bool, buckets: int):
+    """As ``_run_counts`` for the tokens of the buckets that ``bc`` marks, without the row of documents."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        may = np.unpackbits(bc.value, count=buckets).astype(np.bool_)
+        for batch in batches:
+            for t in tokens.token_runs(batch.column(0)):
+                terms = tokens.run_terms(t, use_ngrams)
+                at = np.flatnonzero(may[_bucket_of(terms.hashes(), buckets)])
+                yield pa.RecordBatch.from_arrays([terms.names(at), pa.array(terms.total[at]), pa.array(terms.docs[at])],
+                                                 names=["token", "token_count", "doc_freq"])
+    return run
+
+
+def frequent_stats(corpus: DataFrame, config: ModelConfig, buckets: int = BUCKETS,
+                   spare: float = 0.0) -> DataFrame:
     """V1 + V2 + V3 as ``token_stats`` gives them, for all tokens that can get into the vocabulary.
 
     At scale most distinct tokens are rare bigrams, and they would be most of the exact shuffle. So:
 
-    1. the most frequent tokens of a sample of the documents are likely words of the vocabulary;
-    2. one pass counts all tokens in hash buckets, and the likely ones exactly; the N-th largest exact
-       count is a count that at least N tokens reach, so no token below it gets in;
-    3. a token of a bucket whose sum is below that count (or the minimum frequency) is rarer still and
-       stays out of the exact aggregation.
+    1. one pass over all documents sums the occurrences of all tokens in hash buckets, and those of the
+       most frequent tokens of every run of documents by name. What is summed by name is at most a
+       token's count, so the N-th largest of these sums is a count that at least N tokens reach, and no
+       token below it gets in;
+    2. a token of a bucket whose sum is below that count (or the minimum frequency) is rarer still and
+       stays out of the second pass, which counts the others exactly.
 
-    The vocabulary is the same for every sample; a poor one only prunes less.
+    A run names N tokens and a share ``spare`` of N more; the vocabulary is the same whatever it names, and
+    only the pruning differs. Tokens are hashed and counted where their text is read, so a task sends at most
+    one row for each bucket, the named tokens of its runs, and the counts of tokens of full buckets.
     """
     n_max = config.max_vocabulary_size
-    likely = (token_stats(corpus.sample(fraction=sample, seed=config.random_seed), config.use_ngrams)
-              .filter(F.col("token").isNotNull()).orderBy(F.desc("token_count"), "token").limit(2 * n_max)
-              .select("token", F.col("token").alias("likely")))
-    likely = materialize(likely, "likely")
-    size = likely.agg(F.coalesce(F.sum(2 * F.octet_length("token") + 64), F.lit(0))).first()[0]
-    if size > limits.broadcast_bytes:
-        return token_stats(corpus, config.use_ngrams)
-    # the NULL token, which counts documents, has a bucket of its own
-    terms = term_counts(corpus, config.use_ngrams).withColumn("bucket", F.when(F.col("token").isNull(), -1).otherwise(
-        F.pmod(F.xxhash64("token"), F.lit(buckets))).cast("int"))
-    counts = materialize(terms.join(F.broadcast(likely), "token", "left").groupBy("bucket", "likely").agg(
-        F.sum("token_count").alias("n"), F.sum("doc_freq").alias("docs")), "bucket-counts")
-    exact = counts.filter(F.col("likely").isNotNull()).orderBy(F.desc("n")).limit(n_max)
-    nth = exact.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
+    text = corpus.select(T.normalize(F.col("text")).alias("text"))
+    counts = materialize(
+        text.mapInArrow(_bucket_counts(config.use_ngrams, buckets, math.ceil(n_max * (1.0 + spare))),
+                        "bucket long, token string, n long, docs long")
+        .groupBy("bucket", "token").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")), "bucket-counts")
+    by_name = counts.filter(F.col("token").isNotNull()).orderBy(F.desc("n")).limit(n_max)
+    nth = by_name.agg(F.count(F.lit(1)).alias("k"), F.min("n").alias("n")).first()
     least = max(config.min_token_frequency, nth["n"] if n_max and nth["k"] == n_max else 0)
     # at most ``buckets`` rows of one number
-    may = (counts.filter("bucket >= 0").groupBy("bucket").agg(F.sum("n").alias("n"))
-           .filter(F.col("n") >= least).select("bucket"))
-    docs = counts.filter("bucket = -1").select(
-        F.lit(None).cast("string").alias("token"), F.col("n").alias("token_count"), F.col("docs").alias("doc_freq"))
-    return _summed(terms.join(F.broadcast(may), "bucket", "left_semi")).unionByName(docs)
+    may = np.zeros(buckets, np.bool_)
+    may[counts.filter((F.col("n") >= least) & F.col("bucket").isNotNull()).select("bucket").toArrow()
+        .column("bucket").to_numpy()] = True
+    bc = corpus.sparkSession.sparkContext.broadcast(np.packbits(may))
+    docs = counts.filter(F.col("docs").isNotNull()).select(
+        F.lit(None).cast("string").alias("token"), F.lit(None).cast("long").alias("token_count"), F.col("docs").alias("doc_freq"))
+    exact = text.mapInArrow(_counts_within(bc, config.use_ngrams, buckets), "token string, token_count long, doc_freq long")
+    return _summed(exact).unionByName(docs)
 
 
 @dataclass
@@ -247,7 +287,7 @@ def train(corpus: DataFrame, config: ModelConfig | None = None,
     """Train on a (doc_id, text) corpus; the model tables are written once.
 
     A corpus that the optimizer estimates at more than ``prune_bytes`` is counted by
-    ``frequent_stats``, which reads it three times to keep rare tokens out of the shuffle. Both
+    ``frequent_stats``, which reads it twice to keep rare tokens out of the shuffle. Both
     ways give the same model.
     """
     from bowline.sources import model_io

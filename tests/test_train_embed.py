@@ -176,3 +176,34 @@ def test_work_folders_are_released(spark):
     held, session._MADE = session._MADE - {path}, {path}
     assert session.release_work(spark) == 1 and not os.path.exists(path.removeprefix("file:"))
     session._MADE |= held
+
+
+def test_rare_tokens_of_a_corpus_of_some_size_stay_out_of_the_shuffle(spark, tmp_path, monkeypatch):
+    """A model trained from Parquet over the default limit: rare pairs are never written, the vocabulary is the full one."""
+    import random
+    from bowline.operators import train as R
+    from bowline.sources.corpus import read_corpus
+    r = random.Random(5)
+    words = [f"w{i:x}" for i in range(3000)]
+    rows = [(i, " ".join(r.choices(words, [1 / (j + 5) for j in range(3000)], k=2000)) + "x" * 4000) for i in range(600)]
+    rows += [(600 + i, f"{r.getrandbits(40_000):x}") for i in range(5000)]  # bytes that do not compress
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/d")
+    config = ModelConfig(embedding_dim=4, max_vocabulary_size=300)
+    written, keep = {}, R.materialize
+    monkeypatch.setattr(R, "materialize", lambda df, name: written.setdefault(name, keep(df, name)))
+    docs = read_corpus(spark, f"{tmp_path}/d")
+    small = train(docs, config)
+    assert written["token-stats"].count() < 10_000
+    full = keep(R.token_stats(docs), "full")
+    assert full.count() > 100_000
+    want = R.select_vocabulary(full, 5600, config)
+    assert sorted(map(tuple, small.vocabulary.collect())) == sorted(map(tuple, want.collect())) and small.n_docs == 5600
+
+
+def test_word_hashes_depend_on_the_bytes_alone():
+    import pyarrow as pa
+    from bowline.functions.tokens import word_hashes
+    words = ["ab", "ba", "aab", "é", "日本", "ab", "a" * 300, ""]
+    h = word_hashes(pa.array(words))
+    assert len(set(h.tolist())) == 7 and h[0] == h[5]
+    assert (word_hashes(pa.array(["zz", *words]).slice(1)) == h).all()
