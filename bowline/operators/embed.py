@@ -51,18 +51,62 @@ def bags_for(docs: DataFrame, model: Model, id_col: str = "doc_id",
 
 def term_frequency(docs: DataFrame, model: Model, id_col: str = "doc_id",
                    text_col: str = "text", limits: Limits = DEFAULT_LIMITS) -> DataFrame:
-    """(doc_id, idx, token, tf, n_terms) for in-vocabulary terms.
+    """(doc_id, idx, token, tf, n_terms, idf) for in-vocabulary terms.
 
     ``n_terms`` counts every term of the document, unknown ones and bigrams
-    included. The vocabulary side is broadcast when it fits the limit.
+    included. A vocabulary that fits the limit is sent to the texts, whose terms
+    are counted on their codes; a larger one is joined to the terms.
     """
+    if vocabulary_bytes(model) <= limits.broadcast_bytes:
+        kind = docs.schema[id_col].dataType
+        schema = Ty.StructType([Ty.StructField("doc_id", kind), *[Ty.StructField(c, t) for c, t in (
+            ("idx", Ty.IntegerType()), ("token", Ty.StringType()), ("tf", Ty.IntegerType()),
+            ("n_terms", Ty.IntegerType()), ("idf", Ty.DoubleType()))]])
+        rows = docs.select(F.col(id_col).alias("doc_id"), normalize(F.col(text_col)).alias(_TERMS))
+        return rows.mapInArrow(_frequencies(_vocabulary_block(model), model.config.use_ngrams), schema)
     vocab = model.vocabulary.select("token", "idx", "idf")
-    vocab = _maybe_broadcast(vocab, vocabulary_bytes(model), limits)
     return (bags_for(docs, model, id_col, text_col)
             .select("doc_id", "n_terms", F.explode("bag").alias("e"))
             .select("doc_id", "n_terms", F.col("e.token").alias("token"),
                     F.col("e.tf").alias("tf"))
-            .join(vocab, "token"))
+            .join(vocab, "token").select("doc_id", "idx", "token", "tf", "n_terms", "idf"))
+
+
+def _vocabulary_block(model: Model):
+    """The broadcast vocabulary without its projection; kept on the model while its session lives."""
+    sc = model.vocabulary.sparkSession.sparkContext
+    held = model.broadcasts.get("vocabulary")
+    if held is None or held[0] is not sc:
+        vocab = model.vocabulary.select("idx", "token", "idf").orderBy("idx").toArrow()
+        block = {"tokens": vocab.column("token").to_pylist(), "index": vocab.column("idx").to_numpy().astype(np.int32),
+                 "idf": vocab.column("idf").to_numpy().astype(np.float64)}
+        held = model.broadcasts["vocabulary"] = (sc, sc.broadcast(block))
+    return held[1]
+
+
+def _n_terms(t, use_ngrams: bool) -> np.ndarray:
+    n = np.bincount(t.row, minlength=t.rows)
+    return n + np.maximum(n - 1, 0) if use_ngrams else n
+
+
+def _frequencies(bc, use_ngrams: bool):
+    """Normalized text -> a row for each of its terms in the vocabulary, run by run."""
+    def run(batches):
+        block = bc.value
+        vocab, v, names = _vocabulary(block), max(1, len(block["tokens"])), pa.array(block["tokens"], pa.string())
+        for batch in batches:
+            for t in token_runs(batch.column(1)):
+                row, index = vocab.find(t, use_ngrams)
+                key, tf = np.unique(row * v + index, return_counts=True)
+                r, ix = key // v, key % v
+                n_terms = _n_terms(t, use_ngrams)
+                for a in range(0, len(r), _BATCH_TERMS):
+                    rr, at = r[a:a + _BATCH_TERMS], ix[a:a + _BATCH_TERMS]
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(0).take(pa.array(t.first_row + rr)), pa.array(block["index"][at]), names.take(pa.array(at)),
+                         pa.array(tf[a:a + _BATCH_TERMS].astype(np.int32)), pa.array(n_terms[rr].astype(np.int32)),
+                         pa.array(block["idf"][at])], names=["doc_id", "idx", "token", "tf", "n_terms", "idf"])
+    return run
 
 
 def bm25_weights(docs: DataFrame, model: Model, id_col: str = "doc_id",
@@ -226,8 +270,7 @@ def _make_projector(bc, dim: int, chunk: int, use_ngrams: bool, first: bool, las
             for t in token_runs(batch.column(batch.schema.get_field_index(_TERMS))):
                 part = batch.slice(t.first_row, t.rows)
                 out = _start(part, dim, first)
-                n = np.bincount(t.row, minlength=t.rows)
-                n_terms = (n + np.maximum(n - 1, 0) if use_ngrams else n).astype(np.float64)
+                n_terms = _n_terms(t, use_ngrams).astype(np.float64)
                 row, index = vocab.find(t, use_ngrams)
                 key, tf = np.unique(row * v + index, return_counts=True)  # (row, index) pairs, by one sort
                 r, ix = key // v, key % v
@@ -275,29 +318,151 @@ def _project_bags(batch, vocab, block, dim, p, chunk, first, last):
 # ---- E3 as a table -------------------------------------------------------------
 
 HOT_SHARE = 2  # an index is hot when it has more than 1 / (HOT_SHARE * partitions) of the weights
+DOCS = 8192    # documents whose sums a task keeps
+ROWS = 1024    # projection rows that a task keeps
 
 
 def project_sums(weights: DataFrame, model: Model, limits: Limits = DEFAULT_LIMITS) -> DataFrame:
     """(doc_id, dim, value), the sum of weight x projection row per document.
 
-    A projection that fits the limit is sent to the weights. A larger one meets them by index; a token
-    that most documents hold would be one key there, so the weights are counted by index first, the
-    hot indexes (at most HOT_SHARE times the partitions, by their definition) get their rows sent to
-    them, and only the others are joined.
+    A projection that fits the limit is sent to the weights. Of a larger one the rows of hot indexes (at
+    most HOT_SHARE times the partitions, by their definition) are sent; the other weights are packed by
+    document and run of ROWS indexes where they lie, and meet the projection rows of their run in blocks
+    of about DOCS documents. A task keeps the sums of one block and one run of rows, so a weight never
+    carries a vector and a document gives one vector to the last sum for each way.
     """
     spark = weights.sparkSession
     if model.vocab_size * model.embedding_dim * 8 <= limits.broadcast_bytes:
-        rows = weights.join(F.broadcast(model.projection), "idx")
+        parts = _sent_sums(weights, model.projection)
     else:
-        weights = materialize(weights, "weights")
+        weights = materialize(weights.select("doc_id", "idx", "weight"), "weights")
         counts = materialize(weights.groupBy("idx").agg(F.count(F.lit(1)).alias("n")), "index-counts")
         total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-        parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-        hot = F.broadcast(counts.filter(F.col("n") * (HOT_SHARE * parts) > total).select("idx"))
-        sent = weights.join(F.broadcast(model.projection.join(hot, "idx", "left_semi")), "idx")
-        joined = weights.join(hot, "idx", "left_anti").hint("merge").join(model.projection, "idx")
-        rows = sent.unionByName(joined.select(*sent.columns))
-    return vector_sums(rows, "doc_id", "vec", F.col("weight")).withColumnRenamed("x", "value")
+        shares = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        hot = F.broadcast(counts.filter(F.col("n") * (HOT_SHARE * shares) > total).select("idx"))
+        parts = _sent_sums(weights.join(hot, "idx", "left_semi").select("doc_id", "idx", "weight"),
+                           model.projection.join(hot, "idx", "left_semi"))
+        parts = parts.unionByName(_met_sums(weights.join(hot, "idx", "left_anti"), model.projection.join(hot, "idx", "left_anti")))
+    return vector_sums(parts, "doc_id", "v").withColumnRenamed("x", "value")
+
+
+def _sums_schema(weights: DataFrame) -> Ty.StructType:
+    return Ty.StructType([Ty.StructField("doc_id", weights.schema["doc_id"].dataType),
+                          Ty.StructField("v", Ty.ArrayType(Ty.DoubleType()))])
+
+
+def _sum_rows(ids: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32))
+    return pa.RecordBatch.from_arrays([ids, pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=["doc_id", "v"])
+
+
+def _sent_sums(weights: DataFrame, projection: DataFrame) -> DataFrame:
+    """(doc_id, v): sums of a batch's weights with the projection rows, which are sent to them."""
+    rows = projection.select("idx", "vec").orderBy("idx").toArrow()
+    index = rows.column("idx").to_numpy()
+    flat = rows.column("vec").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    bc = weights.sparkSession.sparkContext.broadcast((index, flat.reshape(len(index), -1) if len(index) else None))
+
+    def run(batches):
+        known, matrix = bc.value
+        for batch in batches:
+            if not batch.num_rows or matrix is None:
+                continue
+            at = np.minimum(np.searchsorted(known, batch.column(1).to_numpy()), len(known) - 1)
+            on = np.flatnonzero(known[at] == batch.column(1).to_numpy())
+            if not len(on):
+                continue
+            ids = batch.column(0).take(pa.array(on)).dictionary_encode(null_encoding="encode")
+            code = ids.indices.to_numpy()
+            order = np.argsort(code, kind="stable")
+            sums = np.zeros((len(ids.dictionary), matrix.shape[1]))
+            w = batch.column(2).to_numpy(zero_copy_only=False)[on]
+            _add(sums, code[order], at[on][order], w[order], matrix, DEFAULT_LIMITS.projection_chunk)
+            yield _sum_rows(ids.dictionary, sums)
+    return weights.select("doc_id", "idx", F.col("weight").cast("double")).mapInArrow(run, _sums_schema(weights))
+
+
+def _packed_weights(batches):
+    """(doc_id, idx, weight) -> (doc_id, run, idx list, weight list) of every batch."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        ids = batch.column(0).dictionary_encode(null_encoding="encode")
+        code, idx = ids.indices.to_numpy().astype(np.int64), batch.column(1).to_numpy().astype(np.int32)
+        order = np.lexsort((idx // ROWS, code))
+        code, idx, w = code[order], idx[order], batch.column(2).to_numpy(zero_copy_only=False)[order]
+        new = np.append(True, (code[1:] != code[:-1]) | (idx[1:] // ROWS != idx[:-1] // ROWS))
+        starts = np.flatnonzero(new)
+        ends = pa.array(np.append(starts, len(code)).astype(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [ids.dictionary.take(pa.array(code[starts])), pa.array((idx[starts] // ROWS).astype(np.int32)),
+             pa.ListArray.from_arrays(ends, pa.array(idx)), pa.ListArray.from_arrays(ends, pa.array(w))],
+            names=["doc_id", "run", "ids", "ws"])
+
+
+def _met_sums(weights: DataFrame, projection: DataFrame) -> DataFrame:
+    """(doc_id, v): the sums of every document, by blocks of documents and runs of projection rows."""
+    kind = weights.schema["doc_id"].dataType.simpleString()
+    packed = materialize(weights.select("doc_id", "idx", F.col("weight").cast("double").alias("weight")).mapInArrow(
+        _packed_weights, f"doc_id {kind}, run int, ids array<int>, ws array<double>"), "packed-weights")
+    blocks = max(1, -(-packed.select("doc_id").distinct().count() // DOCS))
+    packed = packed.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)))
+    # a run's rows go to the blocks that have weights in it, at most one place a block
+    needed = F.broadcast(packed.select("block", "run").distinct())
+    rows = projection.withColumn("run", F.floor(F.col("idx") / ROWS).cast("int")).join(needed, "run").select(
+        "block", "run", F.lit(0).alias("kind"), F.lit(None).cast(kind).alias("doc_id"),
+        F.array("idx").alias("ids"), F.col("vec").cast("array<double>").alias("ws"))
+    given = packed.select("block", "run", F.lit(1).alias("kind"), "doc_id", "ids", "ws")
+    return (rows.unionByName(given).repartition("block").sortWithinPartitions("block", "run", "kind")
+            .mapInArrow(_block_sums, _sums_schema(weights)))
+
+
+def _block_sums(batches):
+    """Rows by block, run and kind, projection rows (kind 0) before weights: one vector per document of a block."""
+    block = run = ids = sums = None
+    vecs, index, matrix = [], [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(3)])
+        starts = np.flatnonzero(np.append(True, (keys[:, 1:] != keys[:, :-1]).any(axis=0)))
+        for a, b in zip(starts, np.append(starts[1:], batch.num_rows)):
+            if keys[0, a] != block:
+                if ids is not None:
+                    yield from _slices(ids, sums)
+                block, run, ids, sums = keys[0, a], None, None, None
+            if keys[1, a] != run:
+                run, vecs, index, matrix = keys[1, a], [], [], None
+            lists, values = batch.column(4).slice(a, b - a), batch.column(5).slice(a, b - a)
+            at, x = lists.flatten().to_numpy(), values.flatten().to_numpy(zero_copy_only=False)
+            if keys[2, a] == 0:
+                index.append(at)
+                vecs.append(x.reshape(b - a, -1))
+                continue
+            if matrix is None:
+                place = np.concatenate(index)
+                order = np.argsort(place)
+                place, matrix = place[order], np.concatenate(vecs)[order]
+            named = batch.column(3).slice(a, b - a)
+            if ids is None:
+                ids, sums = named.unique(), np.zeros((0, matrix.shape[1]))
+            row = pc.index_in(named, value_set=ids)
+            if row.null_count:
+                ids = pa.concat_arrays([ids, named.filter(row.is_null()).unique()])
+                row = pc.index_in(named, value_set=ids)
+            if len(sums) < len(ids):
+                sums = np.concatenate([sums, np.zeros((max(len(ids), 2 * len(sums)) - len(sums), matrix.shape[1]))])
+            of = np.repeat(row.to_numpy().astype(np.int64), lists.value_lengths().to_numpy())
+            order = np.argsort(of, kind="stable")
+            _add(sums, of[order], np.searchsorted(place, at)[order], x[order], matrix, DEFAULT_LIMITS.projection_chunk)
+    if ids is not None:
+        yield from _slices(ids, sums)
+
+
+def _slices(ids: pa.Array, sums: np.ndarray):
+    for a in range(0, len(ids), ROWS):
+        b = min(a + ROWS, len(ids))
+        yield _sum_rows(ids.slice(a, b - a), sums[a:b])
 
 
 # ---- E8: embedding store -------------------------------------------------------

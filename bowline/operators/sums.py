@@ -2,6 +2,8 @@
 
 Every task adds up the vectors of its own rows per key with NumPy, so the
 shuffle gets one vector per key and batch and not one row per vector entry.
+The vectors of a key are added up as they come, sorted by key, and are laid
+out by dimension only then.
 """
 
 from __future__ import annotations
@@ -32,6 +34,37 @@ def _batch_sums(batches):
              pa.ListArray.from_arrays(offsets, pa.array(sums.ravel()))], names=["key", "v"])
 
 
+def _key_sums(batches):
+    """Rows sorted by key -> one vector per key."""
+    key = held = None
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        keys = batch.column(0)
+        a, b = keys.slice(1), keys.slice(0, n - 1)
+        same = pc.or_(pc.fill_null(pc.equal(a, b), False), pc.and_(pc.is_null(a), pc.is_null(b)))
+        starts = np.flatnonzero(np.append(True, ~same.to_numpy(zero_copy_only=False)))
+        sums = np.add.reduceat(batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(n, -1), starts, axis=0)
+        first = keys.slice(0, 1)
+        if held is not None:
+            if key.equals(first):
+                sums[0] += held
+            else:
+                yield _rows(key, held[None])
+        if len(starts) > 1:
+            yield _rows(keys.take(pa.array(starts[:-1])), sums[:-1])
+        key, held = pa.concat_arrays([keys.slice(int(starts[-1]), 1)]), sums[-1].copy()
+    if held is not None:
+        yield _rows(key, held[None])
+
+
+def _rows(keys: pa.Array, sums: np.ndarray) -> pa.RecordBatch:
+    offsets = pa.array(np.arange(0, sums.size + 1, sums.shape[1], dtype=np.int32))
+    return pa.RecordBatch.from_arrays([keys, pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(sums).ravel()))],
+                                      names=["key", "v"])
+
+
 def vector_sums(rows: DataFrame, key: str, vec: str, weight: Column | None = None) -> DataFrame:
     """(key, dim, x): the weighted sum of the vectors of every key, laid out by dimension."""
     kind = rows.schema[key].dataType
@@ -39,5 +72,5 @@ def vector_sums(rows: DataFrame, key: str, vec: str, weight: Column | None = Non
     w = F.lit(1.0) if weight is None else weight.cast("double")
     return (rows.select(F.col(key).alias("key"), w.alias("w"), F.col(vec).cast("array<double>").alias("v"))
             .mapInArrow(_batch_sums, schema)
-            .select(F.col("key").alias(key), F.posexplode("v").alias("dim", "x"))
-            .groupBy(key, "dim").agg(F.sum("x").alias("x")))
+            .repartition("key").sortWithinPartitions("key").mapInArrow(_key_sums, schema)
+            .select(F.col("key").alias(key), F.posexplode("v").alias("dim", "x")))

@@ -253,3 +253,28 @@ def test_projection_of_a_token_in_every_document(spark):
     a, b = (sorted((x["doc_id"], x["dim"], round(x["value"], 9)) for x in project_sums(weights, m, limits).collect())
             for limits in (Limits(), Limits(broadcast_bytes=1000)))
     assert a == b and len(a) == 2400
+
+
+def test_weights_meet_the_projection_without_carrying_vectors(spark, monkeypatch):
+    """E3 over the limit, with many blocks of documents and runs of rows, against NumPy; no join holds weights and vectors."""
+    import numpy as np
+    from bowline.config import Limits
+    from bowline.operators import embed as E
+    monkeypatch.setattr(E, "DOCS", 40)
+    r = random.Random(3)
+    docs = spark.createDataFrame([(i % 190, "all " + " ".join(f"w{r.randrange(1500)}" for _ in range(12))) for i in range(200)]
+                                 + [(None, "all w1 w2 w3")], "doc_id long, text string")
+    m = train(docs, ModelConfig(embedding_dim=5, min_token_frequency=1))
+    assert m.vocab_size > 2 * E.ROWS
+    weights = E.bm25_weights(docs, m)
+    rows = {x["idx"]: np.array(x["vec"]) for x in m.projection.collect()}
+    want = {}
+    for w in weights.collect():
+        want[w["doc_id"]] = want.get(w["doc_id"], 0) + w["weight"] * rows[w["idx"]]
+    for limits in (Limits(), Limits(broadcast_bytes=1000)):
+        out = E.project_sums(weights, m, limits)
+        got = out.collect()
+        assert len(got) == 5 * len(want) and len(want) == 191
+        assert all(abs(x["value"] - want[x["doc_id"]][x["dim"]]) < 1e-9 for x in got)
+        plan = out._jdf.queryExecution().optimizedPlan().toString()
+        assert not [line for line in plan.splitlines() if "Join" in line and "Inner" in line and "weight" in line]
