@@ -26,6 +26,7 @@ from bowline.operators.train import Model
 from bowline.session import materialize
 
 BAND_RUN = 1024
+SCORED_ROWS = 1024  # candidates that one step scores, whatever the size of a batch
 RANK_DIGITS = 9  # similarities equal to 9 digits are ties, broken by candidate id
 
 
@@ -48,7 +49,7 @@ def _unit_rows(m: np.ndarray) -> np.ndarray:
     return out
 
 
-def _best_k(qn, c_ids, cn, k, cell_budget=4_000_000):
+def _best_k(qn, c_ids, cn, k, cell_budget=1 << 20):
     """(ids, similarities), each (queries, k'): the best of one candidate chunk; ties by candidate id."""
     order = np.argsort(c_ids, kind="stable")
     c_ids, cn = c_ids[order], cn[order]
@@ -93,8 +94,8 @@ def _make_scorer(bc, k: int, dim: int):
     def score(batches):
         q_ids, qn = bc.value
         best = kind = None
-        for batch in batches:
-            if batch.num_rows == 0 or len(q_ids) == 0:
+        for batch in (b.slice(a, SCORED_ROWS) for b in batches for a in range(0, b.num_rows, SCORED_ROWS)):
+            if len(q_ids) == 0:
                 continue
             if batch.column(0).null_count:
                 raise ValueError("candidates need ids")

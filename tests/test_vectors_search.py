@@ -135,3 +135,23 @@ def test_selection_equals_a_stable_sort():
     for n, k in ((1, 1), (7, 3), (50, 5), (50, 50), (200, 17)):
         x = r.integers(0, 9, size=(40, n)) / 4.0
         assert (_top(x, k) == np.argsort(-x, axis=1, kind="stable")[:, :k]).all()
+
+
+def test_scoring_holds_a_bounded_part_of_a_batch():
+    """A large batch of candidates is scored in parts: the working memory is far below the batch's."""
+    import tracemalloc
+    from types import SimpleNamespace
+    import pyarrow as pa
+    from bowline.operators.search import _make_scorer, _unit_rows
+    r = np.random.default_rng(2)
+    x, q = r.normal(size=(20_000, 128)), r.normal(size=(200, 128))
+    vecs = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, 128, dtype=np.int32)), pa.array(x.ravel()))
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(20_000)), vecs], names=["cand_id", "v"])
+    score = _make_scorer(SimpleNamespace(value=(pa.array(np.arange(200)), _unit_rows(q))), 3, 128)
+    tracemalloc.start()
+    (out,) = score([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 << 20, peak
+    want = np.argsort(-np.round(_unit_rows(q) @ _unit_rows(x).T, 9), axis=1, kind="stable")[:, :3]
+    assert (out.column(1).to_numpy().reshape(200, 3) == want).all()
