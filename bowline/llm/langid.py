@@ -236,8 +236,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     held = [bytes(r[0]) for r in bits]
     marks = landmark_matrix(held)
     # the tasks get the landmarks as bits: a 32nd of the matrix
-    parts = rows.select("text", "lang").mapInArrow(
-        _normal_sums(spark.sparkContext.broadcast(held), languages), "gram binary, right binary")
+    # written by all tasks at once; read one by one
+    parts = materialize(rows.select("text", "lang").mapInArrow(
+        _normal_sums(spark.sparkContext.broadcast(held), languages), "gram binary, right binary"), "normal-sums")
     m = len(marks)
     gram, right = np.zeros((m, m)), np.zeros((m, len(languages)))
     for r in parts.toLocalIterator():
