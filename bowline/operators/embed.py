@@ -5,9 +5,10 @@ on the buffer, looks tokens and pairs of tokens up in a broadcast block of the
 vocabulary, applies the BM25-like weight and sums weighted projection rows with
 NumPy (with dropout, whose draws are JVM expressions, it gets term bags). A model that fits
 ``Limits.broadcast_bytes`` is one block. A larger one is cut into blocks of
-vocabulary rows that each fit, and the steps are chained, each adding its
-share to the row's vector. Every step is narrow: no shuffle, rows are never
-joined back on an id, and the number of blocks does not change the answer.
+vocabulary rows that each fit; the step tokenizes a run of rows once and goes
+through the blocks, each adding its share to the rows' vectors. The step is
+narrow: no shuffle, one Python worker a task whatever the number of blocks,
+rows are never joined back on an id, and the blocks do not change the answer.
 """
 
 from __future__ import annotations
@@ -172,14 +173,10 @@ def embed(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         rows = rows.select("doc_id", *carry, F.struct("bag", "n_terms").alias(_TERMS))
     vector = Ty.ArrayType(Ty.DoubleType(), False)
     head = [Ty.StructField("doc_id", docs.schema[id_col].dataType)] + [docs.schema[c] for c in carry]
-    blocks = broadcast_blocks(model, limits)
-    for i, bc in enumerate(blocks):
-        last = i == len(blocks) - 1
-        dim, chunk = model.embedding_dim, limits.projection_chunk
-        fn = (_make_projector(bc, dim, chunk, model.config.use_ngrams, i == 0, last) if p == 0.0
-              else _make_bag_projector(bc, dim, p, chunk, i == 0, last))
-        fields = head + ([] if last else [rows.schema[_TERMS]]) + [Ty.StructField(EMBEDDING, vector)]
-        rows = rows.mapInArrow(fn, Ty.StructType(fields))
+    blocks, dim, chunk = broadcast_blocks(model, limits), model.embedding_dim, limits.projection_chunk
+    fn = (_make_projector(blocks, dim, chunk, model.config.use_ngrams) if p == 0.0
+          else _make_bag_projector(blocks, dim, p, chunk))
+    rows = rows.mapInArrow(fn, Ty.StructType(head + [Ty.StructField(EMBEDDING, vector)]))
     return rows.withColumnRenamed("doc_id", id_col) if id_col != "doc_id" else rows
 
 
@@ -232,58 +229,74 @@ def _vocabulary(block: dict) -> Vocabulary:
     return held[1]
 
 
-def _start(batch: pa.RecordBatch, dim: int, first: bool) -> np.ndarray:
-    """The sums that the blocks before have made of the rows."""
-    if first:
-        return np.zeros((batch.num_rows, dim))
-    held = batch.column(batch.schema.get_field_index(EMBEDDING))
-    return held.flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, dim).copy()
+def _add(out: np.ndarray, r: np.ndarray, ix: np.ndarray, w: np.ndarray, matrix: np.ndarray, chunk: int) -> None:
+    """Add weighted projection rows to their rows of ``out``; ``r`` is ascending.
+
+    Row by row, so that a row's projection rows are summed while they lie in the cache.
+    """
+    starts = np.flatnonzero(np.append(True, r[1:] != r[:-1])[:len(r)])
+    for row, a, b in zip(r[starts].tolist(), starts.tolist(), np.append(starts[1:], len(r)).tolist()):
+        for lo in range(a, b, chunk):
+            hi = min(b, lo + chunk)
+            out[row] += w[lo:hi] @ matrix[ix[lo:hi]]
 
 
-def _add(out: np.ndarray, r: np.ndarray, ix: np.ndarray, w: np.ndarray, matrix: np.ndarray, chunk: int) -> None:
-    """Add weighted projection rows to their rows of ``out``; ``r`` is ascending."""
-    for a in range(0, len(r), chunk):
-        rr = r[a:a + chunk]
-        contrib = matrix[ix[a:a + chunk]] * w[a:a + chunk, None]
-        starts = np.flatnonzero(np.r_[True, rr[1:] != rr[:-1]])
-        out[rr[starts]] += np.add.reduceat(contrib, starts, axis=0)
+def _unit(out: np.ndarray) -> np.ndarray:
+    """Divide the rows by their norms, where these exceed NORMALIZE_EPS."""
+    norms = np.sqrt(np.einsum("ij,ij->i", out, out))
+    big = norms > NORMALIZE_EPS
+    out[big] /= norms[big, None]
+    return out
 
 
-def _finished(batch: pa.RecordBatch, out: np.ndarray, last: bool) -> pa.RecordBatch:
+def _finished(batch: pa.RecordBatch, out: np.ndarray) -> pa.RecordBatch:
     n, dim = out.shape
-    if last:
-        norms = np.sqrt(np.einsum("ij,ij->i", out, out))
-        big = norms > NORMALIZE_EPS
-        out[big] /= norms[big, None]
+    out = _unit(out)
     names = batch.schema.names
     emb = pa.ListArray.from_arrays(pa.array(np.arange(0, n * dim + 1, dim, dtype=np.int32)), pa.array(out.ravel()))
-    kept = [c for c in names if c != EMBEDDING and not (last and c == _TERMS)]
+    kept = [c for c in names if c != _TERMS]
     return pa.RecordBatch.from_arrays([batch.column(names.index(c)) for c in kept] + [emb], names=kept + [EMBEDDING])
 
 
-def _make_projector(bc, dim: int, chunk: int, use_ngrams: bool, first: bool, last: bool):
-    """Arrow batch function: normalized text -> sum over the block's vocabulary, normalized in the last step."""
-    def project(batches):
+def project_run(t, blocks: list, dim: int, chunk: int, use_ngrams: bool) -> np.ndarray:
+    """Weighted sums of the tokens of a run of texts over the model's blocks, one row a text."""
+    out = np.zeros((t.rows, dim))
+    n_terms = _n_terms(t, use_ngrams).astype(np.float64)
+    for bc in blocks:
         block = bc.value
-        vocab, v = _vocabulary(block), max(1, len(block["tokens"]))
+        v = max(1, len(block["tokens"]))
+        row, index = _vocabulary(block).find(t, use_ngrams)
+        key, tf = np.unique(row * v + index, return_counts=True)  # (row, index) pairs, by one sort
+        r, ix = key // v, key % v
+        _add(out, r, ix, weight(tf.astype(np.float64), n_terms[r], block["idf"][ix]), block["matrix"], chunk)
+    return out
+
+
+def text_embedder(model: Model, limits: Limits = DEFAULT_LIMITS):
+    """A function for Arrow steps: a column of normalized texts -> their vectors, as ``embed`` makes them."""
+    blocks, dim, chunk, use_ngrams = broadcast_blocks(model, limits), model.embedding_dim, limits.projection_chunk, model.config.use_ngrams
+
+    def vectors_of(texts: pa.Array) -> np.ndarray:
+        return np.concatenate([np.zeros((0, dim)), *(
+            _unit(project_run(t, blocks, dim, chunk, use_ngrams)) for t in token_runs(texts))])
+    return vectors_of
+
+
+def _make_projector(blocks, dim: int, chunk: int, use_ngrams: bool, *_):
+    """Arrow batch function: normalized text -> sum over the vocabulary (one block or a list of them), normalized."""
+    blocks = blocks if isinstance(blocks, list) else [blocks]
+
+    def project(batches):
         for batch in batches:
             for t in token_runs(batch.column(batch.schema.get_field_index(_TERMS))):
-                part = batch.slice(t.first_row, t.rows)
-                out = _start(part, dim, first)
-                n_terms = _n_terms(t, use_ngrams).astype(np.float64)
-                row, index = vocab.find(t, use_ngrams)
-                key, tf = np.unique(row * v + index, return_counts=True)  # (row, index) pairs, by one sort
-                r, ix = key // v, key % v
-                _add(out, r, ix, weight(tf.astype(np.float64), n_terms[r], block["idf"][ix]), block["matrix"], chunk)
-                yield _finished(part, out, last)
+                yield _finished(batch.slice(t.first_row, t.rows), project_run(t, blocks, dim, chunk, use_ngrams))
     return project
 
 
-def _make_bag_projector(bc, dim: int, p: float, chunk: int, first: bool, last: bool):
+def _make_bag_projector(blocks: list, dim: int, p: float, chunk: int):
     """As ``_make_projector`` for bags of terms with a keep flag each, runs of rows with a bounded number of terms."""
     def project(batches):
-        block = bc.value
-        vocab = pa.array(block["tokens"], type=pa.string())
+        vocabs = [pa.array(bc.value["tokens"], type=pa.string()) for bc in blocks]
         for batch in batches:
             lists = batch.column(batch.schema.get_field_index(_TERMS)).field("bag")
             ends = np.cumsum(pc.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -291,28 +304,28 @@ def _make_bag_projector(bc, dim: int, p: float, chunk: int, first: bool, last: b
             while lo < batch.num_rows:  # a longer row stands alone
                 before = ends[lo - 1] if lo else 0
                 hi = max(lo + 1, int(np.searchsorted(ends, before + _BATCH_TERMS, "right")))
-                yield _project_bags(batch.slice(lo, hi - lo), vocab, block, dim, p, chunk, first, last)
+                part = batch.slice(lo, hi - lo)
+                out = np.zeros((hi - lo, dim))
+                for vocab, bc in zip(vocabs, blocks):
+                    _add_bags(out, part, vocab, bc.value, p, chunk)
+                yield _finished(part, out)
                 lo = hi
     return project
 
 
-def _project_bags(batch, vocab, block, dim, p, chunk, first, last):
-    n = batch.num_rows
-    terms = batch.column(batch.schema.get_field_index(_TERMS))
-    out = _start(batch, dim, first)
-    bag, n_terms = terms.flatten()
+def _add_bags(out, batch, vocab, block, p, chunk):
+    bag, n_terms = batch.column(batch.schema.get_field_index(_TERMS)).flatten()
     flat = bag.flatten()
     if len(flat) and len(vocab):
         lengths = pc.fill_null(bag.value_lengths(), 0).to_numpy(zero_copy_only=False)
         n_terms = n_terms.to_numpy(zero_copy_only=False).astype(np.float64)
         idx = pc.index_in(flat.field("token"), value_set=vocab)
         sel = idx.is_valid().to_numpy(zero_copy_only=False)
-        r = np.repeat(np.arange(n), lengths)[sel]
+        r = np.repeat(np.arange(len(out)), lengths)[sel]
         ix = idx.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
         w = weight(flat.field("tf").to_numpy(zero_copy_only=False)[sel].astype(np.float64), n_terms[r], block["idf"][ix])
         keep = flat.field("keep").to_numpy(zero_copy_only=False)[sel]
         _add(out, r, ix, np.where(keep, w / (1.0 - p), 0.0), block["matrix"], chunk)
-    return _finished(batch, out, last)
 
 
 # ---- E3 as a table -------------------------------------------------------------

@@ -207,3 +207,13 @@ def test_word_hashes_depend_on_the_bytes_alone():
     h = word_hashes(pa.array(words))
     assert len(set(h.tolist())) == 7 and h[0] == h[5]
     assert (word_hashes(pa.array(["zz", *words]).slice(1)) == h).all()
+
+
+def test_blocks_are_one_step(spark, small):
+    """A model in many blocks takes one Python worker a task, as a model of one block does."""
+    docs, m = small
+    for limits in (Limits(), Limits(broadcast_bytes=model_bytes(m) // 5)):
+        for rate in (0.0, 0.2):
+            plan = embed(docs, m, dropout_rate=rate, limits=limits)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("MapInArrow") == 1
+    assert len(m.broadcasts) > 1
