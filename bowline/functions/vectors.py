@@ -1,7 +1,8 @@
-"""Dense-vector column functions (X1-X7, E5, E9) as JVM higher-order functions."""
+"""Dense-vector column functions (X1-X7, E5, E9) as JVM higher-order functions, and the cosine of NumPy rows."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -53,6 +54,13 @@ def cosine(a: Column, b: Column) -> Column:
     return _check_dims(a, b, _cos_from(a, b, NORMALIZE_EPS, True), "cosine")
 
 
+def cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``cosine`` of the rows of two matrices."""
+    na, nb = (np.sqrt(np.einsum("ij,ij->i", x, x)) for x in (a, b))
+    ok = (na > NORMALIZE_EPS) & (nb > NORMALIZE_EPS)
+    return np.where(ok, np.einsum("ij,ij->i", a, b) / np.where(ok, na * nb, 1.0), 0.0)
+
+
 def cosine_lenient(a: Column, b: Column) -> Column:
     """Dot over the common prefix, full norms, guard norm > 0."""
     return _cos_from(a, b, 0.0, False)

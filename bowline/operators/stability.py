@@ -13,7 +13,8 @@ replaying it:
 So a run of swaps lands, in order, just before the last word that is no
 swap. Words are found on the Arrow buffer; draws, order and the new texts are
 array operations over all words of a run of rows, and originals and variants
-are embedded in the same narrow pipeline: no shuffle, and a text is read once.
+are embedded and compared in the same narrow pipeline: no shuffle, a text is
+read once, and only similarities leave the last step.
 """
 
 from __future__ import annotations
@@ -23,11 +24,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as Ty
 
 from bowline.functions import draws, grams
-from bowline.functions.md5 import keyed, md5_words
-from bowline.functions.vectors import cosine
-from bowline.operators.embed import embed
+from bowline.functions.md5 import keyed_words
+from bowline.functions.text import normalize
+from bowline.functions.vectors import cosines
+from bowline.operators.embed import text_embedder
 from bowline.operators.train import Model
 
 # --- fixed values: mutation kinds of the reference, each equally likely ---
@@ -36,6 +39,7 @@ N_KINDS = 4
 MIN_CHARS_TO_DROP = 3  # a character is removed only from words of more than 2 characters
 # ---------------------------------------------------------------------------
 
+RUN_BYTES = 1 << 18  # bytes of text whose variants are made at once
 KEEP = -1  # a word that is not mutated
 
 
@@ -44,7 +48,7 @@ def drawn_kinds(prefixes: list[bytes], row: np.ndarray, pos: np.ndarray, chars:
     """(kind or KEEP, character) of words at ``pos`` of their rows, of so many characters."""
     if not len(row):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    h = md5_words(*keyed(prefixes, row, pos)).astype(np.int64)
+    h = keyed_words(prefixes, row, pos).astype(np.int64)
     kind = np.where(h[:, 0] / draws.TWO_32 < rate, (h[:, 1] * N_KINDS) >> 32, KEEP)
     return kind, (h[:, 2] * chars) >> 32
 
@@ -55,14 +59,13 @@ def mutated_order(kind: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.nda
     k, r = kind[left], row[left]
     first = np.ones(len(left), np.bool_)
     first[1:] = r[1:] != r[:-1]
-    anchored = (k != KIND_SWAP).astype(np.int64)
-    total = np.cumsum(anchored)
-    group = total - np.repeat((total - anchored)[first], np.diff(np.append(np.flatnonzero(first), len(left))))
+    # a row's groups lie after all groups of the rows before it
+    group = np.cumsum(k != KIND_SWAP) + r
     rank = np.where((k == KIND_SWAP) & ~first, 1, 2)
     twice = np.flatnonzero(k == KIND_DUPLICATE)
     at = np.concatenate([np.arange(len(left)), twice])
-    rank = np.concatenate([rank, np.zeros(len(twice), np.int64)])
-    order = np.lexsort((at, rank, group[at], r[at]))
+    place = np.concatenate([3 * group + rank, 3 * group[twice]])
+    order = np.argsort(place, kind="stable")
     return left[at[order]], r[at[order]]
 
 
@@ -106,21 +109,53 @@ def _mutated(run: grams.Run, prefixes: list[bytes], rate: float) -> pa.Array:
     return made.cast(pa.string())
 
 
+def _versions(part: grams.Run, keys: pa.Array, texts: pa.Array, num_variants: int, rate: float, seed: int):
+    """The texts of every variant in turn; a text without words as it is."""
+    # as concat_ws does, a NULL id leaves its part of the key out
+    start = [f"{seed}|variant" + ("" if k is None else f"|{k}") for k in keys.to_pylist()]
+    plain = pa.array(np.diff(grams.word_bounds(part)[2]) == 0)
+    texts = texts.cast(pa.string())
+    for v in range(1, num_variants + 1):
+        yield pc.if_else(plain, texts, _mutated(part, [f"{s}|{v}|".encode() for s in start], rate))
+
+
 def _fan_out(num_variants: int, rate: float, seed: int):
     """Rows (row, key, text) -> one row per variant with its text."""
     def run(batches):
         for batch in batches:
-            for part in grams.runs(batch.column(2)):
+            for part in grams.runs(batch.column(2), RUN_BYTES):
                 rows = len(part.offs) - 1
                 row, keys, texts = (batch.column(i).slice(part.row, rows) for i in range(3))
-                # as concat_ws does, a NULL id leaves its part of the key out
-                start = [f"{seed}|variant" + ("" if k is None else f"|{k}") for k in keys.to_pylist()]
-                plain = pa.array(np.diff(grams.word_bounds(part)[2]) == 0)
-                for v in range(1, num_variants + 1):
-                    made = _mutated(part, [f"{s}|{v}|".encode() for s in start], rate)
+                for v, made in enumerate(_versions(part, keys, texts, num_variants, rate, seed), 1):
+                    yield pa.RecordBatch.from_arrays([row, pa.array(np.full(rows, v, np.int32)), made],
+                                                     names=["row", "variant", "variant_text"])
+    return run
+
+
+def _side_by_side(num_variants: int, rate: float, seed: int):
+    """Rows (doc_id, key, text) -> (doc_id, t0, t1, ...), the text and its variants."""
+    def run(batches):
+        for batch in batches:
+            for part in grams.runs(batch.column(2), RUN_BYTES):
+                ids, keys, texts = (batch.column(i).slice(part.row, len(part.offs) - 1) for i in range(3))
+                made = list(_versions(part, keys, texts, num_variants, rate, seed))
+                yield pa.RecordBatch.from_arrays([ids, texts, *made],
+                                                 names=["doc_id", *(f"t{v}" for v in range(num_variants + 1))])
+    return run
+
+
+def _compared(vectors_of):
+    """Rows (doc_id, normalized text, its variants' ...) -> (doc_id, variant, similarity)."""
+    def run(batches):
+        for batch in batches:
+            for part in grams.runs(batch.column(1)):
+                rows = len(part.offs) - 1
+                ids, original, *variants = (c.slice(part.row, rows) for c in batch.columns)
+                original = vectors_of(original)
+                for v, texts in enumerate(variants, 1):
                     yield pa.RecordBatch.from_arrays(
-                        [row, pa.array(np.full(rows, v, np.int32)), pc.if_else(plain, texts.cast(pa.string()), made)],
-                        names=["row", "variant", "variant_text"])
+                        [ids, pa.array(np.full(rows, v, np.int32)), pa.array(cosines(vectors_of(texts), original))],
+                        names=["doc_id", "variant", "similarity"])
     return run
 
 
@@ -145,14 +180,20 @@ def text_variants(texts: DataFrame, num_variants: int, mutation_rate: float, see
 
 def variant_similarity(texts: DataFrame, model: Model, num_variants: int, mutation_rate: float,
                        seed: int = 42, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, variant, similarity) of each text with each of its variants."""
-    base = texts.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    orig = embed(base, model, "doc_id", "text", carry=["text"]).withColumnRenamed("embedding", "eo")
-    variants = _variants(orig, num_variants, mutation_rate, seed, "doc_id", "text").select(
-        F.struct(F.col("row.doc_id").alias("doc_id"), "variant", F.col("row.eo").alias("eo")).alias("of"),
-        "variant_text")
-    return (embed(variants, model, "of", "variant_text")
-            .select("of.doc_id", "of.variant", cosine(F.col("embedding"), F.col("of.eo")).alias("similarity")))
+    """(doc_id, variant, similarity) of each text with each of its variants.
+
+    A text and its variants stand side by side in a row until all are embedded, so no vector leaves the
+    step that makes it.
+    """
+    kind = texts.schema[id_col].dataType
+    names = [f"t{v}" for v in range(num_variants + 1)]
+    base = texts.select(F.col(id_col).alias("doc_id"), F.col(id_col).cast("string").alias("key"), F.col(text_col).alias("text"))
+    wide = base.mapInArrow(_side_by_side(num_variants, mutation_rate, seed), Ty.StructType(
+        [Ty.StructField("doc_id", kind), *[Ty.StructField(c, Ty.StringType()) for c in names]]))
+    return wide.select("doc_id", *[normalize(F.col(c)).alias(c) for c in names]).mapInArrow(
+        _compared(text_embedder(model)), Ty.StructType(
+            [Ty.StructField("doc_id", kind), Ty.StructField("variant", Ty.IntegerType()),
+             Ty.StructField("similarity", Ty.DoubleType())]))
 
 
 def stability_metrics(sims: DataFrame) -> DataFrame:

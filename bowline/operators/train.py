@@ -96,10 +96,11 @@ def _bucket_counts(use_ngrams: bool, buckets: int, n_max: int):
             seen += batch.num_rows
             for t in tokens.token_runs(batch.column(0)):
                 terms = tokens.run_terms(t, use_ngrams)
-                sums += np.bincount(_bucket_of(terms.hashes(), buckets), terms.total, buckets).astype(np.int64)
+                np.add.at(sums, _bucket_of(terms.hashes(), buckets), terms.total)
                 top = np.arange(len(terms.total))
                 if n_max < len(top):
                     top = np.sort(np.argpartition(-terms.total, n_max)[:n_max])
+                    top = top[terms.total[top] > 1]  # most terms of a run occur once in it
                 if len(top):
                     yield rows(pa.nulls(len(top), pa.int64()), terms.names(top), terms.total[top], pa.nulls(len(top), pa.int64()))
         used = np.flatnonzero(sums)
