@@ -1052,8 +1052,11 @@ first AS (SELECT c.text, min(c.doc_id) AS doc_id, coalesce(max(h.copies), 1) AS
 SELECT md5(f.text) AS text_md5, CAST(f.copies AS BIGINT) AS copies, e.dim, round(e.value, {DIGITS}) AS value
 FROM first f JOIN emb e ON e.doc_id = f.doc_id""")
 def q_store_grown(spark, sf):
-    grown = _store(spark, sf)[1].groupBy("text").agg(F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("e"))
-    return grown.select(F.md5("text").alias("text_md5"), "copies", F.posexplode("e").alias("dim", "value")) \
+    from bowline.operators.embed import text_digest
+    # a text is grouped by its digest, as the store looks it up, so that no text is shuffled or sorted
+    grown = _store(spark, sf)[1].groupBy(text_digest(F.col("text")).alias("d")).agg(
+        F.count(F.lit(1)).alias("copies"), F.min("embedding").alias("e"))
+    return grown.select(F.lower(F.hex("d.md5")).alias("text_md5"), "copies", F.posexplode("e").alias("dim", "value")) \
         .select("text_md5", "copies", F.col("dim").cast("int").alias("dim"), r6(F.col("value")).alias("value"))
 
 

@@ -217,3 +217,20 @@ def test_blocks_are_one_step(spark, small):
             plan = embed(docs, m, dropout_rate=rate, limits=limits)._jdf.queryExecution().executedPlan().toString()
             assert plan.count("MapInArrow") == 1
     assert len(m.broadcasts) > 1
+
+
+def test_grown_store_is_grouped_by_digest(spark, tmp_path):
+    """The counts and vectors of every text, and no text in the exchange that groups them."""
+    import hashlib
+    from bowline.plans import catalog
+    rows = [(i, t) for i, t in enumerate(["alpha beta", "gamma delta", "alpha beta", "Alpha beta", "delta", "gamma delta", "kilo"])] + [
+        (0, "alpha beta"), (None, "lima"), (9, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalog.QUERIES["store_grown"](spark, str(tmp_path))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    (line,) = [x for x in plan.splitlines() if "Aggregate" in x and "copies" in x]
+    assert "Aggregate [text" not in line and "md5" in line
+    copies = {r["text_md5"]: r["copies"] for r in got.collect()}
+    # held: ids 0 (three times with the added copy, and the repeated id's), 3, 6 and 9; the others are added once
+    want = {"alpha beta": 4, "Alpha beta": 1, "kilo": 1, "gamma delta": 1, "delta": 1, "lima": 1}
+    assert copies == {hashlib.md5(t.encode()).hexdigest(): n for t, n in want.items()}
