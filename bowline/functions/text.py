@@ -2,7 +2,8 @@
 
 NFC has no Spark SQL function; it is an Arrow function that gets only the rows
 that can change under NFC (a character at or above U+0300), all others are null
-to it. Lower-casing is the JVM's. Tokens are found on the Arrow buffer
+to it, and gives back those that do; a batch's texts become Python strings a few
+rows at a time. Lower-casing is the JVM's. Tokens are found on the Arrow buffer
 (``tokens``); n-grams of given arrays and term bags are JVM expressions.
 """
 
@@ -31,13 +32,25 @@ BM25_K1 = 1.2
 _MAY_CHANGE_UNDER_NFC = r"[^\x{0000}-\x{02FF}]"
 
 
+_STRINGS = 64  # rows of a batch that are Python strings at a time
+
+
 @F.arrow_udf(StringType())
 def _composed(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    """The NFC form of texts that differ from it, null for all others."""
+    parts = [pa.nulls(0, pa.string())]
+    for a in range(0, len(texts), _STRINGS):
+        part = texts.slice(a, _STRINGS)
+        if part.null_count == len(part):
+            parts.append(pa.nulls(len(part), pa.string()))
+        else:
+            parts.append(pa.array([n if t is not None and (n := unicodedata.normalize("NFC", t)) != t else None
+                                   for t in part.to_pylist()], pa.string()))
+    return pa.concat_arrays(parts)
 
 
 def nfc(text: Column) -> Column:
-    """Unicode NFC; rows whose characters are all below U+0300 are returned as they are."""
+    """Unicode NFC; rows that it does not change are returned as they are."""
     may_change = text.rlike(_MAY_CHANGE_UNDER_NFC)
     return F.coalesce(_composed(F.when(may_change, text)), text)
 

@@ -74,6 +74,23 @@ def test_nfc_matches_unicodedata(spark):
     assert all(got[i] == unicodedata.normalize("NFC", t) for i, t in texts)
 
 
+def test_nfc_holds_a_few_rows_as_strings_and_returns_only_changed_ones():
+    import tracemalloc
+    import unicodedata
+    import pyarrow as pa
+    long = "l\u2019\u00e9t\u00e9 " * 2000
+    texts = [None, "", "cafe\u0301", long + "e\u0301", *[long] * 3000, None, "e\u0301"]
+    column = pa.array(texts, pa.string())
+    tracemalloc.start()
+    got = T._composed.func(column)
+    held = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [g for g in got.to_pylist() if g is not None] == [unicodedata.normalize("NFC", texts[i]) for i in (2, 3, -1)]
+    assert len(got) == len(texts) and got[2].is_valid and got[3].is_valid and got[len(texts) - 1].is_valid
+    assert held < 8 << 20  # the 3,000 texts are 72 MB as Python strings
+    assert len(T._composed.func(column.slice(0, 0))) == 0 and T._composed.func(column.slice(0, 2)).to_pylist() == [None, None]
+
+
 def test_tokens_on_the_buffer_equal_a_regex():
     import random
     import pyarrow as pa
